@@ -23,6 +23,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.quality import quality_posteriors
+
+    return quality_posteriors(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.line_dedup import remove_shared_lines
+
+    out = remove_shared_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.topk import every_nth, quantized, top_k
+
+    vectors = quantized(read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where(every_nth("vec_id", 50)), k=5)
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.langid import identify, remainder
+
+    modest_batches(spark)
+    return identify(read(spark, sf_dir, "documents"), remainder("doc_id") == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenmill.llm.packing import pack_documents
 
@@ -46,11 +73,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op8_packing, op9_secrets, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op7_langid, op8_packing, op9_secrets, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": """
+            WITH x AS (SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+                 gone AS (SELECT list(line) AS lines FROM (
+                     SELECT line FROM x WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= 8)),
+                 d AS (SELECT doc_id, text, coalesce(string_split(text, chr(10)), []) AS old,
+                              list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(lines, y), false)) AS rest FROM documents, gone)
+            SELECT doc_id, CAST(len(old) AS BIGINT) AS n_lines, CAST(len(old) - coalesce(len(rest), 0) AS BIGINT) AS n_removed,
+                   CASE WHEN text IS NOT NULL THEN sha256(coalesce(array_to_string(rest, chr(10)), '')) END AS text_sha256 FROM d""",
+        "op4_topk": """
+            WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+                 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+            SELECT * FROM r WHERE rank <= 5""",
         "op10_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
