@@ -43,6 +43,13 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(every_nth("vec_id", 50)), k=5)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.ngram_join import ngram_components
+
+    modest_batches(spark)
+    return ngram_components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenmill.llm.langid import identify, remainder
 
@@ -73,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op7_langid, op8_packing, op9_secrets, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op5_ngram_join, op7_langid, op8_packing, op9_secrets, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
