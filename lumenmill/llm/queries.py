@@ -50,6 +50,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.langid import remainder
+    from lumenmill.llm.lm import lm_scores
+
+    modest_batches(spark)
+    return lm_scores(read(spark, sf_dir, "documents"), remainder("doc_id") == 1)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenmill.llm.langid import identify, remainder
 
@@ -80,7 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op5_ngram_join, op7_langid, op8_packing, op9_secrets, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op5_ngram_join, op6_lm_scores, op7_langid, op8_packing, op9_secrets, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
