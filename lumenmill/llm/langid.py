@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,3 +207,19 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *arrays], names=["doc_id", "held_out", "lang_pred", "score", "n_windows", "n_phrases"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text_of(text_col).alias("text")).mapInArrow(predict, OUT).withColumnRenamed("doc_id", id_col)
+
+
+def identified(docs: DataFrame, sample_chars: int = 32_768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, and __lang and __score as in ``identify``; learned from all its rows that have a language."""
+    blob = pickle.dumps(labelled_samples(docs, F.lit(True), sample_chars, id_col, text_col, lang_col))
+
+    @F.pandas_udf("lang string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(blob)
+        for texts in batches:
+            parts = [model.predict(texts[at : at + 1000].tolist()) for at in range(0, len(texts), 1000)]
+            yield pd.DataFrame([(lang, score) for part in parts for lang, score, *_ in part], columns=["lang", "score"])
+
+
+    # Not deterministic only to the optimizer: a filter on the result must not make it run twice.
+    return docs.withColumn("__found", predict.asNondeterministic()(text_of(text_col))).select(*docs.columns, F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"))
