@@ -9,12 +9,15 @@ the shortest, so nothing is padded. Step groups are dealt so that each holds abo
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,26 +26,56 @@ from lumenmill.llm.common import text_of
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 END_ID = (1).to_bytes(4, "little")
-#: Distinct words that a worker remembers, and bytes of ids that wait to be packed.
-CACHE_WORDS, WAITING = 300_000, 24 << 20
+#: Distinct words (and runs of letters) that a worker remembers, and bytes of ids that wait to be packed.
+CACHE_WORDS, WAITING = 250_000, 24 << 20
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 class Words(dict):
-    """The ids of whitespace-free words, as little-endian unsigned 32-bit bytes. Words are encoded in batches, each once."""
+    """The ids of whitespace-free words, as little-endian unsigned 32-bit bytes; each word is encoded when first met.
+
+    Words of Latin letters, digits and ASCII signs are cut into runs here as the tokenizer's file says, and the runs go to its
+    model, which knows far fewer of them than there are words; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, docs: list[list[bytes]]) -> None:
-        new = list({w for words in docs for w in words}.difference(self))
-        if len(self) + len(new) > CACHE_WORDS:
+        made = json.loads(self.tokenizer.to_str())
+        # The normalizer and the pattern for which cutting by hand is right; with others every word takes the long way.
+        runs = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.by_hand = json.dumps(made["normalizer"]).count('"type"') == 4 and "Lowercase" in json.dumps(made["normalizer"]) and made["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": runs}
+        self.cut = regex.compile(runs).findall
+        self.latin = regex.compile(r"(?!.*<\|)[!-~\u00C0-\u012F\u0131-\u024F]+").fullmatch
+        self.letters = _byte_letters()
+        self.runs: dict[str, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
             self.clear()
-            new = list({w for words in docs for w in words})
-        for word, got in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+        text = word.decode("utf-8", "replace")
+        if self.by_hand and (text.isascii() and "<|" not in text or self.latin(text)):
+            low = text.lower()
+            found = self.runs.get(low) or self.run(low) if low.isalpha() else b"".join([self.runs.get(run) or self.run(run) for run in self.cut(low)])
+        else:
+            found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
+
+    def run(self, run: str) -> bytes:
+        if len(self.runs) >= CACHE_WORDS:
+            self.runs.clear()
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        self.runs[run] = found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -52,10 +85,8 @@ def _words(path: str) -> Words:
 
 def token_bytes(texts: Iterable[str], path: str) -> list[bytes]:
     """The ids of each text and the end id. The tokenizer drops white space and never joins across it, so words are encoded apart."""
-    words = _words(path)
-    docs = [t.encode("utf-8", "replace").split() for t in texts]
-    words.learn(docs)
-    return [b"".join([*map(words.__getitem__, d), END_ID]) for d in docs]
+    ids = _words(path).__getitem__
+    return [b"".join([*map(ids, t.encode("utf-8", "replace").split()), END_ID]) for t in texts]
 
 
 class Packer:
