@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenmill.plans import oracle, queries as q
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raster summary; see ``queries``."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Layout, stencil, aggregate, policy and report in one: the quality summary of all rasters."""
+    return q.raster_quality_summary(spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in q.ALL}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.SQL)
