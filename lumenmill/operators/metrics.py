@@ -49,7 +49,7 @@ def dilate_erode(px: DataFrame) -> DataFrame:
 
 def block_probe(px: DataFrame) -> DataFrame:
     """Jumps at 8-pixel block edges against jumps inside blocks, dirt in shadows, and blur."""
-    rows = px.repartition("image_id").select("*", F.lag("l").over(st.ROW).alias("before"), F.lag("l").over(st.COLUMN).alias("above"))
+    rows = px.repartition("image_id").select("*", F.lag("l").over(st.row()).alias("before"), F.lag("l").over(st.column()).alias("above"))
     at = lambda axis, before, phase: F.avg(F.when(F.col(axis) % 8 == phase, F.abs(F.col("l") - F.col(before))))
     shadow = F.when(F.col("l") < 76, F.col("l"))
     probes = rows.groupBy("image_id").agg(

@@ -6,13 +6,18 @@ the edge pixel: pixel -k is pixel k. ``padded`` writes the mirrored border as ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenmill.sources.fixtures import SIDE
 
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+def row() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def column() -> WindowSpec:
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def _mirrors(axis: str, radius: int, side: int) -> Column:
@@ -33,9 +38,9 @@ def inside(px: DataFrame, side: int = SIDE) -> DataFrame:
 def neighbours(px: DataFrame, value: str = "l") -> DataFrame:
     """Adds up, down, left, right and the four corners (ul, ur, dl, dr) of every pixel."""
     rows = padded(px.repartition("image_id"), 1)
-    rows = rows.select("*", F.lag(value).over(ROW).alias("left"), F.lead(value).over(ROW).alias("right"))
+    rows = rows.select("*", F.lag(value).over(row()).alias("left"), F.lead(value).over(row()).alias("right"))
     rows = rows.select(
-        "*", *[f(c).over(COLUMN).alias(n) for f, names in ((F.lag, ("up", "ul", "ur")), (F.lead, ("down", "dl", "dr"))) for c, n in zip((value, "left", "right"), names, strict=True)],
+        "*", *[f(c).over(column()).alias(n) for f, names in ((F.lag, ("up", "ul", "ur")), (F.lead, ("down", "dl", "dr"))) for c, n in zip((value, "left", "right"), names, strict=True)],
     )
     return inside(rows)
 
@@ -55,8 +60,8 @@ def box(px: DataFrame, radius: int, agg, out: str, value: str = "l") -> DataFram
     """agg (F.sum, F.max, F.min) over the square of the given radius, one axis after the other."""
     n = Window.currentRow
     rows = padded(px.repartition("image_id"), radius)
-    rows = rows.withColumn("__row", agg(value).over(ROW.rowsBetween(n - radius, n + radius)))
-    return inside(rows.withColumn(out, agg("__row").over(COLUMN.rowsBetween(n - radius, n + radius))).drop("__row"))
+    rows = rows.withColumn("__row", agg(value).over(row().rowsBetween(n - radius, n + radius)))
+    return inside(rows.withColumn(out, agg("__row").over(column().rowsBetween(n - radius, n + radius))).drop("__row"))
 
 
 def resize_nearest(px: DataFrame, width: int, height: int, side: int = SIDE) -> DataFrame:

@@ -8,19 +8,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 c = F.col
-ORDER = Window.partitionBy("task_id").orderBy("ts", "event_id")
 TERMINAL = ("completed", "failed")
 
 
+def in_order() -> WindowSpec:
+    return Window.partitionBy("task_id").orderBy("ts", "event_id")
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Every event with its index, the task's total, and a progress that stays under 100 until a terminal event has come."""
-    index, total = F.row_number().over(ORDER), F.count("*").over(Window.partitionBy("task_id"))
-    done = F.max(c("task_status").isin(*TERMINAL).cast("int")).over(ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1
+    index, total = F.row_number().over(in_order()), F.count("*").over(Window.partitionBy("task_id"))
+    done = F.max(c("task_status").isin(*TERMINAL).cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1
     rows = events.select("task_id", "event_id", "task_status", index.alias("index"), total.alias("total"), done.alias("done"))
     return rows.withColumn("progress", F.when(c("done"), 100).otherwise(F.least(F.lit(99), F.bround(c("index") / c("total") * 100, 0).cast("int"))))
 
@@ -47,8 +50,8 @@ def timeouts(events: DataFrame, seconds: int = 180) -> DataFrame:
 
 def sessions(events: DataFrame, gap_seconds: int = 86_400) -> DataFrame:
     """Runs of a task's events without a longer gap: an extension of the task model."""
-    gap = c("ts").cast("timestamp") - F.lag("ts").over(ORDER) > F.make_dt_interval(secs=F.lit(gap_seconds))
-    numbered = events.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("session", F.sum("new").over(ORDER))
+    gap = c("ts").cast("timestamp") - F.lag("ts").over(in_order()) > F.make_dt_interval(secs=F.lit(gap_seconds))
+    numbered = events.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("session", F.sum("new").over(in_order()))
     return numbered.groupBy("task_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
