@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenmill.functions.color import gray, hsv, lab
-from lumenmill.functions.scalars import clip, labels, normalize, score
+from lumenmill.functions.scalars import clip, labels, log_score, normalize, score
+from lumenmill.operators import points as pt
 from lumenmill.operators import stencils as st
 
 
@@ -135,3 +136,85 @@ def mask_sets(px: DataFrame) -> DataFrame:
     for more in sizes[1:]:
         out = out.unionByName(more)
     return out.groupBy("image_id").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds])
+
+
+def texture(px: DataFrame) -> DataFrame:
+    """Share of pixels that stand out from their blur, and the scored mean of the finest detail."""
+    rows = st.gaussian(st.gaussian(px, 1.35, "wide"), 1.15, "narrow")
+    high = F.abs(F.col("l") - st.quantized(F.col("wide")))
+    fine = F.abs(F.col("l") - st.quantized(F.col("narrow")))
+    return rows.groupBy("image_id").agg(_r(F.avg((high > 8).cast("double"))).alias("texture_density"), log_score(F.avg(fine), 16.0).alias("high_frequency_score"))
+
+
+def mid_frequency(px: DataFrame) -> DataFrame:
+    """Deviation of the band between two blurs, from 0 to 1."""
+    rows = st.gaussian(st.gaussian(px, 1.4, "mid"), 6.0, "low")
+    band = F.abs(st.quantized(F.col("mid")) - st.quantized(F.col("low")))
+    return rows.groupBy("image_id").agg(_r(normalize(F.stddev_pop(band), 4.0, 32.0)).alias("mid_frequency_score"), _r(F.stddev_pop(band)).alias("band_deviation"))
+
+
+def local_contrast(px: DataFrame) -> DataFrame:
+    """Mean local deviation under a Gaussian window, from 0 to 1."""
+    rows = st.gaussian(st.gaussian(px.withColumn("sq", F.col("l") * F.col("l")), 2.0, "mean"), 2.0, "mean_sq", "sq")
+    local = F.avg(F.sqrt(F.greatest(F.lit(0.0), F.col("mean_sq") - F.col("mean") * F.col("mean"))))
+    return rows.groupBy("image_id").agg(_r(clip(local / 22.0, 0, 1)).alias("local_contrast"), _r(local).alias("mean_local_deviation"))
+
+
+def smooth_regions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How much flat regions changed between two gray versions: difference, gradient difference, and the guard's levels."""
+    def grads(px: DataFrame, tag: str) -> DataFrame:
+        blurred = st.gaussian(px.select("image_id", "y", "x", "l"), 2.2, "blur").select("image_id", "y", "x", "blur")
+        gx, gy = st.sobel()
+        return st.neighbours(blurred, "blur").select("image_id", "y", "x", F.col("blur").alias(f"b{tag}"), F.sqrt(gx * gx + gy * gy).alias(f"g{tag}"))
+
+    both = grads(before, "0").join(grads(after, "1"), ["image_id", "y", "x"])
+    flat = F.when(F.col("g0") < 60, F.lit(1))
+    m = both.groupBy("image_id").agg(
+        F.avg(flat * F.abs(F.col("b1") - F.col("b0"))).alias("d"), F.avg(F.abs(F.col("b1") - F.col("b0"))).alias("every"), F.percentile(flat * F.abs(F.col("g1") - F.col("g0")), 0.95).alias("band"),
+    )
+    d = F.coalesce("d", "every")
+    level = lambda v: F.when(v >= 0.72, "high").when(v >= 0.42, "medium").otherwise("low")
+    band = F.coalesce("band", F.lit(0.0)) / 22.0
+    return m.select("image_id", _r(d).alias("flat_diff"), _r(clip(1 - d / 18.0, 0, 1)).alias("uniformity"), _r(F.coalesce("band", F.lit(0.0))).alias("band_signal"), level(d / 18.0).alias("gradient_risk"), level(band).alias("band_risk"))
+
+
+def point_sums(px: DataFrame) -> DataFrame:
+    """Mean lightness after each lightness curve."""
+    v = F.col("l").cast("double")
+    curves = {"highlights": pt.compress_highlights(v, 0.8), "clipped": pt.compress_clipped(v), "specular": pt.compress_specular(v, 0.5), "shadows": pt.breathe_shadows(v, 0.7)}
+    return px.groupBy("image_id").agg(_r(F.avg(v)).alias("plain"), *[_r(F.avg(c) + 1e-9).alias(k) for k, c in curves.items()])
+
+
+def skin_and_saturation(px3: DataFrame) -> DataFrame:
+    """Skin and ink shares, and mean saturation before and after the saturation operators."""
+    h, s, v = hsv(F.col("b"), F.col("g"), F.col("r"))
+    rows = px3.select("image_id", h.alias("h"), s.alias("s"), v.alias("v"))
+    h, s, v = F.col("h"), F.col("s"), F.col("v")
+    tamed_s, tamed_v = pt.tame_hdr(s, v, 0.6)
+    return rows.groupBy("image_id").agg(
+        _r(F.avg(pt.skin(h, s, v).cast("double"))).alias("skin_ratio"), _r(0.75 * F.avg((s < 34).cast("double")) + 0.25 * F.stddev_pop(v) / 80.0).alias("gray_ink"), _r(F.avg(s)).alias("mean_s"),
+        _r(F.avg(pt.saturate(s, 1.08))).alias("richer_s"), _r(F.avg(tamed_s)).alias("tamed_s"), _r(F.avg(tamed_v)).alias("tamed_v"), _r(F.avg(pt.clamp_saturation(s / 255.0, s / 255.0 * 1.05))).alias("clamped_s"),
+    )
+
+
+def channel_match(px3: DataFrame) -> DataFrame:
+    """The red channel moved to the blue one's mean and deviation."""
+    return pt.match_channel(px3, "b", "r", "m").groupBy("image_id").agg(_r(F.avg("m"), 3).alias("mean_matched"), _r(F.stddev_pop("m"), 3).alias("deviation_matched"), _r(F.avg("b"), 3).alias("mean_reference"))
+
+
+def artifact_masks(px: DataFrame) -> DataFrame:
+    """Sizes of the block mask (jumps on the 8-pixel grid, widened, in flat places) and of the adaptive threshold's strokes."""
+    rows = px.repartition("image_id").select("*", F.lag("l").over(st.row()).alias("before"), F.lag("l").over(st.column()).alias("above"))
+    jump = ((F.col("x") >= 8) & (F.col("x") % 8 == 0) & (F.abs(F.col("l") - F.col("before")) > 8)) | ((F.col("y") >= 8) & (F.col("y") % 8 == 0) & (F.abs(F.col("l") - F.col("above")) > 8))
+    grid = st.box(rows.select("image_id", "y", "x", F.coalesce(jump, F.lit(False)).cast("int").alias("l")), 1, F.max, "wide").select("image_id", "y", "x", "wide")
+    flat = st.neighbours(px).select("image_id", "y", "x", (F.abs(st.laplacian()) < 60).alias("flat"))
+    stroke = st.box(px, 8, F.sum, "total").select("image_id", "y", "x", (F.col("l") <= F.floor(F.col("total") / 289.0 + 0.5) - 8).alias("stroke"))
+    return grid.join(flat, ["image_id", "y", "x"]).join(stroke, ["image_id", "y", "x"]).groupBy("image_id").agg(
+        F.count_if((F.col("wide") == 1) & F.col("flat")).alias("n_block"), F.count_if(F.col("stroke")).alias("n_stroke"), F.sum("wide").alias("n_grid")
+    )
+
+
+def unsharp(px: DataFrame, sigma: float = 1.2, amount: float = 0.35) -> DataFrame:
+    """The raster with part of its fine detail added again."""
+    rows = st.gaussian(px, sigma, "blur")
+    return rows.select("image_id", "y", "x", st.quantized(F.round(F.col("l") * (1 + amount) - F.col("blur") * amount, 9)).alias("l"))

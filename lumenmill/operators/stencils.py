@@ -6,7 +6,9 @@ the edge pixel: pixel -k is pixel k. ``padded`` writes the mirrored border as ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenmill.sources.fixtures import SIDE
@@ -73,3 +75,52 @@ def resize_nearest(px: DataFrame, width: int, height: int, side: int = SIDE) ->
 def resize_area(px: DataFrame, factor: int) -> DataFrame:
     """Means of factor x factor blocks, rounded half up."""
     return px.groupBy("image_id", F.expr(f"y div {factor}").alias("y"), F.expr(f"x div {factor}").alias("x")).agg(F.floor(F.avg("l") + 0.5).cast("int").alias("l"))
+
+
+def weights(sigma: float) -> list[float]:
+    """A normalised Gaussian of radius ceil(3 sigma), the middle first and then one side."""
+    radius = math.ceil(3 * sigma)
+    half = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(radius + 1)]
+    total = half[0] + 2 * sum(half[1:])
+    return [w / total for w in half]
+
+
+def gaussian(px: DataFrame, sigma: float, out: str, value: str = "l") -> DataFrame:
+    """Blurs value, as a double, along rows and then columns; the border reflects."""
+    half = weights(sigma)
+    rows = padded(px.repartition("image_id"), len(half) - 1)
+
+    def along(name: str, axis: WindowSpec) -> Column:
+        total = F.col(name) * half[0]
+        for k, w in enumerate(half[1:], 1):
+            total = total + (F.lag(name, k).over(axis) + F.lead(name, k).over(axis)) * w
+        return total
+
+    rows = rows.withColumn("__row", along(value, row()))
+    return inside(rows.withColumn(out, along("__row", column())).drop("__row"))
+
+
+def quantized(value: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value + 0.5))).cast("int")
+
+
+def taps(spark: SparkSession, source: int, target: int) -> DataFrame:
+    """(src, dst, w): cubic weights (Keys, a = -0.75) of the four source pixels around each target pixel; the border repeats."""
+    a, rows = -0.75, []
+    for dst in range(target):
+        at = (dst + 0.5) * source / target - 0.5
+        first = math.floor(at) - 1
+        for src in range(first, first + 4):
+            t = abs(at - src)
+            w = ((a + 2) * t - (a + 3)) * t * t + 1 if t <= 1 else (((t - 5) * t + 8) * t - 4) * a
+            rows.append((min(max(src, 0), source - 1), dst, w))
+    return spark.createDataFrame(rows, "src long, dst long, w double")
+
+
+def resize_cubic(px: DataFrame, width: int, height: int, side: int = SIDE) -> DataFrame:
+    """A resized raster: weighted sums along x and then y, rounded and cut to bytes. The taps are four rows a target pixel of one axis."""
+    spark = px.sparkSession
+    x, y = F.broadcast(taps(spark, side, width)), F.broadcast(taps(spark, side, height))
+    wide = px.join(x, F.col("x") == F.col("src")).groupBy("image_id", "y", F.col("dst").alias("tx")).agg(F.sum(F.col("l") * F.col("w")).alias("v"))
+    out = wide.join(y, F.col("y") == F.col("src")).groupBy("image_id", F.col("dst").alias("ty"), "tx").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), quantized(F.round("v", 9)).alias("l"))

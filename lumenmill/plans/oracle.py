@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from lumenmill.sources import fixtures as fx
 
 PX = """e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
@@ -59,6 +61,32 @@ def _lab(b: str, g: str, r: str, tag: str) -> str:
     return f"{byte(f'{light} * 255 / 100')} AS l{tag}, {byte(f'500 * ({root(x)} - {root(y)}) + 128')} AS a{tag}, {byte(f'200 * ({root(y)} - {root(z)}) + 128')} AS bb{tag}"
 
 
+def _blur(sigma: float, src: str, out: str, value: str = "l") -> str:
+    """CTEs: out has value blurred as v; weights from the formula, normalised."""
+    r = math.ceil(3 * sigma)
+    return f""", w_{out} AS (SELECT k, exp(-k * k / CAST({2 * sigma * sigma} AS DOUBLE)) / sum(exp(-k * k / CAST({2 * sigma * sigma} AS DOUBLE))) OVER () AS w FROM range(-{r}, {r + 1}) t(k)),
+      x_{out} AS (SELECT c.image_id, c.y, c.x, sum(n.{value} * w) AS v FROM {src} c, w_{out} JOIN {src} n ON n.image_id = c.image_id AND n.y = c.y AND n.x = {_at("c.x + k")} GROUP BY ALL),
+      {out} AS (SELECT c.image_id, c.y, c.x, sum(n.v * w) AS v FROM x_{out} c, w_{out} JOIN x_{out} n ON n.image_id = c.image_id AND n.x = c.x AND n.y = {_at("c.y + k")} GROUP BY ALL)"""
+
+
+def _grad(src: str, out: str) -> str:
+    """CTE: the Sobel size of column v."""
+    s = "+ ".join(f"CASE WHEN j = {dy} AND k = {dx} THEN {w} * n.v ELSE 0 END" for (dy, dx), w in {(-1, 1): 1, (0, 1): 2, (1, 1): 1, (-1, -1): -1, (0, -1): -2, (1, -1): -1}.items())
+    t = "+ ".join(f"CASE WHEN j = {dy} AND k = {dx} THEN {w} * n.v ELSE 0 END" for (dy, dx), w in {(1, -1): 1, (1, 0): 2, (1, 1): 1, (-1, -1): -1, (-1, 0): -2, (-1, 1): -1}.items())
+    return f""", {out} AS (SELECT c.image_id, c.y, c.x, any_value(c.v) AS v, sqrt(sum({s}) ** 2 + sum({t}) ** 2) AS g FROM {src} c, range(-1, 2) a(j), range(-1, 2) b(k)
+      JOIN {src} n ON n.image_id = c.image_id AND n.y = {_at("c.y + j")} AND n.x = {_at("c.x + k")} GROUP BY c.image_id, c.y, c.x)"""
+
+
+def _byte(v: str) -> str:
+    return f"CAST(GREATEST(0, LEAST(255, FLOOR({v} + 0.5))) AS INT)"
+
+
+def _taps(name: str, target: int) -> str:
+    at = f"((dst + 0.5) * CAST(32 AS DOUBLE) / {target} - 0.5)"
+    return f"""{name} AS (SELECT LEAST(31, GREATEST(0, CAST(floor({at}) AS INT) + o)) AS src, dst, CASE WHEN abs({at} - floor({at}) - o) <= 1 THEN (1.25 * abs({at} - floor({at}) - o) - 2.25) * pow(abs({at} - floor({at}) - o), 2) + 1
+      ELSE (((abs({at} - floor({at}) - o) - 5) * abs({at} - floor({at}) - o) + 8) * abs({at} - floor({at}) - o) - 4) * -0.75 END AS w FROM range({target}) a(dst), range(-1, 3) b(o))"""
+
+
 F_ = "f AS (SELECT " + ", ".join(fx.FEATURES) + " FROM lineitem)"
 K = "l_orderkey, l_linenumber"
 TEXTY = "image_type IN ('text_poster', 'ppt_page')"
@@ -221,6 +249,31 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY pooled DESC, wy, wx) AS n FROM m) SELECT image_id, wy AS y, wx AS x, pooled FROM o WHERE n = 1""",
     "raster_quality_summary": f"""WITH {NB}, m AS (SELECT image_id, ROUND(avg(l), 4) AS brightness, ROUND(stddev_pop(l), 4) AS contrast, ROUND(var_pop(lap), 4) AS sharpness FROM lap GROUP BY image_id)
         SELECT CASE WHEN sharpness < 17000 THEN 'soft' WHEN sharpness < 19000 THEN 'normal' ELSE 'sharp' END AS level, count(*) AS n, ROUND(avg(brightness), 3) AS mean_brightness, ROUND(avg(contrast), 3) AS mean_contrast FROM m GROUP BY 1""",
+    "raster_texture": f"""WITH {PX}{_blur(1.35, "px", "g1")}{_blur(1.15, "px", "g2")} SELECT px.image_id, ROUND(avg(CAST(abs(l - {_byte('g1.v')}) > 8 AS INT)), 4) AS texture_density,
+        ROUND({_clip(f"ln(1 + avg(abs(l - {_byte('g2.v')}))) * 16", 0, 100)}, 4) AS high_frequency_score FROM px JOIN g1 USING (image_id, y, x) JOIN g2 USING (image_id, y, x) GROUP BY px.image_id""",
+    "raster_mid_frequency": f"""WITH {PX}{_blur(1.4, "px", "g1")}{_blur(6.0, "px", "g2")}, m AS (SELECT image_id, stddev_pop(abs({_byte('g1.v')} - {_byte('g2.v')})) AS s FROM g1 JOIN g2 USING (image_id, y, x) GROUP BY image_id)
+        SELECT image_id, ROUND({_norm('s', 4.0, 32.0)}, 4) AS mid_frequency_score, ROUND(s, 4) AS band_deviation FROM m""",
+    "raster_local_contrast": f"""WITH {PX}, sq AS (SELECT *, l * l AS q FROM px){_blur(2.0, "sq", "g1")}{_blur(2.0, "sq", "g2", "q")},
+        m AS (SELECT image_id, avg(sqrt(GREATEST(0.0, g2.v - g1.v * g1.v))) AS s FROM g1 JOIN g2 USING (image_id, y, x) GROUP BY image_id) SELECT image_id, ROUND({_clip('s / 22')}, 4) AS local_contrast, ROUND(s, 4) AS mean_local_deviation FROM m""",
+    "raster_smooth_region": f"""WITH {PX}, af AS (SELECT image_id, y, x, CASE WHEN l > 140 THEN 140 + (l - 140) // 2 ELSE l END AS l FROM px){_blur(2.2, "px", "g0")}{_blur(2.2, "af", "g1")}{_grad("g0", "s0")}{_grad("g1", "s1")},
+        m AS (SELECT image_id, avg(abs(s1.v - s0.v)) FILTER (s0.g < 60) AS d, avg(abs(s1.v - s0.v)) AS e, coalesce(quantile_cont(abs(s1.g - s0.g), 0.95) FILTER (s0.g < 60), 0) AS band FROM s0 JOIN s1 USING (image_id, y, x) GROUP BY image_id), n AS (SELECT image_id, coalesce(d, e) AS d, band FROM m)
+        SELECT image_id, ROUND(d, 4) AS flat_diff, ROUND({_clip('1 - d / 18')}, 4) AS uniformity, ROUND(band, 4) AS band_signal, CASE WHEN d / 18 >= 0.72 THEN 'high' WHEN d / 18 >= 0.42 THEN 'medium' ELSE 'low' END AS gradient_risk,
+          CASE WHEN band / 22 >= 0.72 THEN 'high' WHEN band / 22 >= 0.42 THEN 'medium' ELSE 'low' END AS band_risk FROM n""",
+    "raster_highlight_compress": f"""WITH {PX} SELECT image_id, ROUND(avg(l), 4) AS plain, ROUND(avg(CASE WHEN l > 190 THEN 190 + (l - 190) * (1 - 0.28 * 0.8) ELSE l END) + 1e-9, 4) AS highlights, ROUND(avg(CASE WHEN l > 238 THEN 238 + (l - 238) * 0.82 ELSE l END) + 1e-9, 4) AS clipped,
+        ROUND(avg(CASE WHEN l > 210 THEN 210 + (l - 210) * 0.775 ELSE l END) + 1e-9, 4) AS specular, ROUND(avg(CASE WHEN l < 72 THEN l + (72 - l) * 0.126 ELSE l END) + 1e-9, 4) AS shadows FROM px GROUP BY image_id""",
+    "raster_skin_saturation": f"""WITH {PX3}, c AS (SELECT image_id, {_hsv('b', 'g', 'r')} FROM px3) SELECT image_id,
+        ROUND(avg(CAST((h BETWEEN 0 AND 28 AND s BETWEEN 20 AND 190 AND v BETWEEN 55 AND 245) OR (h BETWEEN 160 AND 179 AND s BETWEEN 20 AND 175 AND v BETWEEN 55 AND 245) AS INT)), 4) AS skin_ratio,
+        ROUND(0.75 * avg(CAST(s < 34 AS INT)) + 0.25 * stddev_pop(v) / 80, 4) AS gray_ink, ROUND(avg(s), 4) AS mean_s, ROUND(avg(LEAST(255, s * 1.08)), 4) AS richer_s, ROUND(avg(CASE WHEN v > 205 THEN s * (1 - 0.18 * 0.6) ELSE s END), 4) AS tamed_s,
+        ROUND(avg(CASE WHEN v > 205 THEN v - (v - 205) * 0.22 * 0.6 ELSE v END), 4) AS tamed_v, ROUND(avg(LEAST(s / 255 * 1.05, LEAST(1.0, s / 255 + 0.008))), 4) AS clamped_s FROM c GROUP BY image_id""",
+    "raster_channel_match": f"""WITH {PX3}, t AS (SELECT image_id, avg(b) AS mb, avg(r) AS mr, GREATEST(stddev_pop(b), 1.0) AS sb, GREATEST(stddev_pop(r), 1.0) AS sr FROM px3 GROUP BY image_id),
+        k AS (SELECT image_id, b, {_clip('r * (1 - CAST(0.96 AS DOUBLE)) + ((r - mr) / sr * sb + mb) * 0.96', 0, 255)} AS m FROM px3 JOIN t USING (image_id)) SELECT image_id, ROUND(avg(m), 3) AS mean_matched, ROUND(stddev_pop(m), 3) AS deviation_matched, ROUND(avg(b), 3) AS mean_reference FROM k GROUP BY image_id""",
+    "raster_artifact_masks": f"""WITH {NB}, j AS (SELECT image_id, y, x, l, lap, CASE WHEN (x >= 8 AND x % 8 = 0 AND abs(l - lf) > 8) OR (y >= 8 AND y % 8 = 0 AND abs(l - up) > 8) THEN 1 ELSE 0 END AS hit FROM lap),
+        d AS (SELECT c.image_id, c.y, c.x, any_value(c.lap) AS lap, max(n.hit) AS wide FROM j c, range(-1, 2) a(dy), range(-1, 2) b(dx) JOIN j n ON n.image_id = c.image_id AND n.y = {_at('c.y + dy')} AND n.x = {_at('c.x + dx')} GROUP BY c.image_id, c.y, c.x),
+        t AS (SELECT c.image_id, c.y, c.x, any_value(c.l) AS l, sum(n.l) AS total FROM px c, range(-8, 9) a(dy), range(-8, 9) b(dx) JOIN px n ON n.image_id = c.image_id AND n.y = {_at('c.y + dy')} AND n.x = {_at('c.x + dx')} GROUP BY c.image_id, c.y, c.x)
+        SELECT d.image_id, count(*) FILTER (wide = 1 AND abs(lap) < 60) AS n_block, count(*) FILTER (l <= floor(total / 289.0 + 0.5) - 8) AS n_stroke, CAST(sum(wide) AS BIGINT) AS n_grid FROM d JOIN t USING (image_id, y, x) GROUP BY d.image_id""",
+    "raster_unsharp": f"""WITH {PX}{_blur(1.2, "px", "g1")} SELECT px.image_id, px.y, px.x, {_byte('ROUND(l * CAST(1.35 AS DOUBLE) - g1.v * 0.35, 9)')} AS l FROM px JOIN g1 USING (image_id, y, x)""",
+    "raster_resize_cubic": f"""WITH {PX}, {_taps('tx', 45)}, {_taps('ty', 40)}, h AS (SELECT image_id, y, dst AS dx, sum(l * w) AS v FROM px JOIN tx ON x = src GROUP BY ALL)
+        SELECT image_id, dst AS y, dx AS x, {_byte('ROUND(sum(v * w), 9)')} AS l FROM h JOIN ty ON y = src GROUP BY image_id, dst, dx""",
     "mask_set_ops": f"""WITH {NB} SELECT image_id, count(*) FILTER (l > 150) AS n_bright, count(*) FILTER (grad > 220) AS n_steep, count(*) FILTER (l > 150 OR grad > 220) AS n_union, count(*) FILTER (l > 150 AND grad > 220) AS n_both,
         count(*) FILTER (l > 150 AND NOT grad > 220) AS n_bright_only FROM lap GROUP BY image_id HAVING count(*) FILTER (l > 150 OR grad > 220) > 0""",
     "classify_type": f"""WITH {F_} SELECT {K}, {TYPE} AS image_type, CASE WHEN LEAST(width, height) < 720 THEN 'low_resolution' WHEN clarity_score * 2 < 45 THEN 'blur'

@@ -70,6 +70,56 @@ def raster_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("level", level).groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg("brightness"), 3).alias("mean_brightness"), F.round(F.avg("contrast"), 3).alias("mean_contrast"))
 
 
+def raster_texture(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.texture(fx.px(spark, d))
+
+
+def raster_mid_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.mid_frequency(fx.px(spark, d))
+
+
+def raster_local_contrast(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.local_contrast(fx.px(spark, d))
+
+
+def raster_smooth_region(spark: SparkSession, d: str) -> DataFrame:
+    """Gray rasters against their highlights compressed."""
+    px = fx.px(spark, d)
+    after = px.withColumn("l", F.when(F.col("l") > 140, 140 + F.floor((F.col("l") - 140) / 2)).otherwise(F.col("l")).cast("int"))
+    return metrics.smooth_regions(px, after)
+
+
+def raster_highlight_compress(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.point_sums(fx.px(spark, d))
+
+
+def raster_skin_saturation(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.skin_and_saturation(fx.px3(spark, d))
+
+
+def raster_channel_match(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.channel_match(fx.px3(spark, d))
+
+
+def raster_artifact_masks(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.artifact_masks(fx.px(spark, d))
+
+
+def raster_unsharp(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.unsharp(fx.px(spark, d))
+
+
+def raster_resize_cubic(spark: SparkSession, d: str) -> DataFrame:
+    return stencils.resize_cubic(fx.px(spark, d), 45, 40)
+
+
+def raster_png(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded rasters; their bytes are checked by a round trip."""
+    from lumenmill.sources.images import encode
+
+    return encode(fx.px(spark, d)).select("image_id", "width", "height", F.length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))
+
+
 def mask_set_ops(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mask_sets(fx.px(spark, d))
 
@@ -251,7 +301,8 @@ def problem_code(spark: SparkSession, d: str) -> DataFrame:
 
 ALL = (
     raster_basic_metrics, raster_box_contrast, raster_sobel_edge_score, raster_dilate_erode, raster_block_probe, raster_color_state, raster_color_drift, raster_pixel_difference, raster_resize_nearest,
-    raster_resize_area, raster_best_window, raster_quality_summary, mask_set_ops, classify_type, target_size_plan, choose_format, material_policy, edge_policy, low_quality_policy, visual_policy,
+    raster_resize_area, raster_best_window, raster_quality_summary, raster_texture, raster_mid_frequency, raster_local_contrast, raster_smooth_region, raster_highlight_compress, raster_skin_saturation, raster_channel_match,
+    raster_artifact_masks, raster_unsharp, raster_resize_cubic, raster_png, mask_set_ops, classify_type, target_size_plan, choose_format, material_policy, edge_policy, low_quality_policy, visual_policy,
     strategy_from_rules, visual_gate, compression_gate, delivery_guard, delivery_summary, delivery_status, review_tags, risk_labels, mode_profile, batch_summary, regression_diff, regression_counts,
     first_match_lookup, latest_output_per_input, compression_probe, probe_method_summary, probe_counts, probe_top30, rename_stems, rename_conflicts, rename_plan, redact_text, sanitized_names,
     task_progress, task_terminal_state, task_timeout, task_sessions, task_windows, problem_code,
