@@ -345,5 +345,34 @@ SQL = {
     "task_sessions": f"""WITH {STAGES}, n AS (SELECT *, CASE WHEN ts - lag(ts) OVER ({W}) <= INTERVAL 86400 SECOND THEN 0 ELSE 1 END AS new FROM st), s AS (SELECT *, sum(new) OVER ({W}) AS session FROM n)
         SELECT task_id, CAST(session AS BIGINT) AS session, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2""",
     "task_windows": f"WITH {STAGES} SELECT date_trunc('day', ts) AS window_start, task_status, count(*) AS n FROM st GROUP BY 1, 2",
-    "problem_code": """SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' THEN 'input_missing' WHEN o_totalprice > 300000 THEN 'output_too_large' WHEN o_orderpriority LIKE '1-%' THEN 'tool_missing' WHEN o_orderstatus = 'O' THEN 'not_finished' ELSE 'ok' END AS problem FROM orders""",
+    "problem_code": """SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 23 = 0 THEN 'BLOCKED_INPUT_DIR_MISSING' WHEN o_orderkey % 19 <= 0 OR o_orderkey % 7 = 0 THEN 'BLOCKED_INPUT_EMPTY' WHEN o_orderkey % 17 = 0 THEN 'BLOCKED_OUTPUT_PERMISSION'
+        WHEN o_orderkey % 13 = 0 THEN 'BLOCKED_TOOL_MISSING' WHEN o_orderpriority LIKE '1-%' THEN 'BLOCKED_MODEL_MISSING' WHEN o_orderstatus = 'P' THEN 'FAILED_MODEL_RUN' WHEN o_orderkey % 3 > 0 THEN 'PASS_WITH_NOTES' ELSE 'PASS' END AS problem FROM orders""",
+    "type_scores": f"""WITH {F_}, s AS (SELECT {K}, {_clip('text_density / 10 * 36 + edge_density * 1.2 + texture_density * 4 * 0.25')} AS a, {_clip('texture_density * 4 * 0.75 + edge_density * 0.8 - skin_ratio * 1.2')} AS b,
+          {_clip('CASE WHEN dark_ratio / 4 > 0.015 THEN dark_ratio / 4 * 1.8 + edge_density * 0.55 - texture_density * 4 * 0.35 ELSE edge_density * 0.18 END')} AS c, {_clip('skin_ratio * 3 + dark_ratio / 4 * 0.25')} AS d,
+          CASE WHEN low_saturation_ratio > 0.62 AND text_density / 10 < 0.001 THEN low_saturation_ratio ELSE 0.0 END AS e FROM f), m AS (SELECT *, GREATEST(a, b, c, d, e, 0.28) AS top FROM s)
+        SELECT {K}, CASE top WHEN a THEN 'text_poster' WHEN b THEN 'architecture' WHEN c THEN 'artifact' WHEN d THEN 'portrait_indoor' WHEN e THEN 'ink_gray' ELSE 'general' END AS kind, ROUND({_clip('top')} + 1e-9, 4) AS confidence FROM m""",
+    "mode_strengths": f"""WITH {F_}, m AS (SELECT * REPLACE (CASE l_linenumber WHEN 2 THEN 'sharp_4k' WHEN 3 THEN 'ai_image_clean' ELSE mode END AS mode) FROM f) SELECT {K},
+        ROUND({_clip("CAST(CASE mode WHEN 'text_safe' THEN 0.18 WHEN 'ai_image_clean' THEN 0.36 WHEN 'sharp_4k' THEN 0.23 ELSE 0.22 END AS DOUBLE) + CASE image_type WHEN 'ink_gray' THEN -0.08 ELSE 0 END", 0, 0.72)} + 1e-9, 4) AS repair_strength,
+        ROUND({_clip("CAST(CASE mode WHEN 'text_safe' THEN 0.56 WHEN 'ai_image_clean' THEN 0.30 WHEN 'sharp_4k' THEN 0.38 ELSE 0.34 END AS DOUBLE) + CASE image_type WHEN 'text_poster' THEN 0.18 ELSE 0 END", 0, 0.72)} + 1e-9, 4) AS text_strength,
+        ROUND({_clip("CAST(CASE mode WHEN 'text_safe' THEN 0.20 WHEN 'ai_image_clean' THEN 0.17 WHEN 'sharp_4k' THEN 0.34 ELSE 0.24 END AS DOUBLE) + CASE image_type WHEN 'text_poster' THEN -0.04 WHEN 'architecture' THEN 0.12 ELSE 0 END", 0, 0.72)} + 1e-9, 4) AS edge_strength,
+        ROUND({_clip("CAST(CASE mode WHEN 'text_safe' THEN 0.20 WHEN 'ai_image_clean' THEN 0.20 WHEN 'sharp_4k' THEN 0.34 ELSE 0.24 END AS DOUBLE) + CASE image_type WHEN 'architecture' THEN 0.14 ELSE 0 END", 0, 0.72)} + 1e-9, 4) AS structure_strength,
+        ROUND(CAST(CASE mode WHEN 'text_safe' THEN 0.10 WHEN 'ai_image_clean' THEN 0.08 WHEN 'sharp_4k' THEN 0.18 ELSE 0.12 END AS DOUBLE) + 1e-9, 4) AS post_edge_strength, ROUND(CAST(CASE mode WHEN 'ai_image_clean' THEN 0.92 ELSE 0.88 END AS DOUBLE) + 1e-9, 4) AS highlight_strength FROM m""",
+    "qa_decision": f"""WITH {PROBE}, q AS (SELECT *, CASE WHEN has_alpha AND format = 'webp' THEN method || '_alpha' ELSE method END AS m2, doc_id % 20 + 38 AS psnr, doc_id % 4 <> 0 AS kept FROM pr),
+        w AS (SELECT *, CASE image_type
+          WHEN 'contact_sheet_preview' THEN CASE WHEN m2 IN ('jpg_q90', 'jpg_q92', 'webp_q90', 'webp_q94') THEN 'candidate|preview_only|low' ELSE 'manual_review|preview_only|medium' END
+          WHEN 'transparent_png' THEN CASE WHEN m2 = 'png_optimize' AND kept THEN 'candidate|transparent_png_lossless|low' WHEN m2 IN ('webp_q90_alpha', 'webp_q94_alpha') THEN 'experiment_only|webp_alpha_experiment|medium' ELSE 'reject|do_not_use|high' END
+          WHEN 'text_ppt_logo' THEN CASE WHEN m2 = 'png_optimize' AND psnr >= 48 THEN 'candidate|text_logo_conservative|low' WHEN m2 IN ('jpg_q95', 'webp_q94') THEN 'manual_review|text_logo_manual_only|medium' ELSE 'reject|do_not_use|high' END
+          WHEN 'ordinary_non_alpha' THEN CASE WHEN m2 IN ('webp_q90', 'webp_q94') AND saved_ratio > 0.2 THEN 'experiment_only|ordinary_webp_experiment|medium' WHEN saved_ratio <= 0 THEN 'reject|do_not_use|low' ELSE 'manual_review|manual_qa|medium' END
+          ELSE CASE WHEN m2 = 'jpg_q95' AND saved_ratio > 0.15 THEN 'candidate|final_product_ad_candidate|medium' WHEN m2 IN ('jpg_q92', 'webp_q94') AND saved_ratio > 0.2 THEN 'manual_review|final_experiment_only|medium'
+            WHEN m2 = 'png_optimize' THEN 'manual_review|lossless_png_fallback|low' WHEN m2 IN ('jpg_q90', 'webp_q90') THEN 'reject|do_not_use|high' ELSE 'reject|do_not_use|medium' END END AS v FROM q)
+        SELECT doc_id, method, split_part(v, '|', 1) AS verdict, split_part(v, '|', 2) AS scope, split_part(v, '|', 3) AS risk FROM w""",
+    "screen_size_plan": f"""WITH {F_}, r AS (SELECT *, CASE WHEN width / CAST(height AS DOUBLE) < 0.45 OR width / CAST(height AS DOUBLE) > 2.4 THEN 'aspect_ratio_not_supported' WHEN LEAST(width, height) <= 1080 THEN 'source_not_upscaled' ELSE 'short_edge_1080' END AS screen_rule FROM f)
+        SELECT {K}, CASE screen_rule WHEN 'source_not_upscaled' THEN width WHEN 'short_edge_1080' THEN CAST(round_even(width * (CAST(1080 AS DOUBLE) / LEAST(width, height)), 0) AS INT) END AS screen_width,
+          CASE screen_rule WHEN 'source_not_upscaled' THEN height WHEN 'short_edge_1080' THEN CAST(round_even(height * (CAST(1080 AS DOUBLE) / LEAST(width, height)), 0) AS INT) END AS screen_height, screen_rule FROM r""",
+    "quality_compare": f"""WITH {F_} SELECT {K}, ROUND({_clip("0.35 * (color_fidelity_score - 8) + 0.22 * GREATEST(0.0, 100 - GREATEST(blur_risk * 20, 0.0)) + 0.23 * GREATEST(0.0, LEAST(100.0, 50 + edge_quality_gain * 2)) + 0.20 * GREATEST(0.0, LEAST(100.0, 50 + text_clarity_gain * 2))", 0, 100)} + 1e-9, 2) AS fidelity_score,
+        NOT ((clarity_gain > 2 OR text_clarity_gain * 2 > 3 OR edge_quality_gain * 2 > 3 OR hair_texture_gain > 2) AND blur_risk * 20 <= 8 AND color_fidelity_score - 8 >= 82) AS is_apparent FROM f""",
+    "report_summary": f"""WITH {DELIVERED}, x AS (SELECT *, {_list(("clarity_score * 1.5 >= 70", "clarity"), ("text_clarity_score >= 60", "text"), ("edge_quality_gain + 64 >= 65", "edge"), ("visual_score >= 60", "texture"), ("color_fidelity_score >= 95", "color"), ("visible_benefit >= 2", "benefit"))} AS sig FROM g)
+        SELECT {K}, CASE WHEN len(sig) = 0 THEN 'protected' ELSE array_to_string(sig, ';') END AS signals, CASE WHEN color_fidelity_score + 3 < 95 THEN 'color' WHEN text_clarity_score + 20 < 60 THEN 'text'
+          WHEN (size_growth > 10 AND visible_benefit * 5 < 3) OR size_growth > 30 OR delivery_reason LIKE '%limited_benefit%' OR visual_score + 5 < 60 THEN 'low_benefit' WHEN delivery_reason = 'smooth_region_guard' THEN 'smooth_region'
+          WHEN delivery_status = 'PASS_WITH_LIMITATION' THEN 'protection' ELSE 'routine' END AS review_type FROM x""",
 }

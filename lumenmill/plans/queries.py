@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.functions.scalars import log_score, redact, risk_from_gain, risk_within, sanitize
-from lumenmill.operators import batch, gates, metrics, policies, stencils
+from lumenmill.operators import batch, gates, metrics, policies, reports, stencils
 from lumenmill.sources import fixtures as fx
 from lumenmill.streaming import tasks
 
@@ -293,10 +293,46 @@ def task_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def problem_code(spark: SparkSession, d: str) -> DataFrame:
-    """The first problem of a run that holds, from an order's state."""
-    o = fx.table(spark, d, "orders")
-    code = F.when(F.col("o_orderstatus") == "P", "input_missing").when(F.col("o_totalprice") > 300_000, "output_too_large").when(F.col("o_orderpriority").startswith("1-"), "tool_missing").when(F.col("o_orderstatus") == "O", "not_finished").otherwise("ok")
-    return o.select(F.col("o_orderkey").alias("run_id"), code.alias("problem"))
+    """The first problem of a run that holds; the facts come from orders."""
+    k = F.col("o_orderkey")
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), reports.problem(
+        k % 23 != 0, k % 19, k % 17 != 0, k % 13 != 0, ~F.col("o_orderpriority").startswith("1-"), F.when(k % 7 == 0, "missing_input_images"), F.when(F.col("o_orderstatus") == "P", "BLOCKED").otherwise("DONE"), k % 3,
+    ).alias("problem"))
+    return o
+
+
+def type_scores(spark: SparkSession, d: str) -> DataFrame:
+    kind, confidence = reports.kind_by_scores(F.col("text_density") / 10, F.col("edge_density"), F.col("texture_density") * 4, F.col("skin_ratio"), F.col("low_saturation_ratio"), F.col("dark_ratio") / 4)
+    return fx.features(spark, d).select(*KEY, kind.alias("kind"), confidence.alias("confidence"))
+
+
+def mode_strengths(spark: SparkSession, d: str) -> DataFrame:
+    mode = F.when(F.col("l_linenumber") == 2, "sharp_4k").when(F.col("l_linenumber") == 3, "ai_image_clean").otherwise(F.col("mode"))
+    return fx.features(spark, d).select(*KEY, *[v.alias(f"{k}_strength") for k, v in reports.mode_strengths(mode, F.col("image_type")).items()])
+
+
+def qa_decision(spark: SparkSession, d: str) -> DataFrame:
+    rows = batch.probe(fx.probe_files(spark, d))
+    method = F.when(F.col("has_alpha") & (F.col("format") == "webp"), F.concat("method", F.lit("_alpha"))).otherwise(F.col("method"))
+    verdict = reports.candidate_verdict(F.col("image_type"), method, F.col("saved_ratio"), (F.col("doc_id") % 20 + 38).cast("double"), F.col("doc_id") % 4 != 0)
+    return rows.select("doc_id", "method", verdict.alias("v")).select("doc_id", "method", "v.verdict", "v.scope", "v.risk")
+
+
+def screen_size_plan(spark: SparkSession, d: str) -> DataFrame:
+    return reports.screen_size(fx.features(spark, d)).select(*KEY, "screen_width", "screen_height", "screen_rule")
+
+
+def quality_compare(spark: SparkSession, d: str) -> DataFrame:
+    score, apparent = reports.fidelity(F.col("color_fidelity_score") - 8, F.col("blur_risk") * 20, F.col("clarity_gain"), F.col("text_clarity_gain") * 2, F.col("edge_quality_gain") * 2, F.col("hair_texture_gain"))
+    return fx.features(spark, d).select(*KEY, score.alias("fidelity_score"), apparent.alias("is_apparent"))
+
+
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Signals and the kind of review of each delivered row."""
+    rows = _delivered(spark, d)
+    tags = gates.review_tags(F.col("text_clarity_score") + 20, F.col("visual_score") + 5, F.col("edge_quality_gain") * 5 + 65, F.col("size_growth"), F.col("visible_benefit") * 5, F.col("delivery_reason"), F.col("color_fidelity_score") + 3)
+    signals = reports.positive_signals(F.col("clarity_score") * 1.5, F.col("text_clarity_score"), F.col("edge_quality_gain") + 64, F.col("visual_score"), F.col("color_fidelity_score"), F.col("visible_benefit"))
+    return rows.select(*KEY, F.array_join(signals, ";").alias("signals"), reports.review_type(F.col("delivery_status"), tags).alias("review_type"))
 
 
 ALL = (
@@ -305,5 +341,6 @@ ALL = (
     raster_artifact_masks, raster_unsharp, raster_resize_cubic, raster_png, mask_set_ops, classify_type, target_size_plan, choose_format, material_policy, edge_policy, low_quality_policy, visual_policy,
     strategy_from_rules, visual_gate, compression_gate, delivery_guard, delivery_summary, delivery_status, review_tags, risk_labels, mode_profile, batch_summary, regression_diff, regression_counts,
     first_match_lookup, latest_output_per_input, compression_probe, probe_method_summary, probe_counts, probe_top30, rename_stems, rename_conflicts, rename_plan, redact_text, sanitized_names,
-    task_progress, task_terminal_state, task_timeout, task_sessions, task_windows, problem_code,
+    task_progress, task_terminal_state, task_timeout, task_sessions, task_windows, problem_code, type_scores,
+    mode_strengths, qa_decision, screen_size_plan, quality_compare, report_summary,
 )
