@@ -218,3 +218,36 @@ def unsharp(px: DataFrame, sigma: float = 1.2, amount: float = 0.35) -> DataFram
     """The raster with part of its fine detail added again."""
     rows = st.gaussian(px, sigma, "blur")
     return rows.select("image_id", "y", "x", st.quantized(F.round(F.col("l") * (1 + amount) - F.col("blur") * amount, 9)).alias("l"))
+
+
+def morphology(px: DataFrame) -> DataFrame:
+    """Sums of the 3 x 3 closing, opening, black hat and top hat: maxima of minima and minima of maxima."""
+    at = ["image_id", "y", "x"]
+    grown = st.box(px.select(*at, "l"), 1, F.max, "hi").select(*at, "hi")
+    shrunk = st.box(px.select(*at, "l"), 1, F.min, "lo").select(*at, "lo")
+    closed = st.box(grown, 1, F.min, "closed", "hi").select(*at, "closed")
+    opened = st.box(shrunk, 1, F.max, "opened", "lo").select(*at, "opened")
+    rows = px.join(closed, at).join(opened, at)
+    hat = F.greatest(F.col("closed") - F.col("l"), F.col("l") - F.col("opened"))
+    return rows.groupBy("image_id").agg(F.sum("closed").alias("closed_sum"), F.sum("opened").alias("opened_sum"), F.sum(F.col("closed") - F.col("l")).alias("black_hat_sum"), F.sum(F.col("l") - F.col("opened")).alias("top_hat_sum"), F.max(hat).alias("max_hat"))
+
+
+def stretched(px: DataFrame) -> DataFrame:
+    """Every pixel between its image's smallest and largest value, on 0 to 255; flat images are 0."""
+    low, high = F.min("l").over(pt.image()), F.max("l").over(pt.image())
+    return px.repartition("image_id").select("image_id", "y", "x", F.when(high > low, F.floor((F.col("l") - low) * 255 / (high - low) + 0.5)).otherwise(0).cast("int").alias("l"))
+
+
+def color_cast(px3: DataFrame) -> DataFrame:
+    """The cast of near-neutral pixels: its direction and strength, how much of the image is neutral, and the correction it allows."""
+    _, s, v = hsv(F.col("b"), F.col("g"), F.col("r"))
+    _, a, b = lab(F.col("b"), F.col("g"), F.col("r"))
+    rows = px3.select("image_id", (s / 255.0).alias("s"), (v / 255.0).alias("v"), a.alias("a"), b.alias("bb"))
+    neutral = (F.col("s") < 0.32) & (F.col("v") > 0.22) & (F.col("v") < 0.88)
+    m = rows.groupBy("image_id").agg(
+        F.avg(neutral.cast("double")).alias("share"), F.avg((F.col("s") > 0.62).cast("double")).alias("vivid"), F.coalesce(F.avg(F.when(neutral, F.col("a"))) - 128, F.lit(0.0)).alias("da"), F.coalesce(F.avg(F.when(neutral, F.col("bb"))) - 128, F.lit(0.0)).alias("db"),
+    )
+    size = F.sqrt(F.col("da") * F.col("da") + F.col("db") * F.col("db"))
+    way = F.when(size < 1.4, "none").when(F.abs("da") >= F.abs("db"), F.when(F.col("da") > 0, "magenta").otherwise("green")).otherwise(F.when(F.col("db") > 0, "yellow").otherwise("blue"))
+    why = F.when(F.col("vivid") > 0.9, "brand_or_text_color_protected").when(F.col("share") < 0.035, "low_neutral_confidence").when(size < 1.8, "no_reliable_cast").otherwise("")
+    return m.select("image_id", _r("share").alias("neutral_share"), way.alias("direction"), _r(size).alias("cast_strength"), why.alias("skip_reason"), _r(F.when(why == "", clip(size / 18.0, 0.035, 0.16)).otherwise(0.0)).alias("correction"))

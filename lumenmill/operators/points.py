@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenmill.functions.scalars import clip
@@ -54,8 +54,12 @@ def blend(a: Column, b: Column, amount: float) -> Column:
 
 def match_channel(rows: DataFrame, reference: str, channel: str, out: str, strength: float = 0.96) -> DataFrame:
     """Moves a channel of each image to the mean and deviation of its reference; deviations under 1 count as 1."""
-    every = Window.partitionBy("image_id")
+    every = image()
     mean = lambda c: F.avg(c).over(every)
     spread = lambda c: F.greatest(F.stddev_pop(c).over(every), F.lit(1.0))
     matched = (F.col(channel) - mean(channel)) / spread(channel) * spread(reference) + mean(reference)
     return rows.repartition("image_id").withColumn(out, clip(blend(F.col(channel), matched, strength), 0, 255))
+
+
+def image() -> WindowSpec:
+    return Window.partitionBy("image_id")

@@ -375,4 +375,21 @@ SQL = {
         SELECT {K}, CASE WHEN len(sig) = 0 THEN 'protected' ELSE array_to_string(sig, ';') END AS signals, CASE WHEN color_fidelity_score + 3 < 95 THEN 'color' WHEN text_clarity_score + 20 < 60 THEN 'text'
           WHEN (size_growth > 10 AND visible_benefit * 5 < 3) OR size_growth > 30 OR delivery_reason LIKE '%limited_benefit%' OR visual_score + 5 < 60 THEN 'low_benefit' WHEN delivery_reason = 'smooth_region_guard' THEN 'smooth_region'
           WHEN delivery_status = 'PASS_WITH_LIMITATION' THEN 'protection' ELSE 'routine' END AS review_type FROM x""",
+    "raster_morphology": f"""WITH {PX}{_box(1)}, b2 AS (SELECT c.image_id, c.y, c.x, any_value(c.l) AS l, min(n.hi) AS closed, max(n.lo) AS opened FROM bx c, range(-1, 2) a(j), range(-1, 2) b(k)
+          JOIN bx n ON n.image_id = c.image_id AND n.y = {_at('c.y + j')} AND n.x = {_at('c.x + k')} GROUP BY c.image_id, c.y, c.x)
+        SELECT image_id, CAST(sum(closed) AS BIGINT) AS closed_sum, CAST(sum(opened) AS BIGINT) AS opened_sum, CAST(sum(closed - l) AS BIGINT) AS black_hat_sum, CAST(sum(l - opened) AS BIGINT) AS top_hat_sum, max(GREATEST(closed - l, l - opened)) AS max_hat FROM b2 GROUP BY image_id""",
+    "raster_stretch": f"WITH {PX}, m AS (SELECT image_id, min(l) AS lo, max(l) AS hi FROM px GROUP BY image_id) SELECT image_id, y, x, CAST(CASE WHEN hi > lo THEN FLOOR((l - lo) * 255 / CAST(hi - lo AS DOUBLE) + 0.5) ELSE 0 END AS INT) AS l FROM px JOIN m USING (image_id)",
+    "raster_color_cast": f"""WITH {PX3}, c AS (SELECT image_id, {_hsv('b', 'g', 'r')}, {_lab('b', 'g', 'r', '0')} FROM px3), n AS (SELECT *, s / 255 < 0.32 AND v / 255 > 0.22 AND v / 255 < 0.88 AS ok FROM c),
+        m AS (SELECT image_id, avg(CAST(ok AS INT)) AS share, avg(CAST(s / 255 > 0.62 AS INT)) AS vivid, coalesce(avg(a0) FILTER (ok) - 128, 0) AS da, coalesce(avg(bb0) FILTER (ok) - 128, 0) AS db FROM n GROUP BY image_id),
+        z AS (SELECT *, sqrt(da * da + db * db) AS size FROM m), y AS (SELECT *, CASE WHEN vivid > 0.9 THEN 'brand_or_text_color_protected' WHEN share < 0.035 THEN 'low_neutral_confidence' WHEN size < 1.8 THEN 'no_reliable_cast' ELSE '' END AS why FROM z)
+        SELECT image_id, ROUND(share, 4) AS neutral_share, CASE WHEN size < 1.4 THEN 'none' WHEN abs(da) >= abs(db) THEN CASE WHEN da > 0 THEN 'magenta' ELSE 'green' END WHEN db > 0 THEN 'yellow' ELSE 'blue' END AS direction,
+          ROUND(size, 4) AS cast_strength, why AS skip_reason, ROUND(CASE WHEN why = '' THEN {_clip('size / 18', 0.035, 0.16)} ELSE 0.0 END, 4) AS correction FROM y""",
+    "free_names": f"WITH {PROBE} SELECT doc_id, file_name AS name FROM pf WHERE lower(file_name) NOT IN (SELECT lower(file_name) FROM pf WHERE doc_id % 3 = 0)",
+    "probe_risk_sets": f"WITH {PROBE} SELECT method, string_agg(DISTINCT image_type, ',' ORDER BY image_type) AS types, coalesce(string_agg(DISTINCT image_type, ',' ORDER BY image_type) FILTER (risk_level = 'high'), '') AS high_risk_types FROM pr GROUP BY method",
+    "probe_method_order": f"WITH {PROBE} SELECT method, max(doc_id) AS last_doc, CAST(CASE method WHEN 'jpg_q95' THEN 1 WHEN 'webp_q94' THEN 2 WHEN 'png_optimize' THEN 3 ELSE 4 END AS BIGINT) AS place FROM pr GROUP BY method",
+    "stage_order": f"""WITH {STAGES}, s AS (SELECT DISTINCT task_id, stage FROM st), w(stage) AS (VALUES ('click'), ('export'), ('view')), t AS (SELECT DISTINCT task_id FROM st)
+        SELECT task_id, coalesce((SELECT string_agg(stage, ',' ORDER BY stage) FROM s WHERE s.task_id = t.task_id AND stage NOT IN ('click', 'export', 'view')), '') AS unsupported,
+          coalesce((SELECT string_agg(w.stage, ',' ORDER BY w.stage) FROM w WHERE w.stage NOT IN (SELECT stage FROM s WHERE s.task_id = t.task_id)), '') AS missing FROM t""",
+    "client_progress": f"""WITH {STAGES}, o AS (SELECT *, row_number() OVER ({W}) AS index, count(*) OVER (PARTITION BY task_id) AS total, bool_or(task_status IN ('completed', 'failed')) OVER ({W} ROWS UNBOUNDED PRECEDING) AS done FROM st),
+        p AS (SELECT task_id, event_id, GREATEST(35, CASE WHEN done THEN 100 ELSE LEAST(99, CAST(round_even(index / CAST(total AS DOUBLE) * 100, 0) AS INT)) END) AS shown FROM o) SELECT task_id, event_id, shown, CAST(LEAST(4, FLOOR(shown / CAST(100 AS DOUBLE) * 5)) AS INT) AS stage_index FROM p""",
 }

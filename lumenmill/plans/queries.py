@@ -335,6 +335,46 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*KEY, F.array_join(signals, ";").alias("signals"), reports.review_type(F.col("delivery_status"), tags).alias("review_type"))
 
 
+def raster_morphology(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.morphology(fx.px(spark, d))
+
+
+def raster_stretch(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.stretched(fx.px(spark, d))
+
+
+def raster_color_cast(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.color_cast(fx.px3(spark, d))
+
+
+def free_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of part-like files that no finished run has: document files against those of every third document, in capitals."""
+    files = fx.probe_files(spark, d).select("doc_id", F.col("file_name").alias("name"))
+    return batch.free_names(files, files.where("doc_id % 3 = 0").select(F.upper("name").alias("name")))
+
+
+def probe_risk_sets(spark: SparkSession, d: str) -> DataFrame:
+    return batch.risk_sets(batch.probe(fx.probe_files(spark, d)))
+
+
+def probe_method_order(spark: SparkSession, d: str) -> DataFrame:
+    return batch.in_order(batch.probe(fx.probe_files(spark, d)), ["jpg_q95", "webp_q94", "png_optimize"])
+
+
+def stage_order(spark: SparkSession, d: str) -> DataFrame:
+    """The stages that a task has seen against those that are supported."""
+    seen = fx.stages(spark, d).groupBy("task_id").agg(F.array_sort(F.collect_set("stage")).alias("stages"))
+    more, less = batch.unsupported(F.col("stages"), F.array(*[F.lit(x) for x in ("click", "export", "view")]))
+    return seen.select("task_id", more.alias("unsupported"), less.alias("missing"))
+
+
+def client_progress(spark: SparkSession, d: str) -> DataFrame:
+    """What a client shows: at least 35 percent, and the stage of five that this stands for."""
+    rows = tasks.progress(fx.stages(spark, d))
+    shown = F.greatest(F.lit(35), F.col("progress"))
+    return rows.select("task_id", "event_id", shown.alias("shown"), F.least(F.lit(4), F.floor(shown / 100 * 5)).cast("int").alias("stage_index"))
+
+
 ALL = (
     raster_basic_metrics, raster_box_contrast, raster_sobel_edge_score, raster_dilate_erode, raster_block_probe, raster_color_state, raster_color_drift, raster_pixel_difference, raster_resize_nearest,
     raster_resize_area, raster_best_window, raster_quality_summary, raster_texture, raster_mid_frequency, raster_local_contrast, raster_smooth_region, raster_highlight_compress, raster_skin_saturation, raster_channel_match,
@@ -342,5 +382,6 @@ ALL = (
     strategy_from_rules, visual_gate, compression_gate, delivery_guard, delivery_summary, delivery_status, review_tags, risk_labels, mode_profile, batch_summary, regression_diff, regression_counts,
     first_match_lookup, latest_output_per_input, compression_probe, probe_method_summary, probe_counts, probe_top30, rename_stems, rename_conflicts, rename_plan, redact_text, sanitized_names,
     task_progress, task_terminal_state, task_timeout, task_sessions, task_windows, problem_code, type_scores,
-    mode_strengths, qa_decision, screen_size_plan, quality_compare, report_summary,
+    mode_strengths, qa_decision, screen_size_plan, quality_compare, report_summary, raster_morphology, raster_stretch, raster_color_cast, free_names, probe_risk_sets, probe_method_order, stage_order,
+    client_progress,
 )
