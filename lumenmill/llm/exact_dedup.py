@@ -130,6 +130,8 @@ def trie_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only rows that share both their text and the owner's identifier have to be told apart.
     own = F.col("owner").eqNullSafe(F.col("keep_id"))
     out = out.withColumn("own", own).withColumn("alone", F.when(~F.col("own") | (F.col("ties") == 1), F.monotonically_increasing_id()))
+    # Dealt out by row, so that the join before is free to split a text that has a third of all rows.
+    out = out.repartition("sha256", "owner", "alone")
     numbered = F.row_number().over(Window.partitionBy("sha256", "nbytes", "owner", "alone").orderBy("group_size"))
     return out.select(
         F.col("owner").alias(id_col), "keep_id", "group_size", (F.col("own") & (numbered == 1)).alias("kept"), F.col("sha256").alias("text_sha256"), F.col("nbytes").alias("n_bytes")
