@@ -6,6 +6,7 @@ import atexit
 import shutil
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,21 @@ def lower_az(text: Column) -> Column:
 def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of whole documents that fit a small executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def most_frequent(counts: DataFrame, count: str, most: int) -> pd.DataFrame:
+    """Rows of the largest counts, at most so many, the largest first and the rest of the columns breaking ties.
+
+    A histogram over powers of 2**(1/16), of bounded size, gives the smallest count with which all rows are few enough; only
+    those rows come to the driver, whatever the number of partitions.
+    """
+    step = F.floor(F.log2(count) * 16)
+    histogram = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in histogram:
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    rows = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
+    return rows.sort_values([count, *[c for c in rows.columns if c != count]], ascending=[False] + [True] * (len(rows.columns) - 1), ignore_index=True)

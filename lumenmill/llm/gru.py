@@ -38,11 +38,12 @@ def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
-    np.exp(x, out=x)
+    """In place, by tanh, which saturates where exp would overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    x *= 0.5
+    return x
 
 
 def _step(p: dict, h: np.ndarray, ids: np.ndarray) -> tuple:
@@ -56,21 +57,22 @@ def _step(p: dict, h: np.ndarray, ids: np.ndarray) -> tuple:
     return h + z * (c - h), r, z, c, rh
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) and its row sums; x is cut off far above what training can reach, so that nothing overflows."""
+    np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def _output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target, and with grads the gradient of the mean loss by state."""
     cls, mem = targets // MEMBERS, targets % MEMBERS
     rows = np.arange(len(targets))
-    pc = _softmax(states @ p["class"] + p["class_bias"])
-    logp = np.log(np.maximum(pc[rows, cls], 1e-30)).astype(np.float64)
+    pc, total = _powers(states @ p["class"] + p["class_bias"])
+    logp = np.log(np.maximum(pc[rows, cls] / total, 1e-30)).astype(np.float64)
     back = None
     if grads is not None:
+        pc /= total[:, None]
         pc[rows, cls] -= 1
         pc /= len(targets)
         grads["class"] += states.T @ pc
@@ -81,10 +83,11 @@ def _output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
     for c in np.nonzero(np.diff(cuts))[0].tolist():
         at = order[cuts[c] : cuts[c + 1]]
         some, own = states[at], mem[at]
-        pm = _softmax(some @ p["member"][c] + p["member_bias"][c])
+        pm, total = _powers(some @ p["member"][c] + p["member_bias"][c])
         k = np.arange(len(at))
-        logp[at] += np.log(np.maximum(pm[k, own], 1e-30))
+        logp[at] += np.log(np.maximum(pm[k, own] / total, 1e-30))
         if grads is not None:
+            pm /= total[:, None]
             pm[k, own] -= 1
             pm /= len(targets)
             grads["member"][c] += some.T @ pm
@@ -156,23 +159,28 @@ class Trainer:
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         _, back = _output(p, np.concatenate(states), np.concatenate(ids), grads)
         cuts = np.cumsum([0, *[len(x) for x in ids]])
-        carried = np.zeros((0, n), np.float32)
-        d_input, input_ids = [], []
+        carried = np.zeros((0, n), back.dtype)
+        d_all = np.empty((len(back), 3 * n), back.dtype)
+        gates_back, cell_back = np.ascontiguousarray(p["state"][:, : 2 * n].T), np.ascontiguousarray(p["state"][:, 2 * n :].T)
         for t in range(len(ids) - 1, -1, -1):
-            before, fed, r, z, c, rh = kept[t]
+            before, _, r, z, c, rh = kept[t]
             d = back[cuts[t] : cuts[t + 1]]
             d[: len(carried)] += carried
-            dz = d * (c - before) * z * (1 - z)
-            dc = d * z * (1 - c * c)
-            drh = dc @ p["state"][:, 2 * n :].T
-            dr = drh * before * r * (1 - r)
-            gates = np.concatenate([dr, dz], 1)
-            grads["state"][:, : 2 * n] += before.T @ gates
-            grads["state"][:, 2 * n :] += rh.T @ dc
-            carried = d * (1 - z) + drh * r + gates @ p["state"][:, : 2 * n].T
-            d_input.append(np.concatenate([gates, dc], 1))
-            input_ids.append(fed)
-        d_all, fed = np.concatenate(d_input), np.concatenate(input_ids)
+            own = d_all[cuts[t] : cuts[t + 1]]
+            dz = d * z
+            dc = own[:, 2 * n :]
+            np.multiply(dz, 1 - c * c, out=dc)
+            drh = dc @ cell_back
+            carried = d - dz
+            dz *= c - before
+            np.multiply(dz, 1 - z, out=own[:, n : 2 * n])
+            np.multiply(drh * rh, 1 - r, out=own[:, :n])
+            drh *= r
+            carried += drh
+            carried += own[:, : 2 * n] @ gates_back
+        befores, fed = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+        grads["state"][:, : 2 * n] += befores.T @ d_all[:, : 2 * n]
+        grads["state"][:, 2 * n :] += np.concatenate([k[5] for k in kept]).T @ d_all[:, 2 * n :]
         grads["bias"] += d_all.sum(0)
         order = np.argsort(fed, kind="stable")
         first = np.nonzero(np.diff(fed[order], prepend=-1))[0]

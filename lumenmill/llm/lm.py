@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenmill.llm import gru
-from lumenmill.llm.common import text_of, written
+from lumenmill.llm.common import most_frequent, text_of, written
 
 #: Token ids of the model: 0 is the end of a text, then words, then buckets.
 WORDS, BUCKETS = 511, gru.TOKENS - 512
@@ -125,7 +126,7 @@ def _index(words: tuple[bytes, ...]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(words)}
 
 
-def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 16, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score and score, in log10.
 
     Learns from the rows that are not held out; a null id counts as ''. A text's tokens are its words and one end, so null or empty
@@ -140,7 +141,7 @@ def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int =
     ends = training.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = words + ends, kinds + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(LISTED).toPandas()
+    top = most_frequent(counts, "c", LISTED)
     listed = tuple(bytes(w) for w in top["word"])
     log_c = np.log10(top["c"].to_numpy(np.float64) + 0.5)
     own = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w),) for w in listed[:WORDS]], "word binary")), "word", "left_anti")
@@ -175,7 +176,7 @@ def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int =
         for batch in batches:
             for doc, is_held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
                 found = tokens(text)
-                at = np.fromiter((index.get(w, -1) for w in found), np.int64, len(found))
+                at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
                 seldom = at < 0
                 rare = Counter(found[i] for i in np.nonzero(seldom)[0].tolist())
                 ids = np.zeros(len(found) + 1, np.int64)
@@ -186,7 +187,7 @@ def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int =
                 listed_logs[~seldom] = logs[at[~seldom]]
                 tail = ids[:-1] >= 512
                 model_part = listed_logs[tail].sum() - log_mass[ids[:-1][tail]].sum()
-                held.append((doc, is_held, len(ids), int((~seldom).sum()), float(listed_logs.sum()), float(model_part), [{"word": w, "n": n} for w, n in rare.items()], ids))
+                held.append((doc, is_held, len(ids), int((~seldom).sum()), float(listed_logs.sum()), float(model_part), list(rare.items()), ids))
                 size += len(ids)
                 if size > SIDE:
                     yield out()
