@@ -220,6 +220,5 @@ def identified(docs: DataFrame, sample_chars: int = 32_768, id_col: str = "doc_i
             parts = [model.predict(texts[at : at + 1000].tolist()) for at in range(0, len(texts), 1000)]
             yield pd.DataFrame([(lang, score) for part in parts for lang, score, *_ in part], columns=["lang", "score"])
 
-
     # Not deterministic only to the optimizer: a filter on the result must not make it run twice.
     return docs.withColumn("__found", predict.asNondeterministic()(text_of(text_col))).select(*docs.columns, F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"))

@@ -19,56 +19,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import dropped, text_of, written
-from lumenmill.llm.shingles import digest, from_six, shingle_sets, to_six
+from lumenmill.llm.common import dropped, most_frequent, text_of, written
+from lumenmill.llm.shingles import digest, shingle_sets
 
-SETS = "doc_id long, n int, digest binary, grams binary"
+KEYS = "doc_id long, n int, digest binary, gram long, count long"
 #: An n-gram is common if a chunk of CHUNK n-grams has LOCAL documents with it and all chunks together COMMON; at most MOST are put last.
 #: This only shapes the order, and so the cost: any order that all documents share gives the same result.
-CHUNK, LOCAL, COMMON, MOST = 1 << 22, 4, 32, 400_000
+CHUNK, LOCAL, COMMON, MOST = 1 << 22, 2, 8, 400_000
 FRAGMENTS = 8
 #: Bits of the filter that keeps most documents without candidates out of the shuffle; of fixed size, and exact joins follow.
 BITS = 1 << 23
 
 
-def shingle_table(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, a digest of the set, and the set's hashes (48 bits each, ascending)."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                got = shingle_sets(part.column("text").to_pylist(), width)
-                arrays = [part.column("doc_id"), pa.array([len(g) for g in got], pa.int32()), pa.array([digest(g) for g in got], pa.binary()), pa.array([to_six(np.unique(g >> np.uint64(16))) for g in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "grams"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(sets, SETS)
+def _grams(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sets as ascending 48-bit hashes. They are made anew in each pass: text is smaller than they are, and hashing it is cheap."""
+    return [np.unique(x >> np.uint64(16)).astype(np.int64) for x in shingle_sets(texts, width)]
 
 
-def common_grams(sets: DataFrame) -> np.ndarray:
-    """Common n-grams, the least common first."""
+def set_keys(texts: DataFrame, width: int) -> DataFrame:
+    """A row for each text with the size and digest of its set; and rows of gram and count, n-grams that are common within a chunk."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
+        def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+            types = {"doc_id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "gram": pa.int64(), "count": pa.int64()}
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in types.items()], names=list(types))
+
         def counted() -> pa.RecordBatch:
             grams, count = np.unique(np.concatenate(held), return_counts=True)
             keep = count >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(grams[keep]), pa.array(count[keep].astype(np.int64))], names=["gram", "count"])
+            return rows(int(keep.sum()), gram=pa.array(grams[keep]), count=pa.array(count[keep].astype(np.int64)))
 
         for batch in batches:
-            for data in batch.column("grams").to_pylist():
-                held.append(from_six(data))
-                n += len(held[-1])
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
+                got = shingle_sets(part.column("text").to_pylist(), width)
+                yield rows(len(got), doc_id=part.column("doc_id"), n=pa.array([len(g) for g in got], pa.int32()), digest=pa.array([digest(g) for g in got], pa.binary()))
+                held += [(g >> np.uint64(16)).astype(np.int64) for g in got]
+                n += sum(len(g) for g in got)
                 if n >= CHUNK:
                     yield counted()
                     held, n = [], 0
         if held:
             yield counted()
 
-    top = sets.select("grams").mapInArrow(local, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= COMMON)
-    rows = top.orderBy(F.desc("count"), "gram").limit(MOST).select("gram").toPandas()["gram"].to_numpy(np.int64)
-    return rows[::-1]
+    return texts.mapInArrow(keys, KEYS)
+
+
+def common_grams(keys: DataFrame) -> np.ndarray:
+    """Common n-grams, the least common first."""
+    top = keys.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= COMMON)
+    return most_frequent(top, "count", MOST)["gram"].to_numpy(np.int64)[::-1]
+
+
+def _lists(out: list[np.ndarray]) -> pa.ListArray:
+    flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), flat)
 
 
 def _in_order(grams: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,23 +103,20 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (F.least(n - i, m - j) >= _least_overlap(n, m, num, den))
 
 
-def prefixes(sets: DataFrame, reps: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
+def prefixes(texts: DataFrame, width: int, reps: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
     """(gram, doc, n, pos) for the start of every representative in the global order; only n-grams that two of them start with."""
-    known = np.sort(common)
-    rank = np.argsort(common, kind="stable") if len(common) else common
-    shared = sets.sparkSession.sparkContext.broadcast((known, rank))
+    known, rank = np.sort(common), np.argsort(common, kind="stable")
+    shared = texts.sparkSession.sparkContext.broadcast((known, rank))
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data in batch.column("grams").to_pylist():
-                grams = _in_order(from_six(data), *shared.value)[0]
-                out.append(grams[: len(grams) - (num * len(grams) + den - 1) // den + 1])
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), lists], names=["doc", "n", "start"])
-
-    start = sets.where("n > 0").select("doc_id", F.expr("length(grams) div 6").cast("int").alias("n"), "grams").mapInArrow(starts, "doc long, n int, start array<long>")
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
+                got = _grams(part.column("text").to_pylist(), width)
+                out = [_in_order(g, *shared.value)[0][: len(g) - (num * len(g) + den - 1) // den + 1] for g in got]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(g) for g in got], pa.int32()), _lists(out)], names=["doc", "n", "start"])
+
+    start = texts.mapInArrow(starts, "doc long, n int, start array<long>")
     rows = start.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n", F.posexplode("start").alias("pos", "gram"))
     shared_by = F.count("*").over(Window.partitionBy("gram"))
     return rows.withColumn("docs", shared_by).where("docs > 1").select("gram", "doc", "n", "pos")
@@ -120,9 +128,12 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def star_pairs(starts: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Each n-gram's documents with one of them: at first the one that has it earliest, later one by the hash of its id."""
-    first = F.struct((F.col("pos") if turn == 0 else F.xxhash64(F.lit(turn), "doc")).cast("long").alias("key"), "doc", "n", "pos")
+    own = ["doc", "n", "pos", *[c for c in starts.columns if c == "comp"]]
+    first = F.struct((F.col("pos") if turn == 0 else F.xxhash64(F.lit(turn), "doc")).cast("long").alias("key"), *own)
     hub = F.min(first).over(Window.partitionBy("gram"))
-    both = starts.select(F.struct("doc", "n", "pos").alias("l"), hub.alias("r"))
+    both = starts.select(F.struct(*own).alias("l"), hub.alias("r"))
+    if "comp" in own:
+        both = both.where("l.comp <> r.comp")
     return _pairs(both.where(_near("l", "r", num, den)).select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")))
 
 
@@ -147,14 +158,14 @@ def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
 
-def verified(sets: DataFrame, pairs: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
+def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     bits = np.zeros(BITS // 64, np.int64)
     at = f"pmod(xxhash64(doc), {BITS})"
     words = ids.groupBy(F.expr(f"cast({at} div 64 AS int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 AS int)))").alias("word")).toPandas()
     bits[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable") if len(common) else common, bits))
+    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable"), bits))
     # Hashes spread evenly, so equal ranges of them are even fragments; the common n-grams are the last.
     cuts = np.array([(1 << 48) * (i + 1) // (FRAGMENTS - 1) for i in range(FRAGMENTS - 1)], np.int64)
 
@@ -163,21 +174,21 @@ def verified(sets: DataFrame, pairs: DataFrame, common: np.ndarray, num: int, de
         for batch in batches:
             bit = batch.column("bit").to_numpy().astype(np.int64)
             hit = (wanted[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            doc, n, fragment, out = [], [], [], []
-            for i in np.nonzero(hit)[0].tolist():
-                grams, place = _in_order(from_six(batch.column("grams")[i].as_py()), known, rank)
-                at = [0, *np.searchsorted(place, cuts).tolist(), len(grams)]
-                for f in range(FRAGMENTS):
-                    if at[f] < at[f + 1]:
-                        doc.append(batch.column("doc_id")[i].as_py())
-                        n.append(len(grams))
-                        fragment.append(f)
-                        out.append(grams[at[f] : at[f + 1]])
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), lists], names=["doc", "n", "fragment", "segment"])
-
-    cut = sets.where("n > 0").select("doc_id", _bit("doc_id").alias("bit"), "grams").mapInArrow(segments, "doc long, n int, fragment int, segment array<long>")
+            some = batch.filter(pa.array(hit.astype(bool)))
+            for first in range(0, some.num_rows, 400):
+                part = some.slice(first, 400)
+                doc, n, fragment, out = [], [], [], []
+                for d, grams in zip(part.column("doc_id").to_pylist(), _grams(part.column("text").to_pylist(), width), strict=True):
+                    grams, place = _in_order(grams, known, rank)
+                    at = [0, *np.searchsorted(place, cuts).tolist(), len(grams)]
+                    full = [f for f in range(FRAGMENTS) if at[f] < at[f + 1]]
+                    doc += [d] * len(full)
+                    n += [len(grams)] * len(full)
+                    fragment += full
+                    out += [grams[at[f] : at[f + 1]] for f in full]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), _lists(out)], names=["doc", "n", "fragment", "segment"])
+
+    cut = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(segments, "doc long, n int, fragment int, segment array<long>")
     left, right = (cut.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), "fragment", F.col("segment").alias(f"s_{x}")) for x in "ab")
     overlaps = pairs.join(left, "a").join(right, ["b", "fragment"])
     summed = overlaps.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("s_a", "s_b"))).alias("overlap"))
@@ -217,15 +228,19 @@ def ngram_components(docs: DataFrame, width: int = 4, num: int = 85, den: int =
     Rows that repeat an id are one document in links. A row without an id gets the component of its equals, or null, and links through
     them only. stars: rounds in which an n-gram's documents meet only one of them, while that saves comparisons; the last round is complete.
     """
-    sets = written(shingle_table(docs, width, id_col, text_col))
-    reps = written(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    common = common_grams(sets)
-    starts = written(prefixes(sets, reps, common, num, den))
-    seen = edges = labels = None
+    texts = _texts(docs, id_col, text_col)
+    keys = written(set_keys(texts, width))
+    reps = written(keys.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    common = common_grams(keys)
+    starts = written(prefixes(texts, width, reps, common, num, den))
+    seen = edges = labels = rows = None
     left, total = starts, starts.count()
+    stars = max(1, stars)
     for turn in range(stars + 1) if total else ():
         last = turn == stars
         if labels is not None:
+            if rows is not None:
+                dropped(rows)
             rows = written(across(starts, labels))
             counts = rows.groupBy("gram").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("some"))
             cost = counts.agg(F.sum(F.col("all") * F.col("some"))).first()[0] or 0
@@ -233,15 +248,19 @@ def ngram_components(docs: DataFrame, width: int = 4, num: int = 85, den: int =
             left = rows
         pairs = cross_pairs(left, num, den) if labels is not None and last else star_pairs(left, turn, num, den)
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = written(verified(sets, pairs, common, num, den))
+        found = written(verified(texts, width, pairs, common, num, den))
         seen = pairs if seen is None else seen.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
+        if labels is not None:
+            dropped(labels)
         labels = components(edges)
         if last:
             break
-    out = sets.select("doc_id", "n", "digest")
+    out = keys.where("digest is not null").select("doc_id", "n", "digest")
     if labels is not None:
         reps = written(reps.join(labels, reps["rep"] == labels["doc"], "left").select("digest", F.coalesce("label", "rep").alias("rep")))
+        for spent in (starts, seen, edges, labels, *([rows] if rows is not None else [])):
+            dropped(spent)
     reps = reps.withColumnRenamed("digest", "of")
     joined = out.join(reps, (F.col("digest") == F.col("of")) & (F.col("n") > 0), "left")
     return joined.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))

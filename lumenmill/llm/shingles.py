@@ -72,13 +72,3 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
 def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
-
-def to_six(values: np.ndarray) -> bytes:
-    """Numbers below 2**48 as six bytes each."""
-    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.int64)
