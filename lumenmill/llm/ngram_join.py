@@ -158,35 +158,72 @@ def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
 
-def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair."""
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A filter of fixed size that lets every document of the pairs through, and few others."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     bits = np.zeros(BITS // 64, np.int64)
     at = f"pmod(xxhash64(doc), {BITS})"
     words = ids.groupBy(F.expr(f"cast({at} div 64 AS int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 AS int)))").alias("word")).toPandas()
     bits[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable"), bits))
+    return bits
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and sets of the documents that the filter lets through; the others are not even hashed."""
+    for batch in batches:
+        bit = batch.column("bit").to_numpy().astype(np.int64)
+        hit = (wanted[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+        some = batch.filter(pa.array(hit.astype(bool)))
+        for first in range(0, some.num_rows, 400):
+            part = some.slice(first, 400)
+            yield part.column("doc_id").to_pylist(), _grams(part.column("text").to_pylist(), width)
+
+
+def bounded(texts: DataFrame, width: int, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose overlap can be large enough: n-grams are counted in 256 classes, and two sets share at most the smaller count of each.
+
+    Only 256 bytes a document are joined for it. A count that does not fit a byte makes no bound, and the pair stays.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_wanted(pairs))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, sets in _candidates(batches, shared.value, width):
+            counts = [np.minimum(np.bincount(g & 255, minlength=256), 255).astype(np.uint8).tobytes() for g in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(g) for g in sets], pa.int32()), pa.array(counts, pa.binary())], names=["doc", "n", "counts"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("c_a", "c_b"))
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            size = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            keep = ((num + den) * most >= num * size) | (x == 255).any(1) | (y == 255).any(1)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    vectors = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(counted, "doc long, n int, counts binary")
+    left, right = (vectors.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(possible, "a long, b long").distinct()
+
+
+def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair."""
+    pairs = written(bounded(texts, width, pairs, num, den))
+    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable"), _wanted(pairs)))
     # Hashes spread evenly, so equal ranges of them are even fragments; the common n-grams are the last.
     cuts = np.array([(1 << 48) * (i + 1) // (FRAGMENTS - 1) for i in range(FRAGMENTS - 1)], np.int64)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank, wanted = shared.value
-        for batch in batches:
-            bit = batch.column("bit").to_numpy().astype(np.int64)
-            hit = (wanted[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            some = batch.filter(pa.array(hit.astype(bool)))
-            for first in range(0, some.num_rows, 400):
-                part = some.slice(first, 400)
-                doc, n, fragment, out = [], [], [], []
-                for d, grams in zip(part.column("doc_id").to_pylist(), _grams(part.column("text").to_pylist(), width), strict=True):
-                    grams, place = _in_order(grams, known, rank)
-                    at = [0, *np.searchsorted(place, cuts).tolist(), len(grams)]
-                    full = [f for f in range(FRAGMENTS) if at[f] < at[f + 1]]
-                    doc += [d] * len(full)
-                    n += [len(grams)] * len(full)
-                    fragment += full
-                    out += [grams[at[f] : at[f + 1]] for f in full]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), _lists(out)], names=["doc", "n", "fragment", "segment"])
+        for docs, sets in _candidates(batches, wanted, width):
+            doc, n, fragment, out = [], [], [], []
+            for d, grams in zip(docs, sets, strict=True):
+                grams, place = _in_order(grams, known, rank)
+                at = [0, *np.searchsorted(place, cuts).tolist(), len(grams)]
+                full = [f for f in range(FRAGMENTS) if at[f] < at[f + 1]]
+                doc += [d] * len(full)
+                n += [len(grams)] * len(full)
+                fragment += full
+                out += [grams[at[f] : at[f + 1]] for f in full]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), _lists(out)], names=["doc", "n", "fragment", "segment"])
 
     cut = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(segments, "doc long, n int, fragment int, segment array<long>")
     left, right = (cut.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), "fragment", F.col("segment").alias(f"s_{x}")) for x in "ab")
