@@ -103,21 +103,27 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (F.least(n - i, m - j) >= _least_overlap(n, m, num, den))
 
 
-def prefixes(texts: DataFrame, width: int, reps: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """(gram, doc, n, pos) for the start of every representative in the global order; only n-grams that two of them start with."""
+def prefixes(texts: DataFrame, width: int, keys: DataFrame, reps: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
+    """(gram, doc, n, pos) for the start of every representative in the global order; only n-grams that two of them start with.
+
+    A filter of fixed size over the ids that are no representatives shows for most documents that they are; only the starts of the
+    others are joined with the representatives. However full the filter is, the result is the same.
+    """
     known, rank = np.sort(common), np.argsort(common, kind="stable")
-    shared = texts.sparkSession.sparkContext.broadcast((known, rank))
+    own = reps.select(F.col("rep").alias("doc"))
+    copies = keys.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc")).join(own, "doc", "left_anti")
+    shared = texts.sparkSession.sparkContext.broadcast((known, rank, _filter(copies)))
 
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                got = _grams(part.column("text").to_pylist(), width)
-                out = [_in_order(g, *shared.value)[0][: len(g) - (num * len(g) + den - 1) // den + 1] for g in got]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(g) for g in got], pa.int32()), _lists(out)], names=["doc", "n", "start"])
+    def starts(inside: bool) -> DataFrame:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, rank, copies = shared.value
+            for docs, got in _candidates(batches, copies, width, inside):
+                out = [_in_order(g, known, rank)[0][: len(g) - (num * len(g) + den - 1) // den + 1] for g in got]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(g) for g in got], pa.int32()), _lists(out)], names=["doc", "n", "start"])
 
-    start = texts.mapInArrow(starts, "doc long, n int, start array<long>")
-    rows = start.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n", F.posexplode("start").alias("pos", "gram"))
+        return texts.where("doc_id is not null").select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(some, "doc long, n int, start array<long>")
+
+    rows = starts(False).unionByName(starts(True).join(own, "doc", "left_semi")).select("doc", "n", F.posexplode("start").alias("pos", "gram"))
     shared_by = F.count("*").over(Window.partitionBy("gram"))
     return rows.withColumn("docs", shared_by).where("docs > 1").select("gram", "doc", "n", "pos")
 
@@ -158,9 +164,8 @@ def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A filter of fixed size that lets every document of the pairs through, and few others."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size that lets every doc of ids through, and few others."""
     bits = np.zeros(BITS // 64, np.int64)
     at = f"pmod(xxhash64(doc), {BITS})"
     words = ids.groupBy(F.expr(f"cast({at} div 64 AS int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 AS int)))").alias("word")).toPandas()
@@ -168,12 +173,16 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
     return bits
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Ids and sets of the documents that the filter lets through; the others are not even hashed."""
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    return _filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int, inside: bool = True) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and sets of the documents that the filter lets through, or with inside=False of those it does not; the others are not even hashed."""
     for batch in batches:
         bit = batch.column("bit").to_numpy().astype(np.int64)
         hit = (wanted[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-        some = batch.filter(pa.array(hit.astype(bool)))
+        some = batch.filter(pa.array(hit.astype(bool) == inside))
         for first in range(0, some.num_rows, 400):
             part = some.slice(first, 400)
             yield part.column("doc_id").to_pylist(), _grams(part.column("text").to_pylist(), width)
@@ -269,7 +278,7 @@ def ngram_components(docs: DataFrame, width: int = 4, num: int = 85, den: int =
     keys = written(set_keys(texts, width))
     reps = written(keys.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     common = common_grams(keys)
-    starts = written(prefixes(texts, width, reps, common, num, den))
+    starts = written(prefixes(texts, width, keys, reps, common, num, den))
     seen = edges = labels = rows = None
     left, total = starts, starts.count()
     stars = max(1, stars)
