@@ -11,6 +11,8 @@ import numpy as np
 CLASSES, MEMBERS = 32, 32
 TOKENS = CLASSES * MEMBERS
 WINDOW = 24
+#: Tokens of a window from which steps have their full rate; below, when few long texts are left, the rate falls with the noise of the mean.
+FULL = 32 * WINDOW
 
 
 def fresh(hidden: int, counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
@@ -143,7 +145,7 @@ class Trainer:
     """Adam over windows of streams."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float = 4e-3) -> None:
-        self.p, self.rate, self.steps = p, rate, 0
+        self.p, self.rate, self.steps, self.tokens = p, rate, 0, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -185,6 +187,7 @@ class Trainer:
         order = np.argsort(fed, kind="stable")
         first = np.nonzero(np.diff(fed[order], prepend=-1))[0]
         grads["input"][fed[order][first]] += np.add.reduceat(d_all[order], first, axis=0)
+        self.tokens = len(fed)
         self._update(grads)
         return h
 
@@ -192,20 +195,28 @@ class Trainer:
         self.steps += 1
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
-        fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        fix = min(1.0, self.tokens / FULL) ** 0.5 * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, g in grads.items():
             g *= clip
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.01 * (g * g - self.v[k])
             self.p[k] -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
 
-    def train(self, texts: list[np.ndarray]) -> None:
+    def train(self, texts: list[np.ndarray], before: list[tuple[np.ndarray, int] | None] | None = None) -> dict[int, tuple[np.ndarray, int]]:
+        """Trains on texts side by side. before: for each text the (state, last token) it goes on from, None at a text's start.
+
+        Gives the same for the longest texts, by position; pieces of one size that have more to come are always among them.
+        """
         streams = Streams(texts)
         h = np.zeros((len(texts), self.p["state"].shape[0]), np.float32)
         last = np.full(len(texts), TOKENS, np.int64)
+        for row, i in enumerate(streams.order if before else ()):
+            if before[i] is not None:
+                h[row], last[row] = before[i]
         t, longest = 0, int(streams.length.max(initial=0))
         while t < longest:
             ids = [streams.at(s)[1] for s in range(t, min(t + WINDOW, longest))]
             h = self._window(h, last, ids)
             last = ids[-1]
             t += len(ids)
+        return {streams.order[row]: (h[row].copy(), int(last[row])) for row in range(len(last))}

@@ -29,7 +29,7 @@ from lumenmill.llm.common import most_frequent, text_of, written
 WORDS, BUCKETS = 511, gru.TOKENS - 512
 #: Most frequent words that workers hold.
 LISTED = 200_000
-#: Streams that train side by side, tokens of a stream, and tokens that are scored side by side.
+#: Streams that train side by side, tokens of a stream (a longer text goes on in the next from its last state and token), and tokens that are scored side by side.
 STREAMS, STREAM, SIDE = 256, 768, 2_000_000
 PART = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, n: int>>"
 
@@ -88,16 +88,23 @@ def train_model(docs: DataFrame, words: list[bytes], params: dict[str, np.ndarra
             vocabulary = Vocabulary(listed)
             trainer = gru.Trainer({k: v.copy() for k, v in start.items()})
             waiting, n = [], 0
+
+            def advance() -> None:
+                """A stream of each of the first documents; what is left of them comes first next time, and goes on from their state."""
+                nonlocal waiting
+                now, later = waiting[:STREAMS], waiting[STREAMS:]
+                reached = trainer.train([ids[:STREAM] for ids, _ in now], [state for _, state in now])
+                waiting = [(ids[STREAM:], reached[i]) for i, (ids, _) in enumerate(now) if len(ids) > STREAM] + later
+
             for batch in batches:
                 for text in batch.column("text").to_pylist():
                     ids = np.array([*map(vocabulary.__getitem__, tokens(text)), 0], np.int64)
                     n += len(ids)
-                    waiting += [ids[at : at + STREAM] for at in range(0, len(ids), STREAM)]
+                    waiting.append((ids, None))
                 while len(waiting) >= STREAMS:
-                    trainer.train(waiting[:STREAMS])
-                    waiting = waiting[STREAMS:]
-            if waiting:
-                trainer.train(waiting)
+                    advance()
+            while waiting:
+                advance()
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([gru.packed(trainer.p).tobytes()], pa.binary())], names=["weight", "params"])
 
@@ -126,7 +133,7 @@ def _index(words: tuple[bytes, ...]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(words)}
 
 
-def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 16, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score and score, in log10.
 
     Learns from the rows that are not held out; a null id counts as ''. A text's tokens are its words and one end, so null or empty

@@ -1,5 +1,6 @@
 """Operators 1, 3, 4, 5, 6 and 7 against brute force or held-out labels."""
 
+import inspect
 import itertools
 import math
 import random
@@ -195,6 +196,32 @@ def test_gradients_and_scores():
             assert abs((both[0] - both[1]) / 2e-4 - seen[k][at]) < 2e-4, (k, at)
 
 
+def test_streams_go_on_from_their_last_state(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    long, short = rng.integers(0, gru.TOKENS, 3 * gru.WINDOW + 5), rng.integers(0, gru.TOKENS, 7)
+    whole, pieces = (gru.Trainer(gru.fresh(5, np.ones(gru.TOKENS))) for _ in range(2))
+    whole.train([long])
+    state = None
+    for at in range(0, len(long), gru.WINDOW):
+        state = pieces.train([long[at : at + gru.WINDOW]], [state])[0]
+    assert all(np.array_equal(whole.p[k], pieces.p[k]) for k in whole.p) and state[1] == long[-1]
+    reached = pieces.train([short, long[: gru.WINDOW]], [None, state])
+    assert list(reached) == [1] and reached[1][1] == long[gru.WINDOW - 1]
+    # The operator: cut into streams or not, a text trains the same.
+    table = spark.createDataFrame([(" ".join(f"w{i % 50}" for i in long.tolist()), 0)], "text string, turn int")
+    words = [f"w{i}".encode() for i in range(50)]
+    start = gru.fresh(5, np.ones(gru.TOKENS))
+    trained = []
+    for size in (gru.WINDOW, 1000 * gru.WINDOW):
+        monkeypatch.setattr(lm, "STREAM", size)
+        trained.append(lm.train_model(table, words, start, 1))
+    assert all(np.array_equal(trained[0][k], trained[1][k]) for k in start)
+
+
+def test_default_size_of_the_model():
+    assert inspect.signature(lm.lm_scores).parameters["hidden"].default == 24
+
+
 def check_lm(df, listed=None):
     held = langid.remainder("doc_id") == 1
     got = rows(lm.lm_scores(df, held, hidden=8, rounds=2))
