@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,7 +215,7 @@ def bounded(texts: DataFrame, width: int, pairs: DataFrame, num: int, den: int)
 
 
 def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair."""
+    """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair of rows, as an id can have several."""
     pairs = written(bounded(texts, width, pairs, num, den))
     shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable"), _wanted(pairs)))
     # Hashes spread evenly, so equal ranges of them are even fragments; the common n-grams are the last.
@@ -222,22 +223,25 @@ def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray,
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank, wanted = shared.value
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for docs, sets in _candidates(batches, wanted, width):
-            doc, n, fragment, out = [], [], [], []
+            doc, of, n, fragment, out = [], [], [], [], []
             for d, grams in zip(docs, sets, strict=True):
                 grams, place = _in_order(grams, known, rank)
                 at = [0, *np.searchsorted(place, cuts).tolist(), len(grams)]
                 full = [f for f in range(FRAGMENTS) if at[f] < at[f + 1]]
                 doc += [d] * len(full)
+                of += [row] * len(full)
+                row += 1
                 n += [len(grams)] * len(full)
                 fragment += full
                 out += [grams[at[f] : at[f + 1]] for f in full]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), _lists(out)], names=["doc", "n", "fragment", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), _lists(out)], names=["doc", "row", "n", "fragment", "segment"])
 
-    cut = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(segments, "doc long, n int, fragment int, segment array<long>")
-    left, right = (cut.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), "fragment", F.col("segment").alias(f"s_{x}")) for x in "ab")
+    cut = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(segments, "doc long, row long, n int, fragment int, segment array<long>")
+    left, right = (cut.select(F.col("doc").alias(x), F.col("row").alias(f"row_{x}"), F.col("n").alias(f"n_{x}"), "fragment", F.col("segment").alias(f"s_{x}")) for x in "ab")
     overlaps = pairs.join(left, "a").join(right, ["b", "fragment"])
-    summed = overlaps.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("s_a", "s_b"))).alias("overlap"))
+    summed = overlaps.groupBy("a", "b", "row_a", "row_b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("s_a", "s_b"))).alias("overlap"))
     # |A and B| * den >= num * |A or B|
     return summed.where((num + den) * F.col("overlap") >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 

@@ -155,6 +155,14 @@ def test_join_with_a_group_of_near_copies(spark, monkeypatch):
         check_join(df, 3, num, 100)
 
 
+def test_join_of_repeated_rows_under_the_threshold(spark):
+    text = lambda *spans: " ".join(f"w{i}" for a, b in spans for i in range(a, b))
+    left, right, near = text((0, 5000)), text((0, 4000), (9000, 10000)), text((0, 4800), (7000, 7200))
+    df = spark.createDataFrame([(1, left), (1, left), (2, right), (3, near), (2, right)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(ngram_join.ngram_components(df, width=4, num=85, den=100))}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_join_of_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in rows(ngram_join.ngram_components(odd, 4, 85, 100))}
     assert got[5]["component_id"] == 4 and got[None]["component_id"] == 6 and got[2] == {"doc_id": 2, "n_shingles": 0, "component_id": 2}
