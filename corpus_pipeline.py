@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import dropped, modest_batches, read, written
+from lumenmill.llm.common import dropped, modest_batches, read, with_rows, written
 from lumenmill.llm.exact_dedup import distinct_documents
 from lumenmill.llm.langid import identified
 from lumenmill.llm.mixing import mix_documents, word_count
@@ -32,10 +32,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links of similarity 0.8 or more connect."""
-    groups = ngram_components(docs, width=5, num=80, den=100)
-    kept = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One document, that of the smallest id, of each group that links of similarity 0.8 or more connect. Each row is a document, whatever its id."""
+    rows = with_rows(docs)
+    groups = ngram_components(rows, width=5, num=80, den=100, id_col="__row").select("__row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """df, written, with a unique number of each row as __row: decisions by it hold for that row alone, whatever its id."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table from written(), once nothing reads it any more."""
     spark = df.sparkSession

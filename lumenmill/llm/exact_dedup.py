@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import text_of
+from lumenmill.llm.common import text_of, with_rows
 
 OWNER = "nbytes int, sha256 string, body binary, owner long, n long, ties long"
 _ARROW = pa.schema([("nbytes", pa.int32()), ("sha256", pa.string()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
@@ -108,25 +108,26 @@ def _grown(batches: Iterator[pa.RecordBatch], largest: bool, limit: int, in_orde
         yield _rows(tries, not in_order)
 
 
-def trie_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", limit: int = 48 << 20) -> DataFrame:
+def trie_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", limit: int = 48 << 20, row_col: str | None = None) -> DataFrame:
     """One row for each row of docs: the id, keep_id, group_size, kept, text_sha256 and n_bytes.
 
     Null text counts as empty. Texts are equal when their UTF-8 bytes are. keep names which identifier owns a text;
     a null identifier owns only if there is no other. Of rows that repeat the owner's identifier exactly one is kept.
-    limit: bytes of text that a task's tries hold at once. Other columns are not read; an empty table gives an empty result.
+    row_col: a column that is handed through as __row. limit: bytes of text that a task's tries hold at once. Other columns are not read; an empty table gives an empty result.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("owner"), text_of(text_col).cast("binary").alias("body")).select(
-        F.octet_length("body").alias("nbytes"), F.sha2("body", 256).alias("sha256"), "body", "owner", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("ties")
+    through = ["__row"] if row_col else []
+    keyed = docs.select(*[F.col(row_col).alias(c) for c in through], F.col(id_col).cast("long").alias("owner"), text_of(text_col).cast("binary").alias("body")).select(
+        *through, F.octet_length("body").alias("nbytes"), F.sha2("body", 256).alias("sha256"), "body", "owner", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("ties")
     )
     largest = keep == "largest"
-    local = keyed.mapInArrow(lambda batches: _grown(batches, largest, limit, False), OWNER)
+    local = keyed.drop("__row").mapInArrow(lambda batches: _grown(batches, largest, limit, False), OWNER)
     owners = (
         local.repartition("nbytes", "sha256")
         .sortWithinPartitions("nbytes", "sha256")
         .mapInArrow(lambda batches: _grown(batches, largest, limit, True), OWNER)
         .select("nbytes", "sha256", F.col("owner").alias("keep_id"), F.col("n").alias("group_size"), "ties")
     )
-    out = keyed.select("owner", "nbytes", "sha256").join(owners, ["nbytes", "sha256"])
+    out = keyed.select(*through, "owner", "nbytes", "sha256").join(owners, ["nbytes", "sha256"])
     # Only rows that share both their text and the owner's identifier have to be told apart.
     own = F.col("owner").eqNullSafe(F.col("keep_id"))
     out = out.withColumn("own", own).withColumn("alone", F.when(~F.col("own") | (F.col("ties") == 1), F.monotonically_increasing_id()))
@@ -134,11 +135,12 @@ def trie_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.repartition("sha256", "owner", "alone")
     numbered = F.row_number().over(Window.partitionBy("sha256", "nbytes", "owner", "alone").orderBy("group_size"))
     return out.select(
-        F.col("owner").alias(id_col), "keep_id", "group_size", (F.col("own") & (numbered == 1)).alias("kept"), F.col("sha256").alias("text_sha256"), F.col("nbytes").alias("n_bytes")
+        F.col("owner").alias(id_col), "keep_id", "group_size", (F.col("own") & (numbered == 1)).alias("kept"), F.col("sha256").alias("text_sha256"), F.col("nbytes").alias("n_bytes"), *through
     )
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs, all columns, that own their text. Rows are taken by id, so ids must be unique for one to stay of each text."""
-    kept = trie_owners(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of docs, all columns, that own their text: one row of each text, whether ids repeat or are null."""
+    rows = with_rows(docs)
+    kept = trie_owners(rows, id_col, text_col, keep, row_col="__row").where("kept").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

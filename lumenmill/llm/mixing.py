@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import WORD, if_small, text_of, written
+from lumenmill.llm.common import WORD, if_small, text_of, with_rows, written
 
 
 def word_count(text_col: str) -> Column:
@@ -42,25 +42,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return full.select("source", "source_size", F.least(F.col("bound"), F.coalesce(level["level"] * F.col("weight"), F.col("bound"))).alias("target"))
 
 
-def mixing_plan(docs: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mixing_plan(docs: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row for each row of docs: the id, size, source_size, target, rate and copies.
 
     rate is target / source_size; copies is floor(rate), plus one where the hash of (seed, id) lies under the fraction.
     The same id always draws the same, so reruns agree and repeated rows are taken alike; a null id draws as the text ''.
+    With row_col, that column is handed through as __row, and rows without an id draw by it, each its own.
     A source of size 0 has rate 0; null is a source like any other. An empty table gives an empty plan.
     The sources' table is broadcast only if it has been counted and is small; a hot source is then no key of any shuffle.
     """
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
+    through = ["__row"] if row_col else []
+    sized = written(docs.select(*[F.col(row_col).alias(c) for c in through], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
     targets = written(source_targets(sized, weights, share, cap)).withColumnRenamed("source", "of")
     rated = sized.join(if_small(targets), F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), *[F.concat(F.lit("row "), F.col(c)) for c in through], F.lit(""))), 11) / F.lit(float(1 << 53))
     whole = F.floor("rate")
-    return rated.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "rate", (whole + (draw < F.col("rate") - whole).cast("long")).alias("copies"))
+    return rated.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "rate", (whole + (draw < F.col("rate") - whole).cast("long")).alias("copies"), *through)
 
 
 def mix_documents(docs: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mixture itself: the rows of docs, all columns, each as often as the plan says. Ids repeated in docs are taken once each."""
-    plan = mixing_plan(docs, size, weights, share, cap, seed, id_col, source_col)
-    plan = plan.where("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"])
-    mixed = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[mixed[c] for c in docs.columns])
+    """The mixture itself: the rows of docs, all columns, each as often as the plan says for that row."""
+    rows = with_rows(docs)
+    plan = mixing_plan(rows, size, weights, share, cap, seed, id_col, source_col, row_col="__row")
+    mixed = rows.join(plan.where("copies > 0").select("__row", F.col("copies").alias("__copies")), "__row")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

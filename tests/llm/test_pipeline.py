@@ -49,6 +49,24 @@ def test_stages(spark):
     check_packing(docs)
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    made = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = made("n") + " end"
+    data = [(1, made("a")), (1, made("a")), (2, made("b")), (3, made("c")), (3, made("b")), (None, made("a")), (None, made("d")), (None, made("d")), (None, made("n")), (3, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact(spark, docs, SF)
+    want = [(1, made("a")), (2, made("b")), (3, made("c")), (3, near), (None, made("d")), (None, made("n"))]
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == Counter(want)
+    left = corpus_pipeline.near(spark, exact, SF)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want[:-1])
+
+
+def test_rows_without_an_id_draw_apart(spark):
+    docs = spark.createDataFrame([(None, f"w{i}", "en", "ab"[i % 2], 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(r.source for r in corpus_pipeline.mixed(spark, docs, SF).collect())
+    assert got["a"] == 400 and 150 < got["b"] < 250
+
+
 def test_run_on_odd_rows(spark, odd, none):
     for df in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
