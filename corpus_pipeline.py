@@ -20,8 +20,13 @@ from lumenmill.llm.packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was recognised; a null lang becomes the language found. Text without any letter goes."""
+    """Documents in which a language was recognised; a null lang becomes the language found. Text without any letter goes.
+
+    If no text has a language there is nothing to learn from: then only null text and text without a letter go, and lang stays null.
+    """
     modest_batches(spark)
+    if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = identified(docs).where(F.col("__lang") != "und")
     return found.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 

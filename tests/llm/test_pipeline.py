@@ -67,6 +67,11 @@ def test_rows_without_an_id_draw_apart(spark):
     assert got["a"] == 400 and 150 < got["b"] < 250
 
 
+def test_without_any_language_only_text_without_letters_goes(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "12 !", None, "a", 4), (3, None, None, "a", 0), (4, "été", None, None, 3), (5, "", None, "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.language(spark, docs, SF).collect()) == [(1, None), (4, None)]
+
+
 def test_run_on_odd_rows(spark, odd, none):
     for df in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
