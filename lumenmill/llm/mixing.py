@@ -32,13 +32,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     ranked = totals.withColumn("turn", turn).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("turn") + 1))
     ranked = ranked.withColumn("bound", cap * F.col("source_size"))
     every = Window.partitionBy()
-    upto = Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    rising = Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
+    upto = rising.rowsBetween(Window.unboundedPreceding, -1)
     full = ranked.select(
         "*",
+        F.row_number().over(rising).alias("place"),
         (share * F.sum("source_size").over(every) - F.coalesce(F.sum("bound").over(upto), F.lit(0.0))).alias("left"),
         (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))).alias("weight_left"),
     ).withColumn("level", F.col("left") / F.col("weight_left"))
-    level = F.min(F.when(F.col("level") <= F.col("bound") / F.col("weight"), F.struct((F.col("bound") / F.col("weight")).alias("at"), F.col("level").alias("level")))).over(every)
+    level = F.min(F.when(F.col("level") <= F.col("bound") / F.col("weight"), F.struct("place", "level"))).over(every)
     return full.select("source", "source_size", F.least(F.col("bound"), F.coalesce(level["level"] * F.col("weight"), F.col("bound"))).alias("target"))
 
 

@@ -110,6 +110,14 @@ def test_water_level_on_many_sources(spark):
         assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
+def test_water_level_of_sources_with_equal_bounds(spark):
+    for sizes, weights in (({"a": 300, "b": 100}, (3, 1)), ({"a": 100, "b": 100}, (1, 1)), ({"a": 30, "b": 10, "c": 20, "d": 500}, (3, 1, 2)), ({"a": 300, "b": 100, "c": 200}, (3, 1, 2))):
+        df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(df, weights, 1.5, 2.0).collect()}
+        want = by_rounds(sizes, weights)
+        assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want), (sizes, got, want)
+
+
 def by_the_letter(text):
     """The base spans, straight from their description."""
     found = []
