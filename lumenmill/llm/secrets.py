@@ -51,10 +51,10 @@ def _encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest, a UUID, or an identifier: no digit or only one case of letters, or made of words and numbers throughout."""
+    """A digest, a UUID, or an identifier: no letter, or made of words and numbers throughout."""
     if _UUID.fullmatch(run) or len(run) in _DIGESTS and _HEX_ONLY.fullmatch(run):
         return True
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if not re.search("[A-Za-z]", run):
         return True
     parts = [p for p in re.split("[+/_=-]", run) if p]
     return all(_PART.fullmatch(p) or re.fullmatch(r"([A-Z]?[a-z]{2,})+[0-9]*", p) for p in parts)

@@ -150,6 +150,15 @@ def test_random_strings_and_what_is_known():
     assert not found("d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000 internationalization_of_documents2 12345678901234567890")
 
 
+def test_random_strings_of_letters_only():
+    encoding, rng = secrets._encoding(VOCABULARY), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(50)]
+    assert sum(any(k == 3 for _, k, _ in secrets.spans_of(f"see {key} here", encoding, 2.0)) for key in keys) >= 198
+    names = "internationalizationOfDocuments InternationalizationOfDocuments some_long_name_of_words-and-paths ==================== --------------------1"
+    assert not any(k == 3 for _, k, _ in secrets.spans_of(names, encoding, 2.0))
+
+
 def check_packing(docs, longest=2048):
     out = rows(packing.pack_documents(docs, TOKENIZER, longest=longest))
     tokenizer = Tokenizer.from_file(TOKENIZER)
