@@ -1,6 +1,7 @@
 """Properties and brute force for what SQL does not check."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -43,6 +44,15 @@ def test_box_reflects_at_the_border(spark, radius):
     assert {(r.y, r.x): r.s for r in rows.collect()} == {(y, x): sum(image[at(y + j)][at(x + k)] for j in span for k in span) for y in range(side) for x in range(side)}
 
 
+def test_rename_plan_of_one_large_family(spark):
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("ordinal"), F.lit("x").alias("source_name"), F.lit("en_missing").alias("stem"), F.lit(".png").alias("extension"), F.lit(False).alias("lacks"))
+    start = time.monotonic()
+    got = {r.ordinal: r.target_name for r in batch.rename_plan(df).collect()}
+    assert time.monotonic() - start < 45  # number by number from the start, this takes n * n / 2 steps
+    assert got == {i: "en_missing.png" if i == 0 else f"en_missing_{i + 1:02d}.png" for i in range(n)}
+
+
 def test_rename_plan_against_one_by_one(spark):
     rng = random.Random(4)
     names = [(i, rng.choice(["a", "A", "b", "a_02", "a_02_02", "a_03", "c", "dd_7"]), rng.choice([".png", ".jpg"])) for i in range(80)]
