@@ -3,8 +3,10 @@
 Word counts cover all training documents and stay distributed; only the most frequent words, at most so many, go to the workers.
 The recurrent model sees frequent words as themselves and every other word as one of many buckets by its ending; given its bucket,
 such a word has its smoothed share of the bucket's counts. Words too rare for the workers' list get their counts by a join.
+Texts are read twice, once to count words and once to encode tokens as ids, which are kept as a table; training and scoring read ids.
 Training runs over all training documents once, in rounds: each task starts from the last round's parameters and trains on its own
-documents, and the results are averaged, weighted by tokens.
+documents, and the results are averaged, weighted by tokens. So scores depend a little on how the documents are dealt over files;
+for the same files and settings they are the same.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,10 @@ from lumenmill.llm.common import most_frequent, text_of, written
 WORDS, BUCKETS = 511, gru.TOKENS - 512
 #: Most frequent words that workers hold.
 LISTED = 200_000
-#: Streams that train side by side, tokens of a stream (a longer text goes on in the next from its last state and token), and tokens that are scored side by side.
-STREAMS, STREAM, SIDE = 256, 768, 2_000_000
-PART = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, n: int>>"
+#: Tokens of whole texts that wait in a task until they are trained on, or scored, side by side.
+SIDE = 2_000_000
+PART = "rid long, doc_id long, held_out boolean, turn int, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, n: int>>, ids binary"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -63,50 +66,38 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
 
-class Vocabulary(dict):
-    """Token ids of words; those outside the list are put in their bucket when first met."""
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """The rows of whole batches until they have SIDE tokens, and the ids of each row."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += (pc.sum(pc.binary_length(batch.column("ids"))).as_py() or 0) // 2
+        if size >= SIDE:
+            yield _decoded(held)
+            held, size = [], 0
+    if size:
+        yield _decoded(held)
 
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__((w, i + 1) for i, w in enumerate(words[:WORDS]))
-        self.own = dict(self)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self.update(self.own)
-        self[word] = found = self.own.get(word) or bucket(word)
-        return found
+def _decoded(held: list[pa.RecordBatch]) -> tuple[pa.Table, list[np.ndarray]]:
+    table = pa.Table.from_batches(held)
+    return table.drop_columns(["ids"]), [np.frombuffer(x, np.uint16) for x in table.column("ids").to_pylist()]
 
 
-def train_model(docs: DataFrame, words: list[bytes], params: dict[str, np.ndarray], rounds: int) -> dict[str, np.ndarray]:
-    """Parameters after each document of docs (doc_id, text, turn) was trained on once, in its turn."""
+def train_model(encoded: DataFrame, params: dict[str, np.ndarray], rounds: int) -> dict[str, np.ndarray]:
+    """Parameters after each text of encoded (ids, turn) was trained on once, in its turn."""
     for turn in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((words, params))
+        shared = encoded.sparkSession.sparkContext.broadcast(params)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            listed, start = shared.value
-            vocabulary = Vocabulary(listed)
-            trainer = gru.Trainer({k: v.copy() for k, v in start.items()})
-            waiting, n = [], 0
-
-            def advance() -> None:
-                """A stream of each of the first documents; what is left of them comes first next time, and goes on from their state."""
-                nonlocal waiting
-                now, later = waiting[:STREAMS], waiting[STREAMS:]
-                reached = trainer.train([ids[:STREAM] for ids, _ in now], [state for _, state in now])
-                waiting = [(ids[STREAM:], reached[i]) for i, (ids, _) in enumerate(now) if len(ids) > STREAM] + later
-
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    ids = np.array([*map(vocabulary.__getitem__, tokens(text)), 0], np.int64)
-                    n += len(ids)
-                    waiting.append((ids, None))
-                while len(waiting) >= STREAMS:
-                    advance()
-            while waiting:
-                advance()
+            trainer = gru.Trainer(shared.value)
+            n = 0
+            for _, texts in _side_by_side(batches):
+                trainer.train(texts)
+                n += sum(map(len, texts))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([gru.packed(trainer.p).tobytes()], pa.binary())], names=["weight", "params"])
+                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([trainer.flat.tobytes()], pa.binary())], names=["weight", "params"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight, total = 0.0, None
@@ -118,7 +109,7 @@ def train_model(docs: DataFrame, words: list[bytes], params: dict[str, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["weight", "params"])
 
         schema = "weight double, params binary"
-        trained = docs.where(F.col("turn") == turn).select("text").mapInArrow(train, schema)
+        trained = encoded.where(F.col("turn") == turn).select("ids").mapInArrow(train, schema)
         means = trained.repartition(8).mapInArrow(mean, schema).collect()
         if means:
             weight = sum(r.weight for r in means)
@@ -128,9 +119,39 @@ def train_model(docs: DataFrame, words: list[bytes], params: dict[str, np.ndarra
     return params
 
 
-@lru_cache(maxsize=1)
-def _index(words: tuple[bytes, ...]) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(words)}
+def encode(rows: DataFrame, listed: tuple[bytes, ...], log_c: np.ndarray, log_mass: np.ndarray) -> DataFrame:
+    """rows (doc_id, held_out, turn, text) as PART: for each text the ids of its tokens, what of its log10 probabilities is known from the listed words, and its other words."""
+    shared = rows.sparkSession.sparkContext.broadcast((listed, log_c, log_mass))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs, mass = shared.value
+        index = {w: i for i, w in enumerate(known)}
+        kind = np.array([*(i + 1 for i in range(min(WORDS, len(known)))), *(bucket(w) for w in known[WORDS:])], np.uint16)
+        rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                columns: list[list] = [[] for _ in range(6)]
+                for text in part.column("text").to_pylist():
+                    found = tokens(text)
+                    at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+                    seldom = np.nonzero(at < 0)[0].tolist()
+                    ids = np.zeros(len(found) + 1, np.uint16)
+                    ids[:-1] = kind[at] if len(kind) else 0
+                    others = [found[i] for i in seldom]
+                    ids[seldom] = [bucket(w) for w in others]
+                    own = at[at >= 0]
+                    base = float(logs[own].sum())
+                    tail = ids[:-1][ids[:-1] >= 512]
+                    model = float(logs[own[own >= WORDS]].sum() - mass[tail].sum())
+                    for c, x in zip(columns, (len(ids), len(own), base, model, [*Counter(others).items()], ids.tobytes()), strict=True):
+                        c.append(x)
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])), pa.binary()]
+                arrays = [pa.array(range(rid, rid + len(part)), pa.int64()), *[part.column(c) for c in ("doc_id", "held_out", "turn")], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]]
+                rid += len(part)
+                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "held_out", "turn", "n_tokens", "n_known", "base", "model", "rare", "ids"])
+
+    return rows.select("doc_id", "held_out", "turn", "text").mapInArrow(encoded, PART)
 
 
 def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,10 +160,10 @@ def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int =
     Learns from the rows that are not held out; a null id counts as ''. A text's tokens are its words and one end, so null or empty
     text is the end alone. Unseen words have the base probability of a count of 0, and in the model the share of one unseen word of
     their bucket. Repeated rows are counted, trained on and scored as rows. Without training rows the base gives every token
-    probability 1. An empty table gives an empty result. The state runs through whole texts, however long.
+    probability 1. An empty table gives an empty result. The state runs through whole texts, however long. Other columns are not read.
     """
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"), (F.floor(key / 5) % rounds).alias("turn"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"), (F.floor(key / 5) % rounds).cast("int").alias("turn"))
     training = rows.where(~F.col("held_out"))
     counts = written(word_counts(training))
     ends = training.count()
@@ -159,54 +180,22 @@ def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int =
     for r in in_buckets:
         mass[r.id] += r.c + 0.5 * r.kinds
         unigram[r.id] = r.c
-    params = train_model(training, list(listed[:WORDS]), gru.fresh(hidden, unigram), rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((listed, log_c, np.log10(mass), params))
-    end_c = math.log10(ends + 0.5)
+    encoded = written(encode(rows, listed, log_c, np.log10(mass)))
+    params = train_model(encoded.where(~F.col("held_out")), gru.fresh(hidden, unigram), rounds)
+    shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs, log_mass, model = shared.value
-        index = _index(known)
-        kind = np.array([*(i + 1 for i in range(min(WORDS, len(known)))), *(bucket(w) for w in known[WORDS:])], np.int64)
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        rid = first
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal rid
-            natural = gru.score(model, [h[-1] for h in held]) / math.log(10)
-            columns = list(zip(*[(rid + i, *h[:5], h[5] + natural[i], h[6]) for i, h in enumerate(held)], strict=True))
-            rid += len(held)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PART.split(", ")[:8]])
-
-        for batch in batches:
-            for doc, is_held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-                found = tokens(text)
-                at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
-                seldom = at < 0
-                rare = Counter(found[i] for i in np.nonzero(seldom)[0].tolist())
-                ids = np.zeros(len(found) + 1, np.int64)
-                ids[:-1][~seldom] = kind[at[~seldom]]
-                if rare:
-                    ids[:-1][seldom] = [bucket(found[i]) for i in np.nonzero(seldom)[0].tolist()]
-                listed_logs = np.zeros(len(found))
-                listed_logs[~seldom] = logs[at[~seldom]]
-                tail = ids[:-1] >= 512
-                model_part = listed_logs[tail].sum() - log_mass[ids[:-1][tail]].sum()
-                held.append((doc, is_held, len(ids), int((~seldom).sum()), float(listed_logs.sum()), float(model_part), list(rare.items()), ids))
-                size += len(ids)
-                if size > SIDE:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    scored = written(rows.select("doc_id", "held_out", "text").mapInArrow(score, PART))
-    rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts, "word", "left")
+        for table, texts in _side_by_side(batches):
+            natural = gru.score(shared.value, texts) / math.log(10)
+            model = table.column("model").to_numpy() + natural
+            yield from table.set_column(table.schema.get_field_index("model"), "model", pa.array(model)).combine_chunks().to_batches()
+
+    names = [x.split()[0] for x in SCORED.split(", ")]
+    scored = encoded.select(*names, "ids").mapInArrow(score, SCORED)
+    rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts, "word", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
-    joined = scored.drop("rare").join(rare, "rid", "left")
-    logs, size = F.coalesce("logs", F.lit(0.0)), math.log10(total + 0.5 * (kinds + 1))
+    joined = scored.join(rare, "rid", "left")
+    logs, size, end_c = F.coalesce("logs", F.lit(0.0)), math.log10(total + 0.5 * (kinds + 1)), math.log10(ends + 0.5)
     return joined.select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + logs + end_c - F.col("n_tokens") * size).alias("base_score"), (F.col("model") + logs).alias("score"),

@@ -191,7 +191,8 @@ def test_gradients_and_scores():
     assert abs(sum(math.exp(float(gru.score(p, [np.array([i])])[0])) for i in range(gru.TOKENS)) - 1) < 1e-5
     seen = {}
     trainer = gru.Trainer(p)
-    trainer._update = lambda grads: seen.update(grads)
+    p = trainer.p
+    trainer._update = lambda grads: seen.update({k: g.copy() for k, g in grads.items()})
     trainer.train(texts)
     total = sum(len(t) for t in texts)
     for k in p:
@@ -204,26 +205,35 @@ def test_gradients_and_scores():
             assert abs((both[0] - both[1]) / 2e-4 - seen[k][at]) < 2e-4, (k, at)
 
 
-def test_streams_go_on_from_their_last_state(spark, monkeypatch):
+def test_texts_in_one_lane_do_not_see_each_other(monkeypatch):
+    """Gradients and scores of texts that follow one another in a lane are those of texts side by side."""
+    rng = np.random.default_rng(4)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in gru.fresh(5, rng.random(gru.TOKENS)).items()}
+    texts = [rng.integers(0, gru.TOKENS, n) for n in (5, 3, 1, 6, 2)]
+    found = []
+    for lanes in (1, 2, 64):
+        monkeypatch.setattr(gru, "LEAST_LANES", 1)
+        monkeypatch.setattr(gru, "LANES", lanes)
+        monkeypatch.setattr(gru, "_even", lambda texts, most, lanes=lanes: lanes)
+        trainer, grads = gru.Trainer(p), {}
+        trainer._update = lambda g, grads=grads: grads.update({k: v.copy() for k, v in g.items()})
+        trainer.train(texts)
+        found.append((grads, gru.score(p, texts)))
+    for grads, scores in found[1:]:
+        assert np.allclose(scores, found[0][1]) and all(np.allclose(grads[k], found[0][0][k]) for k in p)
+
+
+def test_state_runs_through_windows():
+    """A text of several windows scores as if its tokens were given one by one."""
     rng = np.random.default_rng(8)
-    long, short = rng.integers(0, gru.TOKENS, 3 * gru.WINDOW + 5), rng.integers(0, gru.TOKENS, 7)
-    whole, pieces = (gru.Trainer(gru.fresh(5, np.ones(gru.TOKENS))) for _ in range(2))
-    whole.train([long])
-    state = None
-    for at in range(0, len(long), gru.WINDOW):
-        state = pieces.train([long[at : at + gru.WINDOW]], [state])[0]
-    assert all(np.array_equal(whole.p[k], pieces.p[k]) for k in whole.p) and state[1] == long[-1]
-    reached = pieces.train([short, long[: gru.WINDOW]], [None, state])
-    assert list(reached) == [1] and reached[1][1] == long[gru.WINDOW - 1]
-    # The operator: cut into streams or not, a text trains the same.
-    table = spark.createDataFrame([(" ".join(f"w{i % 50}" for i in long.tolist()), 0)], "text string, turn int")
-    words = [f"w{i}".encode() for i in range(50)]
-    start = gru.fresh(5, np.ones(gru.TOKENS))
-    trained = []
-    for size in (gru.WINDOW, 1000 * gru.WINDOW):
-        monkeypatch.setattr(lm, "STREAM", size)
-        trained.append(lm.train_model(table, words, start, 1))
-    assert all(np.array_equal(trained[0][k], trained[1][k]) for k in start)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in gru.fresh(5, np.ones(gru.TOKENS)).items()}
+    text = rng.integers(0, gru.TOKENS, 3 * gru.WINDOW + 5)
+    h, last, want = np.zeros((1, 5)), gru.TOKENS, 0.0
+    for token in text:
+        h = gru._forward(p, h, np.array([last]), np.array([False]), np.array([0, 1]))[0]
+        want += float(gru._output(p, h, np.array([token]), None)[0][0])
+        last = token
+    assert abs(gru.score(p, [text])[0] - want) < 1e-9 and gru.score(p, [text[:40], text])[1] == pytest.approx(want)
 
 
 def test_default_size_of_the_model():
@@ -251,7 +261,9 @@ def test_lm_scores(docs, odd, none, monkeypatch):
     monkeypatch.setattr(lm, "LISTED", 1500)
     got = [r for r in check_lm(docs) if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-    check_lm(odd.where("doc_id <> 8"))
+    check_lm(odd)
+    monkeypatch.setattr(lm, "SIDE", 1)
+    check_lm(odd)
     assert rows(lm.lm_scores(none, langid.remainder("doc_id") == 1)) == []
     only_held = rows(lm.lm_scores(docs.limit(3), F.lit(True)))
     assert all(abs(r["base_score"]) < 1e-9 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in only_held)
