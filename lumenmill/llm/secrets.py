@@ -1,8 +1,10 @@
 """Secret scans (operator 9): fixed patterns, and a token-efficiency test for random strings.
 
-Text made of words needs few tokens for its characters; random strings need many. Long runs of key characters whose
+Text made of words needs few tokens for its characters; random strings need many. Runs of key characters whose
 characters-per-token ratio under a byte-level BPE vocabulary is low are reported, after known digests (md5, sha1, sha256,
 sha512 in hexadecimal), UUIDs, and identifiers (words, numbers, paths, snake_case and camelCase names) are excluded.
+A stretch of letters of one case counts as a word only up to a length that words have; a longer one goes through the test.
+Every step is linear in the text.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 # A maximal run that is long enough: the same as dropping short matches of the base pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 _DIGESTS = (32, 40, 56, 64, 96, 128)
-_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+")
+# Names of words with a number at their end; each word begins with a capital or behind a sign, so there is one way to match.
+_NAME = re.compile(r"(?:[a-z]{2,15}|[A-Z][a-z]{1,15})(?:[A-Z][a-z]{1,15})*[0-9]*|[A-Z]{2,15}[0-9]*|[0-9]+")
 
-OUT = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+OUT = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, n_judged long, base_sha256 string, spans string"
 
 
 @lru_cache(maxsize=4)
@@ -56,19 +59,24 @@ def is_known(run: str) -> bool:
         return True
     if not re.search("[A-Za-z]", run):
         return True
-    parts = [p for p in re.split("[+/_=-]", run) if p]
-    return all(_PART.fullmatch(p) or re.fullmatch(r"([A-Z]?[a-z]{2,})+[0-9]*", p) for p in parts)
+    return all(_NAME.fullmatch(p) for p in re.split("[+/_=-]", run) if p)
 
 
-def random_runs(text: str, encoding, ratio: float) -> Iterator[tuple[int, int]]:
+def candidate_runs(text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs that are not known, stand apart from letters of other scripts, and overlap none of the base spans (start, end), which are sorted."""
+    at, upto = 0, 0
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not is_known(run) and len(run) < ratio * len(encoding.encode_ordinary(run)):
-            yield m.span()
+        a, b = m.span()
+        while at < len(base) and base[at][0] < b:
+            upto = max(upto, base[at][1])
+            at += 1
+        if upto > a or a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum() or is_known(m[0]):
+            continue
+        yield a, b
 
 
-def spans_of(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
-    """(start, rank of kind, end), sorted; a random run that overlaps a base span is not reported again."""
+def spans_of(text: str, encoding, ratio: float) -> tuple[list[tuple[int, int, int]], int]:
+    """(start, rank of kind, end), sorted, and how many runs the token-efficiency test has judged; a run that overlaps a base span is not judged."""
     found = []
     low = text.encode("utf-8", "replace").lower()
     if any(word in low for word in KEYWORDS):
@@ -76,9 +84,14 @@ def spans_of(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = list(found)
-    found += [(a, 3, b) for a, b in random_runs(text, encoding, ratio) if not any(x < b and a < y for x, _, y in base)]
-    return sorted(found)
+    judged = list(candidate_runs(text, sorted((a, b) for a, _, b in found)))
+    found += [(a, 3, b) for a, b in judged if b - a < ratio * tokens_in(text[a:b], encoding)]
+    return sorted(found), len(judged)
+
+
+def tokens_in(run: str, encoding) -> int:
+    """Tokens of a run. A run can be as long as a text, and merging one long piece takes the square of its length, so it is cut into pieces of 1,000 characters."""
+    return sum(len(encoding.encode_ordinary(run[at : at + 1000])) for at in range(0, len(run), 1000))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -86,10 +99,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, vocabulary: str, ratio: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: the id, a count for each kind, the digest of the base spans, and all spans in text.
+    """One row for each row of docs: the id, a count for each kind, the runs that the token test judged, the digest of the base spans, and all spans in text.
 
     Null text counts as empty; a document without spans has counts 0, spans '' and the digest of ''. Spans are in code points,
-    end exclusive, by start and then kind. vocabulary: path of a tiktoken rank file, which every worker can read.
+    end exclusive, by start and then kind. Repeated rows and rows without an id are scanned like others; other columns are not read. vocabulary: path of a tiktoken rank file, which every worker can read.
     ratio: characters per token under which a run counts as random. Every row is scanned where it lies, whole and alone; no shuffle.
     """
 
@@ -98,14 +111,14 @@ def scan_secrets(docs: DataFrame, vocabulary: str, ratio: float = 2.0, id_col: s
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                spans = spans_of(text, encoding, ratio)
+                spans, judged = spans_of(text, encoding, ratio)
                 count = [0, 0, 0, 0]
                 for _, k, _ in spans:
                     count[k] += 1
                 digest = hashlib.sha256(_joined([s for s in spans if s[1] < 3]).encode()).hexdigest()
-                rows.append((*count, digest, _joined(spans)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            arrays = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
+                rows.append((*count, judged, digest, _joined(spans)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            arrays = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:5]], *[pa.array(c, pa.string()) for c in columns[5:]]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "n_judged", "base_sha256", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(scan, OUT).withColumnRenamed("doc_id", id_col)
