@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
+import re
 import uuid
 
 import pandas as pd
@@ -20,15 +21,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: Folders that written() has made and that are still there.
+_made: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes every table that written() has made and that still stands. For callers that have used up the results; it also runs when Python ends."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or in /tmp where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{base or 'file:///tmp/checkpoints'}/lumenmill-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in /tmp only where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    if not _made:
+        atexit.unregister(_clear_quietly)
+        atexit.register(_clear_quietly, spark)
+    path = f"{base}/lumenmill-{uuid.uuid4().hex}"
+    _made.add(path)
     return path
 
 
+def _clear_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        clear(spark)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and it is computed once, and lost executors take nothing with them."""
     spark = df.sparkSession
@@ -37,17 +64,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """df, written, with a unique number of each row as __row: decisions by it hold for that row alone, whatever its id."""
-    return written(df.withColumn("__row", F.monotonically_increasing_id()))
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that is no column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rows(df: DataFrame, name: str = "__row") -> DataFrame:
+    """df, written, with a unique number of each row: decisions by it hold for that row alone, whatever its id."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table from written(), once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles() if "/lumenmill-" in f}:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        _delete(df.sparkSession, path)
+        _made.difference_update([m for m in _made if m.rpartition("/")[2] == path.rpartition("/")[2]])
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
