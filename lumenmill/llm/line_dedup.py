@@ -1,8 +1,9 @@
 """Removal of lines that many sites share (operator 3), with DataFrame functions only.
 
 A line's spread is the number of distinct sites that have it. Lines of one site only are set aside by a plain aggregate; for the
-rest, HyperLogLog sketches of the sites are merged by line hash. Where the estimate is near the threshold the distinct sites are
-counted exactly, and lines at or above the threshold are removed from every document.
+rest, every task sketches the sites of each line hash as the lines come (HyperLogLog), and the sketches are merged by line hash. Where
+the estimate is near the threshold, and only there, the distinct sites are counted exactly; lines at or above the threshold are removed
+from every document.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import if_small, text_of, written
+from lumenmill.llm.common import if_small, text_of, unused, with_rows, written
 
 #: So many removed lines are written into the plan as a set; beyond, documents and lines are joined.
 IN_PLAN = 2_000
@@ -30,33 +31,36 @@ def line_spread(docs: DataFrame, min_sites: int, min_chars: int, lg_k: int = 10,
     site = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(site_col)), F.lit("")))
     lines = docs.select(site.alias("site"), F.explode(F.filter(_lines(text_of(text_col)), lambda x: F.length(x) >= min_chars)).alias("x")).select("site", F.xxhash64("x").alias("line"))
     shared = written(lines.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("line"))
-    pairs = written(lines.join(if_small(shared), "line").groupBy("line", "site").agg(F.count("*").alias("n")))
-    estimates = written(pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate")))
+    estimates = written(lines.join(if_small(shared), "line").groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate")))
     margin = max(1, math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites))
-    near = estimates.where(F.abs(F.col("estimate") - min_sites) <= margin).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites"))
+    near = written(estimates.where(F.abs(F.col("estimate") - min_sites) <= margin).select("line"))
+    exact = lines.join(if_small(near), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites"))
     return estimates.join(exact, "line", "left")
 
 
-def remove_shared_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, lg_k: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_shared_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, lg_k: int = 10, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The rows of docs, all columns, without the lines that at least min_sites sites share; and __lines, __removed: how many there were and went.
 
     Shorter lines than min_chars always stay. Null text stays null with 0 lines; a text of removed lines only becomes empty.
-    Repeated rows are cleaned alike, and an empty table stays empty. Lines are compared by their 64-bit hash.
+    Repeated rows are cleaned alike, and an empty table stays empty. Lines are compared by their 64-bit hash. docs may have any
+    other columns but __lines and __removed, which are the results' names (ValueError).
     """
+    if {"__lines", "__removed"} & {c.lower() for c in docs.columns}:
+        raise ValueError("docs has a column __lines or __removed")
     spread = line_spread(docs, min_sites, min_chars, lg_k, text_col, site_col)
     gone = written(spread.where(F.coalesce(F.col("sites"), F.col("estimate")) >= min_sites).select("line"))
     text, lines = F.col(text_col), _lines(F.col(text_col))
+    rest, row, hits = (unused(docs, name) for name in ("__rest", "__row", "__hits"))
     n = F.coalesce(F.size(lines), F.lit(0))
     if gone.limit(IN_PLAN + 1).count() <= IN_PLAN:
         lost = [r.line for r in gone.collect()]
         keep = lambda x: (F.length(x) < min_chars) | ~F.xxhash64(x).isin(lost)
-        rest = F.filter(lines, keep) if lost else lines
-        out = docs.withColumn("__rest", rest)
+        out = docs.withColumn(rest, F.filter(lines, keep) if lost else lines)
     else:
-        found = docs.select(F.col(id_col).alias("__id"), F.explode(F.filter(_lines(text_of(text_col)), lambda x: F.length(x) >= min_chars)).alias("x")).select("__id", F.xxhash64("x").alias("line"))
-        hits = found.join(if_small(gone), "line", "left_semi").groupBy("__id").agg(F.collect_set("line").alias("__hits"))
-        keep = lambda x: (F.length(x) < min_chars) | ~F.coalesce(F.array_contains("__hits", F.xxhash64(x)), F.lit(False))
-        out = docs.join(hits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__rest", F.filter(lines, keep))
-    cleaned = out.select(*[out[c] for c in docs.columns if c != text_col], F.when(text.isNotNull(), F.array_join("__rest", "\n")).alias(text_col), n.alias("__lines"), F.when(text.isNotNull(), n - F.size("__rest")).otherwise(0).alias("__removed"))
-    return cleaned.select(*docs.columns, "__lines", "__removed")
+        docs_by_row = with_rows(docs, row)
+        found = docs_by_row.select(row, F.explode(F.filter(_lines(text_of(text_col)), lambda x: F.length(x) >= min_chars)).alias("x")).select(row, F.xxhash64("x").alias("line"))
+        of_row = found.join(if_small(gone), "line", "left_semi").groupBy(row).agg(F.collect_set("line").alias(hits))
+        keep = lambda x: (F.length(x) < min_chars) | ~F.coalesce(F.array_contains(hits, F.xxhash64(x)), F.lit(False))
+        out = docs_by_row.join(of_row, row, "left").withColumn(rest, F.filter(lines, keep))
+    cleaned = [F.when(text.isNotNull(), F.array_join(rest, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return out.select(*cleaned, n.alias("__lines"), F.when(text.isNotNull(), n - F.size(rest)).otherwise(0).alias("__removed"))

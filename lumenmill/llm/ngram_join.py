@@ -28,8 +28,8 @@ KEYS = "doc_id long, n int, digest binary, gram long, count long"
 #: This only shapes the order, and so the cost: any order that all documents share gives the same result.
 CHUNK, LOCAL, COMMON, MOST = 1 << 22, 2, 8, 400_000
 FRAGMENTS = 8
-#: Bits of the filter that keeps most documents without candidates out of the shuffle; of fixed size, and exact joins follow.
-BITS = 1 << 23
+#: Bits of the filter that keeps most documents without candidates out of the shuffle: 16 or more for each id, up to 16 MB in all. Exact joins follow.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,28 +105,35 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
 
 
 def prefixes(texts: DataFrame, width: int, keys: DataFrame, reps: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """(gram, doc, n, pos) for the start of every representative in the global order; only n-grams that two of them start with.
+    """(gram, doc, n, pos) for the start of every representative in the global order; of rare n-grams only those that two of them start with.
 
-    A filter of fixed size over the ids that are no representatives shows for most documents that they are; only the starts of the
-    others are joined with the representatives. However full the filter is, the result is the same.
+    A filter of bounded size over the ids that are no representatives shows for most documents that they are; only the starts of the
+    others are joined with the representatives. However full the filter is, the result is the same. Common n-grams, which can have any
+    number of documents, are not brought together here.
     """
     known, rank = np.sort(common), np.argsort(common, kind="stable")
     own = reps.select(F.col("rep").alias("doc"))
-    copies = keys.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc")).join(own, "doc", "left_anti")
-    shared = texts.sparkSession.sparkContext.broadcast((known, rank, _filter(copies)))
+    every = keys.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"))
+    bits = _bits(every.count() - own.count())
+    shared = texts.sparkSession.sparkContext.broadcast((known, rank, _filter(every.join(own, "doc", "left_anti"), bits)))
 
     def starts(inside: bool) -> DataFrame:
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, rank, copies = shared.value
             for docs, got in _candidates(batches, copies, width, inside):
-                out = [_in_order(g, known, rank)[0][: len(g) - (num * len(g) + den - 1) // den + 1] for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(g) for g in got], pa.int32()), _lists(out)], names=["doc", "n", "start"])
+                out, rare = [], []
+                for g in got:
+                    in_order, place = _in_order(g, known, rank)
+                    out.append(in_order[: len(g) - (num * len(g) + den - 1) // den + 1])
+                    rare.append(int(np.searchsorted(place, 1 << 48)))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(g) for g in got], pa.int32()), pa.array(rare, pa.int32()), _lists(out)], names=["doc", "n", "rare", "start"])
 
-        return texts.where("doc_id is not null").select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(some, "doc long, n int, start array<long>")
+        return texts.where("doc_id is not null").select("doc_id", _bit("doc_id", bits).alias("bit"), "text").mapInArrow(some, "doc long, n int, rare int, start array<long>")
 
-    rows = starts(False).unionByName(starts(True).join(own, "doc", "left_semi")).select("doc", "n", F.posexplode("start").alias("pos", "gram"))
-    shared_by = F.count("*").over(Window.partitionBy("gram"))
-    return rows.withColumn("docs", shared_by).where("docs > 1").select("gram", "doc", "n", "pos")
+    rows = starts(False).unionByName(starts(True).join(own, "doc", "left_semi")).select("doc", "n", "rare", F.posexplode("start").alias("pos", "gram"))
+    common_here = F.col("pos") >= F.col("rare")
+    shared_by = F.count("*").over(Window.partitionBy("gram", "apart"))
+    return rows.withColumn("apart", F.when(common_here, F.col("doc"))).withColumn("docs", shared_by).where("docs > 1 or apart is not null").select("gram", "doc", "n", "pos")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -134,24 +141,30 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(starts: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Each n-gram's documents with one of them: at first the one that has it earliest, later one by the hash of its id."""
+    """Each n-gram's documents with one of them, written: at first the one that has it earliest, later one by the hash of its id.
+
+    The one is found by an aggregate and joined as a table of its own, so that Spark is free to split an n-gram of very many documents.
+    """
     own = ["doc", "n", "pos", *[c for c in starts.columns if c == "comp"]]
     first = F.struct((F.col("pos") if turn == 0 else F.xxhash64(F.lit(turn), "doc")).cast("long").alias("key"), *own)
-    hub = F.min(first).over(Window.partitionBy("gram"))
-    both = starts.select(F.struct(*own).alias("l"), hub.alias("r"))
+    hubs = written(starts.groupBy("gram").agg(F.min(first).alias("r"), F.count("*").alias("docs")).where("docs > 1").select("gram", "r"))
+    both = starts.select("gram", F.struct(*own).alias("l")).join(hubs, "gram")
     if "comp" in own:
         both = both.where("l.comp <> r.comp")
-    return _pairs(both.where(_near("l", "r", num, den)).select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")))
+    pairs = written(_pairs(both.where(_near("l", "r", num, den)).select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y"))))
+    dropped(hubs)
+    return pairs
 
 
 def across(starts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of n-grams whose documents still belong to several components, with comp and whether it is the n-gram's largest (main)."""
-    rows = starts.join(labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label")
-    every = Window.partitionBy("gram")
-    rows = rows.withColumn("low", F.min("comp").over(every)).withColumn("high", F.max("comp").over(every)).where("low <> high").drop("low", "high")
-    size = F.count("*").over(Window.partitionBy("gram", "comp"))
-    largest = F.max(F.struct("size", "comp")).over(every)
-    return rows.withColumn("size", size).withColumn("top", largest).select("gram", "doc", "n", "pos", "comp", (F.col("comp") == F.col("top.comp")).alias("main"))
+    """The rows of n-grams whose documents still belong to several components, written, with comp and whether it is the n-gram's largest (main)."""
+    rows = written(starts.join(labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label"))
+    sizes = rows.groupBy("gram", "comp").agg(F.count("*").alias("size"))
+    tops = written(sizes.groupBy("gram").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("gram", F.col("top.comp").alias("top")))
+    out = written(rows.join(tops, "gram").select("gram", "doc", "n", "pos", "comp", (F.col("comp") == F.col("top")).alias("main")))
+    dropped(rows)
+    dropped(tops)
+    return out
 
 
 def cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -161,21 +174,26 @@ def cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return _pairs(met.select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y")))
 
 
-def _bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BITS))
+def _bits(ids: int) -> int:
+    return max(LEAST_BITS, min(MOST_BITS, 1 << (16 * max(ids, 1)).bit_length()))
+
+
+def _bit(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size that lets every doc of ids through, and few others."""
-    bits = np.zeros(BITS // 64, np.int64)
-    at = f"pmod(xxhash64(doc), {BITS})"
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of so many bits that lets every doc of ids through, and few others."""
+    out = np.zeros(bits // 64, np.int64)
+    at = f"pmod(xxhash64(doc), {bits})"
     words = ids.groupBy(F.expr(f"cast({at} div 64 AS int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 AS int)))").alias("word")).toPandas()
-    bits[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
-    return bits
+    out[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    return out
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    return _filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+def _wanted(pairs: DataFrame) -> tuple[np.ndarray, int]:
+    bits = _bits(2 * pairs.count())
+    return _filter(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), bits), bits
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int, inside: bool = True) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -194,7 +212,8 @@ def bounded(texts: DataFrame, width: int, pairs: DataFrame, num: int, den: int)
 
     Only 256 bytes a document are joined for it. A count that does not fit a byte makes no bound, and the pair stays.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(_wanted(pairs))
+    wanted, bits = _wanted(pairs)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, sets in _candidates(batches, shared.value, width):
@@ -209,15 +228,16 @@ def bounded(texts: DataFrame, width: int, pairs: DataFrame, num: int, den: int)
             keep = ((num + den) * most >= num * size) | (x == 255).any(1) | (y == 255).any(1)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    vectors = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(counted, "doc long, n int, counts binary")
+    vectors = texts.select("doc_id", _bit("doc_id", bits).alias("bit"), "text").mapInArrow(counted, "doc long, n int, counts binary")
     left, right = (vectors.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(possible, "a long, b long").distinct()
 
 
 def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair of rows, as an id can have several."""
+    """The pairs (a, b) that are similar enough, written: partial overlaps by fragment, summed per pair of rows, as an id can have several."""
     pairs = written(bounded(texts, width, pairs, num, den))
-    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable"), _wanted(pairs)))
+    wanted, bits = _wanted(pairs)
+    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable"), wanted))
     # Hashes spread evenly, so equal ranges of them are even fragments; the common n-grams are the last.
     cuts = np.array([(1 << 48) * (i + 1) // (FRAGMENTS - 1) for i in range(FRAGMENTS - 1)], np.int64)
 
@@ -238,12 +258,14 @@ def verified(texts: DataFrame, width: int, pairs: DataFrame, common: np.ndarray,
                 out += [grams[at[f] : at[f + 1]] for f in full]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int32()), pa.array(fragment, pa.int32()), _lists(out)], names=["doc", "row", "n", "fragment", "segment"])
 
-    cut = texts.select("doc_id", _bit("doc_id").alias("bit"), "text").mapInArrow(segments, "doc long, row long, n int, fragment int, segment array<long>")
+    cut = texts.select("doc_id", _bit("doc_id", bits).alias("bit"), "text").mapInArrow(segments, "doc long, row long, n int, fragment int, segment array<long>")
     left, right = (cut.select(F.col("doc").alias(x), F.col("row").alias(f"row_{x}"), F.col("n").alias(f"n_{x}"), "fragment", F.col("segment").alias(f"s_{x}")) for x in "ab")
     overlaps = pairs.join(left, "a").join(right, ["b", "fragment"])
     summed = overlaps.groupBy("a", "b", "row_a", "row_b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("s_a", "s_b"))).alias("overlap"))
     # |A and B| * den >= num * |A or B|
-    return summed.where((num + den) * F.col("overlap") >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    found = written(summed.where((num + den) * F.col("overlap") >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
+    dropped(pairs)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,36 +298,37 @@ def ngram_components(docs: DataFrame, width: int = 4, num: int = 85, den: int =
     Words lie between ASCII white space and A-Z count as a-z. Two documents link when den * intersection >= num * union of their sets
     of width-word shingles; a text with fewer words is one shingle, and null or empty text is the empty set, which links with nothing.
     Rows that repeat an id are one document in links. A row without an id gets the component of its equals, or null, and links through
-    them only. stars: rounds in which an n-gram's documents meet only one of them, while that saves comparisons; the last round is complete.
+    them only. An empty table gives an empty result; other columns are not read. In a round an n-gram's documents meet only one of them; the
+    last round compares all that is left across components. It begins when that costs no more than 40 times the starts, or, after at
+    least stars rounds, when a round has no longer lowered that cost by a fifth.
     """
     texts = _texts(docs, id_col, text_col)
     keys = written(set_keys(texts, width))
     reps = written(keys.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     common = common_grams(keys)
     starts = written(prefixes(texts, width, keys, reps, common, num, den))
-    seen = edges = labels = rows = None
-    left, total = starts, starts.count()
-    stars = max(1, stars)
-    for turn in range(stars + 1) if total else ():
-        last = turn == stars
+    seen = edges = labels = rows = before = None
+    left, total, turn, last = starts, starts.count(), 0, False
+    while total and not last:
         if labels is not None:
             if rows is not None:
                 dropped(rows)
-            rows = written(across(starts, labels))
+            left = rows = across(starts, labels)
             counts = rows.groupBy("gram").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("some"))
             cost = counts.agg(F.sum(F.col("all") * F.col("some"))).first()[0] or 0
-            last = last or cost <= 40 * total
-            left = rows
-        pairs = cross_pairs(left, num, den) if labels is not None and last else star_pairs(left, turn, num, den)
-        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = written(verified(texts, width, pairs, common, num, den))
+            last = cost <= 40 * total or turn > max(1, stars) and cost > 0.8 * before
+            before = cost
+        pairs = written(cross_pairs(left, num, den)) if last else star_pairs(left, turn, num, den)
+        if seen is not None:
+            every, pairs = pairs, written(pairs.join(seen, ["a", "b"], "left_anti"))
+            dropped(every)
+        found = verified(texts, width, pairs, common, num, den)
         seen = pairs if seen is None else seen.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         if labels is not None:
             dropped(labels)
         labels = components(edges)
-        if last:
-            break
+        turn += 1
     out = keys.where("digest is not null").select("doc_id", "n", "digest")
     if labels is not None:
         reps = written(reps.join(labels, reps["rep"] == labels["doc"], "left").select("digest", F.coalesce("label", "rep").alias("rep")))

@@ -39,9 +39,33 @@ def test_top_k(spark, low, high, dims):
     vectors = [(i, [rng.randint(low, high) for _ in range(dims)]) for i in range(300)] + [(None, [1] * dims), (7, [1, 2]), (14, [])]
     df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
     got = topk.top_k(df, df.where("vec_id % 7 = 0"), k=5, block=64, query_block=16)
-    # Several vectors of one id give several queries of one id, so only single ids are compared.
+    # Several vectors of one id are several queries, whose finds are ranked together.
     single = lambda found: {x for x in found if x[0] not in (7, 14)}
-    assert single({(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(got)}) == single(best(vectors, 5, 7))
+    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(got)}
+    assert single(found) == single(best(vectors, 5, 7))
+    several = defaultdict(set)
+    for q, _, i, s in best(vectors, 10**6, 7):
+        several[q].add((-s, i))
+    for q in (7, 14):
+        assert [x[3] for x in sorted(found) if x[0] == q] == [-s for s, _ in sorted(several[q])[:5]]
+
+
+def test_bound_stops_the_search():
+    """With a few dimensions that matter only a part of the rows is scored, and a floor from elsewhere leaves a block untouched."""
+    rng = np.random.default_rng(5)
+    values = np.floor(256 * rng.normal(size=(4000, 16)) * 0.4 ** np.arange(16))
+    order, ordered = topk.sorted_lists(values)
+    ids, scored = np.arange(4000), []
+    for q in range(0, 4000, 400):
+        found, n = topk.threshold_search(ids, values, order, ordered, q, values[q], 5)
+        scores = values @ values[q]
+        scores[q] = -np.inf
+        assert found == [(scores[i], i) for i in np.lexsort((ids, -scores))[:5]]
+        scored.append(n)
+        assert topk.threshold_search(ids, values, order, ordered, q, values[q], 5, floor=10**9) == ([], 0)
+        kth = found[-1][0]
+        assert topk.threshold_search(ids, values, order, ordered, q, values[q], 5, floor=int(kth))[0] == found
+    assert sum(scored) < 0.5 * 4000 * len(scored)
 
 
 def test_quantized_leaves_out_what_is_not_finite(spark):
