@@ -102,17 +102,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096,
         if len(data) and len(asked):
             ids, values = data["vec_id"].to_numpy(), _matrix(data["v"])
             order, ordered = sorted_lists(values)
-            wanted = _matrix(asked["v"])
+            wanted = _matrix(asked["query"])
             if object in (values.dtype, wanted.dtype) or np.abs(values).max(initial=0) * np.abs(wanted).max(initial=0) * values.shape[1] >= 2**53:
                 values, ordered, wanted = (np.vectorize(int, otypes=[object])(x) for x in (values, ordered, wanted))
-            for query_id, of, floor, query in zip(asked["vec_id"].tolist(), asked["of"].tolist(), asked["floor"].tolist(), wanted, strict=True):
+            for query_id, of, floor, query in zip(asked["query_id"].tolist(), asked["of"].tolist(), asked["floor"].tolist(), wanted, strict=True):
                 best, _ = threshold_search(ids, values, order, ordered, query_id, query, k, None if floor == "" else int(floor))
                 rows += [(query_id, of, i, max(-(2**63), min(2**63 - 1, int(s)))) for s, i in best]
         return pd.DataFrame(rows, columns=["query_id", "of", "vec_id", "score"]).astype("int64")
 
     def searched(asked: DataFrame, data: DataFrame) -> DataFrame:
         by = ["b", "q", "dims"]
-        return data.groupBy(*by).cogroup(asked.select(*by, "vec_id", "of", "v", "floor").groupBy(*by)).applyInPandas(search, FOUND)
+        return data.groupBy(*by).cogroup(asked.select(*by, F.col("vec_id").alias("query_id"), "of", F.col("v").alias("query"), "floor").groupBy(*by)).applyInPandas(search, FOUND)
 
     # The first round is worth it where the queries of one block make one group.
     rounds = 2 if 1 < blocks and m <= blocks * query_block else 1
