@@ -154,7 +154,7 @@ def encode(rows: DataFrame, listed: tuple[bytes, ...], log_c: np.ndarray, log_ma
     return rows.select("doc_id", "held_out", "turn", "text").mapInArrow(encoded, PART)
 
 
-def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, hidden: int = 32, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score and score, in log10.
 
     Learns from the rows that are not held out; a null id counts as ''. A text's tokens are its words and one end, so null or empty

@@ -261,7 +261,7 @@ def test_state_runs_through_windows():
 
 
 def test_default_size_of_the_model():
-    assert inspect.signature(lm.lm_scores).parameters["hidden"].default == 24
+    assert inspect.signature(lm.lm_scores).parameters["hidden"].default == 32
 
 
 def check_lm(df, listed=None):
