@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import text_of
+from lumenmill.llm.common import text_of, unused
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_windows long, n_phrases long"
 #: Characters of a window; each starts a new phrase.
 WINDOW = 256
 #: Classes of characters: 0 is what separates words, 1 a letter outside the alphabet. BREAK stands between the documents of a sample.
 SEPARATOR, RARE, BREAK = 0, 1, -1
+#: Languages that are learned at most, and characters that all their automata hold at most.
+MOST_LANGS, TOTAL_CHARS = 64, 262_144
 #: Natural logarithm of the odds that one phrase less gives.
 NATS = 4.0
 
@@ -158,27 +160,29 @@ def remainder(id_col: str, n: int = 5) -> Column:
 
 
 def labelled_samples(docs: DataFrame, train: Column, sample_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str], float]]:
-    """A bounded sample for each language: about sample_chars characters, at most an eighth of that from one document, in order of the ids' hash.
+    """A bounded sample for each of the MOST_LANGS languages with most documents: about sample_chars characters, less where TOTAL_CHARS
+    over their number is less, at most an eighth of that from one document, in order of the hash of id and text; equal rows count once.
 
     The bound is the only thing that is sampled here; the documents' number by language is counted over all. The threshold on
     the hash makes the expected sample eight times as large as needed, whatever the size of the table.
     """
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang_col).agg(F.count("*"), F.sum(F.least(F.length(text_col), F.lit(sample_chars // 8)))).collect()}
-    if not counts:
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    total = rows.count()
+    most = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(sample_chars // 8))).alias("chars")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    if not most:
         return []
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*[F.lit(x) for lang, (_, chars) in counts.items() for x in (lang, min(1.0, 8.0 * sample_chars / max(chars, 1)))])
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col(lang_col)]).select(lang_col, "draw", F.substring(text_col, 1, sample_chars // 8)).collect()
-    total = sum(n for n, _ in counts.values())
+    sample_chars = min(sample_chars, TOTAL_CHARS // len(most))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id", "text"), 11) / F.lit(float(1 << 53))
+    share = F.create_map(*[F.lit(x) for r in most for x in (r.lang, min(1.0, 8.0 * sample_chars / max(r.chars, 1)))])
+    picked = rows.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(share, F.col("lang"))).select("lang", "draw", F.substring("text", 1, sample_chars // 8).alias("text")).distinct().collect()
     out = []
-    for lang in sorted(counts, key=lambda x: (-counts[x][0], x)):
+    for r in most:
         texts, room = [], sample_chars
-        for _, _, text in sorted((r for r in picked if r[0] == lang), key=lambda r: (r[1], r[2])):
+        for _, text in sorted((p.draw, p.text) for p in picked if p.lang == r.lang):
             if room > 0 and text:
                 texts.append(text[:room])
                 room -= len(text)
-        out.append((lang, texts, counts[lang][0] / total))
+        out.append((r.lang, texts, r.n / total))
     return out
 
 
@@ -191,7 +195,8 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int
     """One row for each row of docs: the id, held_out, lang_pred, score, n_windows and n_phrases.
 
     Learns from rows that are not held out and have a language. Text that is null or has no letter gives 'und' with score 0; so does
-    every text if there is nothing to learn from. The prediction reads nothing but the text, whole, and needs no shuffle.
+    every text if there is nothing to learn from, and an empty table gives an empty result. Repeated rows and rows without an id are
+    predicted like others. The prediction reads nothing but the text, whole, and needs no shuffle.
     sample_chars bounds the labelled text that a language's automaton holds, and so the tables that workers build from the samples.
     """
     held = F.lit(False) if held_out is None else held_out
@@ -209,9 +214,10 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text_of(text_col).alias("text")).mapInArrow(predict, OUT).withColumnRenamed("doc_id", id_col)
 
 
-def identified(docs: DataFrame, sample_chars: int = 32_768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, and __lang and __score as in ``identify``; learned from all its rows that have a language."""
+def identified(docs: DataFrame, lang: str = "__lang", score: str = "__score", sample_chars: int = 32_768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, and the prediction as columns lang and score, as in ``identify``; learned from all its rows that have a language."""
     blob = pickle.dumps(labelled_samples(docs, F.lit(True), sample_chars, id_col, text_col, lang_col))
+    found = unused(docs, "__found")
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -221,4 +227,4 @@ def identified(docs: DataFrame, sample_chars: int = 32_768, id_col: str = "doc_i
             yield pd.DataFrame([(lang, score) for part in parts for lang, score, *_ in part], columns=["lang", "score"])
 
     # Not deterministic only to the optimizer: a filter on the result must not make it run twice.
-    return docs.withColumn("__found", predict.asNondeterministic()(text_of(text_col))).select(*docs.columns, F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"))
+    return docs.withColumn(found, predict.asNondeterministic()(text_of(text_col))).select(*docs.columns, F.col(found)["lang"].alias(lang), F.col(found)["score"].alias(score))

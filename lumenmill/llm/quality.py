@@ -64,16 +64,17 @@ def _prior_weight(groups: DataFrame, toward: Column) -> float:
 def quality_posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = 20_000, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row for each row of docs: the id, evidence, host_posterior, path_posterior, quality and kept (quality >= cut).
 
-    The logistic model learns from at most sample_rows labelled rows, chosen by the hash of the id; everything else covers all rows.
+    The logistic model learns from at most sample_rows different labelled rows, chosen by the hash of the id, the same on each run; everything else covers all rows.
     A document's label is the mean of its labels' rows; null labels are left out. Null or empty text has its features as '' and is judged
     by them; null host and path are groups of their own. Without labels every document gets the same evidence. Repeated rows weigh as rows.
+    An empty table gives an empty result; other columns are not read.
     """
     truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("__y"))
     n = truth.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(3), "__id"), 11) / F.lit(float(1 << 53))
-    chosen = truth.where(draw < min(1.0, 0.9 * sample_rows / max(n, 1))).limit(sample_rows)
+    chosen = truth.where(draw < min(1.0, 0.9 * sample_rows / max(n, 1)))
     x = F.array(*[c.cast("double") for c in features(text_of(text_col))])
-    sample = docs.join(if_small(chosen), F.col(id_col) == F.col("__id")).select(x.alias("x"), "__y").limit(2 * sample_rows).collect()
+    sample = docs.join(if_small(chosen), F.col(id_col) == F.col("__id")).select(x.alias("x"), "__y").distinct().orderBy(F.xxhash64("x", "__y"), "x", "__y").limit(sample_rows).collect()
     w, bias, mean, scale = fit_logistic(np.array([r[0] for r in sample]).reshape(-1, len(FEATURES)), np.array([r[1] for r in sample], dtype=float))
     linear = F.lit(float(bias))
     for i in range(len(FEATURES)):

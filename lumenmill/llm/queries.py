@@ -26,6 +26,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenmill.llm.quality import quality_posteriors
 
+    # Addresses of pages are host/language/number, so a document's site is its source and its path begins with its language.
     return quality_posteriors(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 

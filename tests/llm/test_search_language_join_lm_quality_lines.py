@@ -117,6 +117,50 @@ def test_language_on_held_out(docs, odd, none):
     assert langid.identified(odd).columns == [*odd.columns, "__lang", "__score"]
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """Many rows without an id, equal rows, and more languages than are learned."""
+    data = [(None, f"text number {i % 500} of language {i % 7} " * 4, f"l{i % 7}") for i in range(3000)] + [(i, "x" * 50, f"rare{i}") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGS", 9)
+    monkeypatch.setattr(langid, "TOTAL_CHARS", 9 * 600)
+    got = langid.labelled_samples(docs, F.lit(True), 32_768, "doc_id", "text", "lang")
+    assert [x[0] for x in got] == [*sorted((f"l{i}" for i in range(7)), key=lambda x: (-sum(r[2] == x for r in data), x)), "rare0", "rare1"]
+    assert all(0 < sum(map(len, texts)) <= 600 for _, texts, _ in got) and abs(sum(x[2] for x in got) - 3002 / 3040) < 1e-9
+
+
+def test_evidence_shrinks_as_by_hand(spark):
+    """Host and path posteriors from the evidence, recomputed in Python."""
+    rng = random.Random(1)
+    words = ["plain", "words", "that", "say", "something", "###", "$$$", "DAY", "12345"]
+    data = [(i, " ".join(rng.choice(words[: 5 + (i % 3) * 2]) for _ in range(rng.randrange(3, 30))), f"h{i % 5 if i % 9 else 'rare' + str(i)}", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 400, 3)] + [(i, 0) for i in range(1, 400, 3)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in rows(quality.quality_posteriors(docs, labels, F.col("source"), F.col("lang")))}
+    p = {i: r["evidence"] for i, r in got.items()}
+    center = sum(p.values()) / len(p)
+
+    def weight(groups, toward):
+        some = {k: v for k, v in groups.items() if len(v) > 1}
+        n = sum(map(len, some.values()))
+        within = max(sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in some.values()) / (n - len(some)), 1e-9)
+        beyond = (sum(len(v) * (sum(v) / len(v) - toward(k)) ** 2 for k, v in some.items()) - len(some) * within) / n
+        return min(10_000.0, max(1.0, within / beyond)) if beyond > 0 else 10_000.0
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, h, q in data:
+        hosts[h].append(p[i])
+        paths[h, q].append(p[i])
+    w = weight(hosts, lambda _: center)
+    host = {h: (sum(v) + w * center) / (len(v) + w) for h, v in hosts.items()}
+    w = weight(paths, lambda k: host[k[0]])
+    path = {k: (sum(v) + w * host[k[0]]) / (len(v) + w) for k, v in paths.items()}
+    logit = lambda x: math.log(x / (1 - x))
+    for i, _, h, q in data:
+        r = got[i]
+        assert abs(r["host_posterior"] - host[h]) < 2e-3 and abs(r["path_posterior"] - path[h, q]) < 2e-3
+        assert abs(logit(min(max(r["quality"], 1e-6), 1 - 1e-6)) - (logit(min(max(p[i], 1e-6), 1 - 1e-6)) + logit(path[h, q]) - logit(center))) < 0.1 or not 0.001 < r["quality"] < 0.999
+
+
 # 5: n-gram join
 
 
