@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import dropped, modest_batches, read, with_rows, written
+from lumenmill.llm.common import dropped, modest_batches, read, unused, with_rows, written
 from lumenmill.llm.exact_dedup import distinct_documents
 from lumenmill.llm.langid import identified
 from lumenmill.llm.mixing import mix_documents, word_count
@@ -20,38 +20,51 @@ from lumenmill.llm.packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was recognised; a null lang becomes the language found. Text without any letter goes.
+    """Documents in which a language was recognised; a null lang becomes the language found. Text without any letter goes, and so do null and empty text.
 
     If no text has a language there is nothing to learn from: then only null text and text without a letter go, and lang stays null.
+    Each row is judged alone, so repeated rows and rows without an id or source stay or go alike; an empty table stays empty.
     """
     modest_batches(spark)
     if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identified(docs).where(F.col("__lang") != "und")
-    return found.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    lang, score = unused(docs, "__lang"), unused(docs, "__score")
+    found = identified(docs, lang, score).where(F.col(lang) != "und")
+    return found.select(*[F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each text."""
+    """One document, that of the smallest id, of each text; null and empty text are one text. A row without an id stays only if all its copies lack one.
+
+    Each row is a document, whatever its id, so of equal rows one stays; nulls in other columns say nothing, and an empty table stays empty.
+    """
     return distinct_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links of similarity 0.8 or more connect. Each row is a document, whatever its id."""
-    rows = with_rows(docs)
-    groups = ngram_components(rows, width=5, num=80, den=100, id_col="__row").select("__row", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    """One document, that of the smallest id, of each group that links of similarity 0.8 or more connect; rows without an id come last.
+
+    Each row is a document, whatever its id. Text without words links with nothing and stays. An empty table stays empty.
+    """
+    row = unused(docs, "__row")
+    rows = with_rows(docs, row)
+    groups = ngram_components(rows, width=5, num=80, den=100, id_col=row).select(F.col(row).alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for, counted in words."""
+    """Documents as often as their source's target asks for, counted in words.
+
+    A null source is a source; rows without an id draw each their own; repeated rows are taken alike; text without words draws too. An empty table stays empty.
+    """
     return mix_documents(docs, word_count("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens. Null and empty text are an end id alone; repeated rows and rows without an id are packed like others; an empty table gives no pieces."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
