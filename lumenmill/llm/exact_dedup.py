@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import text_of, unused, with_rows
+from lumenmill.llm.common import give_back, text_of, unused, with_rows
 
 OWNER = "sha256 string, body binary, owner long, n long, ties long"
 _ARROW = pa.schema([("sha256", pa.string()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
@@ -170,6 +170,8 @@ def _grown(batches: Iterator[pa.RecordBatch], largest: bool, limit: int, in_orde
                 yield from _batches(trie.spill_finished(body) if in_order else trie.spill_heaviest(limit // 2), not in_order)
             trie.insert(body, owner, n, ties, sha)
     yield from _batches(iter(trie), not in_order)
+    del trie
+    give_back()
 
 
 def trie_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", limit: int = 48 << 20, row_col: str | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import text_of, unused
+from lumenmill.llm.common import give_back, text_of, unused
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_windows long, n_phrases long"
 #: Characters of a window; each starts a new phrase.
@@ -186,9 +185,16 @@ def labelled_samples(docs: DataFrame, train: Column, sample_chars: int, id_col:
     return out
 
 
-@lru_cache(maxsize=2)
+_held: dict[bytes, Model] = {}
+
+
 def _model(blob: bytes) -> Model:
-    return Model(pickle.loads(blob))
+    """The model of these samples. A worker holds one at a time; the tables of another go before."""
+    if blob not in _held:
+        _held.clear()
+        give_back()
+        _held[blob] = Model(pickle.loads(blob))
+    return _held[blob]
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int = 32_768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

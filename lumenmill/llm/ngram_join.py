@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import dropped, most_frequent, text_of, written
+from lumenmill.llm.common import dropped, give_back, most_frequent, text_of, written
 from lumenmill.llm.shingles import digest, shingle_sets
 
 KEYS = "doc_id long, n int, digest binary, gram long, count long"
@@ -68,6 +68,8 @@ def set_keys(texts: DataFrame, width: int) -> DataFrame:
                     held, n = [], 0
         if held:
             yield counted()
+        held = []
+        give_back()
 
     return texts.mapInArrow(keys, KEYS)
 
@@ -205,6 +207,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: in
         for first in range(0, some.num_rows, 400):
             part = some.slice(first, 400)
             yield part.column("doc_id").to_pylist(), _grams(part.column("text").to_pylist(), width)
+    give_back()
 
 
 def bounded(texts: DataFrame, width: int, pairs: DataFrame, num: int, den: int) -> DataFrame:

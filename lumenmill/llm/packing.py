@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import text_of
+from lumenmill.llm.common import give_back, text_of
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 END_ID = (1).to_bytes(4, "little")
@@ -194,5 +194,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, groups:
         packer.pack(True)
         if packer.rows:
             yield rows()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(packed, OUT).withColumnRenamed("doc_id", id_col)
