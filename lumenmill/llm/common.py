@@ -33,10 +33,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 _made: set[str] = set()
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes every table that written() has made and that still stands. For callers that have used up the results; it also runs when Python ends."""
-    while _made:
-        _delete(spark, _made.pop())
+def made() -> set[str]:
+    """The folders of tables that written() has made and that still stand."""
+    return set(_made)
+
+
+def clear(spark: SparkSession, paths: set[str] | None = None, keep: DataFrame | None = None) -> None:
+    """Removes these tables from written(), or all that still stand, but not what keep reads. For callers that have used up the results; it also runs when Python ends."""
+    read_from = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None and _made else set()
+    for path in _made & (_made if paths is None else paths):
+        if path.rpartition("/")[2] not in read_from:
+            _delete(spark, path)
+            _made.discard(path)
 
 
 def scratch(spark: SparkSession) -> str:
