@@ -7,11 +7,14 @@ cuts what is left into sequences. Each stage takes (spark, docs, sf_dir) and wor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import dropped, modest_batches, read, unused, with_rows, written
+from lumenmill.llm.common import clear, dropped, made, modest_batches, read, unused, with_rows, written
 from lumenmill.llm.exact_dedup import distinct_documents
 from lumenmill.llm.langid import identified
 from lumenmill.llm.mixing import mix_documents, word_count
@@ -19,6 +22,26 @@ from lumenmill.llm.ngram_join import ngram_components
 from lumenmill.llm.packing import pack_documents
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that stages have left for their results.
+_left: set[str] = set()
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, which first removes what earlier stages have left, as their results are written by now; what docs still reads stays."""
+
+    @wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(spark, _left, keep=docs)
+        before = made()
+        out = stage(spark, docs, sf_dir)
+        _left.update(made() - before)
+        return out
+
+    return tidied
+
+
+@tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognised; a null lang becomes the language found. Text without any letter goes, and so do null and empty text.
 
@@ -33,6 +56,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
+@tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each text; null and empty text are one text. A row without an id stays only if all its copies lack one.
 
@@ -41,6 +65,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_documents(docs)
 
 
+@tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that links of similarity 0.8 or more connect; rows without an id come last.
 
@@ -55,6 +80,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
+@tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for, counted in words.
 
@@ -63,6 +89,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs, word_count("text"))
 
 
+@tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens. Null and empty text are an end id alone; repeated rows and rows without an id are packed like others; an empty table gives no pieces."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
