@@ -90,11 +90,20 @@ def sanitize(value: Column, missing: str) -> Column:
 # What a redacted text must not contain, in order.
 SECRET = r"(?i)(api[_-]?key|token|cookie|authorization|password|secret)[\"']?\s*[:=]\s*[\"']?[^\"'\s,}]+"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+#: The same matches, but tried only where a run of such characters begins (or the last match ended), so that long runs take linear time.
+EMAIL_ONCE = r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 MAC = r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"
 # Fixed values end.
 
 
 def redact(text: Column, network: bool = False) -> Column:
-    out = F.regexp_replace(F.regexp_replace(text, SECRET, "<redacted>"), EMAIL, "<redacted>")
+    out = F.regexp_replace(text, SECRET, "<redacted>")
+    out = F.when(out.contains("@"), F.regexp_replace(out, EMAIL_ONCE, "<redacted>")).otherwise(out)
     return F.regexp_replace(F.regexp_replace(out, IPV4, "<ip>"), MAC, "<mac>") if network else out
+
+
+def fixed2(value: Column) -> Column:
+    """A number of at least 0 as text with two decimals, half up."""
+    n = F.floor(value * 100 + 0.5).cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,19 +89,40 @@ def shown_status(status: Column, texts: list[Column], text_score: Column, textur
     return ladder((F.upper(status).isin("FAIL", "REJECT"), "FAIL"), (F.coalesce(limited, F.lit(False)) | low, "PASS_WITH_LIMITATION"), (F.upper(status) == "PASS", "PASS"), otherwise="WAITING")
 
 
+# The labels that a report shows.
+NOT_RECOMMENDED, LOW_BENEFIT, MANUAL_REVIEW, CLEAR_GAIN, SLIGHT_GAIN, PROTECTED = "不建议通过", "低收益提示", "建议人工复核", "明显提升", "轻微提升", "保护通过"
+TEXT_LOW, TEXTURE_WEAK, EDGE_REVIEW, SIZE_BENEFIT_LOW, SIZE_GROWTH_HIGH = "文字清晰度偏低", "材质收益偏弱", "边缘质量需复核", "体积收益比偏低", "文件体积增长明显"
+GATE_NOT_PASSED, SMOOTH_PROTECTED, BENEFIT_LIMITED, COLOR_REVIEW, NO_REASON = "1080P 质量门未完全通过", "平滑区域保护触发", "可见收益有限", "颜色 / 品牌色需确认", "暂无明确复核风险"
+KIND_LABELS = {
+    "alpha": "透明 PNG", "text": "中文文字 / 海报", "product": "产品 / 品牌 KV", "portrait": "人物 / 商业照片", "architecture": "建筑 / 空间",
+    "gradient": "合成渐变 / 高光", "landscape": "风景 / 场景", "other": "普通图像",
+}
+# Fixed values end.
+
+
+def kind_tag(kind: Column, has_alpha: Column) -> Column:
+    """The label of an image's kind, by words in its name; alpha goes first."""
+    low = F.lower(F.coalesce(kind, F.lit("unknown")))
+    has = lambda *words: reduce(or_, [low.contains(w) for w in words])
+    return ladder(
+        (has_alpha, KIND_LABELS["alpha"]), (has("text"), KIND_LABELS["text"]), (has("product", "kv"), KIND_LABELS["product"]), (has("portrait", "person", "face"), KIND_LABELS["portrait"]),
+        (has("architecture", "building"), KIND_LABELS["architecture"]), (has("gradient", "synthetic"), KIND_LABELS["gradient"]), (has("landscape"), KIND_LABELS["landscape"]), otherwise=KIND_LABELS["other"],
+    )
+
+
 def benefit_tag(status: Column, growth: Column, benefit: Column, clarity: Column, texture: Column) -> Column:
     yes = lambda x: F.coalesce(x, F.lit(False))
     return ladder(
-        (status == "FAIL", "not_recommended"),
-        ((status == "PASS_WITH_LIMITATION") & yes(growth > 10) & (benefit.isNull() | (benefit < 3)), "low_benefit"), (status == "PASS_WITH_LIMITATION", "manual_review"),
-        (yes(benefit >= 4) | yes((clarity >= 85) & (texture >= 60)), "clear_gain"), (yes(benefit >= 2) | yes(clarity >= 70), "slight_gain"), otherwise="protected",
+        (status == "FAIL", NOT_RECOMMENDED),
+        ((status == "PASS_WITH_LIMITATION") & yes(growth > 10) & (benefit.isNull() | (benefit < 3)), LOW_BENEFIT), (status == "PASS_WITH_LIMITATION", MANUAL_REVIEW),
+        (yes(benefit >= 4) | yes((clarity >= 85) & (texture >= 60)), CLEAR_GAIN), (yes(benefit >= 2) | yes(clarity >= 70), SLIGHT_GAIN), otherwise=PROTECTED,
     )
 
 
 def review_tags(text_score: Column, texture_score: Column, edge_score: Column, growth: Column, benefit: Column, text: Column, color_score: Column) -> Column:
     bulky = (growth > 10) & (benefit < 3)
     return labels(
-        (text_score < 60, "text_clarity_low"), (texture_score < 60, "texture_gain_weak"), (edge_score < 65, "edge_quality_review"), (bulky, "size_benefit_low"),
-        (~F.coalesce(bulky, F.lit(False)) & (growth > 30), "size_growth_high"), (text.contains("quality_1080p_gate_not_fully_passed") | text.contains("quality_gate_not_fully_passed"), "quality_gate_not_passed"),
-        (text.contains("smooth_region_guard"), "smooth_region_protected"), (text.contains("limited_benefit"), "benefit_limited"), (color_score < 95, "color_review"), default="no_review_reason",
+        (text_score < 60, TEXT_LOW), (texture_score < 60, TEXTURE_WEAK), (edge_score < 65, EDGE_REVIEW), (bulky, SIZE_BENEFIT_LOW),
+        (~F.coalesce(bulky, F.lit(False)) & (growth > 30), SIZE_GROWTH_HIGH), (text.contains("quality_1080p_gate_not_fully_passed") | text.contains("quality_gate_not_fully_passed"), GATE_NOT_PASSED),
+        (text.contains("smooth_region_guard"), SMOOTH_PROTECTED), (text.contains("limited_benefit"), BENEFIT_LIMITED), (color_score < 95, COLOR_REVIEW), default=NO_REASON,
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.functions.scalars import clip, half_up, labels, ladder
+from lumenmill.functions.scalars import clip, fixed2, half_up, ladder
 
 c = F.col
 
@@ -88,13 +91,43 @@ def fidelity(color: Column, noise_change: Column, clarity_gain: Column, text_gai
     return half_up(clip(score, 0, 100), 2), ~(gained & (noise_change <= 8) & (color >= 82))
 
 
+# What a report says for the good and for the kind of review, and how a result should be used.
+SIGNALS = ("清晰度基础较好", "文字清晰度通过", "边缘质量通过", "材质保持通过", "默认保真色彩稳定", "存在可见收益信号")
+NO_SIGNAL = "当前更偏保护型输出，建议查看局部后判断收益。"
+REVIEWS = {
+    "fail": "不可交付复核", "color": "颜色与品牌保护复核", "text": "文字与 Logo 保护复核", "benefit": "低收益复核", "smooth": "低频平滑区复核",
+    "safety": "安全保护复核", "routine": "常规交付确认",
+}
+USAGES = {
+    "PASS": "可用于 1080P 本地交付，正式使用前建议快速查看成品。",
+    "PASS_WITH_LIMITATION": "已生成本地预览，建议查看文字、Logo、边缘、品牌色和关键局部后使用。",
+    "FAIL": "不建议作为正式成品使用，请回到原图或调整输入后重新处理。",
+    "WAITING": "等待任务完成后再判断用途。",
+}
+SHOWN_LABELS = {"FAIL": "不建议交付", "PASS_WITH_LIMITATION": "已生成｜建议查看后使用", "PASS": "可交付", "WAITING": "等待判定"}
+# Fixed values end.
+
+
+def by_status(status: Column, values: dict[str, str]) -> Column:
+    """The value of a shown status; any other status waits."""
+    return ladder(*[(status == k, v) for k, v in values.items() if k != "WAITING"], otherwise=values["WAITING"])
+
+
+def suggested_usage(status: Column, raw: Column) -> Column:
+    """The usage that came with a result, else the one that its status stands for."""
+    return F.when(raw.isNotNull() & (raw != ""), raw).otherwise(by_status(status, USAGES))
+
+
 def positive_signals(clarity: Column, text: Column, edge: Column, texture: Column, color: Column, benefit: Column) -> Column:
-    return labels((clarity >= 70, "clarity"), (text >= 60, "text"), (edge >= 65, "edge"), (texture >= 60, "texture"), (color >= 95, "color"), (benefit >= 2, "benefit"), default="protected")
+    pairs = zip((clarity, text, edge, texture, color, benefit), (70, 60, 65, 60, 95, 2), SIGNALS, strict=True)
+    found = F.array_compact(F.array(*[F.when(v >= least, F.concat(F.lit(f"{name}："), fixed2(v))) for v, least, name in pairs]))
+    return F.when(F.size(found) == 0, F.array(F.lit(NO_SIGNAL))).otherwise(found)
 
 
 def review_type(status: Column, tags: Column) -> Column:
-    has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
+    joined = F.array_join(tags, " ")
+    has = lambda *words: reduce(or_, [joined.contains(w) for w in words])
     return ladder(
-        (status == "FAIL", "not_deliverable"), (has("color_review"), "color"), (has("text_clarity_low"), "text"), (has("size_benefit_low", "size_growth_high", "benefit_limited", "texture_gain_weak"), "low_benefit"),
-        (has("smooth_region_protected"), "smooth_region"), (status == "PASS_WITH_LIMITATION", "protection"), otherwise="routine",
+        (status == "FAIL", REVIEWS["fail"]), (has("颜色", "品牌色"), REVIEWS["color"]), (has("文字"), REVIEWS["text"]), (has("体积", "收益"), REVIEWS["benefit"]),
+        (has("平滑"), REVIEWS["smooth"]), (status == "PASS_WITH_LIMITATION", REVIEWS["safety"]), otherwise=REVIEWS["routine"],
     )

@@ -163,8 +163,8 @@ SELECT {K}, ROUND(noise + 1e-9, 4) AS noise_reduction_strength, ROUND(high + 1e-
   ROUND(harmony + 1e-9, 4) AS color_harmony_strength, ROUND(CASE m WHEN 'ppt_business' THEN GREATEST(sharp, 0.16) WHEN 'cinematic' THEN {_clip('sharp - 0.08')} ELSE sharp END + 1e-9, 4) AS sharpen_strength,
   ROUND(CASE WHEN m = 'ppt_business' THEN GREATEST(clean, 0.78) ELSE clean END + 1e-9, 4) AS texture_cleanliness_strength, ROUND(premium + 1e-9, 4) AS premium_style_strength FROM s2"""
 
-PROBE = "pf AS (SELECT " + ", ".join(fx.PROBE_FILES) + """ FROM documents), m(method, format, percent, for_alpha) AS (VALUES ('png_optimize', 'png', 100, false), ('jpg_q95', 'jpg', 62, false), ('jpg_q94', 'jpg', 58, false),
- ('jpg_q90', 'jpg', 41, false), ('webp_q94', 'webp', 44, false), ('webp_q90', 'webp', 33, false), ('png_optimize', 'png', 100, true), ('webp_q94', 'webp', 47, true), ('webp_q90', 'webp', 36, true)),
+PROBE = "pf AS (SELECT " + ", ".join(fx.PROBE_FILES) + """ FROM documents), m(method, format, percent, for_alpha) AS (VALUES ('png_optimize', 'png', 100, false), ('jpg_q95', 'jpg', 62, false), ('jpg_q92', 'jpg', 50, false),
+ ('jpg_q90', 'jpg', 41, false), ('webp_q94', 'webp', 44, false), ('webp_q90', 'webp', 33, false), ('png_optimize', 'png', 100, true), ('webp_q94_alpha', 'webp', 47, true), ('webp_q90_alpha', 'webp', 36, true)),
 r1 AS (SELECT *, CASE WHEN regexp_matches(lower(file_name), 'contact|compare') THEN 'contact_sheet' WHEN regexp_matches(lower(file_name), 'preview|thumb|report') THEN 'preview' ELSE 'final' END AS role FROM pf),
 r2 AS (SELECT *, CASE WHEN role <> 'final' THEN 'contact_sheet_preview' WHEN has_alpha THEN 'transparent_png' WHEN regexp_matches(lower(file_name), 'ppt|slide|text|logo|brand|ui|poster|cn|chinese|map') THEN 'text_ppt_logo'
   WHEN regexp_matches(lower(file_name), 'product|kv|ad|poster|pack|banner|commerce') THEN 'product_ad' WHEN file_name LIKE '%.png' AND width * height <= 3000000 THEN 'commercial_png' ELSE 'ordinary_non_alpha' END AS image_type FROM r1),
@@ -219,6 +219,17 @@ SELECT {K}, aspect, CASE WHEN shrinks THEN width ELSE tw END AS target_width, CA
 ASKED = "CASE lower(coalesce(requested_format, '')) WHEN 'jpeg' THEN 'jpg' WHEN 'jpg' THEN 'jpg' WHEN 'png' THEN 'png' WHEN 'webp' THEN 'webp' ELSE 'auto' END"
 LIMITED = "(upper(raw) = 'PASS_WITH_LIMITATION' OR regexp_matches(coalesce(joined, ''), 'PASS_WITH_LIMITATION|manual_review|quality_1080p_gate_not_fully_passed|smooth_region_guard|limited_benefit|size_guard|quality_gate_not_fully_passed'))"
 
+_fixed2 = lambda v: f"(CAST(CAST(floor(floor(({v}) * 100 + 0.5) / 100) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(floor(({v}) * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0'))"
+SIGNALS = [
+    ("(clarity_score * 1.5)", 70, "清晰度基础较好"), ("text_clarity_score", 60, "文字清晰度通过"), ("(edge_quality_gain + 64)", 65, "边缘质量通过"), ("visual_score", 60, "材质保持通过"),
+    ("color_fidelity_score", 95, "默认保真色彩稳定"), ("visible_benefit", 2, "存在可见收益信号"),
+]
+REPORT = f"""{DELIVERED}, ra AS (SELECT *, CASE WHEN l_orderkey % 60 = 0 THEN 'reject' WHEN l_orderkey % 50 = 0 THEN '' ELSE delivery_status END AS raw, delivery_reason AS joined FROM g),
+rb AS (SELECT *, CASE WHEN upper(raw) IN ('FAIL', 'REJECT') THEN 'FAIL' WHEN {LIMITED} OR text_clarity_score + 40 < 60 OR visual_score + 20 < 60 OR edge_quality_gain + 70 < 65 THEN 'PASS_WITH_LIMITATION' WHEN upper(raw) = 'PASS' THEN 'PASS' ELSE 'WAITING' END AS shown FROM ra),
+rp AS (SELECT *, CASE shown WHEN 'FAIL' THEN '不建议交付' WHEN 'PASS_WITH_LIMITATION' THEN '已生成｜建议查看后使用' WHEN 'PASS' THEN '可交付' ELSE '等待判定' END AS user_status_label,
+  CASE WHEN l_orderkey % 5 <> 0 THEN recommended_usage WHEN shown = 'PASS' THEN '可用于 1080P 本地交付，正式使用前建议快速查看成品。' WHEN shown = 'PASS_WITH_LIMITATION' THEN '已生成本地预览，建议查看文字、Logo、边缘、品牌色和关键局部后使用。'
+    WHEN shown = 'FAIL' THEN '不建议作为正式成品使用，请回到原图或调整输入后重新处理。' ELSE '等待任务完成后再判断用途。' END AS suggested_usage FROM rb)"""
+
 SQL = {
     "raster_basic_metrics": f"""WITH {NB} SELECT image_id, ROUND(avg(l), 4) AS brightness, ROUND(stddev_pop(l), 4) AS contrast, ROUND(var_pop(lap), 4) AS sharpness, ROUND(avg(abs(lap)), 4) AS mean_abs_laplacian,
         ROUND(quantile_cont(abs(lap), 0.95), 4) AS p95_abs_laplacian, ROUND({_clip("(coalesce(stddev_pop(l) FILTER (abs(lap) < 2.5), stddev_pop(l) * 0.35) - 1.8) / CAST(16.2 AS DOUBLE) * 100", 0, 100)}, 4) AS noise_score FROM lap GROUP BY image_id""",
@@ -311,16 +322,23 @@ SQL = {
     "delivery_status": f"""WITH {DELIVERED}, a AS (SELECT *, CASE WHEN l_orderkey % 60 = 0 THEN 'reject' WHEN l_orderkey % 50 = 0 THEN '' ELSE delivery_status END AS raw, CASE WHEN l_linenumber = 1 THEN NULL ELSE visual_score END AS tex,
           CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE delivery_reason || ' ' || recommended_usage END AS joined FROM g),
         b AS (SELECT *, CASE WHEN upper(raw) IN ('FAIL', 'REJECT') THEN 'FAIL' WHEN {LIMITED} OR text_clarity_score + 30 < 60 OR coalesce(tex < 60, false) OR edge_quality_gain * 5 + 63 < 65 THEN 'PASS_WITH_LIMITATION' WHEN upper(raw) = 'PASS' THEN 'PASS' ELSE 'WAITING' END AS shown FROM a)
-        SELECT {K}, shown, CASE WHEN shown = 'FAIL' THEN 'not_recommended' WHEN shown = 'PASS_WITH_LIMITATION' AND size_growth > 10 AND visible_benefit * 5 < 3 THEN 'low_benefit' WHEN shown = 'PASS_WITH_LIMITATION' THEN 'manual_review'
-          WHEN visible_benefit * 5 >= 4 OR (clarity_score * 2 >= 85 AND coalesce(tex >= 60, false)) THEN 'clear_gain' WHEN visible_benefit * 5 >= 2 OR clarity_score * 2 >= 70 THEN 'slight_gain' ELSE 'protected' END AS benefit_tag FROM b""",
-    "review_tags": f"""WITH {DELIVERED}, t AS (SELECT *, {_list(("text_clarity_score + 10 < 60", "text_clarity_low"), ("visual_score < 60", "texture_gain_weak"), ("edge_quality_gain * 5 + 63 < 65", "edge_quality_review"),
-          ("size_growth > 10 AND visible_benefit * 5 < 3", "size_benefit_low"), ("NOT (size_growth > 10 AND visible_benefit * 5 < 3) AND size_growth > 30", "size_growth_high"), ("delivery_reason = 'quality_1080p_gate_not_fully_passed'", "quality_gate_not_passed"),
-          ("delivery_reason = 'smooth_region_guard'", "smooth_region_protected"), ("delivery_reason LIKE '%limited_benefit%'", "benefit_limited"), ("color_fidelity_score < 95", "color_review"))} AS tags FROM g)
-        SELECT {K}, CASE WHEN len(tags) = 0 THEN 'no_review_reason' ELSE array_to_string(tags, ';') END AS tags FROM t""",
+        SELECT {K}, shown, CASE WHEN shown = 'FAIL' THEN '不建议通过' WHEN shown = 'PASS_WITH_LIMITATION' AND size_growth > 10 AND visible_benefit * 5 < 3 THEN '低收益提示' WHEN shown = 'PASS_WITH_LIMITATION' THEN '建议人工复核'
+          WHEN visible_benefit * 5 >= 4 OR (clarity_score * 2 >= 85 AND coalesce(tex >= 60, false)) THEN '明显提升' WHEN visible_benefit * 5 >= 2 OR clarity_score * 2 >= 70 THEN '轻微提升' ELSE '保护通过' END AS benefit_tag FROM b""",
+    "review_tags": f"""WITH {DELIVERED}, t AS (SELECT *, {_list(("text_clarity_score + 10 < 60", "文字清晰度偏低"), ("visual_score < 60", "材质收益偏弱"), ("edge_quality_gain * 5 + 63 < 65", "边缘质量需复核"),
+          ("size_growth > 10 AND visible_benefit * 5 < 3", "体积收益比偏低"), ("NOT (size_growth > 10 AND visible_benefit * 5 < 3) AND size_growth > 30", "文件体积增长明显"), ("delivery_reason = 'quality_1080p_gate_not_fully_passed'", "1080P 质量门未完全通过"),
+          ("delivery_reason = 'smooth_region_guard'", "平滑区域保护触发"), ("delivery_reason LIKE '%limited_benefit%'", "可见收益有限"), ("color_fidelity_score < 95", "颜色 / 品牌色需确认"))} AS tags FROM g)
+        SELECT {K}, CASE WHEN len(tags) = 0 THEN '暂无明确复核风险' ELSE array_to_string(tags, ';') END AS tags FROM t""",
     "risk_labels": f"""WITH {F_} SELECT {K}, CASE WHEN LEAST(face_detail_gain, hair_texture_gain) * 2 < -1.2 THEN 'high' WHEN LEAST(face_detail_gain, hair_texture_gain) * 2 < -0.25 THEN 'medium' ELSE 'low' END AS gain_risk,
         CASE WHEN pixel_diff <= 0.8 THEN 'low' WHEN pixel_diff <= 1.6 THEN 'medium' ELSE 'high' END AS diff_risk, ROUND({_clip('ln(1 + GREATEST(clarity_score, 0.0)) * 16', 0, 100)}, 4) AS clarity_log FROM f""",
-    "mode_profile": f"""WITH {F_}, n AS (SELECT CASE WHEN l_linenumber = 4 THEN 'unknown' ELSE mode END AS mode FROM f) SELECT mode, count(*) AS n, CAST(CASE mode WHEN 'fidelity' THEN 0.05 WHEN 'text_safe' THEN 0.0 WHEN 'texture' THEN 0.08 ELSE 0.02 END AS DOUBLE) AS base_strength,
-        CASE WHEN mode <> 'unknown' THEN 1080 END AS short_edge FROM n GROUP BY mode""",
+    "mode_profile": """WITH p(i, profile, output_suffix, cleanup_strength, micro_contrast, sharpness, high_frequency_guard, glass_weight, style_tags) AS (VALUES
+          (0, 'cosmetics', '_cosmetics_master', 0.42, 0.28, 0.14, 0.72, 0.8, 'premium,clean,transparent'), (1, 'food', '_food_master', 0.28, 0.36, 0.18, 0.55, NULL, 'fresh,warm,appetizing'),
+          (2, 'architecture', '_architecture_master', 0.32, 0.42, 0.22, 0.58, 0.45, 'cg,clean,spatial'), (3, 'cinematic', '_cinematic_master', 0.38, 0.24, 0.08, 0.82, NULL, 'cinematic,air,soft'),
+          (4, 'ppt_business', '_ppt_business_master', 0.25, 0.45, 0.20, 0.46, NULL, 'business,ppt,readable'), (5, 'ai_commercial_kv', '_commercial_kv_master', 0.45, 0.32, 0.13, 0.75, 0.35, 'kv,premium,cg'),
+          (6, 'portrait_commercial', '_portrait_commercial_master', 0.48, 0.22, 0.05, 0.86, NULL, 'portrait,beauty,soft_light,clean_skin'), (7, 'luxury_product', '_luxury_product_master', 0.36, 0.34, 0.10, 0.76, 0.55, 'luxury,reflection,black_gold,premium'))
+        SELECT coalesce(profile, 'unknown') AS profile, count(*) AS n, output_suffix, CAST(cleanup_strength AS DOUBLE) AS cleanup_strength, CAST(micro_contrast AS DOUBLE) AS micro_contrast, CAST(sharpness AS DOUBLE) AS sharpness,
+          CAST(high_frequency_guard AS DOUBLE) AS high_frequency_guard, CAST(glass_weight AS DOUBLE) AS glass_weight, style_tags,
+          CASE WHEN profile IS NULL THEN 'Unknown profile ''unknown''. Available profiles: ai_commercial_kv, architecture, cinematic, cosmetics, food, luxury_product, portrait_commercial, ppt_business' END AS profile_error
+        FROM part LEFT JOIN p ON p_partkey % 9 = i GROUP BY ALL""",
     "batch_summary": f"""WITH {STAGES} SELECT stage, count(*) AS total, count(*) FILTER (task_status = 'completed') AS completed, count(*) FILTER (task_status = 'failed') AS failed,
         count(*) FILTER (task_status IN ('pending', 'processing')) AS waiting, ROUND(coalesce(sum(value), 0) / count(*), 4) AS mean_value FROM st GROUP BY stage""",
     "regression_diff": f"""WITH b AS ({BEFORE}), a AS ({AFTER}) SELECT b.sample_id, a.sample_id IS NOT NULL AS found, b.level IS NOT DISTINCT FROM a.level AS level_match, b.score IS NOT DISTINCT FROM a.score AS score_match,
@@ -357,7 +375,7 @@ SQL = {
         ROUND({_clip("CAST(CASE mode WHEN 'text_safe' THEN 0.20 WHEN 'ai_image_clean' THEN 0.17 WHEN 'sharp_4k' THEN 0.34 ELSE 0.24 END AS DOUBLE) + CASE image_type WHEN 'text_poster' THEN -0.04 WHEN 'architecture' THEN 0.12 ELSE 0 END", 0, 0.72)} + 1e-9, 4) AS edge_strength,
         ROUND({_clip("CAST(CASE mode WHEN 'text_safe' THEN 0.20 WHEN 'ai_image_clean' THEN 0.20 WHEN 'sharp_4k' THEN 0.34 ELSE 0.24 END AS DOUBLE) + CASE image_type WHEN 'architecture' THEN 0.14 ELSE 0 END", 0, 0.72)} + 1e-9, 4) AS structure_strength,
         ROUND(CAST(CASE mode WHEN 'text_safe' THEN 0.10 WHEN 'ai_image_clean' THEN 0.08 WHEN 'sharp_4k' THEN 0.18 ELSE 0.12 END AS DOUBLE) + 1e-9, 4) AS post_edge_strength, ROUND(CAST(CASE mode WHEN 'ai_image_clean' THEN 0.92 ELSE 0.88 END AS DOUBLE) + 1e-9, 4) AS highlight_strength FROM m""",
-    "qa_decision": f"""WITH {PROBE}, q AS (SELECT *, CASE WHEN has_alpha AND format = 'webp' THEN method || '_alpha' ELSE method END AS m2, doc_id % 20 + 38 AS psnr, doc_id % 4 <> 0 AS kept FROM pr),
+    "qa_decision": f"""WITH {PROBE}, q AS (SELECT *, method AS m2, doc_id % 20 + 38 AS psnr, doc_id % 4 <> 0 AS kept FROM pr),
         w AS (SELECT *, CASE image_type
           WHEN 'contact_sheet_preview' THEN CASE WHEN m2 IN ('jpg_q90', 'jpg_q92', 'webp_q90', 'webp_q94') THEN 'candidate|preview_only|low' ELSE 'manual_review|preview_only|medium' END
           WHEN 'transparent_png' THEN CASE WHEN m2 = 'png_optimize' AND kept THEN 'candidate|transparent_png_lossless|low' WHEN m2 IN ('webp_q90_alpha', 'webp_q94_alpha') THEN 'experiment_only|webp_alpha_experiment|medium' ELSE 'reject|do_not_use|high' END
@@ -371,10 +389,17 @@ SQL = {
           CASE screen_rule WHEN 'source_not_upscaled' THEN height WHEN 'short_edge_1080' THEN CAST(round_even(height * (CAST(1080 AS DOUBLE) / LEAST(width, height)), 0) AS INT) END AS screen_height, screen_rule FROM r""",
     "quality_compare": f"""WITH {F_} SELECT {K}, ROUND({_clip("0.35 * (color_fidelity_score - 8) + 0.22 * GREATEST(0.0, 100 - GREATEST(blur_risk * 20, 0.0)) + 0.23 * GREATEST(0.0, LEAST(100.0, 50 + edge_quality_gain * 2)) + 0.20 * GREATEST(0.0, LEAST(100.0, 50 + text_clarity_gain * 2))", 0, 100)} + 1e-9, 2) AS fidelity_score,
         NOT ((clarity_gain > 2 OR text_clarity_gain * 2 > 3 OR edge_quality_gain * 2 > 3 OR hair_texture_gain > 2) AND blur_risk * 20 <= 8 AND color_fidelity_score - 8 >= 82) AS is_apparent FROM f""",
-    "report_summary": f"""WITH {DELIVERED}, x AS (SELECT *, {_list(("clarity_score * 1.5 >= 70", "clarity"), ("text_clarity_score >= 60", "text"), ("edge_quality_gain + 64 >= 65", "edge"), ("visual_score >= 60", "texture"), ("color_fidelity_score >= 95", "color"), ("visible_benefit >= 2", "benefit"))} AS sig FROM g)
-        SELECT {K}, CASE WHEN len(sig) = 0 THEN 'protected' ELSE array_to_string(sig, ';') END AS signals, CASE WHEN color_fidelity_score + 3 < 95 THEN 'color' WHEN text_clarity_score + 20 < 60 THEN 'text'
-          WHEN (size_growth > 10 AND visible_benefit * 5 < 3) OR size_growth > 30 OR delivery_reason LIKE '%limited_benefit%' OR visual_score + 5 < 60 THEN 'low_benefit' WHEN delivery_reason = 'smooth_region_guard' THEN 'smooth_region'
-          WHEN delivery_status = 'PASS_WITH_LIMITATION' THEN 'protection' ELSE 'routine' END AS review_type FROM x""",
+    "report_summary": f"""WITH {DELIVERED}, x AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {v} >= {least} THEN '{name}：' || {_fixed2(v)} END" for v, least, name in SIGNALS)}], lambda t: t IS NOT NULL) AS sig FROM g)
+        SELECT {K}, CASE WHEN len(sig) = 0 THEN '当前更偏保护型输出，建议查看局部后判断收益。' ELSE array_to_string(sig, ';') END AS signals, CASE WHEN color_fidelity_score + 3 < 95 THEN '颜色与品牌保护复核' WHEN text_clarity_score + 20 < 60 THEN '文字与 Logo 保护复核'
+          WHEN (size_growth > 10 AND visible_benefit * 5 < 3) OR size_growth > 30 OR delivery_reason LIKE '%limited_benefit%' OR visual_score + 5 < 60 THEN '低收益复核' WHEN delivery_reason = 'smooth_region_guard' THEN '低频平滑区复核'
+          WHEN delivery_status = 'PASS_WITH_LIMITATION' THEN '安全保护复核' ELSE '常规交付确认' END AS review_type FROM x""",
+    "image_kind_tag": f"""WITH {F_} SELECT {K}, CASE WHEN has_real_alpha THEN '透明 PNG' WHEN image_type LIKE '%text%' THEN '中文文字 / 海报' WHEN image_type LIKE '%product%' OR image_type LIKE '%kv%' THEN '产品 / 品牌 KV'
+        WHEN image_type LIKE '%portrait%' THEN '人物 / 商业照片' WHEN image_type LIKE '%architecture%' THEN '建筑 / 空间' WHEN image_type LIKE '%landscape%' THEN '风景 / 场景' ELSE '普通图像' END AS kind_label FROM f""",
+    "batch_report": f"WITH {REPORT} SELECT {K}, shown, user_status_label, suggested_usage FROM rp",
+    "batch_report_summary": f"WITH {REPORT} SELECT count(*) AS total, count(*) FILTER (shown = 'PASS') AS n_pass, count(*) FILTER (shown = 'PASS_WITH_LIMITATION') AS n_manual_review, count(*) FILTER (shown = 'FAIL') AS n_not_recommended FROM rp",
+    "rename_plan": "WITH " + _stems(TITLE) + """, r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem), lower(extension) ORDER BY ordinal) AS turn FROM names)
+        SELECT ordinal, source_name, CASE WHEN turn = 1 THEN stem || extension ELSE stem || '_' || CASE WHEN turn < 100 THEN lpad(CAST(turn AS VARCHAR), 2, '0') ELSE CAST(turn AS VARCHAR) END || extension END AS target_name,
+          CASE WHEN turn = 1 THEN 'ok' ELSE 'renamed_duplicate' END AS conflict_status, CASE WHEN lacks THEN 'needs_confirmation' WHEN turn > 1 THEN 'conflict_resolved' ELSE 'ready' END AS status FROM r""",
     "raster_morphology": f"""WITH {PX}{_box(1)}, b2 AS (SELECT c.image_id, c.y, c.x, any_value(c.l) AS l, min(n.hi) AS closed, max(n.lo) AS opened FROM bx c, range(-1, 2) a(j), range(-1, 2) b(k)
           JOIN bx n ON n.image_id = c.image_id AND n.y = {_at('c.y + j')} AND n.x = {_at('c.x + k')} GROUP BY c.image_id, c.y, c.x)
         SELECT image_id, CAST(sum(closed) AS BIGINT) AS closed_sum, CAST(sum(opened) AS BIGINT) AS opened_sum, CAST(sum(closed - l) AS BIGINT) AS black_hat_sum, CAST(sum(l - opened) AS BIGINT) AS top_hat_sum, max(GREATEST(closed - l, l - opened)) AS max_hat FROM b2 GROUP BY image_id""",

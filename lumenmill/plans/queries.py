@@ -206,8 +206,14 @@ def risk_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mode_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.features(spark, d).withColumn("mode", F.when(F.col("l_linenumber") == 4, "unknown").otherwise(F.col("mode")))
-    return batch.with_profile(rows).groupBy("mode").agg(F.count("*").alias("n"), F.max("base_strength").alias("base_strength"), F.max("short_edge").alias("short_edge"))
+    """Parts by the profile that their type stands for; one in nine has a name that no profile has."""
+    names = F.array(*[F.lit(p[0]) for p in batch.PROFILES], F.lit("unknown"))
+    rows = fx.table(spark, d, "part").select(F.get(names, (F.col("p_partkey") % 9).cast("int")).alias("profile"))
+    return batch.with_profile(rows).groupBy("profile").agg(
+        F.count("*").alias("n"), F.max("output_suffix").alias("output_suffix"), F.max("cleanup_strength").alias("cleanup_strength"), F.max("micro_contrast").alias("micro_contrast"),
+        F.max("sharpness").alias("sharpness"), F.max("high_frequency_guard").alias("high_frequency_guard"), F.max(F.try_element_at("material_weights", F.lit("glass"))).alias("glass_weight"),
+        F.max(F.array_join("style_tags", ",")).alias("style_tags"), F.max("profile_error").alias("profile_error"),
+    )
 
 
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -235,20 +241,24 @@ def latest_output_per_input(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("task_id", "stage").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_event"), F.max("ts").alias("latest_ts"))
 
 
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    return batch.probe(fx.probe_files(spark, d), fx.PROBE_PERCENT)
+
+
 def compression_probe(spark: SparkSession, d: str) -> DataFrame:
-    return batch.probe(fx.probe_files(spark, d)).select("doc_id", "method", "role", "image_type", "candidate_size_bytes", "saved_bytes", "saved_ratio", "risk_level", "recommended_use")
+    return _probed(spark, d).select("doc_id", "method", "role", "image_type", "candidate_size_bytes", "saved_bytes", "saved_ratio", "risk_level", "recommended_use")
 
 
 def probe_method_summary(spark: SparkSession, d: str) -> DataFrame:
-    return batch.method_summary(batch.probe(fx.probe_files(spark, d)))
+    return batch.method_summary(_probed(spark, d))
 
 
 def probe_counts(spark: SparkSession, d: str) -> DataFrame:
-    return batch.counts_by(batch.probe(fx.probe_files(spark, d)), "image_type", "recommended_use", "risk_level")
+    return batch.counts_by(_probed(spark, d), "image_type", "recommended_use", "risk_level")
 
 
 def probe_top30(spark: SparkSession, d: str) -> DataFrame:
-    return batch.top_candidates(batch.probe(fx.probe_files(spark, d)))
+    return batch.top_candidates(_probed(spark, d))
 
 
 def rename_stems(spark: SparkSession, d: str) -> DataFrame:
@@ -264,8 +274,8 @@ def rename_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.table(spark, d, "documents")
-    return docs.select("doc_id", F.sha2(redact(F.col("text"), network=True), 256).alias("redacted_sha256"), (redact(F.col("text"), network=True) != F.col("text")).alias("changed"))
+    rows = fx.table(spark, d, "documents").select("doc_id", "text", redact(F.col("text"), network=True).alias("redacted"))
+    return rows.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), (F.col("redacted") != F.col("text")).alias("changed"))
 
 
 def sanitized_names(spark: SparkSession, d: str) -> DataFrame:
@@ -312,9 +322,8 @@ def mode_strengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_decision(spark: SparkSession, d: str) -> DataFrame:
-    rows = batch.probe(fx.probe_files(spark, d))
-    method = F.when(F.col("has_alpha") & (F.col("format") == "webp"), F.concat("method", F.lit("_alpha"))).otherwise(F.col("method"))
-    verdict = reports.candidate_verdict(F.col("image_type"), method, F.col("saved_ratio"), (F.col("doc_id") % 20 + 38).cast("double"), F.col("doc_id") % 4 != 0)
+    rows = _probed(spark, d)
+    verdict = reports.candidate_verdict(F.col("image_type"), F.col("method"), F.col("saved_ratio"), (F.col("doc_id") % 20 + 38).cast("double"), F.col("doc_id") % 4 != 0)
     return rows.select("doc_id", "method", verdict.alias("v")).select("doc_id", "method", "v.verdict", "v.scope", "v.risk")
 
 
@@ -335,6 +344,25 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*KEY, F.array_join(signals, ";").alias("signals"), reports.review_type(F.col("delivery_status"), tags).alias("review_type"))
 
 
+def image_kind_tag(spark: SparkSession, d: str) -> DataFrame:
+    return fx.features(spark, d).select(*KEY, gates.kind_tag(F.col("image_type"), F.col("has_real_alpha")).alias("kind_label"))
+
+
+def batch_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report's rows: shown status, its label, benefit and suggested usage; every fifth row came without a usage of its own."""
+    rows = _delivered(spark, d)
+    raw = F.when(F.col("l_orderkey") % 60 == 0, "reject").when(F.col("l_orderkey") % 50 == 0, "").otherwise(F.col("delivery_status"))
+    rows = rows.withColumn("shown", gates.shown_status(raw, [F.col("delivery_reason")], F.col("text_clarity_score") + 40, F.col("visual_score") + 20, F.col("edge_quality_gain") + 70))
+    usage = reports.suggested_usage(F.col("shown"), F.when(F.col("l_orderkey") % 5 == 0, "").otherwise(F.col("recommended_usage")))
+    return rows.select(*KEY, "shown", reports.by_status(F.col("shown"), reports.SHOWN_LABELS).alias("user_status_label"), usage.alias("suggested_usage"))
+
+
+def batch_report_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = batch_report(spark, d)
+    count = lambda status: F.count_if(F.col("shown") == status)
+    return rows.agg(F.count("*").alias("total"), count("PASS").alias("n_pass"), count("PASS_WITH_LIMITATION").alias("n_manual_review"), count("FAIL").alias("n_not_recommended"))
+
+
 def raster_morphology(spark: SparkSession, d: str) -> DataFrame:
     return metrics.morphology(fx.px(spark, d))
 
@@ -354,11 +382,11 @@ def free_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probe_risk_sets(spark: SparkSession, d: str) -> DataFrame:
-    return batch.risk_sets(batch.probe(fx.probe_files(spark, d)))
+    return batch.risk_sets(_probed(spark, d))
 
 
 def probe_method_order(spark: SparkSession, d: str) -> DataFrame:
-    return batch.in_order(batch.probe(fx.probe_files(spark, d)), ["jpg_q95", "webp_q94", "png_optimize"])
+    return batch.in_order(_probed(spark, d), ["jpg_q95", "webp_q94", "png_optimize"])
 
 
 def stage_order(spark: SparkSession, d: str) -> DataFrame:
@@ -383,5 +411,5 @@ ALL = (
     first_match_lookup, latest_output_per_input, compression_probe, probe_method_summary, probe_counts, probe_top30, rename_stems, rename_conflicts, rename_plan, redact_text, sanitized_names,
     task_progress, task_terminal_state, task_timeout, task_sessions, task_windows, problem_code, type_scores,
     mode_strengths, qa_decision, screen_size_plan, quality_compare, report_summary, raster_morphology, raster_stretch, raster_color_cast, free_names, probe_risk_sets, probe_method_order, stage_order,
-    client_progress,
+    client_progress, image_kind_tag, batch_report, batch_report_summary,
 )

@@ -1,12 +1,14 @@
 """Properties and brute force for what SQL does not check."""
 
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumenmill.functions.ranks import numbered
 from lumenmill.functions.scalars import labels, ladder, normalize, redact, sanitize, truthy_text
 from lumenmill.operators import batch, policies, stencils
 from lumenmill.streaming import tasks
@@ -68,6 +70,27 @@ def test_rename_plan_against_one_by_one(spark):
     assert {r.ordinal: (r.target_name, r.status) for r in batch.rename_plan(df).collect()} == want
 
 
+def test_numbers_of_a_hot_group(spark):
+    rng = random.Random(8)
+    data = [(i, "hot" if i % 3 else rng.choice([None, "a", "b"])) for i in rng.sample(range(10**6), 2000)]
+    df = spark.createDataFrame(data, "ordinal long, key string").repartition(5)
+    place, want = {}, {}
+    for i, key in sorted(data):
+        place[key] = want[i] = place.get(key, 0) + 1
+    assert {r.ordinal: r.n for r in numbered(df, "ordinal", "n", by=("key",), buckets=16).collect()} == want
+    assert [r.n for r in numbered(df, "ordinal", "n").orderBy("ordinal").collect()] == list(range(1, 2001))
+    assert numbered(df.where("false"), "ordinal", "n").collect() == []
+
+
+def test_mail_addresses_in_long_runs(spark):
+    texts = ["a.b+c@d.org", "x@y.comz@w.de", "a@b.com_x@y.org", "@a.bc a@b a@b.c", "é_1@ü.io,b@c.dd", "a" * 200_000, "a." * 50_000 + "@", "m@" * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    start = time.monotonic()
+    got = [r[0] for r in df.select(redact(F.col("t"))).collect()]
+    assert time.monotonic() - start < 20
+    assert got == [re.sub(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", "<redacted>", t) if len(t) < 1000 else t for t in texts]
+
+
 def test_stream_of_tasks_ends_like_the_batch(spark, tmp_path):
     start = datetime(2024, 1, 1)
     events = [(t, 10 * t + k, start + timedelta(seconds=60 * k + t), s) for t, run in enumerate([["pending", "processing", "completed", "failed"], ["pending", "failed", "completed"], ["pending", "processing"]]) for k, s in enumerate(run)]
