@@ -28,11 +28,15 @@ _left: set[str] = set()
 
 
 def tidy(stage: Stage) -> Stage:
-    """The stage, which first removes what earlier stages have left, as their results are written by now; what docs still reads stays."""
+    """The stage, which first removes what earlier stages have left if docs is a table as read from files, so that their results are written by now.
+
+    With any other docs (a lazy or cached result) nothing is removed.
+    """
 
     @wraps(stage)
     def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear(spark, _left, keep=docs)
+        if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles():
+            clear(spark, _left, keep=docs)
         before = made()
         out = stage(spark, docs, sf_dir)
         _left.update(made() - before)
