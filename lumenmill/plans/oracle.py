@@ -418,3 +418,41 @@ SQL = {
     "client_progress": f"""WITH {STAGES}, o AS (SELECT *, row_number() OVER ({W}) AS index, count(*) OVER (PARTITION BY task_id) AS total, bool_or(task_status IN ('completed', 'failed')) OVER ({W} ROWS UNBOUNDED PRECEDING) AS done FROM st),
         p AS (SELECT task_id, event_id, GREATEST(35, CASE WHEN done THEN 100 ELSE LEAST(99, CAST(round_even(index / CAST(total AS DOUBLE) * 100, 0) AS INT)) END) AS shown FROM o) SELECT task_id, event_id, shown, CAST(LEAST(4, FLOOR(shown / CAST(100 AS DOUBLE) * 5)) AS INT) AS stage_index FROM p""",
 }
+
+_strength = lambda name, v, base, weight: f"ROUND({_clip(f'CAST({base} AS DOUBLE) + {v} * CAST({weight} AS DOUBLE)')} + 1e-9, 4) AS {name}"
+_scaled = lambda v, of, to: f"CAST(FLOOR({v} * ({to} / CAST(GREATEST(1, {of}) AS DOUBLE))) AS INT)"
+SQL |= {
+    "next_actions": f"""WITH {F_}, a AS (SELECT *, {_list(("ai_dirty_score >= 0.34", "优先抑制 diffusion 纹理、AI颗粒和高频脏纹理"), ("mid_frequency_score < 0.5", "恢复中频商业结构，保护体积、材质层次和主体筋骨"), ("highlight_risk >= 0.34", "压缩高光并平滑光影过渡，减少假HDR和数码高光"),
+          ("color_pollution >= 0.34", "统一色彩关系，控制 AI 蓝、AI 橙和 HDR 彩色污染"), ("atmosphere_deficiency >= 0.45", "降低全画面同等清晰感，建立主体与背景的空气层次"))} AS found FROM f)
+        SELECT {K}, CASE WHEN len(found) = 0 THEN '保持克制增强，避免破坏当前商业质感' ELSE array_to_string(found, ';') END AS actions, {_strength("noise_reduction_strength", "ai_dirty_score", 0.28, 0.55)},
+          {_strength("high_frequency_control_strength", "high_frequency_pollution", 0.25, 0.6)}, {_strength("mid_frequency_restore_strength", "(1 - mid_frequency_score)", 0.24, 0.55)}, {_strength("light_compression_strength", "highlight_risk", 0.22, 0.58)},
+          {_strength("atmosphere_strength", "atmosphere_deficiency", 0.22, 0.58)}, {_strength("color_harmony_strength", "color_pollution", 0.2, 0.62)} FROM a""",
+    "output_plan": "WITH " + TARGET.replace(f"\nSELECT {K}, aspect", f"\nSELECT {K}, output_profile AS selected_output_profile, CASE WHEN has_real_alpha THEN 'png' WHEN {ASKED} <> 'auto' THEN {ASKED} WHEN output_profile = 'preview_light' THEN 'webp' ELSE 'jpg' END AS selected_output_format, aspect"),
+    "long_edge_size": f"""WITH {F_}, w AS (SELECT {K}, CASE WHEN l_orderkey % 50 = 0 THEN 0 ELSE width END AS width, height FROM f), s AS (SELECT *, width <= 0 OR abs(width / CAST(GREATEST(height, 1) AS DOUBLE) - CAST(16 AS DOUBLE) / 9) <= 0.025 AS whole,
+          CAST(1920 AS DOUBLE) / GREATEST(width, height, 1) AS scale FROM w) SELECT {K}, CASE WHEN whole THEN 1920 ELSE GREATEST(1, CAST(round_even(width * scale, 0) AS INT)) END AS target_width, CASE WHEN whole THEN 1080 ELSE GREATEST(1, CAST(round_even(height * scale, 0) AS INT)) END AS target_height FROM s""",
+    "enhance_scope": f"""WITH {F_}, v AS (SELECT {K}, CASE WHEN l_orderkey % 12 = 0 THEN 'portrait|skip_portrait_name' WHEN l_orderkey % 12 = 1 THEN 'commercial_non_portrait|commercial_name'
+          WHEN text_density > 0.08 AND edge_density > 0.035 THEN 'commercial_non_portrait|strong_text_commercial_metrics' WHEN text_density > 0.018 AND highlight_risk > 0.35 THEN 'commercial_non_portrait|info_poster_metrics'
+          WHEN edge_density > 0.08 AND highlight_risk > 0.20 THEN 'commercial_non_portrait|city_or_map_metrics' WHEN color_pollution / 5 > 0.08 AND edge_density > 0.045 THEN 'commercial_non_portrait|product_metrics'
+          WHEN skin_ratio > 0.035 AND skin_ratio < 0.70 AND edge_density < 0.075 AND highlight_risk < 0.70 THEN 'portrait|skip_portrait_metrics' ELSE 'uncertain|skip_uncertain' END AS s FROM f)
+        SELECT {K}, split_part(s, '|', 1) AS scope, split_part(s, '|', 2) AS reason FROM v""",
+    "report_usage": f"""WITH {F_} SELECT {K}, CASE WHEN l_orderkey % 10 = 0 THEN '仅供存档' WHEN l_orderkey % 7 = 0 THEN '当前不建议直接用于正式交付。建议回到原图检查文字、Logo、边缘和低频区域后再决定是否重新处理。'
+          WHEN l_linenumber = 4 THEN '原图质量或保护约束较强，增强收益有限。建议对比原图和输出图后决定是否使用输出图。'
+          WHEN regexp_matches(image_type, 'poster|text|infographic', 'i') THEN '适合公众号配图、PPT 内容页和客户方案配图；正式使用前建议查看标题、小字、细线、标签文字和白底洁净度。'
+          WHEN regexp_matches(image_type, 'kv|product|brand', 'i') THEN '适合产品视觉提案、品牌 KV 预览和 PPT 封面；正式使用前建议查看 Logo、包装文字、品牌色、高光和产品轮廓。'
+          WHEN regexp_matches(image_type, 'portrait|person|photo', 'i') THEN '适合内部预览、资料整理和商业视觉初稿；正式使用前建议查看人脸、手部、肤色、现场文字和 Logo。'
+          WHEN regexp_matches(image_type, 'architecture|building', 'i') THEN '适合 PPT 封面、文旅海报和视觉提案；正式使用前建议查看小字、建筑边缘、墙面暗部和复杂纹理。'
+          ELSE '适合本地预览、PPT 草案和方案初稿；正式使用前建议查看文字、Logo、主体边缘、颜色和低频平滑区域。' END AS suggested_usage FROM f""",
+    "crop_box": f"""WITH {F_}, o AS (SELECT *, GREATEST(0, LEAST(CAST(l_orderkey * 7 % 3200 - 200 AS INT), GREATEST(0, width - 160))) AS x0, GREATEST(0, LEAST(CAST(l_orderkey * 11 % 2300 - 200 AS INT), GREATEST(0, height - 120))) AS y0 FROM f),
+        b AS (SELECT *, LEAST(width, x0 + 160) AS x1, LEAST(height, y0 + 120) AS y1 FROM o)
+        SELECT {K}, x0, y0, x1, y1, {_scaled("x0", "width", 1920)} AS x0_scaled, {_scaled("y0", "height", 1080)} AS y0_scaled, GREATEST({_scaled("x1", "width", 1920)}, {_scaled("x0", "width", 1920)} + 1) AS x1_scaled,
+          GREATEST({_scaled("y1", "height", 1080)}, {_scaled("y0", "height", 1080)} + 1) AS y1_scaled FROM b""",
+    "report_rows": f"""WITH {PROBE} SELECT doc_id, file_name, CASE WHEN doc_id % 4 <> 0 THEN original_size_bytes END AS original_size_bytes, CASE WHEN doc_id % 4 <> 0 THEN NULL WHEN has_alpha THEN 'alpha' ELSE 'excluded' END AS skip_reason,
+        CASE WHEN doc_id % 4 = 0 THEN 'skipped' ELSE 'processed' END AS state FROM pf""",
+    "probe_rows_by_file": f"WITH {PROBE} SELECT file_name, string_agg(method, ',' ORDER BY method) AS values, count(*) AS n FROM pr GROUP BY file_name",
+    "parsed_numbers": """WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' 12 ' WHEN 2 THEN '3.5' ELSE CAST(o_orderkey AS VARCHAR) END AS value FROM orders)
+        SELECT o_orderkey, value, CASE WHEN o_orderkey % 4 <> 2 THEN TRY_CAST(trim(value) AS BIGINT) END AS number FROM v""",
+    "run_deltas": "SELECT o_orderkey AS sample_id, CAST(CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS score_delta FROM orders WHERE o_orderkey % 11 <> 0",
+    "task_requests": f"""WITH {STAGES}, o AS (SELECT *, row_number() OVER ({W}) AS index, count(*) OVER (PARTITION BY task_id) AS total, bool_or(task_status IN ('completed', 'failed')) OVER ({W} ROWS UNBOUNDED PRECEDING) AS done FROM st),
+        s AS (SELECT task_id, min(ts) AS t FROM st GROUP BY task_id), r AS (SELECT task_id AS request_id, CASE WHEN task_id % 50 = 0 THEN (SELECT task_id FROM s ORDER BY t DESC, task_id DESC LIMIT 1) WHEN task_id % 7 >= 2 THEN task_id END AS task_id FROM s)
+        SELECT request_id, r.task_id, CAST(index AS INT) AS index, total, done FROM r JOIN o ON o.task_id = r.task_id UNION ALL SELECT request_id, NULL, i, 2, i = 2 FROM r, (VALUES (1), (2)) v(i) WHERE r.task_id IS NULL""",
+}

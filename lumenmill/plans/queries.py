@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmill.functions.scalars import log_score, redact, risk_from_gain, risk_within, sanitize
-from lumenmill.operators import batch, gates, metrics, policies, reports, stencils
+from lumenmill.operators import batch, gates, metrics, planning, policies, reports, stencils
 from lumenmill.sources import fixtures as fx
 from lumenmill.streaming import tasks
 
@@ -403,7 +403,79 @@ def client_progress(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("task_id", "event_id", shown.alias("shown"), F.least(F.lit(4), F.floor(shown / 100 * 5)).cast("int").alias("stage_index"))
 
 
+def next_actions(spark: SparkSession, d: str) -> DataFrame:
+    return fx.features(spark, d).select(*KEY, F.array_join(planning.next_actions(), ";").alias("actions"), *planning.suggested_strengths())
+
+
+def output_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles and formats as people type them: in capitals, with blanks and dots, unknown or not at all."""
+    asked = F.expr("CASE WHEN output_profile <> 'delivery_1080p' THEN CONCAT('  ', UPPER(output_profile)) WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 'studio_4k' ELSE output_profile END")
+    rows = fx.features(spark, d).withColumn("output_profile", asked).withColumn("requested_format", F.expr("CASE WHEN l_orderkey % 2 = 0 THEN CONCAT('.', requested_format, ' ') ELSE requested_format END"))
+    return planning.output_plan(rows).select(*KEY, "selected_output_profile", "selected_output_format", "aspect", "target_width", "target_height", "resize_policy", "was_upscaled")
+
+
+def long_edge_size(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.features(spark, d).withColumn("width", F.expr("CASE WHEN l_orderkey % 50 = 0 THEN 0 ELSE width END"))
+    w, h = planning.long_edge_size(F.col("width"), F.col("height"))
+    return rows.select(*KEY, w.alias("target_width"), h.alias("target_height"))
+
+
+def enhance_scope(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.features(spark, d).select(
+        *KEY, F.expr("CASE l_orderkey % 12 WHEN 0 THEN '客户头像' WHEN 1 THEN '夏季广告' ELSE 'img' END").alias("name"), "skin_ratio", F.col("text_density").alias("text_ratio"),
+        F.col("edge_density").alias("edge_ratio"), (F.col("color_pollution") / 5).alias("high_sat_ratio"), F.col("highlight_risk").alias("light_bg_ratio"),
+    )
+    found = F.split(planning.enhance_scope(F.col("name")), r"\|")
+    return rows.select(*KEY, found[0].alias("scope"), found[1].alias("reason"))
+
+
+def report_usage(spark: SparkSession, d: str) -> DataFrame:
+    own, status = F.expr("CASE WHEN l_orderkey % 10 = 0 THEN '仅供存档' WHEN l_orderkey % 10 = 1 THEN ' ' END"), F.expr("CASE WHEN l_orderkey % 7 = 0 THEN 'FAIL' ELSE 'PASS' END")
+    benefit = F.when(F.col("l_linenumber") == 4, planning.LOW_BENEFIT)
+    return fx.features(spark, d).select(*KEY, planning.usage_by_kind(own, status, benefit, F.col("image_type")).alias("suggested_usage"))
+
+
+def crop_box(spark: SparkSession, d: str) -> DataFrame:
+    """A crop of 160 x 120 moved inside its image, and the same crop in the image at 1920 x 1080."""
+    rows = fx.features(spark, d).withColumn("x", F.expr("CAST(l_orderkey * 7 % 3200 - 200 AS INT)")).withColumn("y", F.expr("CAST(l_orderkey * 11 % 2300 - 200 AS INT)"))
+    box = planning.clamped_box(F.col("x"), F.col("y"), F.lit(160), F.lit(120), F.col("width"), F.col("height"))
+    inside = rows.select(*KEY, "width", "height", *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
+    scaled = planning.scaled_box(tuple(F.col(n) for n in ("x0", "y0", "x1", "y1")), (F.col("width"), F.col("height")), (F.lit(1920), F.lit(1080)))
+    return inside.select(*KEY, "x0", "y0", "x1", "y1", *[b.alias(f"{n}_scaled") for b, n in zip(scaled, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth file was skipped, with a reason; the others have a size."""
+    files = fx.probe_files(spark, d)
+    skipped = files.where("doc_id % 4 = 0").select("doc_id", "file_name", F.when(F.col("has_alpha"), "alpha").otherwise("excluded").alias("skip_reason"))
+    return planning.report_rows(files.where("doc_id % 4 <> 0").select("doc_id", "file_name", "original_size_bytes"), skipped)
+
+
+def probe_rows_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return planning.rows_by_file(_probed(spark, d), "file_name", "method")
+
+
+def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The first value present of three, and as a whole number."""
+    values = [F.expr(e) for e in ("CASE WHEN o_orderkey % 3 = 0 THEN '' END", "CASE o_orderkey % 4 WHEN 0 THEN ' 12 ' WHEN 1 THEN '' WHEN 2 THEN '3.5' END", "CAST(o_orderkey AS STRING)")]
+    found = fx.table(spark, d, "orders").select("o_orderkey", planning.first_present(*values).alias("value"))
+    return found.select("o_orderkey", "value", planning.int_or_null(F.col("value")).alias("number"))
+
+
+def run_deltas(spark: SparkSession, d: str) -> DataFrame:
+    before, after = fx.runs(spark, d)
+    return planning.metric_deltas(before, after, "sample_id", "score")
+
+
+def task_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One request by task: some ask for the latest task, some for one that is unknown."""
+    events = fx.stages(spark, d)
+    asked = F.expr("CASE WHEN task_id % 50 = 0 THEN 'default' WHEN task_id % 7 = 0 THEN CONCAT('x', CAST(task_id AS STRING)) WHEN task_id % 7 = 1 THEN '-1' ELSE CAST(task_id AS STRING) END")
+    return tasks.requested(events.select(F.col("task_id").alias("request_id"), asked.alias("asked")).distinct(), events)
+
+
 ALL = (
+    next_actions, output_plan, long_edge_size, enhance_scope, report_usage, crop_box, report_rows, probe_rows_by_file, parsed_numbers, run_deltas, task_requests,
     raster_basic_metrics, raster_box_contrast, raster_sobel_edge_score, raster_dilate_erode, raster_block_probe, raster_color_state, raster_color_drift, raster_pixel_difference, raster_resize_nearest,
     raster_resize_area, raster_best_window, raster_quality_summary, raster_texture, raster_mid_frequency, raster_local_contrast, raster_smooth_region, raster_highlight_compress, raster_skin_saturation, raster_channel_match,
     raster_artifact_masks, raster_unsharp, raster_resize_cubic, raster_png, mask_set_ops, classify_type, target_size_plan, choose_format, material_policy, edge_policy, low_quality_policy, visual_policy,

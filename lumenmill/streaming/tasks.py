@@ -28,6 +28,21 @@ def progress(events: DataFrame) -> DataFrame:
     return rows.withColumn("progress", F.when(c("done"), 100).otherwise(F.least(F.lit(99), F.bround(c("index") / c("total") * 100, 0).cast("int"))))
 
 
+def requested(requests: DataFrame, events: DataFrame, alias: str = "default") -> DataFrame:
+    """The events that each request (request_id, asked) is to be shown: those of the task asked for, and for the alias those of the task that started last.
+
+    A request for an unknown task gets two events, and the second ends its stream.
+    """
+    last = events.groupBy("task_id").agg(F.min("ts").alias("started_at")).agg(F.max_by("task_id", F.struct("started_at", "task_id")).alias("last")).withColumn("alias", F.lit(alias))
+    named = requests.join(F.broadcast(last), c("asked") == c("alias"), "left")  # one row
+    named = named.select("request_id", "asked", F.when(c("alias").isNotNull(), c("last")).otherwise(c("asked").try_cast("long")).alias("task_id"))
+    found = named.join(progress(events), "task_id", "left")
+    event = lambda index, total, done: F.struct(index.cast("int").alias("index"), total.cast("long").alias("total"), done.alias("done"))
+    missing = F.array(*[event(F.lit(i), F.lit(2), F.lit(i == 2)) for i in (1, 2)])
+    shown = F.explode(F.when(c("event_id").isNull(), missing).otherwise(F.array(event(c("index"), c("total"), c("done"))))).alias("e")
+    return found.select("request_id", F.when(c("event_id").isNotNull(), c("task_id")).alias("task_id"), shown).select("request_id", "task_id", "e.index", "e.total", "e.done")
+
+
 def terminal_state(events: DataFrame) -> DataFrame:
     """One row a task: its status (the first terminal one, else the latest), when it ended, and how many events came after."""
     order = F.struct("ts", "event_id")
