@@ -88,8 +88,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenmill.llm.spelling import spelling_variants
+
+    found = spelling_variants(read(spark, sf_dir, "documents"), least_length=7, least_n=2, ratio=10, every=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op5_ngram_join, op6_lm_scores, op7_langid, op8_packing, op9_secrets, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_topk, op5_ngram_join, op6_lm_scores, op7_langid, op8_packing, op9_secrets, op10_exact_dedup, op11_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
