@@ -72,3 +72,19 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
 def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
+
+mixed = _mixed
+
+
+def steps(j: int) -> np.uint64:
+    """The factor of word j of a shingle."""
+    return _U(_STEPS[j % 8] * (2 * (j // 8) + 1) & (1 << 64) - 1)
+
+
+def hashed_runs(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the maximal runs of bytes that `inside` marks, A-Z in lower case, and where they begin and end."""
+    edge = np.diff(np.concatenate([[False], inside[raw], [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers_upto(len(raw) + 1)
+    at = np.concatenate([np.zeros(1, _U), np.cumsum((_LOW[raw].astype(_U) + _U(1)) * power[: len(raw)], dtype=_U)])
+    return _mixed((at[end] - at[start]) * inverse[start]), start, end
