@@ -1,18 +1,19 @@
-"""Neighbourhood operators on the long pixel table (image_id, y, x, value).
+"""Neighbourhood operators on the long pixel table (image_id, y, x, value), for rasters of any size.
 
 A raster is partitioned once, by image; windows over its rows and columns then only sort. Borders reflect without repeating
-the edge pixel: pixel -k is pixel k. ``padded`` writes the mirrored border as rows, so that plain frames cover it.
+the edge pixel: pixel -k is pixel k, as often as it takes where a raster is smaller than the radius. ``padded`` writes the mirrored border
+as rows, so that plain frames cover it. Tables may mix sizes; columns ``width`` and ``height`` are used where a table has them, and are
+found once from the pixels where it has not. The results have them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lumenmill.sources.fixtures import SIDE
-
 
 def row() -> WindowSpec:
     return Window.partitionBy("image_id", "y").orderBy("x")
@@ -22,29 +23,45 @@ def column() -> WindowSpec:
     return Window.partitionBy("image_id", "x").orderBy("y")
 
 
-def _mirrors(axis: str, radius: int, side: int) -> Column:
+def sized(px: DataFrame) -> DataFrame:
+    """px with the width and height of each pixel's image."""
+    if {"width", "height"} <= set(px.columns):
+        return px
+    image = Window.partitionBy("image_id")
+    return px.repartition("image_id").select("*", (F.max("x").over(image) + 1).alias("width"), (F.max("y").over(image) + 1).alias("height"))
+
+
+def _mirrors(axis: str, radius: int, side: Column) -> Column:
     """Where a pixel stands along one axis: its place, and its mirror images within radius of the edge."""
-    at = F.col(axis)
-    return F.array_compact(F.array(at.cast("long"), F.when((at >= 1) & (at <= radius), -at), F.when((at <= side - 2) & (at >= side - 1 - radius), 2 * (side - 1) - at)))
+    at, side = F.col(axis).cast("long"), side.cast("long")
+    once = F.array_compact(F.array(at, F.when((at >= 1) & (at <= radius), -at), F.when((at <= side - 2) & (at >= side - 1 - radius), 2 * (side - 1) - at)))
+    period = 2 * (side - 1)
+    turn = lambda t: F.when(side == 1, F.lit(0).cast("long")).otherwise(side - 1 - F.abs(side - 1 - F.pmod(t, period)))
+    often = F.filter(F.sequence(F.lit(-radius).cast("long"), side - 1 + radius), lambda t: turn(t) == at)
+    return F.when(side > radius, once).otherwise(often)
 
 
-def padded(px: DataFrame, radius: int, side: int = SIDE) -> DataFrame:
-    wide = px.withColumn("x", F.explode(_mirrors("x", radius, side)))
-    return wide.withColumn("y", F.explode(_mirrors("y", radius, side)))
+def padded(px: DataFrame, radius: int) -> DataFrame:
+    """px with its size and the mirrored pixels around it."""
+    wide = sized(px).withColumn("x", F.explode(_mirrors("x", radius, F.col("width"))))
+    return wide.withColumn("y", F.explode(_mirrors("y", radius, F.col("height"))))
 
 
-def inside(px: DataFrame, side: int = SIDE) -> DataFrame:
-    return px.where(F.col("x").between(0, side - 1) & F.col("y").between(0, side - 1))
+def inside(px: DataFrame) -> DataFrame:
+    return px.where((F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
 
 
 def neighbours(px: DataFrame, value: str = "l") -> DataFrame:
-    """Adds up, down, left, right and the four corners (ul, ur, dl, dr) of every pixel."""
-    rows = padded(px.repartition("image_id"), 1)
-    rows = rows.select("*", F.lag(value).over(row()).alias("left"), F.lead(value).over(row()).alias("right"))
-    rows = rows.select(
-        "*", *[f(c).over(column()).alias(n) for f, names in ((F.lag, ("up", "ul", "ur")), (F.lead, ("down", "dl", "dr"))) for c, n in zip((value, "left", "right"), names, strict=True)],
-    )
-    return inside(rows)
+    """Adds up, down, left, right and the four corners (ul, ur, dl, dr) of every pixel; beyond an edge stands the pixel before it, or the pixel itself if there is none."""
+
+    def pair(name: str, axis: WindowSpec) -> tuple[Column, Column]:
+        before, after = F.lag(name).over(axis), F.lead(name).over(axis)
+        return F.coalesce(before, after, F.col(name)), F.coalesce(after, before, F.col(name))
+
+    left, right = pair(value, row())
+    rows = px.repartition("image_id").select("*", left.alias("left"), right.alias("right"))
+    around = [c.alias(n) for v, names in ((value, ("up", "down")), ("left", ("ul", "dl")), ("right", ("ur", "dr"))) for c, n in zip(pair(v, column()), names, strict=True)]
+    return rows.select("*", *around)
 
 
 def laplacian(v: str = "l") -> Column:
@@ -66,10 +83,16 @@ def box(px: DataFrame, radius: int, agg, out: str, value: str = "l") -> DataFram
     return inside(rows.withColumn(out, agg("__row").over(column().rowsBetween(n - radius, n + radius))).drop("__row"))
 
 
-def resize_nearest(px: DataFrame, width: int, height: int, side: int = SIDE) -> DataFrame:
+def _targets(axis: str, size: int, side: Column) -> Column:
+    """The target pixels t of one axis whose floor(t * side / size) is this pixel."""
+    low, high = ((((F.col(axis) + k) * size + side - 1) / side).cast("long") for k in (0, 1))
+    return F.explode(F.when(high > low, F.sequence(low, high - 1)))
+
+
+def resize_nearest(px: DataFrame, width: int, height: int) -> DataFrame:
     """Every target pixel takes the source pixel at floor(target * side / size)."""
-    grid = lambda n, name: F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.floor(t * side / n) == F.col(name)))
-    return px.withColumn("tx", grid(width, "x")).withColumn("ty", grid(height, "y")).select("image_id", F.col("ty").cast("long").alias("y"), F.col("tx").cast("long").alias("x"), "l")
+    wide = sized(px).withColumn("tx", _targets("x", width, F.col("width")))
+    return wide.withColumn("ty", _targets("y", height, F.col("height"))).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "l")
 
 
 def resize_area(px: DataFrame, factor: int) -> DataFrame:
@@ -104,23 +127,40 @@ def quantized(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value + 0.5))).cast("int")
 
 
-def taps(spark: SparkSession, source: int, target: int) -> DataFrame:
-    """(src, dst, w): cubic weights (Keys, a = -0.75) of the four source pixels around each target pixel; the border repeats."""
-    a, rows = -0.75, []
-    for dst in range(target):
-        at = (dst + 0.5) * source / target - 0.5
-        first = math.floor(at) - 1
-        for src in range(first, first + 4):
-            t = abs(at - src)
-            w = ((a + 2) * t - (a + 3)) * t * t + 1 if t <= 1 else (((t - 5) * t + 8) * t - 4) * a
-            rows.append((min(max(src, 0), source - 1), dst, w))
-    return spark.createDataFrame(rows, "src long, dst long, w double")
-
-
-def resize_cubic(px: DataFrame, width: int, height: int, side: int = SIDE) -> DataFrame:
-    """A resized raster: weighted sums along x and then y, rounded and cut to bytes. The taps are four rows a target pixel of one axis."""
-    spark = px.sparkSession
-    x, y = F.broadcast(taps(spark, side, width)), F.broadcast(taps(spark, side, height))
-    wide = px.join(x, F.col("x") == F.col("src")).groupBy("image_id", "y", F.col("dst").alias("tx")).agg(F.sum(F.col("l") * F.col("w")).alias("v"))
-    out = wide.join(y, F.col("y") == F.col("src")).groupBy("image_id", F.col("dst").alias("ty"), "tx").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), quantized(F.round("v", 9)).alias("l"))
+def cubic(t: Column) -> Column:
+    """The cubic kernel (Keys, a = -0.75), which reaches two pixels."""
+    a = -0.75
+    return F.when(t <= 1, ((a + 2) * t - (a + 3)) * t * t + 1).otherwise((((t - 5) * t + 8) * t - 4) * a)
+
+
+def lanczos(t: Column) -> Column:
+    """The Lanczos kernel of four lobes."""
+    wave = 4 * F.sin(math.pi * t) * F.sin(math.pi * t / 4) / (math.pi * math.pi * t * t)
+    return F.when(t == 0, F.lit(1.0)).when(t < 4, wave).otherwise(F.lit(0.0))
+
+
+def taps(sides: DataFrame, target: int, kernel: Callable[[Column], Column], reach: int) -> DataFrame:
+    """(side, src, dst, w): the normalised weights of the 2 * reach source pixels around each target pixel, for every length of an axis; the border repeats."""
+    at = (F.col("dst") + 0.5) * F.col("side") / target - 0.5
+    rows = sides.select("side", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias("dst")).select("side", "dst", at.alias("at"), F.explode(F.sequence(F.lit(1 - reach), F.lit(reach))).alias("o"))
+    src = F.floor("at") + F.col("o")
+    rows = rows.select("side", "dst", F.greatest(F.lit(0), F.least(F.col("side") - 1, src)).cast("long").alias("src"), kernel(F.abs(F.col("at") - src)).alias("w"))
+    sums = rows.groupBy("side", "dst", "src").agg(F.sum("w").alias("w"))
+    return sums.select("side", "dst", "src", (F.col("w") / F.sum("w").over(Window.partitionBy("side", "dst"))).alias("w"))
+
+
+def resize(px: DataFrame, width: int, height: int, kernel: Callable[[Column], Column], reach: int) -> DataFrame:
+    """A resized raster: weighted sums along x and then y, rounded and cut to bytes. Weights are one small table by side length, 2 * reach rows a target pixel."""
+    px = sized(px)
+    x, y = (taps(px.select(F.col(c).cast("long").alias("side")).distinct(), n, kernel, reach) for c, n in (("width", width), ("height", height)))
+    wide = px.join(x, (F.col("width") == F.col("side")) & (F.col("x") == F.col("src"))).groupBy("image_id", "height", "y", F.col("dst").alias("tx")).agg(F.sum(F.col("l") * F.col("w")).alias("v"))
+    out = wide.join(y, (F.col("height") == F.col("side")) & (F.col("y") == F.col("src"))).groupBy("image_id", F.col("dst").alias("ty"), "tx").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return out.select("image_id", F.col("ty").cast("long").alias("y"), F.col("tx").cast("long").alias("x"), quantized(F.round("v", 9)).alias("l"))
+
+
+def resize_cubic(px: DataFrame, width: int, height: int) -> DataFrame:
+    return resize(px, width, height, cubic, 2)
+
+
+def resize_lanczos(px: DataFrame, width: int, height: int) -> DataFrame:
+    return resize(px, width, height, lanczos, 4)

@@ -37,6 +37,21 @@ def px3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.where("b IS NOT NULL AND g IS NOT NULL AND r IS NOT NULL")
 
 
+#: Drawings of many sizes, one a supplier k: a soft ground with a bright block, a dark rule, a slanting stroke, dots and rows of small strokes.
+DRAWING_SIZE = ["s_suppkey AS image_id", "24 + (s_suppkey * 7) % 29 AS width", "22 + (s_suppkey * 11) % 19 AS height"]
+DRAWING_PIXEL = """CASE WHEN x BETWEEN 3 + image_id % 5 AND 12 + image_id % 7 AND y BETWEEN 3 AND 9 + image_id % 4 THEN 210
+ WHEN y = 14 + image_id % 3 AND x BETWEEN 2 AND width - 4 THEN 20 WHEN x - y = image_id % 6 - 2 AND y > 4 THEN 235
+ WHEN (x * y + image_id) % 31 = 0 AND y > 17 AND x < 20 THEN 10 WHEN y BETWEEN height - 5 AND height - 3 AND x % 3 = 0 AND x > 20 THEN 15
+ ELSE 80 + abs((x * 2 + y + image_id) % 60 - 30) END"""
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray rasters of mixed sizes, none square by rule: (image_id, width, height, y, x, l)."""
+    rows = table(spark, sf_dir, "supplier").selectExpr(*DRAWING_SIZE)
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    return rows.select("image_id", F.col("width").cast("long"), F.col("height").cast("long"), F.col("y").cast("long"), F.col("x").cast("long"), F.expr(DRAWING_PIXEL).cast("int").alias("l"))
+
+
 def _share(k: int, j: int, scale: float, off: float = 0.0) -> str:
     return f"((l_orderkey * {k} + l_linenumber * {j}) % 1000) / CAST({scale} AS DOUBLE) + CAST({off} AS DOUBLE)"
 

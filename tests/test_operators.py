@@ -32,18 +32,63 @@ def test_scalars(spark):
     assert tuple(got) == ("a_b__c _ d", True, "<redacted>, mail <redacted>", 0.0, "m")
 
 
-@pytest.mark.parametrize("radius", [1, 3])
-def test_box_reflects_at_the_border(spark, radius):
-    rng = random.Random(radius)
-    side = 6
-    image = [[rng.randrange(256) for _ in range(side)] for _ in range(side)]
-    df = spark.createDataFrame([(0, y, x, image[y][x]) for y in range(side) for x in range(side)], "image_id long, y long, x long, l int")
-    at = lambda t: abs(side - 1 - abs(side - 1 - t))
-    n = stencils.Window.currentRow
-    rows = stencils.padded(df, radius, side).withColumn("s", F.sum("l").over(stencils.row().rowsBetween(n - radius, n + radius)))
-    rows = stencils.inside(rows.withColumn("s", F.sum("s").over(stencils.column().rowsBetween(n - radius, n + radius))), side)
+#: One pixel, one row, one column, sides under every radius, and sides that are not equal.
+SIZES = [(1, 1), (1, 7), (5, 1), (2, 3), (6, 6), (19, 4), (64, 48)]
+
+
+def reflected(t, side):
+    while not 0 <= t < side:
+        t = 0 if side == 1 else -t if t < 0 else 2 * (side - 1) - t
+    return t
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Images of all sizes in one table, and as lists."""
+    rng = random.Random(1)
+    images = [[[rng.randrange(256) for _ in range(w)] for _ in range(h)] for w, h in SIZES]
+    df = spark.createDataFrame([(i, y, x, v) for i, image in enumerate(images) for y, line in enumerate(image) for x, v in enumerate(line)], "image_id long, y long, x long, l int")
+    return df.repartition(3), images
+
+
+@pytest.mark.parametrize("radius", [1, 3, 6])
+def test_box_reflects_at_the_border(mixed, radius):
+    df, images = mixed
     span = range(-radius, radius + 1)
-    assert {(r.y, r.x): r.s for r in rows.collect()} == {(y, x): sum(image[at(y + j)][at(x + k)] for j in span for k in span) for y in range(side) for x in range(side)}
+    total = lambda image, y, x: sum(image[reflected(y + j, len(image))][reflected(x + k, len(image[0]))] for j in span for k in span)
+    want = {(i, y, x): total(image, y, x) for i, image in enumerate(images) for y in range(len(image)) for x in range(len(image[0]))}
+    assert {(r.image_id, r.y, r.x): r.s for r in stencils.box(df, radius, F.sum, "s").collect()} == want
+
+
+def test_neighbours_of_images_of_any_size(mixed):
+    df, images = mixed
+    at = {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1), "ul": (-1, -1), "ur": (-1, 1), "dl": (1, -1), "dr": (1, 1)}
+    got = stencils.neighbours(df).collect()
+    assert len(got) == sum(w * h for w, h in SIZES)
+    for r in got:
+        image = images[r.image_id]
+        for name, (j, k) in at.items():
+            assert r[name] == image[reflected(r.y + j, len(image))][reflected(r.x + k, len(image[0]))]
+
+
+def test_gaussian_of_images_of_any_size(mixed):
+    df, images = mixed
+    half = stencils.weights(2.0)
+    kernel = {k: half[abs(k)] for k in range(1 - len(half), len(half))}
+    for r in stencils.gaussian(df, 2.0, "v").collect():
+        image = images[r.image_id]
+        want = sum(a * b * image[reflected(r.y + j, len(image))][reflected(r.x + k, len(image[0]))] for j, a in kernel.items() for k, b in kernel.items())
+        assert abs(r.v - want) < 1e-6
+
+
+def test_resizes_of_images_of_any_size(mixed):
+    df, images = mixed
+    want = {(i, y, x): image[y * len(image) // 5][x * len(image[0]) // 9] for i, image in enumerate(images) for y in range(5) for x in range(9)}
+    assert {(r.image_id, r.y, r.x): r.l for r in stencils.resize_nearest(df, 9, 5).collect()} == want
+    for resize in (stencils.resize_cubic, stencils.resize_lanczos):
+        same = resize(df.where("image_id = 5"), 19, 4).collect()
+        assert {(r.y, r.x): r.l for r in same} == {(y, x): images[5][y][x] for y in range(4) for x in range(19)}
+        assert resize(df, 9, 5).count() == len(SIZES) * 45
 
 
 def test_rename_plan_of_one_large_family(spark):

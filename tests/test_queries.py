@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
-    for name in ("nation", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings"):
+    for name in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
