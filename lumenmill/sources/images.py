@@ -11,6 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from lumenmill.functions.color import gray
 
 # The suffixes of image files.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff")
@@ -24,28 +27,44 @@ def list_images(spark: SparkSession, *folders: str) -> DataFrame:
     return named.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).dropDuplicates(["path"])
 
 
+@F.pandas_udf(BooleanType())
+def _transparent(data: pd.Series) -> pd.Series:
+    """Whether some alpha of a four-channel image is under 250."""
+    return data.map(lambda d: bool(len(d)) and bool(np.frombuffer(d, np.uint8)[3::4].min() < 250))
+
+
 def read_images(spark: SparkSession, *folders: str) -> DataFrame:
     """origin, width, height, n_channels, has_alpha, has_real_alpha (some alpha under 250) and data; files that do not decode are left out."""
     rows = spark.read.format("image").option("dropInvalid", True).load([*folders]).select("image.*")
-    alphas = F.expr("transform(sequence(4, greatest(4, length(data)), 4), i -> cast(conv(hex(substring(data, i, 1)), 16, 10) AS int))")
-    return rows.select(
-        "origin", "width", "height", F.col("nChannels").alias("n_channels"), (F.col("nChannels") == 4).alias("has_alpha"),
-        F.when(F.col("nChannels") == 4, F.exists(alphas, lambda a: a < 250)).otherwise(False).alias("has_real_alpha"), "data",
-    )
+    alpha = F.col("nChannels") == 4
+    return rows.select("origin", "width", "height", F.col("nChannels").alias("n_channels"), alpha.alias("has_alpha"), F.when(alpha, _transparent("data")).otherwise(False).alias("has_real_alpha"), "data")
 
 
 def to_px(images: DataFrame) -> DataFrame:
-    """Long form (origin, y, x, b, g, r); gray images have three equal channels. An image's bytes are cut in its own task."""
+    """Long form (origin, width, height, y, x, b, g, r); gray images have three equal channels. An image's bytes are cut in its own task, in bands of rows."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for origin, w, h, n, data in batch.itertuples(index=False):
                 flat = np.frombuffer(data, np.uint8).reshape(h * w, n)
-                b, g, r = (flat[:, min(i, n - 1) if n < 3 else i].astype(np.int32) for i in range(3))
-                at = np.arange(h * w)
-                yield pd.DataFrame({"origin": origin, "y": at // w, "x": at % w, "b": b, "g": g, "r": r})
+                band = max(1, 200_000 // max(1, w)) * w
+                for first in range(0, h * w, band):
+                    part = flat[first : first + band]
+                    at = np.arange(first, first + len(part))
+                    b, g, r = (part[:, min(i, n - 1) if n < 3 else i].astype(np.int32) for i in range(3))
+                    yield pd.DataFrame({"origin": origin, "width": w, "height": h, "y": at // w, "x": at % w, "b": b, "g": g, "r": r})
+
+    return images.select("origin", "width", "height", "n_channels", "data").mapInPandas(cut, "origin string, width long, height long, y long, x long, b int, g int, r int")
+
+
+def color_rasters(images: DataFrame) -> DataFrame:
+    """The pixels of images as the colour metrics take them: image_id is the file."""
+    return to_px(images).withColumnRenamed("origin", "image_id")
+
 
-    return images.select("origin", "width", "height", "n_channels", "data").mapInPandas(cut, "origin string, y long, x long, b int, g int, r int")
+def gray_rasters(images: DataFrame) -> DataFrame:
+    """The pixels of images as the stencils and gray metrics take them: image_id is the file, l the lightness."""
+    return to_px(images).select(F.col("origin").alias("image_id"), "width", "height", "y", "x", gray(F.col("b"), F.col("g"), F.col("r")).alias("l"))
 
 
 def png(width: int, height: int, gray: bytes) -> bytes:

@@ -4,6 +4,7 @@ import hashlib
 import struct
 import zlib
 
+from lumenmill.operators import metrics
 from lumenmill.sources import fixtures, images
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +21,17 @@ def test_png_round_trip(spark, tmp_path):
     assert back == {(r.image_id, r.y, r.x): (r.l, r.l, r.l) for r in px.collect()}
 
 
+def test_files_on_disk_give_their_metrics(spark, tmp_path):
+    px = fixtures.drawings(spark, SF).where("image_id <= 3").cache()
+    images.write_files(images.encode(px), str(tmp_path)).collect()
+    read = images.gray_rasters(images.read_images(spark, str(tmp_path)))
+    names = lambda df: {(str(r.image_id).rsplit("/", 1)[-1].removesuffix(".png"), *tuple(r)[1:]) for r in df.collect()}
+    assert names(read.select("image_id", "width", "height").distinct()) == names(px.select("image_id", "width", "height").distinct())
+    for metric in (metrics.basic_metrics, metrics.box_contrast, metrics.sobel_edges):
+        found = names(metric(read))
+        assert found == names(metric(px)) and len(found) == 4
+
+
 def test_alpha_is_real_only_if_something_is_transparent(spark, tmp_path):
     def rgba(alpha):
         chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
