@@ -31,7 +31,7 @@ def sized(px: DataFrame) -> DataFrame:
     return px.repartition("image_id").select("*", (F.max("x").over(image) + 1).alias("width"), (F.max("y").over(image) + 1).alias("height"))
 
 
-def _mirrors(axis: str, radius: int, side: Column) -> Column:
+def _mirrors(axis: str, radius: int | Column, side: Column) -> Column:
     """Where a pixel stands along one axis: its place, and its mirror images within radius of the edge."""
     at, side = F.col(axis).cast("long"), side.cast("long")
     once = F.array_compact(F.array(at, F.when((at >= 1) & (at <= radius), -at), F.when((at <= side - 2) & (at >= side - 1 - radius), 2 * (side - 1) - at)))
@@ -41,8 +41,8 @@ def _mirrors(axis: str, radius: int, side: Column) -> Column:
     return F.when(side > radius, once).otherwise(often)
 
 
-def padded(px: DataFrame, radius: int) -> DataFrame:
-    """px with its size and the mirrored pixels around it."""
+def padded(px: DataFrame, radius: int | Column) -> DataFrame:
+    """px with its size and the mirrored pixels around it; the radius may hang on the image."""
     wide = sized(px).withColumn("x", F.explode(_mirrors("x", radius, F.col("width"))))
     return wide.withColumn("y", F.explode(_mirrors("y", radius, F.col("height"))))
 
@@ -51,12 +51,17 @@ def inside(px: DataFrame) -> DataFrame:
     return px.where((F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
 
 
-def neighbours(px: DataFrame, value: str = "l") -> DataFrame:
-    """Adds up, down, left, right and the four corners (ul, ur, dl, dr) of every pixel; beyond an edge stands the pixel before it, or the pixel itself if there is none."""
+def neighbours(px: DataFrame, value: str = "l", edge: str = "reflect") -> DataFrame:
+    """Adds up, down, left, right and the four corners (ul, ur, dl, dr) of every pixel.
+
+    Beyond an edge stands the pixel on the other side, or the pixel itself if there is none (reflect), the pixel itself (repeat), or 0 (zero).
+    """
 
     def pair(name: str, axis: WindowSpec) -> tuple[Column, Column]:
-        before, after = F.lag(name).over(axis), F.lead(name).over(axis)
-        return F.coalesce(before, after, F.col(name)), F.coalesce(after, before, F.col(name))
+        before, after, own = F.lag(name).over(axis), F.lead(name).over(axis), F.col(name)
+        if edge == "zero":
+            return F.coalesce(before, F.lit(0)), F.coalesce(after, F.lit(0))
+        return (F.coalesce(before, own), F.coalesce(after, own)) if edge == "repeat" else (F.coalesce(before, after, own), F.coalesce(after, before, own))
 
     left, right = pair(value, row())
     rows = px.repartition("image_id").select("*", left.alias("left"), right.alias("right"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.operators import metrics, stencils
+from lumenmill.operators import areas, metrics, regions, stencils, tone
 from lumenmill.sources import fixtures as fx
 
 
@@ -40,6 +40,82 @@ def drawing_resize_lanczos(spark: SparkSession, d: str) -> DataFrame:
     return stencils.resize_lanczos(fx.drawings(spark, d), 37, 19)
 
 
+def _marks(px: DataFrame) -> DataFrame:
+    """What stands out from the ground of a drawing."""
+    return px.where("l > 150 OR l < 30").select("image_id", "y", "x")
+
+
+def drawing_regions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.regions(_marks(fx.drawings(spark, d)))
+
+
+def drawing_region_stats(spark: SparkSession, d: str) -> DataFrame:
+    px = fx.drawings(spark, d)
+    return regions.region_stats(px.select("image_id", "width", "height").distinct(), _marks(px))
+
+
+def _counted(px: DataFrame, mask: DataFrame) -> DataFrame:
+    """The size and share of a mask in every image, and a sum by which its place is known."""
+    sizes = px.select("image_id", "width", "height").distinct()
+    m = mask.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+    zero = F.lit(0).cast("long")
+    return sizes.join(m, "image_id", "left").select("image_id", F.coalesce("n", zero).alias("pixels"), F.round(F.coalesce("n", zero) / (F.col("width") * F.col("height")), 6).alias("density"), F.coalesce("places", zero).alias("places"))
+
+
+def drawing_canny(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the drawings, a little blurred, with thresholds from the median."""
+    px = fx.drawings(spark, d)
+    soft = stencils.gaussian(px, 0.6, "v").select("image_id", "width", "height", "y", "x", stencils.quantized(F.round("v", 9)).alias("l"))
+    return _counted(px, regions.edges(soft))
+
+
+def drawing_edge_density(spark: SparkSession, d: str) -> DataFrame:
+    px = fx.drawings(spark, d)
+    return _counted(px, regions.edges(px, 55, 155, squared=False))
+
+
+def drawing_stable_edges(spark: SparkSession, d: str) -> DataFrame:
+    px = fx.drawings(spark, d)
+    return _counted(px, regions.stable_regions(regions.edges(px, 55, 155, squared=False)))
+
+
+def drawing_segments(spark: SparkSession, d: str) -> DataFrame:
+    return regions.line_segments(regions.edges(fx.drawings(spark, d), 50, 150, squared=False), least_votes=12, least_length=8, most_gap=3)
+
+
+def drawing_line_score(spark: SparkSession, d: str) -> DataFrame:
+    px = fx.drawings(spark, d)
+    return regions.line_density(px, regions.line_segments(regions.edges(px, 50, 150, squared=False), least_votes=12, least_length=8, most_gap=3))
+
+
+def drawing_local_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the equalized drawings, and a sum by which each pixel's place counts."""
+    out = tone.micro_contrast(fx.drawings(spark, d), 0.6)
+    return out.groupBy("image_id").agg(F.sum("l").alias("total"), F.sum(F.col("l") * (F.col("y") * 7 + F.col("x"))).alias("placed"), F.min("l").alias("least"), F.max("l").alias("most"))
+
+
+def drawing_best_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of most detail, of three sizes; one is larger than some drawings."""
+    px = stencils.neighbours(fx.drawings(spark, d)).select("image_id", "width", "height", "y", "x", F.abs(stencils.laplacian()).cast("long").alias("v"))
+    return areas.best_windows(px, "v", [(8, 8), (16, 5), (40, 60)], step=2)
+
+
+def drawing_focus_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return areas.focus_boxes(fx.drawings(spark, d), least=12)
+
+
+def drawing_texture_crops(spark: SparkSession, d: str) -> DataFrame:
+    return areas.texture_crops(fx.drawings(spark, d), 30, 20)
+
+
+def drawing_edge_crops(spark: SparkSession, d: str) -> DataFrame:
+    return areas.edge_crops(fx.drawings(spark, d), 30, 20)
+
+
+def drawing_review_crops(spark: SparkSession, d: str) -> DataFrame:
+    return areas.review_crops(fx.drawings(spark, d), width=(12, 40), height=(10, 30), most=3)
+
+
 PX = "dz AS (SELECT " + ", ".join(fx.DRAWING_SIZE) + f""" FROM supplier), px AS (SELECT image_id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, y, x, CAST({fx.DRAWING_PIXEL} AS INT) AS l
   FROM dz, range(60) a(y), range(60) b(x) WHERE y < height AND x < width)"""
 
@@ -54,9 +130,9 @@ AROUND = {"up": (-1, 0), "down": (1, 0), "lf": (0, -1), "rt": (0, 1), "ul": (-1,
 
 def around(src: str, out: str, value: str = "l", edge: str = "reflect") -> str:
     """CTE: every pixel of src with its eight neighbours, the Laplacian, and the Sobel sums gx and gy."""
-    place = lambda c, o, side: _at(f"c.{c} + ({o})", f"c.{side}") if edge == "reflect" else f"least(c.{side} - 1, greatest(0, c.{c} + ({o})))"
-    joins = " ".join(f"JOIN {src} {n} ON {n}.image_id = c.image_id AND {n}.y = {place('y', dy, 'height')} AND {n}.x = {place('x', dx, 'width')}" for n, (dy, dx) in AROUND.items())
-    return f""", {out}_n AS (SELECT c.*, {", ".join(f"{n}.{value} AS {n}" for n in AROUND)} FROM {src} c {joins}),
+    place = lambda c, o, side: {"reflect": _at(f"c.{c} + ({o})", f"c.{side}"), "repeat": f"least(c.{side} - 1, greatest(0, c.{c} + ({o})))", "zero": f"c.{c} + ({o})"}[edge]
+    joins = " ".join(f"{'LEFT ' if edge == 'zero' else ''}JOIN {src} {n} ON {n}.image_id = c.image_id AND {n}.y = {place('y', dy, 'height')} AND {n}.x = {place('x', dx, 'width')}" for n, (dy, dx) in AROUND.items())
+    return f""", {out}_n AS (SELECT c.*, {", ".join(f"coalesce({n}.{value}, 0) AS {n}" for n in AROUND)} FROM {src} c {joins}),
       {out} AS (SELECT *, CAST(up + down + lf + rt - 4 * {value} AS DOUBLE) AS lap, CAST(ur + 2 * rt + dr - ul - 2 * lf - dl AS DOUBLE) AS gx, CAST(dl + 2 * down + dr - ul - 2 * up - ur AS DOUBLE) AS gy FROM {out}_n)"""
 
 
@@ -88,19 +164,111 @@ def _lanczos(axis: str, size: str, target: int) -> str:
       t_{axis} AS (SELECT side, dst, src, sum(w) / sum(sum(w)) OVER (PARTITION BY side, dst) AS w FROM k_{axis} GROUP BY side, dst, src)"""
 
 
+NEXT = "n.image_id = f.image_id AND n.y BETWEEN f.y - 1 AND f.y + 1 AND n.x BETWEEN f.x - 1 AND f.x + 1"
+
+
+def labels(src: str, out: str) -> str:
+    """CTE: the pixels of a mask with the smallest place (y * 1000 + x) that they are connected with."""
+    return f""", {out} (image_id, y, x, label) USING KEY (image_id, y, x) AS (SELECT image_id, y, x, y * 1000 + x FROM {src} UNION (SELECT n.image_id, n.y, n.x, min(f.label) FROM {out} f JOIN {src} n ON {NEXT}
+      JOIN recurring.{out} r ON r.image_id = n.image_id AND r.y = n.y AND r.x = n.x WHERE f.label < r.label GROUP BY n.image_id, n.y, n.x))"""
+
+
+def canny(src: str, out: str, low: str, high: str, size: str) -> str:
+    """CTE: edge pixels, from strong ones through weak ones. low and high may be columns of th (one row an image)."""
+    return f"""{around(src, "gd", edge="repeat")}, gs AS (SELECT image_id, width, height, y, x, gx, gy, {size} AS size FROM gd){around("gs", "gn", "size", "zero").replace("SELECT *, CAST(up + down", "SELECT * EXCLUDE (gx, gy), gx AS sx, gy AS sy, CAST(up + down")},
+      tn AS (SELECT gn.*, CASE WHEN abs(sy) < abs(sx) * CAST(0.41421356237 AS DOUBLE) THEN size > lf AND size >= rt WHEN abs(sy) > abs(sx) * CAST(2.41421356237 AS DOUBLE) THEN size > up AND size >= down
+        WHEN sx * sy >= 0 THEN size > ul AND size > dr ELSE size > ur AND size > dl END AS peak FROM gn),
+      wk AS (SELECT image_id, y, x, size > {high} AS strong FROM tn JOIN th USING (image_id) WHERE peak AND size > {low}),
+      {out} AS (SELECT image_id, y, x FROM wk WHERE strong UNION SELECT n.image_id, n.y, n.x FROM {out} f JOIN wk n ON {NEXT})"""
+
+
+def _count(mask: str) -> str:
+    return f"""SELECT dz.image_id, count(m.image_id) AS pixels, ROUND(count(m.image_id) / CAST(any_value(width * height) AS DOUBLE), 6) AS density, CAST(coalesce(sum(m.y * 1000 + m.x), 0) AS BIGINT) AS places
+        FROM dz LEFT JOIN {mask} m USING (image_id) GROUP BY dz.image_id"""
+
+
+MARKS = PX + ", mk AS (SELECT image_id, y, x FROM px WHERE l > 150 OR l < 30)"
+REGIONS = f"""{MARKS}{labels("mk", "cc")}, rg AS (SELECT image_id, label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, ROUND(avg(x), 4) AS mean_x, ROUND(avg(y), 4) AS mean_y FROM cc GROUP BY image_id, label)"""
+L1, L2 = "abs(gx) + abs(gy)", "sqrt(gx * gx + gy * gy)"
+FIXED = lambda low, high: f"{PX}, th AS (SELECT image_id, {low} AS low, {high} AS high FROM dz)" + canny("px", "ed", "low", "high", L1)
+SEGMENTS = f"""{FIXED(50, 150)}, vt AS (SELECT image_id, y, x, theta, CAST(floor(x * round(cos(radians(theta)), 6) + y * round(sin(radians(theta)), 6) + 0.5) AS BIGINT) AS rho FROM ed, range(180) t(theta)),
+  ac AS (SELECT image_id, theta, rho, count(*) AS votes FROM vt GROUP BY ALL HAVING count(*) >= 12),
+  pk AS (SELECT * FROM ac a WHERE NOT EXISTS (SELECT 1 FROM ac b WHERE b.image_id = a.image_id AND b.theta BETWEEN a.theta - 1 AND a.theta + 1 AND b.rho BETWEEN a.rho - 1 AND a.rho + 1 AND (b.votes > a.votes OR (b.votes = a.votes AND (b.theta, b.rho) < (a.theta, a.rho))))),
+  ow AS (SELECT image_id, y, x, theta, rho, round(y * round(cos(radians(theta)), 6) - x * round(sin(radians(theta)), 6), 6) AS t, row_number() OVER (PARTITION BY image_id, y, x ORDER BY votes DESC, theta, rho) AS turn FROM vt JOIN pk USING (image_id, theta, rho)),
+  gp AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3 THEN 1 ELSE 0 END AS gap FROM ow WHERE turn = 1 WINDOW w AS (PARTITION BY image_id, theta, rho ORDER BY t, y, x)),
+  pt AS (SELECT *, sum(gap) OVER (PARTITION BY image_id, theta, rho ORDER BY t, y, x ROWS UNBOUNDED PRECEDING) AS part FROM gp),
+  sg AS (SELECT image_id, theta, rho, arg_min(x, (t, y, x)) AS x0, arg_min(y, (t, y, x)) AS y0, arg_max(x, (t, y, x)) AS x1, arg_max(y, (t, y, x)) AS y1, ROUND(max(t) - min(t), 4) AS length, count(*) AS pixels FROM pt GROUP BY image_id, theta, rho, part HAVING max(t) - min(t) >= 8)"""
+
+
+def _crops(score: str, w: str, h: str, parts: int) -> str:
+    """The crop around the pixel whose surroundings have the largest sum of px.{score}."""
+    start = lambda at, size, side: f"greatest(0, least({side} - {size}, CAST(trunc({at} - {size} / CAST(2 AS DOUBLE)) AS BIGINT)))"
+    return f"""ks AS (SELECT image_id, width, height, {w} AS cw, {h} AS ch, greatest(8, {w} // {parts}) AS kw, greatest(8, {h} // {parts}) AS kh FROM dz),
+      ar AS (SELECT c.image_id, c.y, c.x, sum(n.v) AS s FROM sc c JOIN ks ON ks.image_id = c.image_id, range(20) a(j), range(20) b(k) JOIN sc n ON n.image_id = c.image_id
+        AND n.y = {_at("c.y - kh // 2 + j", "c.height")} AND n.x = {_at("c.x - kw // 2 + k", "c.width")} WHERE j < kh AND k < kw GROUP BY ALL),
+      tp AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ROUND(s, 6) DESC, y, x) AS turn FROM ar),
+      cr AS (SELECT image_id, {start("x", "cw", "width")} AS x0, {start("y", "ch", "height")} AS y0, {start("x", "cw", "width")} + cw AS x1, {start("y", "ch", "height")} + ch AS y1 FROM tp JOIN ks USING (image_id) WHERE turn = 1)"""
+
+
+LAPLACE = f"{PX}{around('px', 'nb')}, sc AS (SELECT image_id, width, height, y, x, abs(lap) AS v FROM nb), "
+STEEP = f"{PX}{around('px', 'nb')}, sc AS (SELECT image_id, width, height, y, x, sqrt(gx * gx + gy * gy) AS v FROM nb), "
+_REVIEW = ("least(width, least(40, greatest(12, width // 4)))", "least(height, least(30, greatest(10, height // 4)))", 5)
+
 SQL = {
     "drawing_metrics": f"""WITH {PX}{around("px", "nb")} SELECT image_id, ROUND(avg(l), 4) AS brightness, ROUND(stddev_pop(l), 4) AS contrast, ROUND(var_pop(lap), 4) AS sharpness, ROUND(avg(abs(lap)), 4) AS mean_abs_laplacian,
         ROUND(quantile_cont(abs(lap), 0.95), 4) AS p95_abs_laplacian, ROUND({clip("(coalesce(stddev_pop(l) FILTER (abs(lap) < 2.5), stddev_pop(l) * 0.35) - 1.8) / CAST(16.2 AS DOUBLE) * 100", 0, 100)}, 4) AS noise_score FROM nb GROUP BY image_id""",
     "drawing_edges_sobel": f"WITH {PX}{around('px', 'nb')}, g AS (SELECT image_id, sqrt(gx * gx + gy * gy) AS size FROM nb) SELECT image_id, ROUND(avg(size), 4) AS edge_score, ROUND(avg(CAST(size > 200 AS INT)), 4) AS strong_edge_ratio, ROUND(max(size), 4) AS max_gradient FROM g GROUP BY image_id",
     "drawing_box_contrast": f"WITH {PX}{box('px', 'bx', 4)} SELECT image_id, ROUND(avg(abs(l - total / 81.0)), 4) AS local_contrast, ROUND({clip('(avg(abs(l - total / 81.0)) - 4) / CAST(18 AS DOUBLE) * 100', 0, 100)}, 4) AS local_contrast_score FROM bx GROUP BY image_id",
-    "drawing_texture": f"""WITH {PX}{blur(1.35, "px", "wide")}{blur(1.15, "px", "narrow")}, d AS (SELECT image_id, abs(a.l - {byte("a.v")}) AS high, abs(a.l - {byte("b.v")}) AS fine FROM wide a JOIN narrow b USING (image_id, y, x))
-        SELECT image_id, ROUND(avg(CAST(high > 8 AS INT)), 4) AS texture_density, ROUND({clip("ln(1 + avg(fine)) * 16", 0, 100)}, 4) AS high_frequency_score FROM d GROUP BY image_id""",
+    "drawing_texture": f"""WITH {PX}{blur(1.35, "px", "wide")}{blur(1.15, "px", "narrow")} SELECT px.image_id, ROUND(avg(CAST(abs(px.l - {byte("wide.v")}) > 8 AS INT)), 4) AS texture_density,
+        ROUND({clip(f"ln(1 + avg(abs(px.l - {byte('narrow.v')}))) * 16", 0, 100)}, 4) AS high_frequency_score FROM px JOIN wide USING (image_id, y, x) JOIN narrow USING (image_id, y, x) GROUP BY px.image_id""",
     "drawing_morphology": f"""WITH {PX}{box("px", "bx", 1)}{box("bx", "up", 1, "hi")}{box("bx", "dn", 1, "lo")}, m AS (SELECT px.image_id, px.l, up.lo AS closed, dn.hi AS opened FROM px JOIN up USING (image_id, y, x) JOIN dn USING (image_id, y, x))
         SELECT image_id, CAST(sum(closed) AS BIGINT) AS closed_sum, CAST(sum(opened) AS BIGINT) AS opened_sum, CAST(sum(closed - l) AS BIGINT) AS black_hat_sum, CAST(sum(l - opened) AS BIGINT) AS top_hat_sum, max(greatest(closed - l, l - opened)) AS max_hat FROM m GROUP BY image_id""",
     "drawing_resize_nearest": f"WITH {PX} SELECT image_id, ty AS y, tx AS x, l FROM px, range(30) a(ty), range(40) b(tx) WHERE y = ty * height // 30 AND x = tx * width // 40",
     "drawing_resize_lanczos": f"""WITH {PX}, {_lanczos("x", "width", 37)}, {_lanczos("y", "height", 19)},
         wide AS (SELECT image_id, height, y, dst AS tx, sum(l * w) AS v FROM px JOIN t_x ON width = side AND x = src GROUP BY ALL),
         tall AS (SELECT image_id, dst AS ty, tx, sum(v * w) AS v FROM wide JOIN t_y ON height = side AND y = src GROUP BY ALL) SELECT image_id, ty AS y, tx AS x, {byte("ROUND(v, 9)")} AS l FROM tall""",
+    "drawing_regions": f"WITH RECURSIVE {REGIONS} SELECT image_id, label // 1000 AS first_y, label % 1000 AS first_x, area, x0, y0, width, height, mean_x, mean_y FROM rg",
+    "drawing_region_stats": f"""WITH RECURSIVE {REGIONS}, rc AS (SELECT *, y0 + height * 0.5 AS center FROM rg), rs AS (SELECT dz.image_id, dz.height AS rows, dz.width * dz.height AS total, area, center, CASE WHEN area >= 12 THEN area END AS big FROM dz LEFT JOIN rc USING (image_id))
+        SELECT image_id, count(big) AS region_count, {", ".join(f"ROUND(coalesce({of}, 0) / CAST(any_value(total) AS DOUBLE), 6) AS {n}" for of, n in (("sum(area)", "mask_ratio"), ("max(big)", "largest_ratio"), ("sum(big) FILTER (center < rows / CAST(3 AS DOUBLE))", "top_ratio"),
+          ("sum(big) FILTER (center >= rows / CAST(3 AS DOUBLE) AND center < rows * 2 / CAST(3 AS DOUBLE))", "middle_ratio"), ("sum(big) FILTER (center >= rows * 2 / CAST(3 AS DOUBLE))", "bottom_ratio")))} FROM rs GROUP BY image_id""",
+    "drawing_canny": f"""WITH RECURSIVE {PX}{blur(0.6, "px", "bl")}, bq AS (SELECT image_id, width, height, y, x, {byte("ROUND(v, 9)")} AS l FROM bl), md AS (SELECT image_id, quantile_cont(l, 0.5) AS median FROM bq GROUP BY image_id),
+        tl AS (SELECT image_id, median, floor(greatest(18, CAST(0.58 AS DOUBLE) * median)) AS low FROM md), th AS (SELECT image_id, low, floor(least(210, greatest(low + 24, CAST(1.28 AS DOUBLE) * median))) AS high FROM tl){canny("bq", "ed", "low", "high", L2)} {_count("ed")}""",
+    "drawing_edge_density": f"WITH RECURSIVE {FIXED(55, 155)} {_count('ed')}",
+    "drawing_stable_edges": f"""WITH RECURSIVE {FIXED(55, 155)}{labels("ed", "cc")}, bg AS (SELECT image_id, label FROM cc GROUP BY image_id, label HAVING count(*) >= 8 AND greatest(max(x) - min(x), max(y) - min(y)) >= 4), sb AS (SELECT image_id, y, x FROM cc JOIN bg USING (image_id, label)) {_count("sb")}""",
+    "drawing_segments": f"WITH RECURSIVE {SEGMENTS} SELECT * FROM sg",
+    "drawing_line_score": f"WITH RECURSIVE {SEGMENTS} SELECT dz.image_id, count(sg.image_id) AS segments, ROUND(least(1.0, count(sg.image_id) / CAST(90 AS DOUBLE)), 6) AS line_score FROM dz LEFT JOIN sg USING (image_id) GROUP BY dz.image_id",
+    "drawing_local_contrast": f"""WITH {PX}, ts AS (SELECT image_id, width, height, width // 8 + CASE WHEN width % 8 = 0 AND height % 8 = 0 THEN 0 ELSE 1 END AS tw, height // 8 + CASE WHEN width % 8 = 0 AND height % 8 = 0 THEN 0 ELSE 1 END AS th FROM dz),
+        gr AS (SELECT image_id, width, height, tw, th, yy, xx FROM ts, range(60) a(yy), range(60) b(xx) WHERE yy < 8 * th AND xx < 8 * tw),
+        hs AS (SELECT gr.image_id, yy // th AS ty, xx // tw AS tx, tw * th AS area, l AS v, count(*) AS n FROM gr JOIN px ON px.image_id = gr.image_id AND px.y = {_at("yy", "gr.height")} AND px.x = {_at("xx", "gr.width")} GROUP BY ALL),
+        lm AS (SELECT *, greatest(1, CAST(floor(CAST(1.96 AS DOUBLE) * area / 256) AS BIGINT)) AS most FROM hs), ex AS (SELECT image_id, ty, tx, area, CAST(sum(greatest(0, n - most)) AS BIGINT) AS excess FROM lm GROUP BY ALL),
+        al AS (SELECT ex.*, vv AS v, excess // 256 AS each, excess % 256 AS rest, greatest(1, 256 // greatest(1, excess % 256)) AS step FROM ex, range(256) r(vv)),
+        fl AS (SELECT al.image_id, al.ty, al.tx, al.area, al.v, coalesce(least(n, most), 0) + each + CASE WHEN al.v % step = 0 AND al.v // step < rest THEN 1 ELSE 0 END AS n FROM al LEFT JOIN lm ON lm.image_id = al.image_id AND lm.ty = al.ty AND lm.tx = al.tx AND lm.v = al.v),
+        lu AS (SELECT image_id, ty, tx, v, least(255, round_even(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY v) * CAST(255 AS DOUBLE) / area, 0)) AS t FROM fl),
+        sp AS (SELECT px.*, px.y / CAST(th AS DOUBLE) - 0.5 AS fy, px.x / CAST(tw AS DOUBLE) - 0.5 AS fx FROM px JOIN ts USING (image_id)),
+        fo AS (SELECT *, greatest(0, floor(fy)) AS y1, least(7, floor(fy) + 1) AS y2, fy - floor(fy) AS ya, greatest(0, floor(fx)) AS x1, least(7, floor(fx) + 1) AS x2, fx - floor(fx) AS xa FROM sp),
+        ot AS (SELECT fo.image_id, fo.y, fo.x, round_even(ROUND((a.t * (1 - xa) + b.t * xa) * (1 - ya) + (c.t * (1 - xa) + d.t * xa) * ya, 9), 0) AS l FROM fo {" ".join(f"JOIN lu {n} ON {n}.image_id = fo.image_id AND {n}.v = fo.l AND {n}.ty = fo.y{j} AND {n}.tx = fo.x{k}" for n, j, k in (("a", 1, 1), ("b", 1, 2), ("c", 2, 1), ("d", 2, 2)))})
+        SELECT image_id, CAST(sum(l) AS BIGINT) AS total, CAST(sum(l * (y * 7 + x)) AS BIGINT) AS placed, CAST(min(l) AS INT) AS least, CAST(max(l) AS INT) AS most FROM ot GROUP BY image_id""",
+    "drawing_best_windows": f"""WITH {PX}{around("px", "nb")}, wz(window_width, window_height) AS (VALUES (8, 8), (16, 5), (40, 60)), wd AS (SELECT image_id, window_width, window_height, least(width, window_width) AS w, least(height, window_height) AS h, width, height FROM dz, wz),
+        st AS (SELECT wd.*, y0 * 2 AS y0, x0 * 2 AS x0 FROM wd, range(30) a(y0), range(30) b(x0) WHERE y0 * 2 <= height - h AND x0 * 2 <= width - w),
+        sm AS (SELECT st.image_id, window_width, window_height, y0, x0, ROUND(avg(abs(lap)), 6) AS mean FROM st JOIN nb ON nb.image_id = st.image_id AND nb.y >= y0 AND nb.y < y0 + h AND nb.x >= x0 AND nb.x < x0 + w GROUP BY ALL),
+        od AS (SELECT *, row_number() OVER (PARTITION BY image_id, window_width, window_height ORDER BY mean DESC, y0, x0) AS turn FROM sm)
+        SELECT image_id, CAST(window_width AS BIGINT) AS window_width, CAST(window_height AS BIGINT) AS window_height, y0 AS y, x0 AS x, mean FROM od WHERE turn = 1""",
+    "drawing_focus_boxes": f"""WITH {PX}{around("px", "nb")}, ol AS (SELECT image_id, y, x, CASE WHEN x = 0 OR y = 0 OR x = width - 1 OR y = height - 1 THEN l ELSE greatest(0, least(255, 8 * l - up - down - lf - rt - ul - ur - dl - dr)) END AS v FROM nb),
+        gd AS (SELECT *, greatest(12, CAST(floor(width * CAST(0.32 AS DOUBLE)) AS BIGINT)) AS w, greatest(12, CAST(floor(height * CAST(0.32 AS DOUBLE)) AS BIGINT)) AS h FROM dz),
+        bx AS (SELECT gd.*, iy, ix, (width - w) * ix // 4 AS x0, (height - h) * iy // 4 AS y0 FROM gd, range(5) a(iy), range(5) b(ix)),
+        sm AS (SELECT bx.image_id, iy, ix, x0, y0, x0 + w AS x1, y0 + h AS y1, ROUND(avg(v) + stddev_pop(v), 6) AS score FROM bx JOIN ol ON ol.image_id = bx.image_id AND ol.y >= y0 AND ol.y < y0 + h AND ol.x >= x0 AND ol.x < x0 + w GROUP BY ALL),
+        od AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, iy, ix) AS turn FROM sm) SELECT image_id, x0, y0, x1, y1 FROM od WHERE turn = 1""",
+    "drawing_texture_crops": f"WITH {LAPLACE}{_crops('v', 'least(30, width)', 'least(20, height)', 6)} SELECT * FROM cr",
+    "drawing_edge_crops": f"WITH {STEEP}{_crops('v', 'least(30, width)', 'least(20, height)', 6)} SELECT * FROM cr",
+    "drawing_review_crops": f"""WITH ra AS (WITH {LAPLACE}{_crops("v", *_REVIEW)} SELECT * FROM cr), rb AS (WITH {PX}, sc AS (SELECT image_id, width, height, y, x, greatest(0, 105 - l) AS v FROM px), {_crops("v", *_REVIEW)} SELECT * FROM cr),
+        re AS (WITH {STEEP}{_crops("v", *_REVIEW)} SELECT * FROM cr), dq AS (SELECT {", ".join(fx.DRAWING_SIZE)} FROM supplier), mq AS (SELECT image_id, width, height, {_REVIEW[0]} AS cw, {_REVIEW[1]} AS ch FROM dq),
+        rd AS (SELECT image_id, greatest(0, least(width - cw, CAST(trunc(width // 2 - cw / CAST(2 AS DOUBLE)) AS BIGINT))) AS x0, greatest(0, least(height - ch, CAST(trunc(height // 2 - ch / CAST(2 AS DOUBLE)) AS BIGINT))) AS y0, cw, ch FROM mq),
+        every AS (SELECT *, 0 AS place, 'face_or_texture' AS label FROM ra UNION ALL SELECT *, 1, 'shadow_or_compression' FROM rb UNION ALL SELECT *, 2, 'background_text_edge' FROM re UNION ALL SELECT image_id, x0, y0, x0 + cw, y0 + ch, 3, 'center_subject' FROM rd),
+        once AS (SELECT image_id, x0, y0, x1, y1, min(place) AS place, arg_min(label, place) AS label FROM every GROUP BY image_id, x0, y0, x1, y1), od AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY place) AS turn FROM once)
+        SELECT image_id, place, label, x0, y0, x1, y1 FROM od WHERE turn <= 3""",
 }
 
-ALL = (drawing_metrics, drawing_edges_sobel, drawing_box_contrast, drawing_texture, drawing_morphology, drawing_resize_nearest, drawing_resize_lanczos)
+ALL = (
+    drawing_regions, drawing_region_stats, drawing_canny, drawing_edge_density, drawing_stable_edges, drawing_segments, drawing_line_score, drawing_local_contrast, drawing_best_windows, drawing_focus_boxes, drawing_texture_crops, drawing_edge_crops, drawing_review_crops,
+    drawing_metrics, drawing_edges_sobel, drawing_box_contrast, drawing_texture, drawing_morphology, drawing_resize_nearest, drawing_resize_lanczos,
+)
