@@ -116,7 +116,7 @@ def drawing_review_crops(spark: SparkSession, d: str) -> DataFrame:
     return areas.review_crops(fx.drawings(spark, d), width=(12, 40), height=(10, 30), most=3)
 
 
-PX = "dz AS (SELECT " + ", ".join(fx.DRAWING_SIZE) + f""" FROM supplier), px AS (SELECT image_id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, y, x, CAST({fx.DRAWING_PIXEL} AS INT) AS l
+PX = "dz AS (SELECT " + ", ".join(fx.DRAWING_SIZE) + f""" FROM supplier), px AS MATERIALIZED (SELECT image_id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, y, x, CAST({fx.DRAWING_PIXEL} AS INT) AS l
   FROM dz, range(60) a(y), range(60) b(x) WHERE y < height AND x < width)"""
 
 
@@ -131,8 +131,8 @@ AROUND = {"up": (-1, 0), "down": (1, 0), "lf": (0, -1), "rt": (0, 1), "ul": (-1,
 def around(src: str, out: str, value: str = "l", edge: str = "reflect") -> str:
     """CTE: every pixel of src with its eight neighbours, the Laplacian, and the Sobel sums gx and gy."""
     place = lambda c, o, side: {"reflect": _at(f"c.{c} + ({o})", f"c.{side}"), "repeat": f"least(c.{side} - 1, greatest(0, c.{c} + ({o})))", "zero": f"c.{c} + ({o})"}[edge]
-    joins = " ".join(f"{'LEFT ' if edge == 'zero' else ''}JOIN {src} {n} ON {n}.image_id = c.image_id AND {n}.y = {place('y', dy, 'height')} AND {n}.x = {place('x', dx, 'width')}" for n, (dy, dx) in AROUND.items())
-    return f""", {out}_n AS (SELECT c.*, {", ".join(f"coalesce({n}.{value}, 0) AS {n}" for n in AROUND)} FROM {src} c {joins}),
+    found = ", ".join(f"coalesce(max(CASE WHEN j = {dy} AND k = {dx} THEN n.{value} END), 0) AS {name}" for name, (dy, dx) in AROUND.items())
+    return f""", {out}_n AS (SELECT c.*, {found} FROM {src} c, range(-1, 2) a(j), range(-1, 2) b(k) JOIN {src} n ON n.image_id = c.image_id AND n.y = {place("y", "j", "height")} AND n.x = {place("x", "k", "width")} GROUP BY ALL),
       {out} AS (SELECT *, CAST(up + down + lf + rt - 4 * {value} AS DOUBLE) AS lap, CAST(ur + 2 * rt + dr - ul - 2 * lf - dl AS DOUBLE) AS gx, CAST(dl + 2 * down + dr - ul - 2 * up - ur AS DOUBLE) AS gy FROM {out}_n)"""
 
 
@@ -175,10 +175,10 @@ def labels(src: str, out: str) -> str:
 
 def canny(src: str, out: str, low: str, high: str, size: str) -> str:
     """CTE: edge pixels, from strong ones through weak ones. low and high may be columns of th (one row an image)."""
-    return f"""{around(src, "gd", edge="repeat")}, gs AS (SELECT image_id, width, height, y, x, gx, gy, {size} AS size FROM gd){around("gs", "gn", "size", "zero").replace("SELECT *, CAST(up + down", "SELECT * EXCLUDE (gx, gy), gx AS sx, gy AS sy, CAST(up + down")},
+    return f"""{around(src, "gd", edge="repeat")}, gs AS MATERIALIZED (SELECT image_id, width, height, y, x, gx, gy, {size} AS size FROM gd){around("gs", "gn", "size", "zero").replace("SELECT *, CAST(up + down", "SELECT * EXCLUDE (gx, gy), gx AS sx, gy AS sy, CAST(up + down")},
       tn AS (SELECT gn.*, CASE WHEN abs(sy) < abs(sx) * CAST(0.41421356237 AS DOUBLE) THEN size > lf AND size >= rt WHEN abs(sy) > abs(sx) * CAST(2.41421356237 AS DOUBLE) THEN size > up AND size >= down
         WHEN sx * sy >= 0 THEN size > ul AND size > dr ELSE size > ur AND size > dl END AS peak FROM gn),
-      wk AS (SELECT image_id, y, x, size > {high} AS strong FROM tn JOIN th USING (image_id) WHERE peak AND size > {low}),
+      wk AS MATERIALIZED (SELECT image_id, y, x, size > {high} AS strong FROM tn JOIN th USING (image_id) WHERE peak AND size > {low}),
       {out} AS (SELECT image_id, y, x FROM wk WHERE strong UNION SELECT n.image_id, n.y, n.x FROM {out} f JOIN wk n ON {NEXT})"""
 
 
@@ -187,7 +187,7 @@ def _count(mask: str) -> str:
         FROM dz LEFT JOIN {mask} m USING (image_id) GROUP BY dz.image_id"""
 
 
-MARKS = PX + ", mk AS (SELECT image_id, y, x FROM px WHERE l > 150 OR l < 30)"
+MARKS = PX + ", mk AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE l > 150 OR l < 30)"
 REGIONS = f"""{MARKS}{labels("mk", "cc")}, rg AS (SELECT image_id, label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, ROUND(avg(x), 4) AS mean_x, ROUND(avg(y), 4) AS mean_y FROM cc GROUP BY image_id, label)"""
 L1, L2 = "abs(gx) + abs(gy)", "sqrt(gx * gx + gy * gy)"
 FIXED = lambda low, high: f"{PX}, th AS (SELECT image_id, {low} AS low, {high} AS high FROM dz)" + canny("px", "ed", "low", "high", L1)
@@ -231,7 +231,7 @@ SQL = {
     "drawing_region_stats": f"""WITH RECURSIVE {REGIONS}, rc AS (SELECT *, y0 + height * 0.5 AS center FROM rg), rs AS (SELECT dz.image_id, dz.height AS rows, dz.width * dz.height AS total, area, center, CASE WHEN area >= 12 THEN area END AS big FROM dz LEFT JOIN rc USING (image_id))
         SELECT image_id, count(big) AS region_count, {", ".join(f"ROUND(coalesce({of}, 0) / CAST(any_value(total) AS DOUBLE), 6) AS {n}" for of, n in (("sum(area)", "mask_ratio"), ("max(big)", "largest_ratio"), ("sum(big) FILTER (center < rows / CAST(3 AS DOUBLE))", "top_ratio"),
           ("sum(big) FILTER (center >= rows / CAST(3 AS DOUBLE) AND center < rows * 2 / CAST(3 AS DOUBLE))", "middle_ratio"), ("sum(big) FILTER (center >= rows * 2 / CAST(3 AS DOUBLE))", "bottom_ratio")))} FROM rs GROUP BY image_id""",
-    "drawing_canny": f"""WITH RECURSIVE {PX}{blur(0.6, "px", "bl")}, bq AS (SELECT image_id, width, height, y, x, {byte("ROUND(v, 9)")} AS l FROM bl), md AS (SELECT image_id, quantile_cont(l, 0.5) AS median FROM bq GROUP BY image_id),
+    "drawing_canny": f"""WITH RECURSIVE {PX}{blur(0.6, "px", "bl")}, bq AS MATERIALIZED (SELECT image_id, width, height, y, x, {byte("ROUND(v, 9)")} AS l FROM bl), md AS (SELECT image_id, quantile_cont(l, 0.5) AS median FROM bq GROUP BY image_id),
         tl AS (SELECT image_id, median, floor(greatest(18, CAST(0.58 AS DOUBLE) * median)) AS low FROM md), th AS (SELECT image_id, low, floor(least(210, greatest(low + 24, CAST(1.28 AS DOUBLE) * median))) AS high FROM tl){canny("bq", "ed", "low", "high", L2)} {_count("ed")}""",
     "drawing_edge_density": f"WITH RECURSIVE {FIXED(55, 155)} {_count('ed')}",
     "drawing_stable_edges": f"""WITH RECURSIVE {FIXED(55, 155)}{labels("ed", "cc")}, bg AS (SELECT image_id, label FROM cc GROUP BY image_id, label HAVING count(*) >= 8 AND greatest(max(x) - min(x), max(y) - min(y)) >= 4), sb AS (SELECT image_id, y, x FROM cc JOIN bg USING (image_id, label)) {_count("sb")}""",
