@@ -74,7 +74,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: C
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(3), "__id"), 11) / F.lit(float(1 << 53))
     chosen = truth.where(draw < min(1.0, 0.9 * sample_rows / max(n, 1)))
     x = F.array(*[c.cast("double") for c in features(text_of(text_col))])
-    sample = docs.join(if_small(chosen), F.col(id_col) == F.col("__id")).select(x.alias("x"), "__y").distinct().orderBy(F.xxhash64("x", "__y"), "x", "__y").limit(sample_rows).collect()
+    sample = docs.select(F.col(id_col).alias("id"), x.alias("x")).join(if_small(chosen), F.col("id") == F.col("__id")).select("x", "__y").distinct().orderBy(F.xxhash64("x", "__y"), "x", "__y").limit(sample_rows).collect()
     w, bias, mean, scale = fit_logistic(np.array([r[0] for r in sample]).reshape(-1, len(FEATURES)), np.array([r[1] for r in sample], dtype=float))
     linear = F.lit(float(bias))
     for i in range(len(FEATURES)):
