@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": """
             WITH x AS (SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
                  gone AS (SELECT list(line) AS lines FROM (
-                     SELECT line FROM x WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= 8)),
+                     SELECT line FROM x WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= CASE WHEN length(line) < 20 THEN 16 ELSE 8 END)),
                  d AS (SELECT doc_id, text, coalesce(string_split(text, chr(10)), []) AS old,
                               list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(lines, y), false)) AS rest FROM documents, gone)
             SELECT doc_id, CAST(len(old) AS BIGINT) AS n_lines, CAST(len(old) - coalesce(len(rest), 0) AS BIGINT) AS n_removed,
