@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import give_back, text_of, unused
+from lumenmill.llm.common import give_back, if_small, text_of, unused
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_windows long, n_phrases long"
 #: Characters of a window; each starts a new phrase.
 WINDOW = 256
 #: Classes of characters: 0 is what separates words, 1 a letter outside the alphabet. BREAK stands between the documents of a sample.
 SEPARATOR, RARE, BREAK = 0, 1, -1
-#: Languages that are learned at most, and characters that all their automata hold at most.
-MOST_LANGS, TOTAL_CHARS = 64, 262_144
+#: Characters that all automata hold together, while each language has LEAST_CHARS: beyond 128 languages their sum grows by so many a language.
+TOTAL_CHARS, LEAST_CHARS = 262_144, 2_048
 #: Natural logarithm of the odds that one phrase less gives.
 NATS = 4.0
 
@@ -158,26 +158,31 @@ def remainder(id_col: str, n: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_samples(docs: DataFrame, train: Column, sample_chars: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str], float]]:
-    """A bounded sample for each of the MOST_LANGS languages with most documents: about sample_chars characters, less where TOTAL_CHARS
-    over their number is less, at most an eighth of that from one document, in order of the hash of id and text; equal rows count once.
+def labelled_samples(
+    docs: DataFrame, train: Column, sample_chars: int, id_col: str, text_col: str, lang_col: str, total_chars: int = TOTAL_CHARS, least_chars: int = LEAST_CHARS
+) -> list[tuple[str, list[str], float]]:
+    """A bounded sample of every language: about sample_chars characters, less where total_chars over the number of languages is less, but
+    not less than least_chars; at most an eighth of that from one document, in order of the hash of id and text; equal rows count once.
 
     The bound is the only thing that is sampled here; the documents' number by language is counted over all. The threshold on
     the hash makes the expected sample eight times as large as needed, whatever the size of the table.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     total = rows.count()
-    most = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(sample_chars // 8))).alias("chars")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    most = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(sample_chars // 8))).alias("chars")).orderBy(F.desc("n"), "lang").collect()
     if not most:
         return []
-    sample_chars = min(sample_chars, TOTAL_CHARS // len(most))
+    sample_chars = min(sample_chars, max(least_chars, total_chars // len(most)))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id", "text"), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*[F.lit(x) for r in most for x in (r.lang, min(1.0, 8.0 * sample_chars / max(r.chars, 1)))])
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(share, F.col("lang"))).select("lang", "draw", F.substring("text", 1, sample_chars // 8).alias("text")).distinct().collect()
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 8.0 * sample_chars / max(r.chars, 1))) for r in most], "lang string, share double")
+    picked = rows.withColumn("draw", draw).join(if_small(shares), "lang").where(F.col("draw") < F.col("share")).select("lang", "draw", F.substring("text", 1, sample_chars // 8).alias("text")).distinct().collect()
     out = []
+    by_lang: dict[str, list[tuple[float, str]]] = {}
+    for p in picked:
+        by_lang.setdefault(p.lang, []).append((p.draw, p.text))
     for r in most:
         texts, room = [], sample_chars
-        for _, text in sorted((p.draw, p.text) for p in picked if p.lang == r.lang):
+        for _, text in sorted(by_lang.get(r.lang, [])):
             if room > 0 and text:
                 texts.append(text[:room])
                 room -= len(text)
@@ -203,7 +208,8 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int
     Learns from rows that are not held out and have a language. Text that is null or has no letter gives 'und' with score 0; so does
     every text if there is nothing to learn from, and an empty table gives an empty result. Repeated rows and rows without an id are
     predicted like others. The prediction reads nothing but the text, whole, and needs no shuffle.
-    sample_chars bounds the labelled text that a language's automaton holds, and so the tables that workers build from the samples.
+    sample_chars bounds the labelled text that a language's automaton holds, and so the tables that workers build from the samples; every
+    language is learned, with LEAST_CHARS of it at least, so those tables grow with the number of languages beyond 128.
     """
     held = F.lit(False) if held_out is None else held_out
     blob = pickle.dumps(labelled_samples(docs, ~held, sample_chars, id_col, text_col, lang_col))
