@@ -63,14 +63,14 @@ def is_known(run: str) -> bool:
 
 
 def candidate_runs(text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs that are not known, stand apart from letters of other scripts, and overlap none of the base spans (start, end), which are sorted."""
+    """Runs that are not known and overlap none of the base spans (start, end), which are sorted; whatever stands beside them, such as letters of a script without spaces."""
     at, upto = 0, 0
     for m in _RUN.finditer(text):
         a, b = m.span()
         while at < len(base) and base[at][0] < b:
             upto = max(upto, base[at][1])
             at += 1
-        if upto > a or a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum() or is_known(m[0]):
+        if upto > a or is_known(m[0]):
             continue
         yield a, b
 
