@@ -8,6 +8,8 @@ import ctypes
 import gc
 import re
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +35,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 _made: set[str] = set()
 
 
-def made() -> set[str]:
-    """The folders of tables that written() has made and that still stand."""
-    return set(_made)
+#: Sets that are told of every folder that written() makes, by thread.
+_noting: ContextVar[tuple[set[str], ...]] = ContextVar("noting", default=())
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[set[str]]:
+    """The folders of tables that written() makes within, in this thread; for clear(), once what reads them has been written itself."""
+    mine: set[str] = set()
+    token = _noting.set((*_noting.get(), mine))
+    try:
+        yield mine
+    finally:
+        _noting.reset(token)
 
 
 def clear(spark: SparkSession, paths: set[str] | None = None, keep: DataFrame | None = None) -> None:
@@ -59,6 +71,8 @@ def scratch(spark: SparkSession) -> str:
         atexit.register(_clear_quietly, spark)
     path = f"{base}/lumenmill-{uuid.uuid4().hex}"
     _made.add(path)
+    for mine in _noting.get():
+        mine.add(path)
     return path
 
 

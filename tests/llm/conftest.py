@@ -34,7 +34,8 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="session")
 def odd(spark):
     """Rows with every odd case, and extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(*r, i, "z", 2.0) for i, r in enumerate(ODD)], COLUMNS + ", n long, owner string, size double")
+    clashing = "n long, owner string, size double, __id long, __row long, __y double, __rest string, __found string, __lang_ long"
+    return spark.createDataFrame([(*r, i, "z", 2.0, i % 3, i % 2, 0.5, "r", None, i) for i, r in enumerate(ODD)], f"{COLUMNS}, {clashing}")
 
 
 @pytest.fixture(scope="session")

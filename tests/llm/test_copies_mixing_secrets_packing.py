@@ -183,7 +183,7 @@ def random_by_the_letter(text, base):
     encoding, out, judged = secrets._encoding(VOCABULARY), [], 0
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
         a, b = m.span()
-        if any(x < b and a < y for x, _, y in base) or text[:a][-1:].isalnum() or text[b:][:1].isalnum():
+        if any(x < b and a < y for x, _, y in base):
             continue
         words = [w for w in re.split("[+/_=-]", m[0]) if w]
         name = all(w.isdigit() or all(2 <= len(x.rstrip("0123456789")) <= 16 for x in re.findall("[A-Z]?[^A-Z]+", w)) and re.fullmatch("([A-Z][a-z]+|[a-z]{2,15})([A-Z][a-z]+)*[0-9]*", w) or re.fullmatch("[A-Z]{2,15}[0-9]*", w) for w in words)
@@ -206,6 +206,13 @@ def check_secrets(docs):
     assert Counter(tuple(r) for r in secrets.scan_secrets(docs, VOCABULARY).collect()) == want
 
 
+def test_keys_beside_letters_of_other_scripts():
+    key = "Zx8Qv3Lm9Tr2Wq7Yk4Pd6Hs"
+    for text in (f"密钥{key}", f"密钥{key}在这里", f"key={key}я", f"é{key}"):
+        spans, judged = secrets.spans_of(text, secrets._encoding(VOCABULARY), 2.0)
+        assert judged == 1 and any(text[a:b].endswith(key) for a, _, b in spans), text
+
+
 def test_secrets(spark, docs, odd, none):
     check_secrets(docs)
     check_secrets(odd)

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from lumenmill.llm import common
 from tests.llm.conftest import SF
 from tests.llm.test_copies_mixing_secrets_packing import check_packing
 from tests.llm.test_search_language_join_lm_quality_lines import sets_of
@@ -72,6 +73,24 @@ def test_without_any_language_only_text_without_letters_goes(spark):
     assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.language(spark, docs, SF).collect()) == [(1, None), (4, None)]
 
 
+def test_results_of_stages_are_readable_side_by_side(spark):
+    """Lazy results of several stages, over a table in files, are read after all stages have begun, in another order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    results = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    counts = {name: results[name].count() for name in reversed(results)}
+    assert counts == {name: df.count() for name, df in results.items()}
+    assert counts["language"] >= counts["exact_dedup"] > 0 and counts["exact_dedup"] >= counts["near_dedup"] > 0 and counts["packing"] > 0
+
+
+def test_run_removes_what_its_stages_left(spark):
+    standing = set(common._made)
+    out = corpus_pipeline.run(spark, SF)
+    left = common._made - standing
+    assert out.count() > 0
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in out.inputFiles()}
+    assert read & {p.rpartition("/")[2] for p in left} and len(left) < 6
+
+
 def test_run_on_odd_rows(spark, odd, none):
     for df in (odd, none):
         for _, stage in corpus_pipeline.STAGES:

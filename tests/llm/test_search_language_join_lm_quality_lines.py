@@ -117,15 +117,24 @@ def test_language_on_held_out(docs, odd, none):
     assert langid.identified(odd).columns == [*odd.columns, "__lang", "__score"]
 
 
-def test_samples_are_bounded(spark, monkeypatch):
-    """Many rows without an id, equal rows, and more languages than are learned."""
+def test_samples_are_bounded_and_cover_every_language(spark):
+    """Many rows without an id, equal rows, and more languages than the characters in all would give enough."""
     data = [(None, f"text number {i % 500} of language {i % 7} " * 4, f"l{i % 7}") for i in range(3000)] + [(i, "x" * 50, f"rare{i}") for i in range(40)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    monkeypatch.setattr(langid, "MOST_LANGS", 9)
-    monkeypatch.setattr(langid, "TOTAL_CHARS", 9 * 600)
-    got = langid.labelled_samples(docs, F.lit(True), 32_768, "doc_id", "text", "lang")
-    assert [x[0] for x in got] == [*sorted((f"l{i}" for i in range(7)), key=lambda x: (-sum(r[2] == x for r in data), x)), "rare0", "rare1"]
-    assert all(0 < sum(map(len, texts)) <= 600 for _, texts, _ in got) and abs(sum(x[2] for x in got) - 3002 / 3040) < 1e-9
+    got = langid.labelled_samples(docs, F.lit(True), 32_768, "doc_id", "text", "lang", total_chars=47 * 100, least_chars=600)
+    assert [x[0] for x in got[:7]] == sorted((f"l{i}" for i in range(7)), key=lambda x: (-sum(r[2] == x for r in data), x))
+    assert {x[0] for x in got[7:]} == {f"rare{i}" for i in range(40)}
+    assert all(0 < sum(map(len, texts)) <= 600 for _, texts, _ in got) and abs(sum(x[2] for x in got) - 1) < 1e-9
+
+
+def test_more_than_64_languages_are_told_apart(spark):
+    rng = random.Random(9)
+    alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyz", 9) for _ in range(90)]
+    text = lambda i: " ".join("".join(rng.choice(alphabets[i]) for _ in range(5)) for _ in range(60))
+    data = [(n * 90 + i, text(i), f"l{i:02d}") for n in range(3) for i in range(90)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.identify(docs, F.col("doc_id") >= 180).where("held_out").collect()
+    assert len({r.lang_pred for r in got}) > 80 and sum(r.lang_pred == f"l{r.doc_id % 90:02d}" for r in got) > 80
 
 
 def test_evidence_shrinks_as_by_hand(spark):
@@ -344,9 +353,10 @@ def cleaned(data, sites, chars):
     spread = defaultdict(set)
     for r in data:
         for line in (r.text or "").split("\n"):
-            if len(line) >= chars:
+            if line.strip(" "):
                 spread[line].add(r.source)
-    return Counter((r.doc_id, None if r.text is None else "\n".join(x for x in r.text.split("\n") if len(spread[x]) < sites)) for r in data)
+    stays = lambda x: len(spread[x]) < (sites if len(x) >= chars else 2 * sites)
+    return Counter((r.doc_id, None if r.text is None else "\n".join(x for x in r.text.split("\n") if stays(x))) for r in data)
 
 
 @pytest.mark.parametrize("in_plan", [2000, 0])
@@ -359,6 +369,17 @@ def test_shared_lines(spark, docs, odd, none, monkeypatch, in_plan):
     assert rows(line_dedup.remove_shared_lines(none)) == []
 
 
+def test_short_lines_of_many_sites_go_and_blank_ones_stay(spark):
+    shared = ["menu", "a line of twenty characters or more", "", "  ", "few"]
+    data = [(s, "\n".join([*shared[:4], *(["few"] if s < 9 else []), f"own {s}"]), f"site {s}") for s in range(12)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    left = {r.doc_id: r.text.split("\n") for r in line_dedup.remove_shared_lines(df, min_sites=5).collect()}
+    assert left == {s: ["", "  ", *(["few"] if s < 9 else []), f"own {s}"] for s in range(12)}
+    assert {r.text for r in line_dedup.remove_shared_lines(df, min_sites=5, short_sites=13).collect()} == {"\n".join(["menu", "", "  ", *(["few"] if s < 9 else []), f"own {s}"]) for s in range(12)}
+    with pytest.raises(ValueError):
+        line_dedup.remove_shared_lines(df.withColumn("__Lines", F.lit(1)))
+
+
 def test_exact_counts_near_the_threshold(spark):
     df = spark.createDataFrame([(s, f"line {n}", f"site {s}") for n in range(95, 106) for s in range(n)], "doc_id long, text string, source string")
     spread = {r["line"]: r for r in rows(line_dedup.line_spread(df, 100, 1, lg_k=6))}
