@@ -8,13 +8,12 @@ cuts what is left into sequences. Each stage takes (spark, docs, sf_dir) and wor
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import clear, dropped, made, modest_batches, read, unused, with_rows, written
+from lumenmill.llm.common import clear, dropped, modest_batches, noted, read, unused, with_rows, written
 from lumenmill.llm.exact_dedup import distinct_documents
 from lumenmill.llm.langid import identified
 from lumenmill.llm.mixing import mix_documents, word_count
@@ -22,30 +21,6 @@ from lumenmill.llm.ngram_join import ngram_components
 from lumenmill.llm.packing import pack_documents
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that stages have left for their results.
-_left: set[str] = set()
-
-
-def tidy(stage: Stage) -> Stage:
-    """The stage, which first removes what earlier stages have left if docs is a table as read from files, so that their results are written by now.
-
-    With any other docs (a lazy or cached result) nothing is removed.
-    """
-
-    @wraps(stage)
-    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles():
-            clear(spark, _left, keep=docs)
-        before = made()
-        out = stage(spark, docs, sf_dir)
-        _left.update(made() - before)
-        return out
-
-    return tidied
-
-
-@tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognised; a null lang becomes the language found. Text without any letter goes, and so do null and empty text.
 
@@ -60,7 +35,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
-@tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each text; null and empty text are one text. A row without an id stays only if all its copies lack one.
 
@@ -69,7 +43,6 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_documents(docs)
 
 
-@tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that links of similarity 0.8 or more connect; rows without an id come last.
 
@@ -77,14 +50,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = unused(docs, "__row")
     rows = with_rows(docs, row)
-    groups = ngram_components(rows, width=5, num=80, den=100, id_col=row).select(F.col(row).alias("row"), "component_id")
-    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
-    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
-    kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    with noted() as spent:
+        groups = ngram_components(rows, width=5, num=80, den=100, id_col=row).select(F.col(row).alias("row"), "component_id")
+        ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+        first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+        kept = written(groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row)))
+    clear(spark, spent, keep=kept)  # the tables of the search, which nothing reads now that the rows to keep are written
     return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
-@tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for, counted in words.
 
@@ -93,7 +67,6 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs, word_count("text"))
 
 
-@tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens. Null and empty text are an end id alone; repeated rows and rows without an id are packed like others; an empty table gives no pieces."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -106,10 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written as Parquet and read again as the next one's documents."""
+    """All stages; each result is written as Parquet and read again as the next one's documents. What a stage leaves for its result goes once that is written."""
     docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with noted() as spent:
+            docs = written(stage(spark, docs, sf_dir))
+        clear(spark, spent, keep=docs)
         if before is not None:
             dropped(before)
         before = docs
