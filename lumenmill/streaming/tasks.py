@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 c = F.col
 TERMINAL = ("completed", "failed")
@@ -70,37 +71,99 @@ def sessions(events: DataFrame, gap_seconds: int = 86_400) -> DataFrame:
     return numbered.groupBy("task_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-STATE = "status string, n long, deadline_ms long"
-OUT = "task_id long, task_status string, n_events long, error string"
+INFO = "started_ms long, shown int, ended boolean"
+WAITING = "at_ms long, event_id long, task_status string"
+LIVE = "task_id long, kind string, index int, total int, event_id long, at timestamp, task_status string, progress int, error string"
 
 
-def stream_states(events: DataFrame, seconds: int = 180, lateness: str = "10 minutes") -> DataFrame:
-    """The running state of each task of a stream (task_id, event_id, ts, task_status): one row for a task in each micro-batch.
+class TaskLine(StatefulProcessor):
+    """One task's events in order of event time: they wait until the watermark has passed them, so no earlier one can come any more.
 
-    The first terminal event is final. A task without one fails with 'timeout' once event time has passed its deadline.
+    State is a row of marks and the events that wait. What is left of a task that has ended is one row, by which later events are known
+    and dropped; a timer removes it.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, n, deadline = state.get if state.exists else ("pending", 0, 0)
-        error = None
-        if state.hasTimedOut:
-            if status not in TERMINAL:
-                status, error = "failed", "timeout"
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            if not deadline:
-                deadline = int(rows["ts"].iloc[0].timestamp() * 1000) + 1000 * seconds
-            for now in rows["task_status"]:
-                if status not in TERMINAL:
-                    status = now
-            n += len(rows)
-        state.update((status, n, deadline))
-        if status not in TERMINAL:
-            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"task_id": [key[0]], "task_status": [status], "n_events": [n], "error": [error]})
-
-    marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("task_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    def __init__(self, seconds: int, total: int, keep_seconds: int) -> None:
+        self.deadline_ms, self.total, self.keep_ms = 1000 * seconds, total, 1000 * keep_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.info = handle.getValueState("info", INFO)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = [(int(ts.timestamp() * 1000), int(event), status) for part in rows for ts, event, status in zip(part["ts"], part["event_id"], part["task_status"], strict=True)]
+        started, shown, ended = self.info.get() if self.info.exists() else (None, 0, False)
+        if not ended:
+            self.waiting.appendList(came)
+            self.info.update((started, shown, ended))
+            self._wake(min(at for at, *_ in came) + 1, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list[tuple] = []
+        if self.info.exists():
+            started, shown, ended = self.info.get()
+            now = timerValues.getCurrentWatermarkInMs()
+            if ended:
+                self.info.clear()
+            else:
+                self._advance(int(key[0]), started, shown, now, out)
+        yield pd.DataFrame(out, columns=["task_id", "kind", "index", "total", "event_id", "at", "task_status", "progress", "error"]).astype({"index": "Int32", "event_id": "Int64"}) if out else pd.DataFrame()
+
+    def _advance(self, task: int, started: int | None, shown: int, now: int, out: list[tuple]) -> None:
+        events = sorted(self.waiting.get())
+        ready, later = [e for e in events if e[0] < now], [e for e in events if e[0] >= now]
+        if started is None and ready:
+            started = ready[0][0]
+        deadline = started + self.deadline_ms if started is not None else None
+        end = None
+        for at, event, status in ready:
+            if at > deadline:
+                break
+            shown += 1
+            last = status in TERMINAL
+            progress = 100 if last else min(99, round(shown / self.total * 100))
+            out.append((task, "event", shown, self.total, event, pd.Timestamp(at, unit="ms"), status, progress, None))
+            if last:
+                end = (at, event, status, None)
+                break
+        if end is None and deadline is not None and deadline < now:
+            end = (deadline, None, "failed", "timeout")
+        if end is not None:
+            at, event, status, error = end
+            for kind in ("result", "done"):
+                out.append((task, kind, shown, self.total, event, pd.Timestamp(at, unit="ms"), status, 100, error))
+            self.waiting.clear()
+            self.info.update((started, shown, True))
+            self._wake(now + self.keep_ms, now)
+            return
+        self.waiting.put(later) if later else self.waiting.clear()
+        self.info.update((started, shown, False))
+        self._wake(min([at + 1 for at, *_ in later[:1]] + ([deadline + 1] if deadline is not None else [])), now)
+
+    def _wake(self, at_ms: int, now: int) -> None:
+        """One timer a task that is still to come: the earliest. Those up to now are expiring."""
+        coming = [t for t in self.handle.listTimers() if t > now]
+        if not coming or min(coming) > at_ms:
+            for old in coming:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at_ms)
+
+
+def live_tasks(events: DataFrame, seconds: int = 180, lateness: str = "10 minutes", total: int = 14, keep_seconds: int = 3600) -> DataFrame:
+    """A stream of tasks as their watchers see it, from a stream (task_id, event_id, ts, task_status): rows of kind event, in order of (ts, event_id) with index and progress, then result and done.
+
+    An event counts once, whatever comes twice within the lateness; what comes later than that is dropped. The first terminal event is
+    final and is the last event shown; a task without one fails with 'timeout' once event time has passed its deadline. progress stays
+    under 100 until then. A task that has ended is remembered for keep_seconds of event time and then leaves the state.
+    Times are kept in milliseconds. The session needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+    """
+    once = events.select("task_id", "event_id", "ts", "task_status").withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["task_id", "event_id"])
+    return once.groupBy("task_id").transformWithStateInPandas(TaskLine(seconds, total, keep_seconds), LIVE, "Append", "EventTime")
 
 
 def stream_windows(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:

@@ -136,25 +136,42 @@ def test_mail_addresses_in_long_runs(spark):
     assert got == [re.sub(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", "<redacted>", t) if len(t) < 1000 else t for t in texts]
 
 
-def test_stream_of_tasks_ends_like_the_batch(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    events = [(t, 10 * t + k, start + timedelta(seconds=60 * k + t), s) for t, run in enumerate([["pending", "processing", "completed", "failed"], ["pending", "failed", "completed"], ["pending", "processing"]]) for k, s in enumerate(run)]
+def test_live_tasks_end_like_the_batch(spark, tmp_path):
+    """Events in any order and twice, in several micro-batches; some tasks never end, some end too late, some have events after their end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    events, number = [], iter(range(10**6))
+    for task in range(30):
+        at, run = rng.randrange(0, 400), ["pending", *["processing"] * rng.randrange(4), *rng.choice([["completed"], ["failed"], ["completed", "failed", "processing"], []])]
+        for status in run:
+            events.append((task, next(number), start + timedelta(seconds=at), status))
+            at += rng.choice([0, 5, 40, 70])
+    last = [(-1, 10**6 + i, start + timedelta(hours=h), "pending") for i, h in enumerate((2, 30))]
     schema = "task_id long, event_id long, ts timestamp, task_status string"
     df = spark.createDataFrame(events, schema)
-    want = {r.task_id: r.task_status for r in tasks.terminal_state(df).collect()}
-    assert want == {0: "completed", 1: "failed", 2: "processing"}
-    source = str(tmp_path / "in")
-    df.coalesce(1).write.parquet(source)
-    spark.createDataFrame([(9, 999, start + timedelta(days=1), "pending")], schema).coalesce(1).write.mode("append").parquet(source)
-    stream = tasks.stream_states(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
-    run = stream.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    seen = spark.table("states").where("task_id < 9").collect()
-    final = {}
-    for r in seen:
-        final.setdefault(r.task_id, set()).add((r.task_status, r.error))
-    assert final[0] == {("completed", None)} and final[1] == {("failed", None)}
-    assert ("processing", None) in final[2] and final[2] <= {("processing", None), ("failed", "timeout")}
+    want = {r.task_id: (r.task_status, r.error) for r in tasks.timeouts(df, 180).collect()}
+    assert {v for v in want.values()} == {("completed", None), ("failed", None), ("failed", "timeout")}
+    source = tmp_path / "in"
+    shuffled = rng.sample(events, len(events)) + rng.sample(events, 20)
+    late = [(0, 5 * 10**6, start, "failed")]
+    for i, part in enumerate([shuffled[:50], shuffled[50:], [last[0]], [(-1, 10**6 + 8, start + timedelta(hours=2), "pending")], late + [(t, 6 * 10**6 + t, start + timedelta(hours=2), "failed") for t in range(5)], [last[1]], [(-1, 10**6 + 9, start + timedelta(hours=31), "pending")]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(source / f"n={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{source}/*")
+    run = tasks.live_tasks(stream, 180).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(240)
+    shown = spark.table("live").where("task_id >= 0").collect()
+    results = [r for r in shown if r.kind == "result"]
+    assert len(results) == 30 and {r.task_id: (r.task_status, r.error) for r in results} == want
+    assert sorted(r.task_id for r in shown if r.kind == "done") == list(range(30))
+    for task in range(30):
+        own = sorted((e for e in events if e[0] == task), key=lambda e: (e[2], e[1]))
+        deadline = own[0][2] + timedelta(seconds=180)
+        upto = next((i + 1 for i, e in enumerate(own) if e[3] in tasks.TERMINAL), len(own))
+        line = sorted((r for r in shown if r.task_id == task and r.kind == "event"), key=lambda r: r["index"])
+        assert [(r["index"], r.event_id, r.at) for r in line] == [(i + 1, e[1], e[2]) for i, e in enumerate(own[:upto]) if e[2] <= deadline]
+        assert all((r.progress == 100) == (r.task_status in tasks.TERMINAL) for r in line)
+    state = lambda batch: {r.key.task_id for r in spark.read.format("statestore").option("operatorId", 0).option("batchId", batch).option("stateVarName", "info").load(str(tmp_path / "cp")).collect()}
+    assert len(state(1)) == 30 and state(max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())) <= {-1}
 
 
 def test_deadline(spark):
