@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenmill.functions.scalars import clip, grade, half_up, labels, ladder, risk_label
+from lumenmill.sources.rules import token_hits
 
 c = F.col
 TEXT_TYPES = ("text_poster", "ppt_page")
@@ -178,8 +179,13 @@ TOKEN_RULES = [
 ]
 
 
-def strategy(df: DataFrame, rule_text: str, issues: str = "issues", mode: str = "recommended_mode") -> DataFrame:
-    """Adds nine strengths: linear in the scores, then shifted by the tokens found in the issues or the rules' text, then by the mode."""
+def strategy(df: DataFrame, rules: DataFrame | str, issues: str = "issues", mode: str = "recommended_mode") -> DataFrame:
+    """Adds nine strengths: linear in the scores, then shifted by the tokens found in the issues or the rules' text, then by the mode.
+
+    rules: rule documents with their text, as from sources.rules.read_rules, or one text. They give one flag for each group of tokens.
+    """
+    groups = [tokens for tokens, _ in TOKEN_RULES]
+    in_rules = [any(t in rules for t in g) for g in groups] if isinstance(rules, str) else token_hits(rules, groups)
     dirty, high = c("ai_dirty_score"), c("high_frequency_pollution")
     out = {
         "noise_reduction": 0.28 + dirty * 0.55, "high_frequency_control": 0.25 + high * 0.6, "mid_frequency_restore": 0.24 + (1 - c("mid_frequency_score")) * 0.55,
@@ -187,8 +193,8 @@ def strategy(df: DataFrame, rule_text: str, issues: str = "issues", mode: str =
         "sharpen": 0.22 - high * 0.12 - c("sharpening_risk") * 0.14, "texture_cleanliness": 0.72 + dirty * 0.2, "premium_style": F.lit(0.82),
     }
     out = {k: clip(v, 0, 1) for k, v in out.items()}
-    for tokens, shift in TOKEN_RULES:
-        hit = F.lit(True) if any(t in rule_text for t in tokens) else F.lit(False)
+    for (tokens, shift), found in zip(TOKEN_RULES, in_rules, strict=True):
+        hit = F.lit(found)
         for t in tokens:
             hit = hit | c(issues).contains(t)
         for k, by in shift.items():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmill.plans import drawings, oracle, queries as q
+from lumenmill.plans import drawings, oracle, queries as q, records
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*q.ALL, *drawings.ALL)}
+    return {f.__name__: f for f in (*q.ALL, *drawings.ALL, *records.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | drawings.SQL
+    return oracle.SQL | drawings.SQL | records.SQL
