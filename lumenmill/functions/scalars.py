@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,8 +85,7 @@ def sanitize(value: Column, missing: str) -> Column:
     """A value as part of a file name: characters that file systems refuse become _, white space one space, no space or dot at the ends."""
     text = F.trim(F.when(value.isNull() | (value == ""), F.lit(missing)).otherwise(value))
     clean = F.regexp_replace(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"\s+", " ")
-    clean = F.regexp_replace(clean, r"^[ .]+|[ .]+$", "")
-    return F.when(clean == "", F.lit(missing)).otherwise(clean)
+    return F.regexp_replace(F.regexp_replace(clean, r"^[ .]+|[ .]+$", ""), "^$", F.lit(re.sub(r"([\\$])", r"\\\1", missing)))
 
 
 # What a redacted text must not contain, in order.

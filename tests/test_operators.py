@@ -100,11 +100,8 @@ def test_rename_plan_of_one_large_family(spark):
     assert got == {i: "en_missing.png" if i == 0 else f"en_missing_{i + 1:02d}.png" for i in range(n)}
 
 
-def test_rename_plan_against_one_by_one(spark):
-    rng = random.Random(4)
-    names = [(i, rng.choice(["a", "A", "b", "a_02", "a_02_02", "a_03", "c", "dd_7"]), rng.choice([".png", ".jpg"])) for i in range(80)]
-    df = spark.createDataFrame([(i, s + e, i, s, e, i % 5 == 0) for i, s, e in names], "ordinal long, source_name string, position long, stem string, extension string, lacks boolean")
-    used, want = set(), {}
+def one_by_one(names, existing=()):
+    used, want = {e.lower() for e in existing}, {}
     for i, stem, ext in names:
         name, n = stem + ext, 1
         while name.lower() in used:
@@ -112,7 +109,37 @@ def test_rename_plan_against_one_by_one(spark):
             name = f"{stem}_{n:02d}{ext}"
         used.add(name.lower())
         want[i] = (name, "needs_confirmation" if i % 5 == 0 else "ready" if n == 1 else "conflict_resolved")
-    assert {r.ordinal: (r.target_name, r.status) for r in batch.rename_plan(df).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_rename_plan_against_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    names = [(i, rng.choice(["a", "A", "b", "a_02", "a_02_02", "a_03", "c", "dd_7", "a_99", "b_100", "b_002"]), rng.choice([".png", ".jpg"])) for i in range(120)]
+    df = spark.createDataFrame([(i, s + e, i, s, e, i % 5 == 0) for i, s, e in names], "ordinal long, source_name string, position long, stem string, extension string, lacks boolean")
+    existing = ["a.png", "A_04.PNG", "b_02.jpg", "a_02.jpg", "zz.png", "a_02_02_03.png", "noext"]
+    for there in ([], existing):
+        plan = batch.rename_plan(df, spark.createDataFrame([(e,) for e in there], "name string") if there else None)
+        assert {r.ordinal: (r.target_name, r.status) for r in plan.collect()} == one_by_one(names, there)
+
+
+def test_rename_plan_of_camera_names(spark):
+    """One file beside many literal numbers out of its reach, and a family of many files whose numbers are all taken literally."""
+    n = 5_000
+    names = [(0, "img", ".jpg"), *[(i, f"img_{100_000 + i}", ".jpg") for i in range(1, n)]]
+    names += [(n + i, "dsc", ".jpg") if i % 2 else (n + i, f"dsc_{i + 2:02d}", ".jpg") for i in range(n)]
+    df = spark.createDataFrame([(i, s + e, i, s, e, i % 5 == 0) for i, s, e in names], "ordinal long, source_name string, position long, stem string, extension string, lacks boolean")
+    start = time.monotonic()
+    got = {r.ordinal: (r.target_name, r.status) for r in batch.rename_plan(df).collect()}
+    assert time.monotonic() - start < 90
+    assert got == one_by_one(names)
+
+
+def test_fields_come_from_the_file_then_the_system_or_by_hand(spark):
+    rows = [(1, "x.jpeg", "Food", "", None), (2, "y.png", None, "t", ""), (3, "z", "a", "b", "By hand. "), (4, "w." + "e" * 60, "c", "d", None)]
+    df = spark.createDataFrame(rows, "ordinal long, source_name string, industry string, title string, given string")
+    got = batch.stems(df, "{industry}-{mode}_{title}_{index}", system={"industry": F.lit("any"), "mode": F.lit("m")}, manual="given").orderBy("ordinal").collect()
+    assert [(r.stem, r.extension, r.lacks) for r in got] == [("Food-m_missing_001", ".jpeg", True), ("any-m_t_002", ".png", False), ("By hand", "", False), ("c", "." + "e" * 60, False)]
 
 
 def test_numbers_of_a_hot_group(spark):
