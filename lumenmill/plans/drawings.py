@@ -7,7 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.operators import areas, metrics, regions, stencils, tone
+from lumenmill.functions.color import gray
+from lumenmill.operators import areas, gains, gates, metrics, regions, stencils, tone
+from lumenmill.plans.oracle import PASSED, STANDARD
+from lumenmill.plans.oracle import _hsv as oracle_hsv
+from lumenmill.plans.oracle import _lab as oracle_lab
 from lumenmill.sources import fixtures as fx
 
 
@@ -116,6 +120,24 @@ def drawing_review_crops(spark: SparkSession, d: str) -> DataFrame:
     return areas.review_crops(fx.drawings(spark, d), width=(12, 40), height=(10, 30), most=3)
 
 
+def _gains(spark: SparkSession, d: str) -> DataFrame:
+    before, after = fx.color_drawings(spark, d)
+    strokes = [gains.stroke_weights(px.withColumn("l", gray(F.col("b"), F.col("g"), F.col("r")))) for px in (before, after)]
+    return gains.quality_gains(before, after, *strokes)
+
+
+def drawing_gains(spark: SparkSession, d: str) -> DataFrame:
+    """The quality metrics of the drawings' second version against the first."""
+    return _gains(spark, d)
+
+
+def drawing_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Both gates on measured columns."""
+    passed, level, failed = gains.base_gate(F.col("text_density"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("portrait", "mixed", "text_poster", "general")]), (F.col("image_id") % 4 + 1).cast("int"))
+    return _gains(spark, d).withColumn("image_type", kind).select("image_id", passed.alias("passed"), level.alias("base_level"), failed.alias("failed"), gates.visual_level().alias("level"))
+
+
 PX = "dz AS (SELECT " + ", ".join(fx.DRAWING_SIZE) + f""" FROM supplier), px AS MATERIALIZED (SELECT image_id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, y, x, CAST({fx.DRAWING_PIXEL} AS INT) AS l
   FROM dz, range(60) a(y), range(60) b(x) WHERE y < height AND x < width)"""
 
@@ -214,6 +236,47 @@ LAPLACE = f"{PX}{around('px', 'nb')}, sc AS (SELECT image_id, width, height, y,
 STEEP = f"{PX}{around('px', 'nb')}, sc AS (SELECT image_id, width, height, y, x, sqrt(gx * gx + gy * gy) AS v FROM nb), "
 _REVIEW = ("least(width, least(40, greatest(12, width // 4)))", "least(height, least(30, greatest(10, height // 4)))", 5)
 
+def _version(tag: str, src: str) -> str:
+    """CTEs: the signals of one version (src: image_id, width, height, y, x, b, g, r) as s{tag}."""
+    edge = lambda low, high: "WITH RECURSIVE th AS (SELECT image_id, {} AS low, {} AS high FROM dz){} SELECT * FROM ed".format(low, high, canny(f"g{tag}", "ed", "low", "high", L1))
+    hue, rest = HSV.replace("{b}", "b").replace("{g}", "g").replace("{r}", "r"), "image_id, y, x"
+    return f""", g{tag} AS MATERIALIZED (SELECT *, CAST(FLOOR(CAST(0.114 AS DOUBLE) * b + CAST(0.587 AS DOUBLE) * g + CAST(0.299 AS DOUBLE) * r + 0.5) AS INT) AS l FROM {src}),
+      e{tag} AS MATERIALIZED ({edge(60, 160)}), k{tag} AS MATERIALIZED ({edge(45, 135)}){around(f"g{tag}", f"n{tag}")}{blur(1.15, f"g{tag}", f"u{tag}")}{blur(1.35, f"g{tag}", f"v{tag}")}{box(f"g{tag}", f"x{tag}", 3)}{box(f"g{tag}", f"t{tag}", 8)},
+      h{tag} AS (SELECT {rest}, l, lap, sqrt(gx * gx + gy * gy) AS steep, {hue} FROM n{tag}),
+      r{tag} AS (SELECT h.*, abs(h.l - {byte("ROUND(u.v, 9)")}) AS fine, abs(h.l - {byte("ROUND(w.v, 9)")}) AS coarse, abs(h.l - x.total / 49.0) AS contrast, h.l <= FLOOR(t.total / 289.0 + 0.5) - 8 AS texty, e.image_id IS NOT NULL AS edge, k.image_id IS NOT NULL AND h.l < 95 AS hair,
+        (hue BETWEEN 0 AND 28 AND sat BETWEEN 20 AND 190 AND val BETWEEN 55 AND 245) OR (hue BETWEEN 160 AND 179 AND sat BETWEEN 20 AND 175 AND val BETWEEN 55 AND 245) AS face
+        FROM h{tag} h JOIN u{tag} u USING ({rest}) JOIN v{tag} w USING ({rest}) JOIN x{tag} x USING ({rest}) JOIN t{tag} t USING ({rest}) LEFT JOIN e{tag} e USING ({rest}) LEFT JOIN k{tag} k USING ({rest})),
+      a{tag} AS (SELECT image_id, var_pop(lap) AS sharpness, avg(steep) AS edges, avg(CAST(texty AS INT)) AS density, greatest(avg(CAST(edge AS INT)) FILTER (texty) * 255 * CAST(1.35 AS DOUBLE), avg(steep) FILTER (texty) * CAST(0.62 AS DOUBLE) + avg(abs(lap)) FILTER (texty) * CAST(0.18 AS DOUBLE) + avg(contrast) FILTER (texty) * CAST(1.45 AS DOUBLE)) AS strokes,
+        {", ".join(f"CASE WHEN avg(CAST({m} AS INT)) > 0.001 THEN avg(fine) FILTER ({m}) ELSE avg(fine) END AS {n}" for n, m in (("face", "face"), ("hair", "hair"), ("fabric", "(coarse > 7 AND (sat > 35 OR l < 115))"), ("dark", "(l < 88)")))} FROM r{tag} GROUP BY image_id),
+      s{tag} AS (SELECT image_id, density, {", ".join(f"ROUND({clip(f'ln(1 + {v}) * CAST({scale} AS DOUBLE)', 0, 100)}, 4) AS {n}" for n, v, scale in SCORES)} FROM a{tag})"""
+
+
+SCORES = [
+    ("clarity", "sharpness", 11), ("text_clarity", "CASE WHEN density < 0.0005 OR strokes IS NULL OR strokes <= 0.01 THEN sharpness ELSE strokes END", 10.5), ("edge_quality", "edges", 15.5),
+    ("face_detail", "face", 16), ("hair_texture", "hair", 16), ("fabric_texture", "fabric", 16), ("dark_detail", "dark", 16),
+]
+HSV = oracle_hsv("b", "g", "r").replace(" AS h", " AS hue").replace(" AS s", " AS sat").replace(" AS v", " AS val")
+_AFTER = ", ".join(f"CAST({fx.GRAIN.format(v=k)} AS INT) AS {k}" for k in fx.COLORS)
+_risk = lambda a, b: f"CASE WHEN least({a}, {b}) < -1.2 THEN 'high' WHEN least({a}, {b}) < -0.25 THEN 'medium' ELSE 'low' END"
+GAINS = f"""{PX}, c0 AS MATERIALIZED (SELECT image_id, width, height, y, x, {", ".join(f"CAST({v} AS INT) AS {k}" for k, v in fx.COLORS.items())} FROM px), c1 AS MATERIALIZED (SELECT image_id, width, height, y, x, {_AFTER} FROM c0){_version("0", "c0")}{_version("1", "c1")},
+  cd AS (SELECT a.image_id, a.b AS b0, a.g AS g0, a.r AS r0, z.b AS b1, z.g AS g1, z.r AS r1 FROM c0 a JOIN c1 z USING (image_id, y, x)),
+  ce AS (SELECT *, {oracle_lab("b0", "g0", "r0", "0")}, {oracle_lab("b1", "g1", "r1", "1")} FROM cd),
+  df AS (SELECT image_id, avg((abs(l0 - l1) + abs(a0 - a1) + abs(bb0 - bb1)) / CAST(3 AS DOUBLE)) AS cdelta, avg((abs(b0 - b1) + abs(g0 - g1) + abs(r0 - r1)) / CAST(3 AS DOUBLE)) AS diff FROM ce GROUP BY image_id),
+  q1 AS (SELECT z.image_id, a.density AS text_density, z.density AS density1, cdelta, diff, {", ".join(f"z.{n} AS {n}_score, ROUND(z.{n} - a.{n}, 4) AS {n}_gain" for n, *_ in SCORES)} FROM s0 a JOIN s1 z USING (image_id) JOIN df USING (image_id)),
+  q2 AS (SELECT *, ROUND({clip("100 - cdelta * CAST(3.2 AS DOUBLE)", 0, 100)}, 4) AS color_fidelity_score, ROUND({clip("92 - abs(diff - CAST(1.8 AS DOUBLE)) * 4", 0, 100)}, 4) AS detail_stability_score, CASE WHEN cdelta <= 1.15 THEN 'low' WHEN cdelta <= 2.2 THEN 'medium' ELSE 'high' END AS compression_damage_risk FROM q1),
+  qg AS (SELECT * EXCLUDE (density1, cdelta, diff), CASE WHEN color_fidelity_score < 88 OR compression_damage_risk = 'high' THEN 'high' WHEN color_fidelity_score < 93 THEN 'medium' ELSE 'low' END AS artifact_risk,
+    CASE WHEN greatest(0, (CAST(0.2 AS DOUBLE) - clarity_gain) + (CAST(0.1 AS DOUBLE) - edge_quality_gain)) <= 0.4 AND diff > 0.05 THEN 'low' ELSE 'medium' END AS pseudo_hd_risk,
+    ROUND({clip("text_clarity_score - greatest(0, cdelta - CAST(0.8 AS DOUBLE)) * 4", 0, 100)}, 4) AS text_edge_clean_score,
+    ROUND({clip("text_clarity_score * CAST(0.74 AS DOUBLE) + edge_quality_score * CAST(0.26 AS DOUBLE) - greatest(0, cdelta - 1) * 2", 0, 100)}, 4) AS small_text_readability_score,
+    ROUND(text_density, 6) AS before_text_region_density, ROUND(density1, 6) AS after_text_region_density, ROUND(density1 - text_density, 6) AS text_region_density_delta,
+    {_risk("clarity_gain", "least(hair_texture_gain, fabric_texture_gain)")} AS over_smoothing_risk, {_risk("least(hair_texture_gain, fabric_texture_gain)", "detail_stability_score - 78")} AS texture_loss_risk,
+    ROUND(clarity_score * CAST(0.22 AS DOUBLE) + text_clarity_score * CASE WHEN text_density >= 0.01 THEN CAST(0.22 AS DOUBLE) ELSE CAST(0.12 AS DOUBLE) END + edge_quality_score * CAST(0.22 AS DOUBLE) + detail_stability_score * CAST(0.16 AS DOUBLE) + color_fidelity_score * CAST(0.18 AS DOUBLE), 4) AS visual_score,
+    ROUND(diff, 6) AS pixel_diff_from_reference, ROUND(cdelta, 6) AS color_delta FROM q2)"""
+_CHECKS = [
+    ("color_fidelity_score >= 88", "color_fidelity_score"), ("artifact_risk <> 'high'", "artifact_risk"), ("pseudo_hd_risk <> 'high'", "pseudo_hd_risk"), ("detail_stability_score >= 55", "detail_stability_score"), ("clarity_score >= 15", "clarity_score"),
+    ("clarity_gain >= -0.5", "clarity_gain"), ("edge_quality_gain >= -0.5", "edge_quality_gain"), ("(text_density < 0.015 OR text_clarity_score >= 24)", "text_clarity_score"), ("(text_density < 0.015 OR text_clarity_gain >= -0.8)", "text_clarity_gain"),
+]
+
 SQL = {
     "drawing_metrics": f"""WITH {PX}{around("px", "nb")} SELECT image_id, ROUND(avg(l), 4) AS brightness, ROUND(stddev_pop(l), 4) AS contrast, ROUND(var_pop(lap), 4) AS sharpness, ROUND(avg(abs(lap)), 4) AS mean_abs_laplacian,
         ROUND(quantile_cont(abs(lap), 0.95), 4) AS p95_abs_laplacian, ROUND({clip("(coalesce(stddev_pop(l) FILTER (abs(lap) < 2.5), stddev_pop(l) * 0.35) - 1.8) / CAST(16.2 AS DOUBLE) * 100", 0, 100)}, 4) AS noise_score FROM nb GROUP BY image_id""",
@@ -227,6 +290,10 @@ SQL = {
     "drawing_resize_lanczos": f"""WITH {PX}, {_lanczos("x", "width", 37)}, {_lanczos("y", "height", 19)},
         wide AS (SELECT image_id, height, y, dst AS tx, sum(l * w) AS v FROM px JOIN t_x ON width = side AND x = src GROUP BY ALL),
         tall AS (SELECT image_id, dst AS ty, tx, sum(v * w) AS v FROM wide JOIN t_y ON height = side AND y = src GROUP BY ALL) SELECT image_id, ty AS y, tx AS x, {byte("ROUND(v, 9)")} AS l FROM tall""",
+    "drawing_gains": f"WITH RECURSIVE {GAINS} SELECT * FROM qg",
+    "drawing_gates": f"""WITH RECURSIVE {GAINS}, gt AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN NOT {check} THEN '{name}' END" for check, name in _CHECKS)}], lambda t: t IS NOT NULL), ';') AS failed, (['portrait', 'mixed', 'text_poster', 'general'])[image_id % 4 + 1] AS image_type FROM qg)
+        SELECT image_id, failed = '' AS passed, CASE WHEN failed <> '' THEN 'failed' WHEN visual_score >= 72 AND color_fidelity_score >= 95 THEN 'excellent' WHEN visual_score >= 50 THEN 'standard' ELSE 'acceptable' END AS base_level, failed,
+          CASE WHEN NOT {PASSED} THEN 'failed' WHEN {STANDARD} AND visual_score >= 74 AND text_clarity_gain >= 0.6 AND edge_quality_gain >= 0.6 AND detail_stability_score >= 86 AND color_fidelity_score >= 96 THEN 'excellent' WHEN {STANDARD} THEN 'standard' ELSE 'acceptable' END AS level FROM gt""",
     "drawing_regions": f"WITH RECURSIVE {REGIONS} SELECT image_id, label // 1000 AS first_y, label % 1000 AS first_x, area, x0, y0, width, height, mean_x, mean_y FROM rg",
     "drawing_region_stats": f"""WITH RECURSIVE {REGIONS}, rc AS (SELECT *, y0 + height * 0.5 AS center FROM rg), rs AS (SELECT dz.image_id, dz.height AS rows, dz.width * dz.height AS total, area, center, CASE WHEN area >= 12 THEN area END AS big FROM dz LEFT JOIN rc USING (image_id))
         SELECT image_id, count(big) AS region_count, {", ".join(f"ROUND(coalesce({of}, 0) / CAST(any_value(total) AS DOUBLE), 6) AS {n}" for of, n in (("sum(area)", "mask_ratio"), ("max(big)", "largest_ratio"), ("sum(big) FILTER (center < rows / CAST(3 AS DOUBLE))", "top_ratio"),
@@ -269,6 +336,6 @@ SQL = {
 }
 
 ALL = (
-    drawing_regions, drawing_region_stats, drawing_canny, drawing_edge_density, drawing_stable_edges, drawing_segments, drawing_line_score, drawing_local_contrast, drawing_best_windows, drawing_focus_boxes, drawing_texture_crops, drawing_edge_crops, drawing_review_crops,
+    drawing_gains, drawing_gates, drawing_regions, drawing_region_stats, drawing_canny, drawing_edge_density, drawing_stable_edges, drawing_segments, drawing_line_score, drawing_local_contrast, drawing_best_windows, drawing_focus_boxes, drawing_texture_crops, drawing_edge_crops, drawing_review_crops,
     drawing_metrics, drawing_edges_sobel, drawing_box_contrast, drawing_texture, drawing_morphology, drawing_resize_nearest, drawing_resize_lanczos,
 )

@@ -52,6 +52,18 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", F.col("width").cast("long"), F.col("height").cast("long"), F.col("y").cast("long"), F.col("x").cast("long"), F.expr(DRAWING_PIXEL).cast("int").alias("l"))
 
 
+#: Two colour versions of a drawing; the second adds grain, and more of it in some.
+COLORS = {"b": "l", "g": "(l * 3 + x % 40) // 4", "r": "LEAST(255, l + 30)"}
+GRAIN = "GREATEST(0, LEAST(255, {v} + CASE WHEN image_id % 3 = 0 THEN 0 WHEN image_id % 3 = 1 THEN {v} % 7 - 3 ELSE ({v} % 5 - 2) * 6 END))"
+
+
+def color_drawings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The drawings in colour, before and after: (image_id, width, height, y, x, b, g, r)."""
+    at = ["image_id", "width", "height", "y", "x"]
+    before = drawings(spark, sf_dir).selectExpr(*at, *[f"CAST({v.replace('//', 'div')} AS INT) AS {k}" for k, v in COLORS.items()])
+    return before, before.selectExpr(*at, *[f"CAST({GRAIN.format(v=k)} AS INT) AS {k}" for k in COLORS])
+
+
 def _share(k: int, j: int, scale: float, off: float = 0.0) -> str:
     return f"((l_orderkey * {k} + l_linenumber * {j}) % 1000) / CAST({scale} AS DOUBLE) + CAST({off} AS DOUBLE)"
 
