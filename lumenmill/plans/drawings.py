@@ -163,6 +163,12 @@ def box(src: str, out: str, radius: int, value: str = "l") -> str:
       JOIN {src} n ON n.image_id = c.image_id AND n.y = {_at("c.y + j", "c.height")} AND n.x = {_at("c.x + k", "c.width")} GROUP BY ALL)"""
 
 
+def box_sum(src: str, out: str, radius: int) -> str:
+    """CTE: total, the sum of l over the square, along x and then y."""
+    return f""", x_{out} AS MATERIALIZED (SELECT c.image_id, c.width, c.height, c.y, c.x, sum(n.l) AS v FROM {src} c, range(-{radius}, {radius + 1}) o(k) JOIN {src} n ON n.image_id = c.image_id AND n.y = c.y AND n.x = {_at("c.x + k", "c.width")} GROUP BY ALL),
+      {out} AS MATERIALIZED (SELECT c.image_id, c.y, c.x, sum(n.v) AS total FROM x_{out} c, range(-{radius}, {radius + 1}) o(k) JOIN x_{out} n ON n.image_id = c.image_id AND n.x = c.x AND n.y = {_at("c.y + k", "c.height")} GROUP BY ALL)"""
+
+
 def blur(sigma: float, src: str, out: str, value: str = "l") -> str:
     """CTE: src with its Gaussian blur as v."""
     r = math.ceil(3 * sigma)
@@ -241,11 +247,14 @@ def _version(tag: str, src: str) -> str:
     edge = lambda low, high: "WITH RECURSIVE th AS (SELECT image_id, {} AS low, {} AS high FROM dz){} SELECT * FROM ed".format(low, high, canny(f"g{tag}", "ed", "low", "high", L1))
     hue, rest = HSV.replace("{b}", "b").replace("{g}", "g").replace("{r}", "r"), "image_id, y, x"
     return f""", g{tag} AS MATERIALIZED (SELECT *, CAST(FLOOR(CAST(0.114 AS DOUBLE) * b + CAST(0.587 AS DOUBLE) * g + CAST(0.299 AS DOUBLE) * r + 0.5) AS INT) AS l FROM {src}),
-      e{tag} AS MATERIALIZED ({edge(60, 160)}), k{tag} AS MATERIALIZED ({edge(45, 135)}){around(f"g{tag}", f"n{tag}")}{blur(1.15, f"g{tag}", f"u{tag}")}{blur(1.35, f"g{tag}", f"v{tag}")}{box(f"g{tag}", f"x{tag}", 3)}{box(f"g{tag}", f"t{tag}", 8)},
+      e{tag} AS MATERIALIZED ({edge(60, 160)}), k{tag} AS MATERIALIZED ({edge(45, 135)}){around(f"g{tag}", f"n{tag}")}{blur(1.15, f"g{tag}", f"u{tag}")}{blur(1.35, f"g{tag}", f"v{tag}")}{box_sum(f"g{tag}", f"x{tag}", 3)}{box_sum(f"g{tag}", f"t{tag}", 8)},
       h{tag} AS (SELECT {rest}, l, lap, sqrt(gx * gx + gy * gy) AS steep, {hue} FROM n{tag}),
-      r{tag} AS (SELECT h.*, abs(h.l - {byte("ROUND(u.v, 9)")}) AS fine, abs(h.l - {byte("ROUND(w.v, 9)")}) AS coarse, abs(h.l - x.total / 49.0) AS contrast, h.l <= FLOOR(t.total / 289.0 + 0.5) - 8 AS texty, e.image_id IS NOT NULL AS edge, k.image_id IS NOT NULL AND h.l < 95 AS hair,
-        (hue BETWEEN 0 AND 28 AND sat BETWEEN 20 AND 190 AND val BETWEEN 55 AND 245) OR (hue BETWEEN 160 AND 179 AND sat BETWEEN 20 AND 175 AND val BETWEEN 55 AND 245) AS face
-        FROM h{tag} h JOIN u{tag} u USING ({rest}) JOIN v{tag} w USING ({rest}) JOIN x{tag} x USING ({rest}) JOIN t{tag} t USING ({rest}) LEFT JOIN e{tag} e USING ({rest}) LEFT JOIN k{tag} k USING ({rest})),
+      j{tag} AS (SELECT {rest}, max(l) AS l, max(lap) AS lap, max(steep) AS steep, max(hue) AS hue, max(sat) AS sat, max(val) AS val, max(u) AS u, max(w) AS w, max(near) AS near, max(wide) AS wide, bool_or(edge) AS edge, bool_or(dim) AS dim FROM (
+        SELECT {rest}, l, lap, steep, hue, sat, val, NULL AS u, NULL AS w, NULL AS near, NULL AS wide, false AS edge, false AS dim FROM h{tag}
+        UNION ALL BY NAME SELECT {rest}, v AS u FROM u{tag} UNION ALL BY NAME SELECT {rest}, v AS w FROM v{tag} UNION ALL BY NAME SELECT {rest}, total AS near FROM x{tag} UNION ALL BY NAME SELECT {rest}, total AS wide FROM t{tag}
+        UNION ALL BY NAME SELECT {rest}, true AS edge FROM e{tag} UNION ALL BY NAME SELECT {rest}, true AS dim FROM k{tag}) GROUP BY {rest}),
+      r{tag} AS (SELECT *, abs(l - {byte("ROUND(u, 9)")}) AS fine, abs(l - {byte("ROUND(w, 9)")}) AS coarse, abs(l - near / 49.0) AS contrast, l <= FLOOR(wide / 289.0 + 0.5) - 8 AS texty, dim AND l < 95 AS hair,
+        (hue BETWEEN 0 AND 28 AND sat BETWEEN 20 AND 190 AND val BETWEEN 55 AND 245) OR (hue BETWEEN 160 AND 179 AND sat BETWEEN 20 AND 175 AND val BETWEEN 55 AND 245) AS face FROM j{tag}),
       a{tag} AS (SELECT image_id, var_pop(lap) AS sharpness, avg(steep) AS edges, avg(CAST(texty AS INT)) AS density, greatest(avg(CAST(edge AS INT)) FILTER (texty) * 255 * CAST(1.35 AS DOUBLE), avg(steep) FILTER (texty) * CAST(0.62 AS DOUBLE) + avg(abs(lap)) FILTER (texty) * CAST(0.18 AS DOUBLE) + avg(contrast) FILTER (texty) * CAST(1.45 AS DOUBLE)) AS strokes,
         {", ".join(f"CASE WHEN avg(CAST({m} AS INT)) > 0.001 THEN avg(fine) FILTER ({m}) ELSE avg(fine) END AS {n}" for n, m in (("face", "face"), ("hair", "hair"), ("fabric", "(coarse > 7 AND (sat > 35 OR l < 115))"), ("dark", "(l < 88)")))} FROM r{tag} GROUP BY image_id),
       s{tag} AS (SELECT image_id, density, {", ".join(f"ROUND({clip(f'ln(1 + {v}) * CAST({scale} AS DOUBLE)', 0, 100)}, 4) AS {n}" for n, v, scale in SCORES)} FROM a{tag})"""
