@@ -30,14 +30,11 @@ def version_signals(px3: DataFrame, text: DataFrame | None = None) -> DataFrame:
     """
     px = st.sized(px3).select(*AT, "width", "height", gray(c("b"), c("g"), c("r")).alias("l"), *[v.alias(n) for v, n in zip(hsv(c("b"), c("g"), c("r")), "hsv", strict=True)])
     px = settled(px)
-    marks = []
-    for name, low, high in (("text_edge", 60, 160), ("dark_edge", 45, 135)):
-        marks.append(regions.edges(px, low, high, squared=False).select(*AT, F.lit(True).alias(name)))
+    marks = regions.edge_sets(px, {"text_edge": (60, 160), "dark_edge": (45, 135)}, squared=False)
     gx, gy = st.sobel()
     rows = st.neighbours(px).select(*AT, "width", "height", "l", "h", "s", "v", st.laplacian().alias("lap"), F.sqrt(gx * gx + gy * gy).alias("steep"))
     rows = st.box(st.gaussian(st.gaussian(rows, 1.35, "wide"), 1.15, "narrow"), 3, F.sum, "around")
-    for mark in marks:
-        rows = rows.join(mark, AT, "left")
+    rows = rows.join(marks, AT, "left")
     rows = rows.join(text, AT, "left") if text is not None else rows.withColumn("weight", F.lit(0.0))
     fine = F.abs(c("l") - st.quantized(F.round("narrow", 9)))
     rows = rows.select(
@@ -74,8 +71,13 @@ def quality_gains(before: DataFrame, after: DataFrame, text_before: DataFrame |
 
     text_density: by default the earlier version's share of text. Images without a partner give no row.
     """
-    old, new = (version_signals(px, text) for px, text in ((before, text_before), (after, text_after)))
-    names = [n for n in old.columns if n != "image_id"]
+    # Both versions are gone through together, as images of their own.
+    of = lambda px, i: px.withColumn("image_id", F.struct(F.col("image_id").alias("id"), F.lit(i).alias("version")))
+    pixels = [of(st.sized(px).select(*AT, "width", "height", "b", "g", "r"), i) for i, px in enumerate((before, after))]
+    texts = [of(text.select(*AT, "weight"), i) for i, text in enumerate((text_before, text_after)) if text is not None]
+    signals = version_signals(pixels[0].unionByName(pixels[1]), texts[0].unionByName(texts[1]) if len(texts) == 2 else texts[0] if texts else None)
+    names = [n for n in signals.columns if n != "image_id"]
+    old, new = (signals.where(F.col("image_id.version") == i).select(F.col("image_id.id").alias("image_id"), *names) for i in (0, 1))
     rows = old.select("image_id", *[c(n).alias(f"{n}0") for n in names]).join(new.select("image_id", *[c(n).alias(f"{n}1") for n in names]), "image_id").join(version_difference(before, after), "image_id")
     scores = {"clarity": ("sharpness", 11.0), "text_clarity": ("text", 10.5), "edge_quality": ("edges", 15.5), "face_detail": ("face", 16.0), "hair_texture": ("hair", 16.0), "fabric_texture": ("fabric", 16.0), "dark_detail": ("dark", 16.0)}
     both = lambda k: [log_score(c(f"{scores[k][0]}{i}"), scores[k][1]) for i in (0, 1)]

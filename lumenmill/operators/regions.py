@@ -145,12 +145,25 @@ def edges(px: DataFrame, low: float | None = None, high: float | None = None, sq
         size = size.join(edge_thresholds(px), "image_id")
     else:
         size = size.withColumns({"low": F.lit(low), "high": F.lit(high)})
-    weak = settled(size.where(F.col("size") > F.col("low")).select("image_id", "y", "x", (F.col("size") > F.col("high")).alias("strong")))
+    return _held(size.where(F.col("size") > F.col("low")).select("image_id", "y", "x", (F.col("size") > F.col("high")).alias("strong")))
+
+
+def _held(weak: DataFrame) -> DataFrame:
+    """The pixels of (image_id, y, x, strong) whose region has a strong one."""
+    weak = settled(weak)
     at = labelled_pixels(weak)
     kept = at.join(weak.where("strong"), ["image_id", "y", "x"], "left_semi").select("image_id", "region").distinct()
     return at.join(kept, ["image_id", "region"], "left_semi").select("image_id", "y", "x")
 
 
+def edge_sets(px: DataFrame, thresholds: dict[str, tuple[float, float]], squared: bool = True) -> DataFrame:
+    """(image_id, y, x) and a column by name for each pair of thresholds (low, high): whether the pixel is an edge under it. All pairs are gone through together; pixels that are edges under none are left out."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for n, (low, high) in thresholds.items()]))
+    size = thinned(px, squared).where("size IS NOT NULL").select("image_id", "y", "x", "size", pairs.alias("by")).where("size > by.low")
+    held = _held(size.select(F.struct(F.col("image_id").alias("id"), F.col("by.name").alias("name")).alias("image_id"), "y", "x", (F.col("size") > F.col("by.high")).alias("strong")))
+    return held.groupBy(F.col("image_id.id").alias("image_id"), "y", "x").agg(*[F.bool_or(F.col("image_id.name") == n).alias(n) for n in thresholds])
+
+
 #: Directions of lines, in whole degrees; cosines and sines to six places, so that places on a line are the same everywhere.
 DEGREES = 180
 

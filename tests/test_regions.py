@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lumenmill.operators import areas, regions, stencils, tone
+from lumenmill.operators import areas, gains, regions, stencils, tone
 
 MASK = "image_id long, y long, x long"
 PX = MASK + ", l int"
@@ -152,3 +152,23 @@ def test_local_contrast_spreads_and_keeps_flat_images(spark):
 def test_padding_by_a_column(spark):
     df = image(spark, [[1, 2, 3], [4, 5, 6]])
     assert {(r.y, r.x): r.l for r in stencils.padded(df, F.lit(2)).collect()} == {(r.y, r.x): r.l for r in stencils.padded(df, 2).collect()}
+
+
+def test_edges_of_several_thresholds_at_once(spark):
+    rng = random.Random(8)
+    px = image(spark, [[rng.randrange(0, 255, 40) for _ in range(30)] for _ in range(20)])
+    both = regions.edge_sets(px, {"soft": (45, 135), "hard": (200, 600)}, squared=False).collect()
+    for name, low, high in (("soft", 45, 135), ("hard", 200, 600)):
+        assert {(r.y, r.x) for r in both if r[name]} == {(r.y, r.x) for r in regions.edges(px, low, high, squared=False).collect()}
+
+
+def test_gains_of_an_image_that_did_not_change_and_of_a_blurred_one(spark):
+    rng = random.Random(3)
+    gray = [[rng.randrange(60, 200) for _ in range(33)] for _ in range(21)]
+    rgb = lambda px: px.select("image_id", "y", "x", *[F.col("l").alias(k) for k in "bgr"])
+    px = image(spark, gray)
+    soft = stencils.gaussian(px, 1.5, "v").select("image_id", "y", "x", stencils.quantized(F.col("v")).alias("l"))
+    same, lost = gains.quality_gains(rgb(px), rgb(px)).first(), gains.quality_gains(rgb(px), rgb(soft)).first()
+    assert all(same[k] == 0 for k in same.asDict() if k.endswith("_gain")) and same.color_fidelity_score == 100 and same.pixel_diff_from_reference == 0
+    assert lost.clarity_gain < -5 and lost.edge_quality_gain < 0 and lost.over_smoothing_risk == "high" and lost.color_fidelity_score < 100
+    assert gains.quality_gains(rgb(px), rgb(px).where("false")).collect() == []
