@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.operators import payloads
+from lumenmill.operators import payloads, selection
+from lumenmill.plans.oracle import PROBE
+from lumenmill.plans.queries import _probed
 from lumenmill.sources import fixtures as fx
 from lumenmill.sources import rules
 
@@ -53,7 +55,25 @@ def rule_tree(spark: SparkSession, d: str) -> DataFrame:
     return rules.rule_values(fx.table(spark, d, "part").selectExpr("p_partkey", f"{RULES} AS text"))
 
 
-ALL = (payload_members, payload_merged, payload_redacted, rule_tree)
+def sample_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of a run that events ask for by user, in their order; some are not there."""
+    manifest = fx.runs(spark, d)[0].select("sample_id", "level", "format").where("sample_id % 3 <> 0")
+    return selection.selected(manifest, fx.table(spark, d, "events").selectExpr("event_id AS ordinal", "user_id AS sample_id"))
+
+
+def probe_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Probe rows whose original is there and whose candidate was written."""
+    rows = _probed(spark, d)
+    return selection.with_both_sides(rows, fx.probe_files(spark, d).where("doc_id % 9 <> 0"), rows.where("(doc_id + length(method)) % 5 <> 0")).select("doc_id", "file_name", "method", "saved_bytes")
+
+
+def file_facts(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/in.dir/"), F.col("file_name"), F.when(F.col("doc_id") % 4 == 0, ".JPEG").when(F.col("doc_id") % 4 == 1, "/.hidden").otherwise(""))
+    facts = fx.probe_files(spark, d).select("doc_id", selection.file_format(path).alias("format"), selection.dimensions(F.col("width"), F.col("height")).alias("d"), selection.tail(F.col("file_name"), 12).alias("tail"))
+    return facts.select("doc_id", "format", "d.long_side", "d.short_side", "d.megapixels", "tail")
+
+
+ALL = (sample_selection, probe_pairs, file_facts, payload_members, payload_merged, payload_redacted, rule_tree)
 
 _MEMBERS = f"""ly AS (SELECT o_orderkey, {", ".join(LAYERS)} FROM orders), lz AS (SELECT o_orderkey, layer, body FROM ly, (VALUES (0), (1), (2), (3)) v(layer), LATERAL (SELECT CASE layer WHEN 0 THEN debug_quality WHEN 1 THEN task_result WHEN 2 THEN task_report ELSE item END AS body)),
   ob AS (SELECT * FROM lz WHERE json_valid(body) AND json_type(body) = 'OBJECT'), me AS (SELECT o_orderkey, layer, unnest(json_keys(body)) AS name, body FROM ob),
@@ -62,6 +82,11 @@ _SECRET = r"""(?i)(api[_-]?key|token|cookie|authorization|password|secret)["'']?
 _SCORE = lambda name: f"""max(CASE WHEN name = '{name}' THEN CASE WHEN value = 'null' THEN CAST(0 AS DOUBLE) ELSE TRY_CAST(trim(value, '"') AS DOUBLE) END END) AS {name}"""
 
 SQL = {
+    "sample_selection": """WITH m AS (SELECT o_orderkey AS sample_id, o_orderstatus AS level, o_orderpriority AS format FROM orders WHERE o_orderkey % 3 <> 0)
+        SELECT event_id AS ordinal, user_id AS sample_id, level, format, m.sample_id IS NOT NULL AS found FROM events LEFT JOIN m ON m.sample_id = user_id""",
+    "probe_pairs": f"WITH {PROBE} SELECT doc_id, file_name, method, saved_bytes FROM pr WHERE file_name IN (SELECT file_name FROM pf WHERE doc_id % 9 <> 0) AND (file_name, method) IN (SELECT (file_name, method) FROM pr WHERE (doc_id + length(method)) % 5 <> 0)",
+    "file_facts": "WITH pf AS (SELECT " + ", ".join(fx.PROBE_FILES) + """ FROM documents)
+        SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'unknown' ELSE string_split(file_name, '.')[-1] END AS format, greatest(width, height) AS long_side, least(width, height) AS short_side, ROUND(width * height / CAST(1000000 AS DOUBLE), 3) AS megapixels, right(file_name, 12) AS tail FROM pf""",
     "payload_members": f"WITH {_MEMBERS} SELECT o_orderkey, name, value, CAST(layer AS INT) AS layer FROM mm",
     "payload_merged": f"""WITH {_MEMBERS} SELECT o_orderkey, '{{' || string_agg('"' || name || '":' || value, ',' ORDER BY name) || '}}' AS payload, {_SCORE("clarity_score")}, {_SCORE("edge_quality_score")} FROM mm GROUP BY o_orderkey""",
     "payload_redacted": rf"""WITH t AS (SELECT doc_id, regexp_replace(substr(text, 1, 80), '["\\\x00-\x1f]', ' ', 'g') AS plain FROM documents WHERE text IS NOT NULL),
