@@ -13,6 +13,7 @@ from contextvars import ContextVar
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,8 +98,43 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether df is a Parquet file or folder just as it was read: then its rows have places in files, which are the same on each read."""
+    files = df.inputFiles()
+    folders = {f.rpartition("/")[0] for f in files}
+    if len(folders) != 1:
+        return False
+    names = [*folders, *(files if len(files) == 1 else [])]
+    # A path counts as it was given: in full, or without the name of the file system.
+    given = {x for n in names for x in (n, re.sub(r"^\w+://[^/]*", "", n))}
+
+    def same(path: str) -> bool:
+        try:
+            return df.sameSemantics(df.sparkSession.read.schema(df.schema).parquet(path))
+        except AnalysisException:  # no such path in the default file system
+            return False
+
+    return any(same(path) for path in given)
+
+
+#: Of a row's number the lower bits are its place in its file, the upper ones a hash of the file's path.
+PLACE_BITS = 24
+
+
 def with_rows(df: DataFrame, name: str = "__row") -> DataFrame:
-    """df, written, with a unique number of each row: decisions by it hold for that row alone, whatever its id."""
+    """df with a unique number of each row: decisions by it hold for that row alone, whatever its id.
+
+    The rows of a table as read are numbered by where they lie, which needs no copy of the table; that no two numbers are equal is
+    counted by file first. Any other df, which could come out otherwise when computed again, is written with the numbers.
+    """
+    if is_table(df):
+        path, place = (df.metadataColumn("_metadata")[x] for x in ("file_path", "row_index"))
+        for seed in range(3):
+            file = F.shiftleft(F.xxhash64(F.lit(seed), path), PLACE_BITS)
+            by_file = df.select(path.alias("path"), file.alias("file"), place.alias("place")).groupBy("path", "file").agg(F.max("place").alias("last"))
+            seen = by_file.agg(F.count("*").alias("files"), F.countDistinct("file").alias("hashes"), F.max("last").alias("last")).first()
+            if seen.files == seen.hashes and (seen.last or 0) < 1 << PLACE_BITS:
+                return df.withColumn(name, file + place)
     return written(df.withColumn(name, F.monotonically_increasing_id()))
 
 

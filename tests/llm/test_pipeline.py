@@ -3,6 +3,8 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lumenmill.llm import common
 from tests.llm.conftest import SF
 from tests.llm.test_copies_mixing_secrets_packing import check_packing
@@ -96,3 +98,32 @@ def test_run_on_odd_rows(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)
         df.count()
+
+
+def test_rows_of_tables_are_numbered_without_a_copy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = common.written(docs.repartition(5))
+    clash = common.written(docs.withColumn("_metadata", F.lit(1)))
+    for table in (docs, folder, clash, common.written(docs.limit(0))):
+        made = len(common._made)
+        numbered = common.with_rows(table)
+        assert common.is_table(table)
+        assert len(common._made) == made
+        assert numbered.columns == [*table.columns, "__row"]
+        assert numbered.select("__row").distinct().count() == table.count() == numbered.count()
+    first, again = (Counter((r.doc_id, r["__row"]) for r in common.with_rows(folder).select(*c).collect()) for c in (("doc_id", "__row"), ("text", "doc_id", "__row")))
+    assert first == again
+    for other in (docs.limit(20), docs.where("doc_id > 3"), docs.union(docs), docs.select("doc_id"), docs.crossJoin(spark.range(2)), spark.range(4), docs.sort("doc_id").cache()):
+        assert not common.is_table(other)
+        assert common.with_rows(other).select("__row").distinct().count() == other.count()
+
+
+def test_stages_on_tables_as_read(spark):
+    """Places in files decide as written numbers do: repeated rows, rows without an id, several files."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.union(docs.limit(20)).union(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    table = common.written(docs.repartition(3))
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        of_table = Counter((r.doc_id, r.text) for r in stage(spark, table, SF).collect())
+        assert of_table == Counter((r.doc_id, r.text) for r in stage(spark, table.where("true"), SF).collect())
+    assert corpus_pipeline.mixed(spark, table, SF).count() > 0
