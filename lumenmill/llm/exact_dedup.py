@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import give_back, text_of, unused, with_rows
+from lumenmill.llm.common import give_back, text_of, unused, with_rows, written
 
 OWNER = "sha256 string, body binary, owner long, n long, ties long"
 _ARROW = pa.schema([("sha256", pa.string()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
@@ -210,5 +210,6 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs, all columns, that own their text: one row of each text, whether ids repeat or are null. Of equal rows one stays; an empty table stays empty."""
     row = unused(docs, "__row")
     rows = with_rows(docs, row)
-    kept = trie_owners(rows, id_col, text_col, keep, row_col=row).where("kept").select(F.col("__row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    gone = written(trie_owners(rows, id_col, text_col, keep, row_col=row).where("not kept").select(F.col("__row").alias(row)))
+    # Rows that go are fewer than those that stay, and a table of known size: if Spark finds it small, no text is shuffled here.
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
