@@ -54,9 +54,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         groups = ngram_components(rows, width=5, num=80, den=100, id_col=row).select(F.col(row).alias("row"), "component_id")
         ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
         first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
-        kept = written(groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row)))
-    clear(spark, spent, keep=kept)  # the tables of the search, which nothing reads now that the rows to keep are written
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+        kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+        gone = written(groups.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)))
+    clear(spark, spent, keep=gone)  # the tables of the search, which nothing reads now that the rows that go are written
+    # They are fewer than those that stay, and a table of known size: if Spark finds it small, no text is shuffled here.
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
