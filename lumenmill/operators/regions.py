@@ -7,10 +7,10 @@ logarithm of the largest region's runs, however it winds. Edges keep weak pixels
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lumenmill.functions.tables import settled
+from lumenmill.functions.tables import apart, dealt, settled
 from lumenmill.operators import stencils as st
 
 #: Columns of a tile: runs meet in the tiles that they reach, so a row with many runs is no product.
@@ -18,11 +18,11 @@ TILE = 64
 RUN = ["image_id", "y", "x0"]
 
 
-def runs(mask: DataFrame) -> DataFrame:
-    """(image_id, y, x0, x1): the maximal runs of each row, both ends included. Repeated pixels count once."""
-    pixels = mask.select("image_id", "y", "x").distinct()
+def runs(mask: DataFrame, strong: Column | None = None) -> DataFrame:
+    """(image_id, y, x0, x1, strong): the maximal runs of each row, both ends included, and whether strong holds in any of their pixels. Repeated pixels count once."""
+    pixels = dealt(mask).groupBy("image_id", "y", "x").agg(F.bool_or(F.lit(True) if strong is None else strong).alias("strong"))
     island = F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))
-    return pixels.select("image_id", "y", "x", island.alias("island")).groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+    return pixels.select("image_id", "y", "x", "strong", island.alias("island")).groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.bool_or("strong").alias("strong")).drop("island")
 
 
 def touching(found: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def touching(found: DataFrame) -> DataFrame:
     x0, x1 = F.col("x0"), F.col("x1")
     upper = found.select("image_id", (F.col("y") + 1).alias("below"), F.struct("y", "x0").alias("a"), (x0 - 1).alias("from"), (x1 + 1).alias("to"), reach(x0 - 1, x1 + 1).alias("tile"))
     lower = found.select("image_id", F.col("y").alias("below"), F.struct("y", "x0").alias("b"), "x0", "x1", reach(x0, x1).alias("tile"))
-    met = upper.join(lower, ["image_id", "below", "tile"]).where((F.col("from") <= x1) & (x0 <= F.col("to")))
+    met = upper.join(apart(lower), ["image_id", "below", "tile"]).where((F.col("from") <= x1) & (x0 <= F.col("to")))
     first = F.floor(F.greatest(F.col("from"), x0) / TILE)
     return met.where(F.col("tile") == first).select("image_id", "a", "b")
 
@@ -51,27 +51,32 @@ def contracted(links: DataFrame, rounds: int = 64) -> DataFrame:
         key = lambda c, turn=turn: F.struct(F.xxhash64("image_id", c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
         step = edges.groupBy("image_id", "u").agg(F.min(key("v")).alias("best")).select("image_id", "u", F.least(F.col("best"), key("u")).getField("to").alias("to"))
         on = step.select("image_id", F.col("u").alias("to"), F.col("to").alias("next"))
-        moves = settled(step.join(on, ["image_id", "to"]).select("image_id", "u", F.col("next").alias("to")))
-        places = settled(places.join(moves.withColumnRenamed("u", "at"), ["image_id", "at"], "left").select("image_id", "node", F.coalesce("to", "at").alias("at")))
-        edges = edges.join(moves, ["image_id", "u"]).select("image_id", F.col("to").alias("u"), "v")
-        edges = edges.join(moves.withColumnRenamed("u", "v").withColumnRenamed("to", "w"), ["image_id", "v"]).select("image_id", "u", F.col("w").alias("v"))
+        moves = settled(step.join(apart(on), ["image_id", "to"]).select("image_id", "u", F.col("next").alias("to")))
+        places = settled(places.join(apart(moves.withColumnRenamed("u", "at")), ["image_id", "at"], "left").select("image_id", "node", F.coalesce("to", "at").alias("at")))
+        edges = edges.join(apart(moves), ["image_id", "u"]).select("image_id", F.col("to").alias("u"), "v")
+        edges = edges.join(apart(moves.withColumnRenamed("u", "v").withColumnRenamed("to", "w")), ["image_id", "v"]).select("image_id", "u", F.col("w").alias("v"))
         edges = settled(edges.where(F.col("u") != F.col("v")).distinct())
     else:
         raise RuntimeError("links were not contracted")
     smallest = places.groupBy("image_id", "at").agg(F.min("node").alias("root"))
-    return places.join(smallest, ["image_id", "at"]).select("image_id", "node", "root")
+    return places.join(apart(smallest), ["image_id", "at"]).select("image_id", "node", "root")
 
 
-def labelled_runs(mask: DataFrame) -> DataFrame:
-    """(image_id, y, x0, x1, region): the runs and the first pixel (y, x) of the region that each belongs to, in reading order."""
-    found = settled(runs(mask))
+def labelled_runs(mask: DataFrame, strong: Column | None = None) -> DataFrame:
+    """(image_id, y, x0, x1, strong, region): the runs and the first pixel (y, x) of the region that each belongs to, in reading order."""
+    found = settled(runs(mask, strong))
     roots = contracted(touching(found)).select("image_id", F.col("node.y").alias("y"), F.col("node.x0").alias("x0"), F.struct(F.col("root.y").alias("y"), F.col("root.x0").alias("x")).alias("root"))
-    return found.join(roots, RUN, "left").select(*RUN, "x1", F.coalesce("root", F.struct(F.col("y"), F.col("x0").alias("x"))).alias("region"))
+    return found.join(apart(roots), RUN, "left").select(*RUN, "x1", "strong", F.coalesce("root", F.struct(F.col("y"), F.col("x0").alias("x"))).alias("region"))
 
 
-def labelled_pixels(mask: DataFrame) -> DataFrame:
-    """(image_id, y, x, region): the pixels of a mask with their region."""
-    return labelled_runs(mask).select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "region")
+def _pixels(found: DataFrame) -> DataFrame:
+    """(image_id, y, x): the pixels of runs."""
+    return found.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def _region() -> WindowSpec:
+    """All runs of a region."""
+    return Window.partitionBy("image_id", "region")
 
 
 def regions(mask: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def region_stats(sizes: DataFrame, mask: DataFrame, least_area: int = 12) -> Dat
     """One row an image of sizes (image_id, width, height): count of regions of least_area pixels or more, the mask's share of the image, the largest region's share,
     and the shares of regions whose middle is in the top, middle and bottom third. Images without regions have zeros."""
     found = regions(mask).select("image_id", "area", (F.col("y0") + F.col("height") * 0.5).alias("center"))
-    both = sizes.select("image_id", F.col("height").alias("rows"), (F.col("width") * F.col("height")).alias("total")).join(found, "image_id", "left")
+    both = sizes.select("image_id", F.col("height").alias("rows"), (F.col("width") * F.col("height")).alias("total")).join(apart(found), "image_id", "left")
     large = F.col("area") >= least_area
     third = F.when(F.col("center") < F.col("rows") / 3, 0).when(F.col("center") < F.col("rows") * 2 / 3, 1).otherwise(2)
     share = lambda of: F.round(F.coalesce(of, F.lit(0)) / F.first("total"), 6)
@@ -104,8 +109,11 @@ def region_stats(sizes: DataFrame, mask: DataFrame, least_area: int = 12) -> Dat
 
 def stable_regions(mask: DataFrame, least_area: int = 8, least_side: int = 5) -> DataFrame:
     """The pixels of a mask's regions that are large and long enough; the others are speckles."""
-    kept = regions(mask).where((F.col("area") >= least_area) & (F.greatest("width", "height") >= least_side)).select("image_id", F.struct(F.col("first_y").alias("y"), F.col("first_x").alias("x")).alias("region"))
-    return labelled_pixels(mask).join(kept, ["image_id", "region"], "left_semi").select("image_id", "y", "x")
+    of = {
+        "area": F.sum(F.col("x1") - F.col("x0") + 1).over(_region()), "width": F.max("x1").over(_region()) - F.min("x0").over(_region()) + 1,
+        "height": F.max("y").over(_region()) - F.min("y").over(_region()) + 1,
+    }
+    return _pixels(labelled_runs(mask).withColumns(of).where((F.col("area") >= least_area) & (F.greatest("width", "height") >= least_side)))
 
 
 def edge_thresholds(px: DataFrame) -> DataFrame:
@@ -142,7 +150,7 @@ def edges(px: DataFrame, low: float | None = None, high: float | None = None, sq
     """
     size = thinned(px, squared).where("size IS NOT NULL")
     if low is None or high is None:
-        size = size.join(edge_thresholds(px), "image_id")
+        size = size.join(apart(edge_thresholds(dealt(px))), "image_id")
     else:
         size = size.withColumns({"low": F.lit(low), "high": F.lit(high)})
     return _held(size.where(F.col("size") > F.col("low")).select("image_id", "y", "x", (F.col("size") > F.col("high")).alias("strong")))
@@ -150,10 +158,7 @@ def edges(px: DataFrame, low: float | None = None, high: float | None = None, sq
 
 def _held(weak: DataFrame) -> DataFrame:
     """The pixels of (image_id, y, x, strong) whose region has a strong one."""
-    weak = settled(weak)
-    at = labelled_pixels(weak)
-    kept = at.join(weak.where("strong"), ["image_id", "y", "x"], "left_semi").select("image_id", "region").distinct()
-    return at.join(kept, ["image_id", "region"], "left_semi").select("image_id", "y", "x")
+    return _pixels(labelled_runs(weak, F.col("strong")).withColumn("held", F.bool_or("strong").over(_region())).where("held"))
 
 
 def edge_sets(px: DataFrame, thresholds: dict[str, tuple[float, float]], squared: bool = True) -> DataFrame:
@@ -166,23 +171,32 @@ def edge_sets(px: DataFrame, thresholds: dict[str, tuple[float, float]], squared
 
 #: Directions of lines, in whole degrees; cosines and sines to six places, so that places on a line are the same everywhere.
 DEGREES = 180
+#: A pixel of a mask weighs as much as so many others where it votes in every direction.
+VOTES = 8
 
 
-def _turned(theta: Column) -> tuple[Column, Column]:
+def _turned(theta: Column | int) -> tuple[Column, Column]:
     return F.round(F.cos(F.radians(theta)), 6), F.round(F.sin(F.radians(theta)), 6)
 
 
+def _directions() -> Column:
+    """All directions with their cosines and sines (theta, c, s): one constant."""
+    return F.array(*[F.struct(F.lit(t).alias("theta"), c.alias("c"), s.alias("s")) for t in range(DEGREES) for c, s in [_turned(F.lit(t))]])
+
+
+def _rho() -> Column:
+    return F.floor(F.col("x") * F.col("d.c") + F.col("y") * F.col("d.s") + 0.5)
+
+
 def line_peaks(mask: DataFrame, least_votes: int) -> DataFrame:
     """(image_id, theta, rho, votes): lines x cos + y sin = rho that have least_votes pixels or more, and more than the lines beside them (ties: the smaller theta, then rho)."""
-    c, s = _turned(F.col("theta"))
-    rho = F.floor(F.col("x") * c + F.col("y") * s + 0.5)
-    votes = mask.select("image_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(DEGREES - 1))).alias("theta")).groupBy("image_id", "theta", rho.alias("rho")).agg(F.count("*").alias("votes"))
+    votes = mask.select("image_id", "x", "y", F.explode(_directions()).alias("d")).groupBy("image_id", F.col("d.theta").alias("theta"), _rho().alias("rho")).agg(F.count("*").alias("votes"))
     many = settled(votes.where(F.col("votes") >= least_votes))
     # A line beside a peak that has fewer votes than least_votes can't beat it, so it need not be looked at.
     beside = F.array(*[F.struct((F.col("theta") + t).alias("theta"), (F.col("rho") + r).alias("rho"), F.lit((t, r) < (0, 0)).alias("after")) for t in (-1, 0, 1) for r in (-1, 0, 1) if (t, r) != (0, 0)])
     other = many.select("image_id", F.col("votes").alias("other"), F.explode(beside).alias("b")).select("image_id", "b.theta", "b.rho", "other", "b.after")
-    beaten = many.join(other, ["image_id", "theta", "rho"]).where((F.col("other") > F.col("votes")) | ((F.col("other") == F.col("votes")) & ~F.col("after")))
-    return many.join(beaten.select("image_id", "theta", "rho").distinct(), ["image_id", "theta", "rho"], "left_anti")
+    beaten = many.join(apart(other), ["image_id", "theta", "rho"]).where((F.col("other") > F.col("votes")) | ((F.col("other") == F.col("votes")) & ~F.col("after")))
+    return many.join(apart(beaten.select("image_id", "theta", "rho").distinct()), ["image_id", "theta", "rho"], "left_anti")
 
 
 def line_segments(mask: DataFrame, least_votes: int = 55, least_length: int = 24, most_gap: int = 5) -> DataFrame:
@@ -191,15 +205,20 @@ def line_segments(mask: DataFrame, least_votes: int = 55, least_length: int = 24
     Each pixel goes to the line with most votes that passes it (ties: the smaller theta, then rho). Along a line pixels are cut where they
     stand more than most_gap apart; what is at least least_length long is a segment, from its first pixel to its last.
     """
-    peaks = line_peaks(mask, least_votes)
-    c, s = _turned(F.col("theta"))
-    rho = F.floor(F.col("x") * c + F.col("y") * s + 0.5)
-    cells = mask.select("image_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(DEGREES - 1))).alias("theta")).withColumn("rho", rho)
-    best = F.max(F.struct("votes", (-F.col("theta")).alias("t"), (-F.col("rho")).alias("r"))).alias("best")
-    on = cells.join(peaks, ["image_id", "theta", "rho"]).groupBy("image_id", "y", "x").agg(best)
-    on = on.select("image_id", "y", "x", (-F.col("best.t")).alias("theta"), (-F.col("best.r")).alias("rho"))
-    along = F.round(F.col("y") * c - F.col("x") * s, 6)
-    on = on.withColumn("t", along)
+    mask = settled(mask.select("image_id", "y", "x"))
+    weight = mask.count() * VOTES
+    mask = dealt(mask, weight)
+    peaks = dealt(settled(line_peaks(mask, least_votes)), weight)
+    # Pixels are looked up only in directions in which their image has a peak.
+    asked = peaks.groupBy("image_id").agg(F.collect_set("theta").alias("asked")).select("image_id", F.filter(_directions(), lambda d: F.array_contains("asked", d["theta"])).alias("asked"))
+    cells = mask.join(apart(asked), "image_id").select("image_id", "y", "x", F.explode("asked").alias("d"))
+    cells = cells.select("image_id", "y", "x", F.col("d.theta").alias("theta"), _rho().alias("rho"), F.round(F.col("y") * F.col("d.c") - F.col("x") * F.col("d.s"), 6).alias("t"))
+    best = F.max(F.struct("votes", (-F.col("theta")).alias("theta"), (-F.col("rho")).alias("rho"), "t")).alias("best")
+    # Peaks are laid beside the pixels of their line, in the partition of their image.
+    votes = F.max("votes").over(Window.partitionBy("image_id", "theta", "rho")).alias("votes")
+    on = cells.unionByName(peaks, allowMissingColumns=True).select("image_id", "y", "x", "theta", "rho", "t", votes)
+    on = on.where("x IS NOT NULL AND votes IS NOT NULL").groupBy("image_id", "y", "x").agg(best)
+    on = on.select("image_id", "y", "x", (-F.col("best.theta")).alias("theta"), (-F.col("best.rho")).alias("rho"), "best.t")
     line = Window.partitionBy("image_id", "theta", "rho").orderBy("t", "y", "x")
     gap = F.when(F.col("t") - F.lag("t").over(line) > most_gap, 1).otherwise(0)
     cut = on.withColumn("gap", gap).withColumn("part", F.sum("gap").over(line.rowsBetween(Window.unboundedPreceding, 0)))
@@ -212,5 +231,5 @@ def line_segments(mask: DataFrame, least_votes: int = 55, least_length: int = 24
 
 def line_density(sizes: DataFrame, segments: DataFrame, full: int = 90) -> DataFrame:
     """(image_id, segments, line_score): how many segments an image of sizes has, and that over `full`, at most 1."""
-    found = sizes.select("image_id").distinct().join(segments.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left")
+    found = sizes.select("image_id").distinct().join(apart(segments.groupBy("image_id").agg(F.count("*").alias("n"))), "image_id", "left")
     return found.select("image_id", F.coalesce("n", F.lit(0)).cast("long").alias("segments"), F.round(F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / full), 6).alias("line_score"))

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lumenmill.functions.tables import dealt
+
 
 def row() -> WindowSpec:
     return Window.partitionBy("image_id", "y").orderBy("x")
@@ -28,7 +30,7 @@ def sized(px: DataFrame) -> DataFrame:
     if {"width", "height"} <= set(px.columns):
         return px
     image = Window.partitionBy("image_id")
-    return px.repartition("image_id").select("*", (F.max("x").over(image) + 1).alias("width"), (F.max("y").over(image) + 1).alias("height"))
+    return dealt(px).select("*", (F.max("x").over(image) + 1).alias("width"), (F.max("y").over(image) + 1).alias("height"))
 
 
 def _mirrors(axis: str, radius: int | Column, side: Column) -> Column:
@@ -64,7 +66,7 @@ def neighbours(px: DataFrame, value: str = "l", edge: str = "reflect") -> DataFr
         return (F.coalesce(before, own), F.coalesce(after, own)) if edge == "repeat" else (F.coalesce(before, after, own), F.coalesce(after, before, own))
 
     left, right = pair(value, row())
-    rows = px.repartition("image_id").select("*", left.alias("left"), right.alias("right"))
+    rows = dealt(px).select("*", left.alias("left"), right.alias("right"))
     around = [c.alias(n) for v, names in ((value, ("up", "down")), ("left", ("ul", "dl")), ("right", ("ur", "dr"))) for c, n in zip(pair(v, column()), names, strict=True)]
     return rows.select("*", *around)
 
@@ -83,7 +85,7 @@ def sobel() -> tuple[Column, Column]:
 def box(px: DataFrame, radius: int, agg, out: str, value: str = "l") -> DataFrame:
     """agg (F.sum, F.max, F.min) over the square of the given radius, one axis after the other."""
     n = Window.currentRow
-    rows = padded(px.repartition("image_id"), radius)
+    rows = padded(dealt(px), radius)
     rows = rows.withColumn("__row", agg(value).over(row().rowsBetween(n - radius, n + radius)))
     return inside(rows.withColumn(out, agg("__row").over(column().rowsBetween(n - radius, n + radius))).drop("__row"))
 
@@ -116,7 +118,7 @@ def weights(sigma: float) -> list[float]:
 def gaussian(px: DataFrame, sigma: float, out: str, value: str = "l") -> DataFrame:
     """Blurs value, as a double, along rows and then columns; the border reflects."""
     half = weights(sigma)
-    rows = padded(px.repartition("image_id"), len(half) - 1)
+    rows = padded(dealt(px), len(half) - 1)
 
     def along(name: str, axis: WindowSpec) -> Column:
         total = F.col(name) * half[0]
@@ -155,9 +157,9 @@ def taps(sides: DataFrame, target: int, kernel: Callable[[Column], Column], reac
 
 
 def resize(px: DataFrame, width: int, height: int, kernel: Callable[[Column], Column], reach: int) -> DataFrame:
-    """A resized raster: weighted sums along x and then y, rounded and cut to bytes. Weights are one small table by side length, 2 * reach rows a target pixel."""
-    px = sized(px)
-    x, y = (taps(px.select(F.col(c).cast("long").alias("side")).distinct(), n, kernel, reach) for c, n in (("width", width), ("height", height)))
+    """A resized raster: weighted sums along x and then y, rounded and cut to bytes. Weights are one small table by side length, 2 * reach rows a target pixel, however many images there are."""
+    px = sized(dealt(px))
+    x, y = (F.broadcast(taps(px.select(F.col(c).cast("long").alias("side")).distinct(), n, kernel, reach)) for c, n in (("width", width), ("height", height)))
     wide = px.join(x, (F.col("width") == F.col("side")) & (F.col("x") == F.col("src"))).groupBy("image_id", "height", "y", F.col("dst").alias("tx")).agg(F.sum(F.col("l") * F.col("w")).alias("v"))
     out = wide.join(y, (F.col("height") == F.col("side")) & (F.col("y") == F.col("src"))).groupBy("image_id", F.col("dst").alias("ty"), "tx").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return out.select("image_id", F.col("ty").cast("long").alias("y"), F.col("tx").cast("long").alias("x"), quantized(F.round("v", 9)).alias("l"))
