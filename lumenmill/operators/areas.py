@@ -9,27 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenmill.functions.tables import dealt
 from lumenmill.operators import stencils as st
 
 AT = ["image_id", "y", "x"]
 
 
-def summed_area(px: DataFrame, *values: str) -> DataFrame:
-    """(image_id, y, x) and each value summed over the pixels above and to the left, this one included. Places may begin anywhere, also below 0."""
-    rows = px.repartition("image_id").select(*AT, *values)
+def summed_area(px: DataFrame, *values: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, y, x), the columns to keep, and each value summed over the pixels above and to the left, this one included. Places may begin anywhere, also below 0."""
+    rows = dealt(px).select(*AT, *keep, *values)
     upto = lambda axis: axis.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select(*AT, *[F.sum(v).over(upto(st.row())).alias(v) for v in values])
-    return rows.select(*AT, *[F.sum(v).over(upto(st.column())).alias(v) for v in values])
+    rows = rows.select(*AT, *keep, *[F.sum(v).over(upto(st.row())).alias(v) for v in values])
+    return rows.select(*AT, *keep, *[F.sum(v).over(upto(st.column())).alias(v) for v in values])
 
 
 def window_sums(table: DataFrame, windows: DataFrame, key: list[str], *values: str) -> DataFrame:
-    """windows (image_id, key, x0, y0, x1, y1: both ends included and inside the table) with the sum of each value over them."""
+    """windows (image_id, key, x0, y0, x1, y1, any others: both ends included and inside the table) with the sum of each value over them.
+
+    Corners and the table's rows are laid together, by place, so that they stay in the partition of their image.
+    """
     corners = [(F.col("x1"), F.col("y1"), 1), (F.col("x0") - 1, F.col("y1"), -1), (F.col("x1"), F.col("y0") - 1, -1), (F.col("x0") - 1, F.col("y0") - 1, 1)]
     # A corner outside the table has no row there and adds nothing.
-    wanted = windows.select("image_id", *key, F.explode(F.array(*[F.struct(y.alias("y"), x.alias("x"), F.lit(sign).alias("sign")) for x, y, sign in corners])).alias("c"))
-    wanted = wanted.select("image_id", *key, "c.y", "c.x", "c.sign")
-    sums = wanted.join(table, AT).groupBy("image_id", *key).agg(*[F.sum(F.col(v) * F.col("sign")).alias(v) for v in values])
-    return windows.join(sums, ["image_id", *key])
+    own = [c for c in windows.columns if c != "image_id"]
+    of = F.struct(*own).alias("of")
+    wanted = windows.select("image_id", of, F.explode(F.array(*[F.struct(y.alias("y"), x.alias("x"), F.lit(sign).alias("sign")) for x, y, sign in corners])).alias("c"))
+    both = wanted.select("image_id", "c.y", "c.x", "of", "c.sign").unionByName(table.select(*AT, *values), allowMissingColumns=True)
+    found = both.select("image_id", "of", "sign", *[F.max(v).over(Window.partitionBy(*AT)).alias(v) for v in values]).where(F.col("of").isNotNull())
+    sums = found.groupBy("image_id", *[F.col(f"of.{c}").alias(f"key{i}") for i, c in enumerate(key)]).agg(F.first("of").alias("of"), *[F.sum(F.col(v) * F.col("sign")).alias(v) for v in values])
+    return sums.select("image_id", "of.*", *values)
 
 
 def _images(px: DataFrame) -> DataFrame:
@@ -58,40 +65,38 @@ def _clamped(at: Column, size: str, side: str) -> Column:
     return F.greatest(F.lit(0), F.least(F.col(side) - F.col(size), F.when(start < 0, F.ceil(start)).otherwise(F.floor(start)))).cast("long")
 
 
-def peak_crops(px: DataFrame, value: str, width: Column, height: Column, parts: int) -> DataFrame:
-    """(image_id, x0, y0, x1, y1): a crop around the pixel whose surroundings have the largest mean of value, the first in reading order on a tie.
+def peak_crops(px: DataFrame, values: list[str], width: Column, height: Column, parts: int) -> DataFrame:
+    """(image_id, of, x0, y0, x1, y1): for each value, by its place in values, a crop around the pixel whose surroundings have its largest mean, the first in reading order on a tie.
 
     width and height of a crop are columns over the image's width and height. Surroundings are a parts-th of the crop, 8 at least;
     the border reflects. Ends are exclusive.
     """
-    images = _images(px).select("image_id", "width", "height", width.cast("long").alias("crop_w"), height.cast("long").alias("crop_h"))
-    images = images.withColumns({f"k{a}": F.greatest(F.lit(8).cast("long"), F.floor(F.col(f"crop_{a}") / parts)) for a in "wh"})
-    rows = st.sized(px).join(images.drop("width", "height"), "image_id")
-    border = st.padded(rows.select(*AT, "width", "height", value, F.greatest(F.floor(F.col("kw") / 2), F.floor(F.col("kh") / 2)).alias("radius")), F.col("radius"))
-    table = summed_area(border, value)
-    left, top = F.col("x") - F.floor(F.col("kw") / 2), F.col("y") - F.floor(F.col("kh") / 2)
-    windows = rows.select("image_id", F.col("y").alias("at_y"), F.col("x").alias("at_x"), left.alias("x0"), top.alias("y0"), (left + F.col("kw") - 1).alias("x1"), (top + F.col("kh") - 1).alias("y1"))
-    sums = window_sums(table, windows, ["at_y", "at_x"], value)
-    best = F.max(F.struct(F.round(value, 6).alias("sum"), (-F.col("at_y")).alias("y"), (-F.col("at_x")).alias("x"))).alias("best")
-    found = sums.groupBy("image_id").agg(best).join(images, "image_id")
+    cut = {"crop_w": width.cast("long"), "crop_h": height.cast("long")}
+    around = {f"k{a}": F.greatest(F.lit(8).cast("long"), F.floor(F.col(f"crop_{a}") / parts)) for a in "wh"}
+    rows = st.sized(px).select(*AT, "width", "height", *values).withColumns(cut).withColumns(around).drop(*cut)
+    border = st.padded(rows, F.greatest(F.floor(F.col("kw") / 2), F.floor(F.col("kh") / 2)))
+    table = summed_area(border, *values, keep=("width", "height", "kw", "kh"))
+    # A place of the table is a corner of the surroundings of four pixels, and adds its sum to them.
+    ends = lambda at, k: F.explode(F.array(F.struct((F.col(at) + 1 + F.floor(F.col(k) / 2) - F.col(k)).alias("at"), F.lit(1).alias("sign")), F.struct((F.col(at) + 1 + F.floor(F.col(k) / 2)).alias("at"), F.lit(-1).alias("sign"))))
+    corners = table.withColumn("y", ends("y", "kh")).where("y.at >= 0 AND y.at < height").withColumn("x", ends("x", "kw")).where("x.at >= 0 AND x.at < width")
+    sums = corners.groupBy("image_id", "width", "height", F.col("y.at").alias("at_y"), F.col("x.at").alias("at_x")).agg(*[F.sum(F.col(v) * F.col("y.sign") * F.col("x.sign")).alias(v) for v in values])
+    best = F.array(*[F.max(F.struct(F.round(v, 6).alias("sum"), (-F.col("at_y")).alias("y"), (-F.col("at_x")).alias("x"))) for v in values])
+    found = sums.groupBy("image_id", "width", "height").agg(best.alias("best")).select("image_id", "width", "height", F.posexplode("best").alias("of", "best")).withColumns(cut)
     x0, y0 = _clamped(-F.col("best.x"), "crop_w", "width"), _clamped(-F.col("best.y"), "crop_h", "height")
-    return found.select("image_id", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("crop_w")).alias("x1"), (y0 + F.col("crop_h")).alias("y1"))
+    return found.select("image_id", "of", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("crop_w")).alias("x1"), (y0 + F.col("crop_h")).alias("y1"))
 
 
 def texture_crops(px: DataFrame, width: int = 360, height: int = 240) -> DataFrame:
     """The crop of strongest texture: absolute Laplacian."""
     rows = st.sized(st.neighbours(px)).select(*AT, "width", "height", F.abs(st.laplacian()).alias("v"))
-    return peak_crops(rows, "v", F.least(F.lit(width), F.col("width")), F.least(F.lit(height), F.col("height")), 6)
-
-
-def _gradient(px: DataFrame) -> DataFrame:
-    gx, gy = st.sobel()
-    return st.sized(st.neighbours(px)).select(*AT, "width", "height", F.sqrt(gx * gx + gy * gy).alias("v"))
+    return peak_crops(rows, ["v"], F.least(F.lit(width), F.col("width")), F.least(F.lit(height), F.col("height")), 6).drop("of")
 
 
 def edge_crops(px: DataFrame, width: int = 360, height: int = 240) -> DataFrame:
     """The crop of strongest edges: size of the gradient."""
-    return peak_crops(_gradient(px), "v", F.least(F.lit(width), F.col("width")), F.least(F.lit(height), F.col("height")), 6)
+    gx, gy = st.sobel()
+    rows = st.sized(st.neighbours(px)).select(*AT, "width", "height", F.sqrt(gx * gx + gy * gy).alias("v"))
+    return peak_crops(rows, ["v"], F.least(F.lit(width), F.col("width")), F.least(F.lit(height), F.col("height")), 6).drop("of")
 
 
 def review_crops(px: DataFrame, width: tuple[int, int] = (180, 420), height: tuple[int, int] = (150, 300), most: int = 4) -> DataFrame:
@@ -100,17 +105,14 @@ def review_crops(px: DataFrame, width: tuple[int, int] = (180, 420), height: tup
     Crops are a quarter of the image, within the bounds of width and height and inside the image.
     """
     w, h = (F.least(F.col(side), F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.col(side) / 4)))) for side, (least, most) in (("width", width), ("height", height)))
-    lap = st.sized(st.neighbours(px)).select(*AT, "width", "height", F.abs(st.laplacian()).alias("v"))
-    dark = st.sized(px).select(*AT, "width", "height", F.greatest(F.lit(0), F.lit(105) - F.col("l")).alias("v"))
-    crops = [peak_crops(rows, "v", w, h, 5) for rows in (lap, dark, _gradient(px))]
+    gx, gy = st.sobel()
+    signals = {"texture": F.abs(st.laplacian()), "shadow": F.greatest(F.lit(0), F.lit(105) - F.col("l")), "edge": F.sqrt(gx * gx + gy * gy)}
+    rows = st.sized(st.neighbours(px)).select(*AT, "width", "height", *[v.alias(n) for n, v in signals.items()])
     middle = _images(px).select("image_id", "width", "height", w.cast("long").alias("crop_w"), h.cast("long").alias("crop_h"))
     x0, y0 = _clamped(F.floor(F.col("width") / 2), "crop_w", "width"), _clamped(F.floor(F.col("height") / 2), "crop_h", "height")
-    crops.append(middle.select("image_id", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("crop_w")).alias("x1"), (y0 + F.col("crop_h")).alias("y1")))
-    names = ("face_or_texture", "shadow_or_compression", "background_text_edge", "center_subject")
-    out = None
-    for i, (name, crop) in enumerate(zip(names, crops, strict=True)):
-        crop = crop.withColumn("of", F.struct(F.lit(i).alias("place"), F.lit(name).alias("label")))
-        out = crop if out is None else out.unionByName(crop)
+    middle = middle.select("image_id", F.lit(3).alias("of"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("crop_w")).alias("x1"), (y0 + F.col("crop_h")).alias("y1"))
+    names = F.array(*[F.lit(n) for n in ("face_or_texture", "shadow_or_compression", "background_text_edge", "center_subject")])
+    out = peak_crops(rows, list(signals), w, h, 5).unionByName(middle).withColumn("of", F.struct(F.col("of").alias("place"), F.element_at(names, F.col("of") + 1).alias("label")))
     once = out.groupBy("image_id", "x0", "y0", "x1", "y1").agg(F.min("of").alias("of")).select("image_id", "of.place", "of.label", "x0", "y0", "x1", "y1")
     return once.withColumn("turn", F.row_number().over(Window.partitionBy("image_id").orderBy("place"))).where(F.col("turn") <= most).drop("turn")
 

@@ -7,6 +7,7 @@ from lumenmill.operators import regions
 from lumenmill.plans import drawings
 
 SF = "/root/testdata/sf0.001"
+LOCAL = ("focus_boxes", "texture_crops", "edge_crops", "review_crops", "best_windows")
 JOINED = ("regions", "region_stats", "canny", "edge_density", "stable_edges", "segments", "line_score")
 
 
@@ -14,6 +15,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", LOCAL)
+def test_pixels_stay_in_the_partition_of_their_image(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "PIXELS", 500)
+    text = plan(getattr(drawings, f"drawing_{name}")(spark, SF))
+    assert "Join" not in text and "ENSURE_REQUIREMENTS" not in text and "REPARTITION_BY_NUM" in text
+
+
 @pytest.mark.parametrize("name", JOINED)
 def test_no_table_of_pixels_is_broadcast(spark, monkeypatch, name):
     plans = []
