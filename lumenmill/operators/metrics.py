@@ -222,12 +222,8 @@ def unsharp(px: DataFrame, sigma: float = 1.2, amount: float = 0.35) -> DataFram
 
 def morphology(px: DataFrame) -> DataFrame:
     """Sums of the 3 x 3 closing, opening, black hat and top hat: maxima of minima and minima of maxima."""
-    at = ["image_id", "y", "x"]
-    grown = st.box(px.select(*at, "l"), 1, F.max, "hi").select(*at, "hi")
-    shrunk = st.box(px.select(*at, "l"), 1, F.min, "lo").select(*at, "lo")
-    closed = st.box(grown, 1, F.min, "closed", "hi").select(*at, "closed")
-    opened = st.box(shrunk, 1, F.max, "opened", "lo").select(*at, "opened")
-    rows = px.join(closed, at).join(opened, at)
+    rows = st.box(st.box(px, 1, F.max, "hi"), 1, F.min, "lo")
+    rows = st.box(st.box(rows, 1, F.min, "closed", "hi"), 1, F.max, "opened", "lo")
     hat = F.greatest(F.col("closed") - F.col("l"), F.col("l") - F.col("opened"))
     return rows.groupBy("image_id").agg(F.sum("closed").alias("closed_sum"), F.sum("opened").alias("opened_sum"), F.sum(F.col("closed") - F.col("l")).alias("black_hat_sum"), F.sum(F.col("l") - F.col("opened")).alias("top_hat_sum"), F.max(hat).alias("max_hat"))
 
