@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenmill.functions.tables import apart, dealt
 from lumenmill.operators import stencils as st
 
 
@@ -15,13 +16,13 @@ def tile_size(side: str, tiles: int) -> Column:
 
 
 def tile_tables(px: DataFrame, clip: float, tiles: int, value: str = "l") -> DataFrame:
-    """(image_id, ty, tx, lut): 256 values a tile: the cumulated histogram, clipped at clip times its mean and with what was cut off dealt out again.
+    """(image_id, table): a tile's histogram, clipped at clip times its mean, cumulated in 256 values (upto), and how what was cut off is dealt out again (area, each, rest, step).
 
     An image whose sides the tiles don't divide goes on behind its right and lower edges, reflected. The whole part of the excess goes to every
     value alike, the rest to values at even distances.
     """
     c = F.col
-    rows = st.sized(px).select("image_id", "y", "x", "width", "height", value)
+    rows = st.sized(dealt(px)).select("image_id", "y", "x", "width", "height", value)
     more = lambda side: tile_size(side, tiles) * tiles
     border = st.padded(rows, F.greatest(more("width") - c("width"), more("height") - c("height")))
     border = border.where((c("x") >= 0) & (c("y") >= 0) & (c("x") < more("width")) & (c("y") < more("height")))
@@ -31,15 +32,15 @@ def tile_tables(px: DataFrame, clip: float, tiles: int, value: str = "l") -> Dat
     limit = F.greatest(F.lit(1), F.floor(clip * c("area") / 256))
     tile = ["image_id", "ty", "tx"]
     clipped = counts.select(*tile, "area", "v", F.least("n", limit).alias("n"), F.greatest(F.lit(0), c("n") - limit).alias("excess"))
-    whole = clipped.groupBy(*tile, "area").agg(F.sum("excess").alias("excess"), F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("bins"))
-    whole = whole.select(*tile, "area", "bins", F.floor(c("excess") / 256).alias("each"), (c("excess") % 256).alias("rest"))
-    step = F.greatest(F.lit(1), F.floor(256 / F.greatest(F.lit(1), c("rest"))))
-    every = whole.select(*tile, "area", "each", "rest", "bins", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
-    extra = ((c("v") % c("step") == 0) & (F.floor(c("v") / c("step")) < c("rest"))).cast("long")
-    upto = Window.partitionBy(*tile).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    filled = every.select(*tile, "area", "v", (F.coalesce(F.try_element_at("bins", "v"), F.lit(0)) + c("each") + extra).alias("n"))
-    looked = filled.select(*tile, "v", F.least(F.lit(255), F.bround(F.sum("n").over(upto) * 255.0 / c("area"), 0)).cast("int").alias("to"))
-    return looked.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct("v", "to"))).getField("to").alias("lut"))
+    whole = clipped.groupBy(*tile, "area").agg(F.sum("excess").alias("excess"), F.array_sort(F.collect_list(F.struct(c("v").cast("int").alias("v"), "n"))).alias("bins"))
+    each, rest = F.floor(c("excess") / 256), c("excess") % 256
+    whole = whole.select(*tile, "area", "bins", each.alias("each"), rest.alias("rest"), F.greatest(F.lit(1), F.floor(256 / F.greatest(F.lit(1), rest))).alias("step"))
+    # Values without pixels are many: the sum of the bins up to a value stands there as often as values follow until the next bin.
+    sums = F.aggregate("bins", F.array(F.lit(0)), lambda done, bin: F.concat(done, F.array(F.element_at(done, -1) + bin["n"].cast("int"))))
+    last = F.size("bins")
+    until = F.transform("sums", lambda n, i: F.array_repeat(n, F.when(i < last, F.get(c("bins"), i)["v"]).otherwise(256) - F.when(i > 0, F.get(c("bins"), i - 1)["v"]).otherwise(0)))
+    upto = whole.withColumn("sums", sums).withColumn("upto", F.flatten(until))
+    return upto.select("image_id", F.struct(*[c(n).cast("int").alias(n) for n in ("ty", "tx", "area", "each", "rest", "step")], "upto").alias("table"))
 
 
 def local_equalized(px: DataFrame, clip: float = 2.0, tiles: int = 8, value: str = "l") -> DataFrame:
@@ -48,8 +49,8 @@ def local_equalized(px: DataFrame, clip: float = 2.0, tiles: int = 8, value: str
     Tables of one image are one row of tiles * tiles * 256 values; pixels meet it by image.
     """
     c = F.col
-    tables = tile_tables(px, clip, tiles, value).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((c("ty") * tiles + c("tx")).cast("int").alias("tile"), "lut"))).alias("tables"))
-    rows = st.sized(px)
+    tables = tile_tables(px, clip, tiles, value).groupBy("image_id").agg(F.array_sort(F.collect_list("table")).alias("tables"))
+    rows = st.sized(dealt(px))
 
     def axis(at: str, side: str) -> tuple[Column, Column, Column]:
         spot = c(at) / tile_size(side, tiles) - 0.5
@@ -57,9 +58,14 @@ def local_equalized(px: DataFrame, clip: float = 2.0, tiles: int = 8, value: str
         return F.greatest(F.lit(0), low).cast("int"), F.least(F.lit(tiles - 1), low + 1).cast("int"), spot - low
 
     (y1, y2, ya), (x1, x2, xa) = axis("y", "height"), axis("x", "width")
-    look = lambda ty, tx: F.element_at(F.element_at("tables", ty * tiles + tx), (c(value) + 1).cast("int"))
+
+    def look(ty: Column, tx: Column) -> Column:
+        t, v = F.get("tables", ty * tiles + tx), c(value).cast("int")
+        extra = F.least(t["rest"], F.floor(v / t["step"]) + 1)
+        return F.least(F.lit(255), F.rint((F.get(t["upto"], v) + t["each"] * (v + 1) + extra) * 255.0 / t["area"]))
+
     blend = (look(y1, x1) * (1 - xa) + look(y1, x2) * xa) * (1 - ya) + (look(y2, x1) * (1 - xa) + look(y2, x2) * xa) * ya
-    return rows.join(tables, "image_id").select("image_id", "width", "height", "y", "x", F.bround(F.round(blend, 9), 0).cast("int").alias(value))
+    return rows.join(apart(tables), "image_id").select("image_id", "width", "height", "y", "x", F.rint(F.round(blend, 9)).cast("int").alias(value))
 
 
 def micro_contrast(px: DataFrame, amount: float) -> DataFrame:

@@ -8,7 +8,7 @@ from lumenmill.plans import drawings
 
 SF = "/root/testdata/sf0.001"
 LOCAL = ("metrics", "edges_sobel", "box_contrast", "texture", "morphology", "focus_boxes", "texture_crops", "edge_crops", "review_crops", "best_windows")
-JOINED = ("regions", "region_stats", "canny", "edge_density", "stable_edges", "segments", "line_score")
+JOINED = ("regions", "region_stats", "canny", "edge_density", "stable_edges", "segments", "line_score", "local_contrast")
 
 
 def plan(df):
