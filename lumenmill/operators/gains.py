@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenmill.functions.color import gray, hsv, lab
 from lumenmill.functions.scalars import clip, labels, ladder, log_score, risk_from_gain, risk_within
-from lumenmill.functions.tables import settled
+from lumenmill.functions.tables import apart, dealt, settled
 from lumenmill.operators import points as pt
 from lumenmill.operators import regions
 from lumenmill.operators import stencils as st
@@ -30,12 +30,13 @@ def version_signals(px3: DataFrame, text: DataFrame | None = None) -> DataFrame:
     """
     px = st.sized(px3).select(*AT, "width", "height", gray(c("b"), c("g"), c("r")).alias("l"), *[v.alias(n) for v, n in zip(hsv(c("b"), c("g"), c("r")), "hsv", strict=True)])
     px = settled(px)
+    px = dealt(px, px.count())
     marks = regions.edge_sets(px, {"text_edge": (60, 160), "dark_edge": (45, 135)}, squared=False)
     gx, gy = st.sobel()
     rows = st.neighbours(px).select(*AT, "width", "height", "l", "h", "s", "v", st.laplacian().alias("lap"), F.sqrt(gx * gx + gy * gy).alias("steep"))
     rows = st.box(st.gaussian(st.gaussian(rows, 1.35, "wide"), 1.15, "narrow"), 3, F.sum, "around")
-    rows = rows.join(marks, AT, "left")
-    rows = rows.join(text, AT, "left") if text is not None else rows.withColumn("weight", F.lit(0.0))
+    rows = rows.join(apart(marks), AT, "left")
+    rows = rows.join(apart(text), AT, "left") if text is not None else rows.withColumn("weight", F.lit(0.0))
     fine = F.abs(c("l") - st.quantized(F.round("narrow", 9)))
     rows = rows.select(
         "image_id", "lap", "steep", fine.alias("fine"), (F.coalesce("weight", F.lit(0.0)) > 0.12).alias("texty"), F.coalesce("text_edge", F.lit(False)).cast("double").alias("edge"), F.abs(c("l") - c("around") / 49.0).alias("contrast"),
@@ -56,7 +57,7 @@ def version_signals(px3: DataFrame, text: DataFrame | None = None) -> DataFrame:
 def version_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """(image_id, color_delta, diff): mean absolute differences of the Lab bytes and of the channels, over all pixels."""
     old, new = ([c(f"{k}{i}") for k in "bgr"] for i in (0, 1))
-    both = before.select(*AT, *[c(k).alias(f"{k}0") for k in "bgr"]).join(after.select(*AT, *[c(k).alias(f"{k}1") for k in "bgr"]), AT)
+    both = before.select(*AT, *[c(k).alias(f"{k}0") for k in "bgr"]).join(apart(after.select(*AT, *[c(k).alias(f"{k}1") for k in "bgr"])), AT)
     mean = lambda pairs: sum((F.abs(p - q) for p, q in pairs), F.lit(0)) / 3.0
     rows = both.select("image_id", mean(zip(lab(*old), lab(*new), strict=True)).alias("lab"), mean(zip(old, new, strict=True)).alias("diff"))
     return rows.groupBy("image_id").agg(F.avg("lab").alias("color_delta"), F.avg("diff").alias("diff"))
@@ -76,9 +77,10 @@ def quality_gains(before: DataFrame, after: DataFrame, text_before: DataFrame |
     pixels = [of(st.sized(px).select(*AT, "width", "height", "b", "g", "r"), i) for i, px in enumerate((before, after))]
     texts = [of(text.select(*AT, "weight"), i) for i, text in enumerate((text_before, text_after)) if text is not None]
     signals = version_signals(pixels[0].unionByName(pixels[1]), texts[0].unionByName(texts[1]) if len(texts) == 2 else texts[0] if texts else None)
+    signals = settled(signals)  # a row an image, read twice
     names = [n for n in signals.columns if n != "image_id"]
     old, new = (signals.where(F.col("image_id.version") == i).select(F.col("image_id.id").alias("image_id"), *names) for i in (0, 1))
-    rows = old.select("image_id", *[c(n).alias(f"{n}0") for n in names]).join(new.select("image_id", *[c(n).alias(f"{n}1") for n in names]), "image_id").join(version_difference(before, after), "image_id")
+    rows = old.select("image_id", *[c(n).alias(f"{n}0") for n in names]).join(apart(new.select("image_id", *[c(n).alias(f"{n}1") for n in names])), "image_id").join(apart(version_difference(before, after)), "image_id")
     scores = {"clarity": ("sharpness", 11.0), "text_clarity": ("text", 10.5), "edge_quality": ("edges", 15.5), "face_detail": ("face", 16.0), "hair_texture": ("hair", 16.0), "fabric_texture": ("fabric", 16.0), "dark_detail": ("dark", 16.0)}
     both = lambda k: [log_score(c(f"{scores[k][0]}{i}"), scores[k][1]) for i in (0, 1)]
     rows = rows.select("*", *[both(k)[1].alias(f"{k}_score") for k in scores], *[_r(both(k)[1] - both(k)[0]).alias(f"{k}_gain") for k in scores])

@@ -3,12 +3,12 @@
 import pytest
 
 from lumenmill.functions import tables
-from lumenmill.operators import regions
+from lumenmill.operators import gains, regions
 from lumenmill.plans import drawings
 
 SF = "/root/testdata/sf0.001"
 LOCAL = ("metrics", "edges_sobel", "box_contrast", "texture", "morphology", "focus_boxes", "texture_crops", "edge_crops", "review_crops", "best_windows")
-JOINED = ("regions", "region_stats", "canny", "edge_density", "stable_edges", "segments", "line_score", "local_contrast")
+JOINED = ("regions", "region_stats", "canny", "edge_density", "stable_edges", "segments", "line_score", "local_contrast", "gains", "gates")
 
 
 def plan(df):
@@ -30,7 +30,7 @@ def test_no_table_of_pixels_is_broadcast(spark, monkeypatch, name):
         plans.append(plan(df))
         return tables.settled(df)
 
-    for module in (regions,):
+    for module in (regions, gains):
         monkeypatch.setattr(module, "settled", settled)
     plans.append(plan(getattr(drawings, f"drawing_{name}")(spark, SF)))
     assert not [p for p in plans if "Broadcast" in p or "NestedLoop" in p or "Cartesian" in p]
@@ -40,3 +40,8 @@ def test_drawings_are_made_in_partitions_of_few_pixels(spark, monkeypatch):
     monkeypatch.setattr(tables, "PIXELS", 500)
     sizes = drawings.fx.drawings(spark, SF).groupBy("image_id").count().collect()
     assert drawings.fx.drawings(spark, SF).rdd.getNumPartitions() == -(-sum(r["count"] for r in sizes) // 500) > 4
+
+
+def test_resize_looks_its_weights_up_beside_the_pixels(spark):
+    text = plan(drawings.drawing_resize_lanczos(spark, SF))
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
