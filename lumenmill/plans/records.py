@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +53,14 @@ RULES = """CONCAT('# part', chr(10), 'name: ', p_name, chr(10), 'limits:', chr(1
  'flags:', chr(10), '  on: true  ', chr(10), '  # off', chr(10), 'rest: ~', chr(10))"""
 
 
+#: Rule documents of a task.
+TREES = 5_000
+
+
 def rule_tree(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rule_values(fx.table(spark, d, "part").selectExpr("p_partkey", f"{RULES} AS text"))
+    parts = fx.table(spark, d, "part")
+    # The rows of a file are few bytes but a tree each: they are dealt out first.
+    return rules.rule_values(parts.repartition(max(1, math.ceil(parts.count() / TREES)), "p_partkey").selectExpr("p_partkey", f"{RULES} AS text"))
 
 
 def sample_selection(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 from lumenmill.functions import tables
 from lumenmill.operators import gains, regions
-from lumenmill.plans import drawings
+from lumenmill.plans import drawings, records
 
 SF = "/root/testdata/sf0.001"
 LOCAL = ("metrics", "edges_sobel", "box_contrast", "texture", "morphology", "focus_boxes", "texture_crops", "edge_crops", "review_crops", "best_windows")
@@ -45,3 +45,8 @@ def test_drawings_are_made_in_partitions_of_few_pixels(spark, monkeypatch):
 def test_resize_looks_its_weights_up_beside_the_pixels(spark):
     text = plan(drawings.drawing_resize_lanczos(spark, SF))
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
+
+
+def test_rule_documents_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(records, "TREES", 50)
+    assert records.rule_tree(spark, SF).rdd.getNumPartitions() == 4
