@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import clear, dropped, modest_batches, noted, read, unused, with_rows, written
+from lumenmill.llm.common import clear, dropped, modest_batches, modest_reads, noted, read, unused, with_rows, written
 from lumenmill.llm.exact_dedup import distinct_documents
 from lumenmill.llm.langid import identified
 from lumenmill.llm.mixing import mix_documents, word_count
@@ -27,7 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     If no text has a language there is nothing to learn from: then only null text and text without a letter go, and lang stays null.
     Each row is judged alone, so repeated rows and rows without an id or source stay or go alike; an empty table stays empty.
     """
-    modest_batches(spark)
+    modest_batches(spark, 500)
+    modest_reads(spark)
     if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
         return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, score = unused(docs, "__lang"), unused(docs, "__score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import give_back, text_of, unused, with_rows, written
+from lumenmill.llm.common import give_back, put_away, text_of, unused, with_rows, written
 
 OWNER = "sha256 string, body binary, owner long, n long, ties long"
 _ARROW = pa.schema([("sha256", pa.string()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
@@ -162,6 +162,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _grown(batches: Iterator[pa.RecordBatch], largest: bool, limit: int, in_order: bool) -> Iterator[pa.RecordBatch]:
     """Owners from one trie, whose subtrees leave when it holds over limit bytes; in order (of the bytes) each text leaves once, with all its rows."""
+    put_away()
     trie = Trie(largest)
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("sha256", "body", "owner", "n", "ties")]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import give_back, if_small, text_of, unused
+from lumenmill.llm.common import give_back, if_small, kept, text_of, unused
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_windows long, n_phrases long"
 #: Characters of a window; each starts a new phrase.
@@ -28,6 +28,8 @@ SEPARATOR, RARE, BREAK = 0, 1, -1
 TOTAL_CHARS, LEAST_CHARS = 262_144, 2_048
 #: Natural logarithm of the odds that one phrase less gives.
 NATS = 4.0
+#: Texts that are parsed side by side.
+SLICE = 500
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -108,7 +110,7 @@ class Model:
         ends = np.cumsum([len(t) for t in texts])
         first = np.zeros(len(got) + 1, bool)
         first[np.concatenate([[0], ends])] = True
-        before = np.concatenate([[RARE], got[:-1]])[: len(got)]
+        before = np.concatenate([np.array([RARE], got.dtype), got[:-1]])[: len(got)]
         keep = (got != SEPARATOR) | (before != SEPARATOR) | first[:-1]
         upto = np.concatenate([[0], np.cumsum(keep)])
         return got[keep], np.diff(upto[np.concatenate([[0], ends])])
@@ -190,16 +192,9 @@ def labelled_samples(
     return out
 
 
-_held: dict[bytes, Model] = {}
-
-
 def _model(blob: bytes) -> Model:
-    """The model of these samples. A worker holds one at a time; the tables of another go before."""
-    if blob not in _held:
-        _held.clear()
-        give_back()
-        _held[blob] = Model(pickle.loads(blob))
-    return _held[blob]
+    """The model of these samples. A worker holds one at a time; the tables of another, or of another stage, go before."""
+    return kept(("langid", blob), lambda: Model(pickle.loads(blob)))
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int = 32_768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -217,8 +212,8 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample_chars: int
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(blob)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 columns = list(zip(*model.predict(part.column("text").to_pylist()), strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *arrays], names=["doc_id", "held_out", "lang_pred", "score", "n_windows", "n_phrases"])
@@ -235,8 +230,9 @@ def identified(docs: DataFrame, lang: str = "__lang", score: str = "__score", sa
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _model(blob)
         for texts in batches:
-            parts = [model.predict(texts[at : at + 1000].tolist()) for at in range(0, len(texts), 1000)]
+            parts = [model.predict(texts[at : at + SLICE].tolist()) for at in range(0, len(texts), SLICE)]
             yield pd.DataFrame([(lang, score) for part in parts for lang, score, *_ in part], columns=["lang", "score"])
+        give_back()
 
     # Not deterministic only to the optimizer: a filter on the result must not make it run twice.
     return docs.withColumn(found, predict.asNondeterministic()(text_of(text_col))).select(*docs.columns, F.col(found)["lang"].alias(lang), F.col(found)["score"].alias(score))

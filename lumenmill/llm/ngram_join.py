@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import dropped, give_back, most_frequent, text_of, written
+from lumenmill.llm.common import dropped, give_back, most_frequent, put_away, text_of, written
 from lumenmill.llm.shingles import digest, shingle_sets
 
 KEYS = "doc_id long, n int, digest binary, gram long, count long"
@@ -45,6 +45,7 @@ def set_keys(texts: DataFrame, width: int) -> DataFrame:
     """A row for each text with the size and digest of its set; and rows of gram and count, n-grams that are common within a chunk."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put_away()
         held, n = [], 0
 
         def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:

@@ -14,7 +14,6 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.llm.common import give_back, text_of
+from lumenmill.llm.common import give_back, kept, text_of
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 END_ID = (1).to_bytes(4, "little")
@@ -78,9 +77,8 @@ class Words(dict):
         return found
 
 
-@lru_cache(maxsize=2)
 def _words(path: str) -> Words:
-    return Words(path)
+    return kept(("words", path), lambda: Words(path))
 
 
 def token_bytes(texts: Iterable[str], path: str) -> list[bytes]:

@@ -1,11 +1,15 @@
 """The pipeline's stages, each against brute force on what the one before kept."""
 
+import gc
+import pickle
+import weakref
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from lumenmill.llm import common
+from lumenmill.llm import common, exact_dedup, langid, packing
 from tests.llm.conftest import SF
 from tests.llm.test_copies_mixing_secrets_packing import check_packing
 from tests.llm.test_search_language_join_lm_quality_lines import sets_of
@@ -127,3 +131,24 @@ def test_stages_on_tables_as_read(spark):
         of_table = Counter((r.doc_id, r.text) for r in stage(spark, table, SF).collect())
         assert of_table == Counter((r.doc_id, r.text) for r in stage(spark, table.where("true"), SF).collect())
     assert corpus_pipeline.mixed(spark, table, SF).count() > 0
+
+
+def test_a_worker_holds_the_tables_of_one_stage():
+    """Workers live on: what packing remembered goes when language ID starts, and the automata go when tries are grown."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.token_bytes(["one two"], path)
+    words = weakref.ref(packing._words(path))
+    assert packing._words(path) is words()
+    blob = pickle.dumps([("en", ["the house"], 0.5), ("de", ["das haus"], 0.5)])
+    model = weakref.ref(langid._model(blob))
+    gc.collect()
+    assert words() is None and langid._model(blob) is model()
+    assert list(exact_dedup._grown(iter([]), True, 1, False)) == []
+    gc.collect()
+    assert model() is None
+
+
+def test_language_reads_and_hands_over_few_documents_at_once(spark):
+    corpus_pipeline.language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
