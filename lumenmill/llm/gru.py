@@ -51,17 +51,15 @@ def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return views(flat.astype(np.float32), like)
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place; where exp overflows, its inverse is 0, as it should be."""
-    np.negative(x, out=x)
+def _sigmoid_of_minus(x: np.ndarray) -> None:
+    """1 / (exp(x) + 1) in place; where exp overflows, its inverse is 0, as it should be."""
     np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
 
 
-def _tanh(x: np.ndarray) -> None:
-    """In place, as 1 - 2 / (exp(2x) + 1)."""
-    x *= 2
+def _tanh_of_half(x: np.ndarray) -> None:
+    """1 - 2 / (exp(x) + 1) in place."""
     np.exp(x, out=x)
     x += 1
     np.divide(-2, x, out=x)
@@ -111,24 +109,27 @@ class Lanes:
 
 def _forward(p: dict, h: np.ndarray, fed: np.ndarray, first: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
     """States of all steps, and what the way back needs: the states before, the gates r and z, the cell c, and r * before."""
-    r, z, c = (p[f"in_{g}"][fed] for g in _GATES)
-    for x, g in ((r, "r"), (z, "z"), (c, "c")):
-        x += p[f"bias_{g}"]
+    # The parameters carry the signs and factors that sigmoid and tanh need, so that no pass over the tokens is spent on them.
+    factor = {"r": -1, "z": -1, "c": 2}
+    table, state = ([f * (p[f"{kind}_{g}"] + (p[f"bias_{g}"] if kind == "in" else 0)) for g, f in factor.items()] for kind in ("in", "state"))
+    x = np.empty((3, len(fed), h.shape[1]), h.dtype)
+    for own, t in zip(x, table, strict=True):
+        np.take(t, fed, axis=0, out=own, mode="clip")
+    r, z, c = x
+    two, third = np.stack(state[:2]), state[2]
     before, states, rh = (np.empty_like(r) for _ in range(3))
     begins = np.add.reduceat(first, cuts[:-1], dtype=np.int64).tolist()
     at = cuts.tolist()
     for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        now, rt, zt, ct, q = before[a:b], r[a:b], z[a:b], c[a:b], rh[a:b]
+        now, gates, rt, zt, ct, q = before[a:b], x[:2, a:b], r[a:b], z[a:b], c[a:b], rh[a:b]
         now[...] = h[: b - a]
         if begins[i]:
             now[first[a:b]] = 0
-        rt += now @ p["state_r"]
-        _sigmoid(rt)
-        zt += now @ p["state_z"]
-        _sigmoid(zt)
+        gates += now @ two
+        _sigmoid_of_minus(gates)
         np.multiply(rt, now, out=q)
-        ct += q @ p["state_c"]
-        _tanh(ct)
+        ct += q @ third
+        _tanh_of_half(ct)
         h = states[a:b]
         np.subtract(ct, now, out=h)
         h *= zt

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,15 +30,23 @@ from lumenmill.llm.common import most_frequent, text_of, written
 WORDS, BUCKETS = 511, gru.TOKENS - 512
 #: Most frequent words that workers hold.
 LISTED = 200_000
+#: Words of a task that are counted at once.
+COUNTED = 4_000_000
 #: Tokens of whole texts that wait in a task until they are trained on, or scored, side by side.
 SIDE = 2_000_000
 PART = "rid long, doc_id long, held_out boolean, turn int, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, n: int>>, ids binary"
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between ASCII white space, with A-Z in lower case."""
-    return text.encode("utf-8", "replace").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space, with A-Z in lower case: those of all texts one after the other, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, sizes = split.flatten().cast(pa.binary()), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.greater(pc.binary_length(flat), 0)  # white space at the ends of a text leaves empty words
+    if pc.all(filled).as_py() is False:
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[filled.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        flat = flat.filter(filled)
+    return flat, sizes
 
 
 def bucket(word: bytes) -> int:
@@ -50,20 +57,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts of docs (column text); counted in the tasks before the shuffle."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Array] = []
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(tokens(text))
-            if len(seen) > 400_000:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
+            held.append(words_of(batch.column("text"))[0])
+            if sum(map(len, held)) >= COUNTED:
+                yield _counted(held)
+                held = []
+        yield _counted(held)
 
     return docs.select("text").mapInArrow(local, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+def _counted(held: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(pc.value_counts(pa.chunked_array(held, pa.binary()).combine_chunks()).flatten(), names=["word", "c"])
 
 
 def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
@@ -126,28 +132,34 @@ def encode(rows: DataFrame, listed: tuple[bytes, ...], log_c: np.ndarray, log_ma
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs, mass = shared.value
         index = {w: i for i, w in enumerate(known)}
-        kind = np.array([*(i + 1 for i in range(min(WORDS, len(known)))), *(bucket(w) for w in known[WORDS:])], np.uint16)
+        # Last, at -1, what stands for words that are not listed.
+        kind = np.array([*(i + 1 for i in range(min(WORDS, len(known)))), *(bucket(w) for w in known[WORDS:]), 0], np.uint16)
+        logs = np.append(logs, 0.0)
         rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                columns: list[list] = [[] for _ in range(6)]
-                for text in part.column("text").to_pylist():
-                    found = tokens(text)
-                    at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
-                    seldom = np.nonzero(at < 0)[0].tolist()
-                    ids = np.zeros(len(found) + 1, np.uint16)
-                    ids[:-1] = kind[at] if len(kind) else 0
-                    others = [found[i] for i in seldom]
-                    ids[seldom] = [bucket(w) for w in others]
-                    own = at[at >= 0]
-                    base = float(logs[own].sum())
-                    tail = ids[:-1][ids[:-1] >= 512]
-                    model = float(logs[own[own >= WORDS]].sum() - mass[tail].sum())
-                    for c, x in zip(columns, (len(ids), len(own), base, model, [*Counter(others).items()], ids.tobytes()), strict=True):
-                        c.append(x)
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])), pa.binary()]
-                arrays = [pa.array(range(rid, rid + len(part)), pa.int64()), *[part.column(c) for c in ("doc_id", "held_out", "turn")], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]]
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                flat, sizes = words_of(part.column("text"))
+                coded = flat.dictionary_encode()
+                words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                own = kind[at]
+                seldom = np.nonzero(at < 0)[0]
+                own[seldom] = [bucket(words[i]) for i in seldom.tolist()]
+                log = np.where(at >= WORDS, logs[at], 0.0) - np.where(own >= 512, mass[own], 0.0)
+                doc = np.repeat(np.arange(len(part)), sizes)
+                ids = np.zeros(len(code) + len(part), np.uint16)  # each text's words, and its end
+                ids[np.arange(len(code)) + doc] = own[code]
+                sums = [np.bincount(doc, weights=x[code], minlength=len(part)) for x in (at >= 0, logs[at], log)]
+                others = np.nonzero(at[code] < 0)[0]
+                pairs, n = np.unique(doc[others] * max(len(words), 1) + code[others], return_counts=True)
+                cuts = np.searchsorted(pairs, np.arange(len(part) + 1) * max(len(words), 1)).astype(np.int32)
+                rare = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % max(len(words), 1))), pa.array(n.astype(np.int32))], names=["word", "n"])
+                ends = np.concatenate([[0], 2 * np.cumsum(sizes + 1)]).astype(np.int32)
+                arrays = [
+                    pa.array(range(rid, rid + len(part)), pa.int64()), *[part.column(c) for c in ("doc_id", "held_out", "turn")], pa.array(sizes + 1), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:]),
+                    pa.ListArray.from_arrays(pa.array(cuts), rare), pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
+                ]
                 rid += len(part)
                 yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "held_out", "turn", "n_tokens", "n_known", "base", "model", "rare", "ids"])
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,51 @@ def test_default_size_of_the_model():
     assert inspect.signature(lm.lm_scores).parameters["hidden"].default == 32
 
 
+class InProcess:
+    """Stands in for a frame: what mapInArrow is given runs here, on one batch."""
+
+    def __init__(self, **columns):
+        self.batch = pa.RecordBatch.from_pydict(columns)
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return [r for b in function(iter([self.batch])) for r in b.to_pylist()]
+
+
+ODD_WORDS = ["", "  Lead Ünï\x0b\x0c x", "tail \n", "\x1c\x1d a\x1cb A", " \t", "rare Rare rare a", "É é İ" * 3]
+
+
+def test_words_are_those_between_ascii_white_space():
+    words, sizes = lm.words_of(pa.array(ODD_WORDS))
+    want = [t.encode().lower().split() for t in ODD_WORDS]
+    assert words.to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    assert [len(x) for x in lm.words_of(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_a_word_is_looked_up_once_in_a_batch(monkeypatch):
+    asked, bucket = Counter(), lm.bucket
+    monkeypatch.setattr(lm, "bucket", lambda w: asked.update([w]) or bucket(w))
+    monkeypatch.setattr(lm, "WORDS", 1)
+    listed, logs, mass = (b"a", b"x"), np.array([2.0, 1.0]), np.linspace(1, 2, gru.TOKENS)
+    docs = InProcess(doc_id=[*range(len(ODD_WORDS))], held_out=[False] * len(ODD_WORDS), turn=[0] * len(ODD_WORDS), text=ODD_WORDS)
+    got = lm.encode(docs, listed, logs, mass)
+    for r, text in zip(got, ODD_WORDS, strict=True):
+        words = text.encode().lower().split()
+        ids = [1 if w == b"a" else bucket(w) for w in words]
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [*ids, 0] and r["n_tokens"] == len(words) + 1
+        assert r["n_known"] == sum(w in listed for w in words) and r["base"] == pytest.approx(sum(logs[listed.index(w)] for w in words if w in listed))
+        assert r["model"] == pytest.approx(sum(w == b"x" for w in words) - sum(mass[i] for i in ids if i >= 512))
+        assert {x["word"]: x["n"] for x in r["rare"]} == Counter(w for w in words if w not in listed)
+    assert max(asked.values()) == 1 and b"rare" in asked
+
+
 def check_lm(df, listed=None):
     held = langid.remainder("doc_id") == 1
     got = rows(lm.lm_scores(df, held, hidden=8, rounds=2))
