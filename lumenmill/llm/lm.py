@@ -157,7 +157,7 @@ def encode(rows: DataFrame, listed: tuple[bytes, ...], log_c: np.ndarray, log_ma
                 rare = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % max(len(words), 1))), pa.array(n.astype(np.int32))], names=["word", "n"])
                 ends = np.concatenate([[0], 2 * np.cumsum(sizes + 1)]).astype(np.int32)
                 arrays = [
-                    pa.array(range(rid, rid + len(part)), pa.int64()), *[part.column(c) for c in ("doc_id", "held_out", "turn")], pa.array(sizes + 1), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:]),
+                    pa.array(range(rid, rid + len(part)), pa.int64()), *[part.column(c) for c in ("doc_id", "held_out", "turn")], pa.array(sizes + 1), pa.array(sums[0].astype(np.int64)), *[pa.array(x.astype(np.float64)) for x in sums[1:]],  # a bincount of nothing is of integers
                     pa.ListArray.from_arrays(pa.array(cuts), rare), pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
                 ]
                 rid += len(part)

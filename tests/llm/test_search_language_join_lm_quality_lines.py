@@ -361,6 +361,8 @@ def test_a_word_is_looked_up_once_in_a_batch(monkeypatch):
         assert r["model"] == pytest.approx(sum(w == b"x" for w in words) - sum(mass[i] for i in ids if i >= 512))
         assert {x["word"]: x["n"] for x in r["rare"]} == Counter(w for w in words if w not in listed)
     assert max(asked.values()) == 1 and b"rare" in asked
+    (empty,) = lm.encode(InProcess(doc_id=[1], held_out=[False], turn=[0], text=[" "]), listed, logs, mass)
+    assert isinstance(empty["base"], float) and isinstance(empty["model"], float) and (empty["n_tokens"], empty["rare"], empty["ids"]) == (1, [], b"\0\0")
 
 
 def check_lm(df, listed=None):
