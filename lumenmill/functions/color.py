@@ -19,10 +19,18 @@ def hsv(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
     return F.when(h >= 180, h - 180).otherwise(h).cast("double"), s.cast("double"), v.cast("double")
 
 
+def linear(c: Column) -> Column:
+    """A byte of sRGB as light, from 0 to 1."""
+    return F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
+
+
 def lab(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
     """CIE Lab of sRGB under D65, scaled to bytes and rounded."""
-    straight = lambda c: F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
-    rr, gg, bb = straight(r), straight(g), straight(b)
+    return lab_of_light(linear(b), linear(g), linear(r))
+
+
+def lab_of_light(bb: Column, gg: Column, rr: Column) -> tuple[Column, Column, Column]:
+    """The same of linear channels: where these are columns of their own, no power of them is taken again for each part."""
     x = (0.412453 * rr + 0.357580 * gg + 0.180423 * bb) / 0.950456
     y = 0.212671 * rr + 0.715160 * gg + 0.072169 * bb
     z = (0.019334 * rr + 0.119193 * gg + 0.950227 * bb) / 1.088754

@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.functions.color import gray, hsv, lab
+from lumenmill.functions.color import gray, hsv, lab_of_light, linear
 from lumenmill.functions.scalars import clip, labels, ladder, log_score, risk_from_gain, risk_within
-from lumenmill.functions.tables import apart, dealt, settled
+from lumenmill.functions.tables import apart, settled
+from lumenmill.operators import planes
 from lumenmill.operators import points as pt
-from lumenmill.operators import regions
 from lumenmill.operators import stencils as st
 
 c = F.col
 AT = ["image_id", "y", "x"]
 
 
-def stroke_weights(px: DataFrame) -> DataFrame:
-    """(image_id, y, x, weight): 1 where a pixel is at least 8 darker than the mean of the 17 x 17 square around it, a plain stand-in for a soft mask of text."""
-    dark = c("l") <= F.floor(c("total") / 289.0 + 0.5) - 8
-    return st.box(px, 8, F.sum, "total").where(dark).select(*AT, F.lit(1.0).alias("weight"))
+#: The largest reach of a stencil here.
+REACH = 8
+MADE = "lap double, steep double, wide double, narrow double, around long, total long, text_edge boolean, dark_edge boolean"
+
 
+def _made(l: np.ndarray) -> Iterator[planes.Band]:  # noqa: E741
+    """What the stencils say of each pixel of a gray plane."""
+    size = planes.thinned(l)
+    marks = {"text_edge": planes.edges(size, 60, 160), "dark_edge": planes.edges(size, 45, 135)}
+    for first, last, block in planes.bands(l, REACH):
+        near = planes.within(block, REACH - 1)
+        gx, gy = (g.astype(np.float64) for g in planes.sobel(near))
+        yield first, last, {
+            "lap": planes.laplacian(near).astype(np.float64), "steep": np.sqrt(gx * gx + gy * gy), "wide": planes.blurred(block, 1.35, REACH), "narrow": planes.blurred(block, 1.15, REACH),
+            "around": planes.box_sum(planes.within(block, REACH - 3), 3), "total": planes.box_sum(block, REACH), **{n: m[first:last] for n, m in marks.items()},
+        }
 
-def version_signals(px3: DataFrame, text: DataFrame | None = None) -> DataFrame:
-    """One row an image of (image_id, y, x, b, g, r, and width and height if known): sharpness, edges, text, and the detail of each region.
 
-    text (image_id, y, x, weight): a soft mask of text; pixels that it lacks weigh 0, and over 0.12 counts. An image with hardly any text
+def version_signals(px3: DataFrame, text: DataFrame | None = None, strokes: bool = False) -> DataFrame:
+    """One row an image of (image_id, y, x, b, g, r): sharpness, edges, text, and the detail of each region.
+
+    text (image_id, y, x, weight): a soft mask of text; pixels that it lacks weigh 0, and over 0.12 counts. With strokes, a plain stand-in for
+    one: pixels weigh 1 that are at least 8 darker than the mean of the 17 x 17 square around them. An image with hardly any text
     takes its sharpness for the text's. A region of at most a thousandth of the image takes the detail of the whole.
     """
-    px = st.sized(px3).select(*AT, "width", "height", gray(c("b"), c("g"), c("r")).alias("l"), *[v.alias(n) for v, n in zip(hsv(c("b"), c("g"), c("r")), "hsv", strict=True)])
-    px = settled(px)
-    px = dealt(px, px.count())
-    marks = regions.edge_sets(px, {"text_edge": (60, 160), "dark_edge": (45, 135)}, squared=False)
-    gx, gy = st.sobel()
-    rows = st.neighbours(px).select(*AT, "width", "height", "l", "h", "s", "v", st.laplacian().alias("lap"), F.sqrt(gx * gx + gy * gy).alias("steep"))
-    rows = st.box(st.gaussian(st.gaussian(rows, 1.35, "wide"), 1.15, "narrow"), 3, F.sum, "around")
-    rows = rows.join(apart(marks), AT, "left")
-    rows = rows.join(apart(text), AT, "left") if text is not None else rows.withColumn("weight", F.lit(0.0))
+    px = px3.select(*AT, "b", "g", "r", gray(c("b"), c("g"), c("r")).alias("l"))
+    px = px if text is None else px.join(apart(text.select(*AT, "weight")), AT, "left")
+    rows = planes.on_planes(px, _made, MADE)
+    weight = (c("l") <= F.floor(c("total") / 289.0 + 0.5) - 8).cast("double") if strokes else F.lit(0.0) if text is None else F.coalesce("weight", F.lit(0.0))
     fine = F.abs(c("l") - st.quantized(F.round("narrow", 9)))
+    rows = rows.select("*", *[v.alias(n) for v, n in zip(hsv(c("b"), c("g"), c("r")), "hsv", strict=True)])
     rows = rows.select(
-        "image_id", "lap", "steep", fine.alias("fine"), (F.coalesce("weight", F.lit(0.0)) > 0.12).alias("texty"), F.coalesce("text_edge", F.lit(False)).cast("double").alias("edge"), F.abs(c("l") - c("around") / 49.0).alias("contrast"),
-        pt.skin(c("h"), c("s"), c("v")).alias("face"), (F.coalesce("dark_edge", F.lit(False)) & (c("l") < 95)).alias("hair"),
+        "image_id", "lap", "steep", fine.alias("fine"), (weight > 0.12).alias("texty"), c("text_edge").cast("double").alias("edge"), F.abs(c("l") - c("around") / 49.0).alias("contrast"),
+        pt.skin(c("h"), c("s"), c("v")).alias("face"), (c("dark_edge") & (c("l") < 95)).alias("hair"),
         ((F.abs(c("l") - st.quantized(F.round("wide", 9))) > 7) & ((c("s") > 35) | (c("l") < 115))).alias("fabric"), (c("l") < 88).alias("dark"),
     )
     within = lambda mask, value: F.avg(F.when(mask, value))
@@ -54,33 +66,40 @@ def version_signals(px3: DataFrame, text: DataFrame | None = None) -> DataFrame:
     return m.select("image_id", "sharpness", "edges", "text_density", F.when(plain, c("sharpness")).otherwise(c("strokes")).alias("text"), "face", "hair", "fabric", "dark")
 
 
+def pair_difference(pairs: DataFrame) -> DataFrame:
+    """(image_id, color_delta, diff): mean absolute differences of the Lab bytes and of the channels, over pixels that have both versions (b0, g0, r0 and b1, g1, r1).
+
+    Both are sums of whole numbers, divided once, so they do not hang on the order of pixels.
+    """
+    apart_by = lambda old, new: sum((F.abs(p - q) for p, q in zip(old, new, strict=True)), F.lit(0))
+    of = lambda i, end="": [c(f"{k}{i}{end}") for k in "bgr"]
+    rows = pairs.select("image_id", apart_by(of(0), of(1)).alias("diff"), *[linear(k).alias(f"{n}{i}_light") for i in (0, 1) for n, k in zip("bgr", of(i), strict=True)])
+    rows = rows.select("image_id", apart_by(*[lab_of_light(*of(i, "_light")) for i in (0, 1)]).alias("lab"), "diff")
+    return rows.groupBy("image_id").agg(*[(F.sum(n) / (F.count(n) * 3.0)).alias(to) for n, to in (("lab", "color_delta"), ("diff", "diff"))])
+
+
 def version_difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(image_id, color_delta, diff): mean absolute differences of the Lab bytes and of the channels, over all pixels."""
-    old, new = ([c(f"{k}{i}") for k in "bgr"] for i in (0, 1))
-    both = before.select(*AT, *[c(k).alias(f"{k}0") for k in "bgr"]).join(apart(after.select(*AT, *[c(k).alias(f"{k}1") for k in "bgr"])), AT)
-    mean = lambda pairs: sum((F.abs(p - q) for p, q in pairs), F.lit(0)) / 3.0
-    rows = both.select("image_id", mean(zip(lab(*old), lab(*new), strict=True)).alias("lab"), mean(zip(old, new, strict=True)).alias("diff"))
-    return rows.groupBy("image_id").agg(F.avg("lab").alias("color_delta"), F.avg("diff").alias("diff"))
+    """The difference over all pixels that both tables have."""
+    return pair_difference(before.select(*AT, *[c(k).alias(f"{k}0") for k in "bgr"]).join(apart(after.select(*AT, *[c(k).alias(f"{k}1") for k in "bgr"])), AT))
 
 
 def _r(value: Column, n: int = 4) -> Column:
     return F.round(value, n)
 
 
-def quality_gains(before: DataFrame, after: DataFrame, text_before: DataFrame | None = None, text_after: DataFrame | None = None, text_density: Column | None = None) -> DataFrame:
+def quality_gains(
+    before: DataFrame, after: DataFrame, text_before: DataFrame | None = None, text_after: DataFrame | None = None, text_density: Column | None = None, strokes: bool = False, difference: DataFrame | None = None,
+) -> DataFrame:
     """The quality metrics of two versions of each image, of equal size: scores of the later one, gains over the earlier one, and risks.
 
-    text_density: by default the earlier version's share of text. Images without a partner give no row.
+    text_density: by default the earlier version's share of text. strokes: the stand-in of version_signals takes the place of masks of text.
+    difference: that of the two versions where it is known; else their pixels are joined. Images without a partner give no row.
     """
-    # Both versions are gone through together, as images of their own.
-    of = lambda px, i: px.withColumn("image_id", F.struct(F.col("image_id").alias("id"), F.lit(i).alias("version")))
-    pixels = [of(st.sized(px).select(*AT, "width", "height", "b", "g", "r"), i) for i, px in enumerate((before, after))]
-    texts = [of(text.select(*AT, "weight"), i) for i, text in enumerate((text_before, text_after)) if text is not None]
-    signals = version_signals(pixels[0].unionByName(pixels[1]), texts[0].unionByName(texts[1]) if len(texts) == 2 else texts[0] if texts else None)
-    signals = settled(signals)  # a row an image, read twice
-    names = [n for n in signals.columns if n != "image_id"]
-    old, new = (signals.where(F.col("image_id.version") == i).select(F.col("image_id.id").alias("image_id"), *names) for i in (0, 1))
-    rows = old.select("image_id", *[c(n).alias(f"{n}0") for n in names]).join(apart(new.select("image_id", *[c(n).alias(f"{n}1") for n in names])), "image_id").join(apart(version_difference(before, after)), "image_id")
+    old, new = (version_signals(px, text, strokes) for px, text in ((before, text_before), (after, text_after)))
+    names = [n for n in old.columns if n != "image_id"]
+    difference = version_difference(before, after) if difference is None else difference
+    rows = old.select("image_id", *[c(n).alias(f"{n}0") for n in names]).join(apart(new.select("image_id", *[c(n).alias(f"{n}1") for n in names])), "image_id").join(apart(difference), "image_id")
+    rows = settled(rows)  # a row an image; whoever reads the result again does not go through the pixels again
     scores = {"clarity": ("sharpness", 11.0), "text_clarity": ("text", 10.5), "edge_quality": ("edges", 15.5), "face_detail": ("face", 16.0), "hair_texture": ("hair", 16.0), "fabric_texture": ("fabric", 16.0), "dark_detail": ("dark", 16.0)}
     both = lambda k: [log_score(c(f"{scores[k][0]}{i}"), scores[k][1]) for i in (0, 1)]
     rows = rows.select("*", *[both(k)[1].alias(f"{k}_score") for k in scores], *[_r(both(k)[1] - both(k)[0]).alias(f"{k}_gain") for k in scores])
