@@ -24,17 +24,23 @@ def linear(c: Column) -> Column:
     return F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
 
 
+def xyz(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
+    """CIE XYZ under D65 of linear channels."""
+    return (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456, 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754
+
+
+def root(t: Column) -> Column:
+    return F.when(t > 0.008856, F.pow(t, F.lit(1.0 / 3.0))).otherwise(7.787 * t + 16.0 / 116.0)
+
+
 def lab(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
     """CIE Lab of sRGB under D65, scaled to bytes and rounded."""
-    return lab_of_light(linear(b), linear(g), linear(r))
+    x, y, z = xyz(linear(b), linear(g), linear(r))
+    return lab_of_roots(y, root(x), root(y), root(z))
 
 
-def lab_of_light(bb: Column, gg: Column, rr: Column) -> tuple[Column, Column, Column]:
-    """The same of linear channels: where these are columns of their own, no power of them is taken again for each part."""
-    x = (0.412453 * rr + 0.357580 * gg + 0.180423 * bb) / 0.950456
-    y = 0.212671 * rr + 0.715160 * gg + 0.072169 * bb
-    z = (0.019334 * rr + 0.119193 * gg + 0.950227 * bb) / 1.088754
-    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1.0 / 3.0))).otherwise(7.787 * t + 16.0 / 116.0)
-    light = F.when(y > 0.008856, 116.0 * F.pow(y, F.lit(1.0 / 3.0)) - 16.0).otherwise(903.3 * y)
+def lab_of_roots(y: Column, root_x: Column, root_y: Column, root_z: Column) -> tuple[Column, Column, Column]:
+    """The same of Y and the roots of XYZ: where these are columns of their own, no power is taken twice."""
+    light = F.when(y > 0.008856, 116.0 * root_y - 16.0).otherwise(903.3 * y)
     byte = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(c + 0.5).cast("double")))
-    return byte(light * 255.0 / 100.0), byte(500.0 * (root(x) - root(y)) + 128.0), byte(200.0 * (root(y) - root(z)) + 128.0)
+    return byte(light * 255.0 / 100.0), byte(500.0 * (root_x - root_y) + 128.0), byte(200.0 * (root_y - root_z) + 128.0)

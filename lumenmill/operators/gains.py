@@ -8,12 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenmill.functions.color import gray, hsv, lab_of_light, linear
+from lumenmill.functions.color import gray, hsv, lab_of_roots, linear, root, xyz
 from lumenmill.functions.scalars import clip, labels, ladder, log_score, risk_from_gain, risk_within
 from lumenmill.functions.tables import apart, settled
 from lumenmill.operators import planes
 from lumenmill.operators import points as pt
-from lumenmill.operators import stencils as st
 
 c = F.col
 AT = ["image_id", "y", "x"]
@@ -21,7 +20,7 @@ AT = ["image_id", "y", "x"]
 
 #: The largest reach of a stencil here.
 REACH = 8
-MADE = "lap double, steep double, wide double, narrow double, around long, total long, text_edge boolean, dark_edge boolean"
+MADE = "lap double, steep double, wide int, narrow int, around long, total long, text_edge boolean, dark_edge boolean"
 
 
 def _made(l: np.ndarray) -> Iterator[planes.Band]:  # noqa: E741
@@ -32,7 +31,7 @@ def _made(l: np.ndarray) -> Iterator[planes.Band]:  # noqa: E741
         near = planes.within(block, REACH - 1)
         gx, gy = (g.astype(np.float64) for g in planes.sobel(near))
         yield first, last, {
-            "lap": planes.laplacian(near).astype(np.float64), "steep": np.sqrt(gx * gx + gy * gy), "wide": planes.blurred(block, 1.35, REACH), "narrow": planes.blurred(block, 1.15, REACH),
+            "lap": planes.laplacian(near).astype(np.float64), "steep": np.sqrt(gx * gx + gy * gy), "wide": planes.quantized(planes.blurred(block, 1.35, REACH)), "narrow": planes.quantized(planes.blurred(block, 1.15, REACH)),
             "around": planes.box_sum(planes.within(block, REACH - 3), 3), "total": planes.box_sum(block, REACH), **{n: m[first:last] for n, m in marks.items()},
         }
 
@@ -44,16 +43,16 @@ def version_signals(px3: DataFrame, text: DataFrame | None = None, strokes: bool
     one: pixels weigh 1 that are at least 8 darker than the mean of the 17 x 17 square around them. An image with hardly any text
     takes its sharpness for the text's. A region of at most a thousandth of the image takes the detail of the whole.
     """
-    px = px3.select(*AT, "b", "g", "r", gray(c("b"), c("g"), c("r")).alias("l"))
+    h, s, v = c("h"), c("s"), c("v")
+    px = px3.select(*AT, gray(c("b"), c("g"), c("r")).alias("l"), *[v.alias(n) for v, n in zip(hsv(c("b"), c("g"), c("r")), "hsv", strict=True)])
+    # Only what the masks say of a colour goes along with its pixel.
+    px = px.select(*AT, "l", pt.skin(h, s, v).alias("face"), (s > 35).alias("vivid"))
     px = px if text is None else px.join(apart(text.select(*AT, "weight")), AT, "left")
-    rows = planes.on_planes(px, _made, MADE)
+    rows = planes.on_planes(px, _made, MADE, keep=[n for n in px.columns if n not in ("y", "x")])
     weight = (c("l") <= F.floor(c("total") / 289.0 + 0.5) - 8).cast("double") if strokes else F.lit(0.0) if text is None else F.coalesce("weight", F.lit(0.0))
-    fine = F.abs(c("l") - st.quantized(F.round("narrow", 9)))
-    rows = rows.select("*", *[v.alias(n) for v, n in zip(hsv(c("b"), c("g"), c("r")), "hsv", strict=True)])
     rows = rows.select(
-        "image_id", "lap", "steep", fine.alias("fine"), (weight > 0.12).alias("texty"), c("text_edge").cast("double").alias("edge"), F.abs(c("l") - c("around") / 49.0).alias("contrast"),
-        pt.skin(c("h"), c("s"), c("v")).alias("face"), (c("dark_edge") & (c("l") < 95)).alias("hair"),
-        ((F.abs(c("l") - st.quantized(F.round("wide", 9))) > 7) & ((c("s") > 35) | (c("l") < 115))).alias("fabric"), (c("l") < 88).alias("dark"),
+        "image_id", "lap", "steep", F.abs(c("l") - c("narrow")).alias("fine"), (weight > 0.12).alias("texty"), c("text_edge").cast("double").alias("edge"), F.abs(c("l") - c("around") / 49.0).alias("contrast"),
+        "face", (c("dark_edge") & (c("l") < 95)).alias("hair"), ((F.abs(c("l") - c("wide")) > 7) & (c("vivid") | (c("l") < 115))).alias("fabric"), (c("l") < 88).alias("dark"),
     )
     within = lambda mask, value: F.avg(F.when(mask, value))
     share = lambda mask: F.avg(mask.cast("double"))
@@ -72,9 +71,12 @@ def pair_difference(pairs: DataFrame) -> DataFrame:
     Both are sums of whole numbers, divided once, so they do not hang on the order of pixels.
     """
     apart_by = lambda old, new: sum((F.abs(p - q) for p, q in zip(old, new, strict=True)), F.lit(0))
-    of = lambda i, end="": [c(f"{k}{i}{end}") for k in "bgr"]
-    rows = pairs.select("image_id", apart_by(of(0), of(1)).alias("diff"), *[linear(k).alias(f"{n}{i}_light") for i in (0, 1) for n, k in zip("bgr", of(i), strict=True)])
-    rows = rows.select("image_id", apart_by(*[lab_of_light(*of(i, "_light")) for i in (0, 1)]).alias("lab"), "diff")
+    of = lambda i, names="bgr": [c(f"{n}{i}") for n in names]
+    # Parts that are used several times are columns one after the other, so that none is computed again.
+    rows = pairs.select("image_id", apart_by(of(0), of(1)).alias("diff"), *[linear(c(f"{n}{i}")).alias(f"{n}{i}") for i in (0, 1) for n in "bgr"])
+    rows = rows.select("image_id", "diff", *[v.alias(f"{n}{i}") for i in (0, 1) for n, v in zip("xyz", xyz(*of(i)), strict=True)])
+    rows = rows.select("image_id", "diff", "y0", "y1", *[root(c(f"{n}{i}")).alias(f"r{n}{i}") for i in (0, 1) for n in "xyz"])
+    rows = rows.select("image_id", "diff", apart_by(*[lab_of_roots(c(f"y{i}"), c(f"rx{i}"), c(f"ry{i}"), c(f"rz{i}")) for i in (0, 1)]).alias("lab"))
     return rows.groupBy("image_id").agg(*[(F.sum(n) / (F.count(n) * 3.0)).alias(to) for n, to in (("lab", "color_delta"), ("diff", "diff"))])
 
 

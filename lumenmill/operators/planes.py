@@ -27,12 +27,12 @@ BAND = 1 << 16
 Band = tuple[int, int, dict[str, np.ndarray]]
 
 
-def on_planes(px: DataFrame, kernel: Callable[[np.ndarray], Iterator[Band]], made: str, value: str = "l") -> DataFrame:
-    """px (image_id, y, x, value, any others) with the columns that kernel makes of each image's plane; made is their schema.
+def on_planes(px: DataFrame, kernel: Callable[[np.ndarray], Iterator[Band]], made: str, value: str = "l", keep: list[str] | None = None) -> DataFrame:
+    """px (image_id, y, x, value, any others), or those of its columns to keep, with the columns that kernel makes of each image's plane; made is their schema.
 
     An image needs every pixel of its rectangle, with a value. A repeated pixel gets its results as often.
     """
-    names = StructType.fromDDL(made).names
+    names, kept = StructType.fromDDL(made).names, px.columns if keep is None else keep
 
     def laid_out(image: object, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
         h, w = int(y.max()) + 1, int(x.max()) + 1
@@ -51,11 +51,11 @@ def on_planes(px: DataFrame, kernel: Callable[[np.ndarray], Iterator[Band]], mad
         if rows.column(value).null_count:
             raise ValueError(f"a pixel has no {value}")
         place, y, x, v = (rows.column(n).to_numpy() for n in ("__place", "y", "x", value))
-        rows = rows.drop_columns("__place")
+        ids, rows = rows.column("image_id"), rows.select(kept)
         starts = [*np.flatnonzero(place == 1).tolist(), len(rows)]
         for start, end in zip(starts, starts[1:], strict=False):
             ys, xs = y[start:end], x[start:end]
-            for first, last, values in kernel(laid_out(rows.column("image_id")[start], ys, xs, v[start:end])):
+            for first, last, values in kernel(laid_out(ids[start], ys, xs, v[start:end])):
                 a, b = np.searchsorted(ys, (first, last))
                 yield rows.slice(start + a, b - a), [values[n][ys[a:b] - first, xs[a:b]] for n in names]
 
@@ -90,7 +90,7 @@ def on_planes(px: DataFrame, kernel: Callable[[np.ndarray], Iterator[Band]], mad
     # The numbers bring an image's pixels into one partition, in order, and say where it begins.
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("y", "x"))
     rows = dealt(px)
-    return rows.withColumn("__place", place).mapInArrow(cut, StructType([*rows.schema.fields, *StructType.fromDDL(made).fields]))
+    return rows.withColumn("__place", place).mapInArrow(cut, StructType([*[rows.schema[n] for n in kept], *StructType.fromDDL(made).fields]))
 
 
 @lru_cache(1024)
@@ -148,6 +148,11 @@ def blurred(block: np.ndarray, sigma: float, reach: int) -> np.ndarray:
     return block
 
 
+def quantized(values: np.ndarray) -> np.ndarray:
+    """Bytes, half up."""
+    return np.clip(np.floor(np.round(values, 9) + 0.5), 0, 255).astype(np.int32)
+
+
 def thinned(plane: np.ndarray) -> np.ndarray:
     """Sums of both gradients' sizes where they are largest across their direction, else -1. Beyond the image gradients are 0 and pixels repeat."""
     gx, gy = sobel(np.pad(plane, 1, "edge"))
